@@ -7,7 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contaminated
 from .jaccard_join import jaccard_classes
+from .language_id import held_out_languages
+from .mixing import mixed
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from three of four folds."""
+    return held_out_languages(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weighted 5, 2, 1 share 150 % of all words, none above two epochs."""
+    return mixed(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2.0)
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|mix') AS digest
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (
+  SELECT source, source_size, CAST(source_size AS DOUBLE) * 2.0 AS clamp, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS budget,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM s),
+f AS (
+  SELECT *, budget - coalesce(sum(clamp) OVER (ORDER BY clamp / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         CAST(sum(weight) OVER (ORDER BY clamp / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS open,
+         row_number() OVER (ORDER BY clamp / weight, source NULLS LAST) AS k
+  FROM r),
+g AS (SELECT *, clamp * open <= rest * weight AS clamped FROM f),
+e AS (SELECT rest, open FROM g WHERE NOT clamped ORDER BY k LIMIT 1),
+t AS (
+  SELECT g.source, g.source_size, CASE WHEN g.clamped THEN g.clamp ELSE e.rest * g.weight / e.open END AS target
+  FROM g LEFT JOIN e ON true),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+x AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, CAST(round(p.target) AS BIGINT) - p.whole * p.source_size AS extra,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.size, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE (whole + CASE WHEN extra - filled >= size THEN 1 ELSE 0 END) * size
+         + CASE WHEN extra - filled > 0 AND extra - filled < size THEN extra - filled ELSE 0 END END AS BIGINT) AS taken,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN extra - filled >= size THEN 1 ELSE 0 END END AS BIGINT) AS repeats,
+       CAST(CASE WHEN extra - filled > 0 AND extra - filled < size THEN extra - filled ELSE 0 END AS BIGINT) AS part
+FROM x
+"""
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +62,19 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every alignment of a document with a benchmark item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
+        "op3_mixing": op3_mixing,
         "op8_jaccard_join": op8_jaccard_join,
+        "op10_decontamination": op10_decontamination,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": OP3_SQL}
