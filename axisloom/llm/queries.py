@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .brown_lm import held_out_scores
 from .common import table
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_classes
@@ -57,6 +58,11 @@ FROM x
 """
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based and add-one unigram scores of every document, learnt from six of seven folds."""
+    return held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, Jaccard of at least 0.9: set size and component of every document."""
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
@@ -71,6 +77,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op3_mixing": op3_mixing,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_jaccard_join": op8_jaccard_join,
         "op10_decontamination": op10_decontamination,
     }
