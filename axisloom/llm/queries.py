@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_classes
 from .language_id import held_out_languages
+from .materialise import written_index
 from .mixing import mixed
 
 
@@ -68,6 +69,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents in training order; one row per sequence written."""
+    return written_index(table(spark, sf_dir, "documents"), stored_input=True)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every alignment of a document with a benchmark item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -79,6 +85,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_token_output": op9_token_output,
         "op10_decontamination": op10_decontamination,
     }
 
