@@ -13,6 +13,7 @@ from .jaccard_join import jaccard_classes
 from .language_id import held_out_languages
 from .materialise import written_index
 from .mixing import mixed
+from .simhash import edited_fingerprints
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weighted 5, 2, 1 share 150 % of all words, none above two epochs."""
     return mixed(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2.0)
@@ -83,6 +89,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op3_mixing": op3_mixing,
+        "op6_simhash": op6_simhash,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_token_output": op9_token_output,
