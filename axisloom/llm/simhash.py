@@ -1,13 +1,14 @@
 """Document fingerprints: SimHash over weighted words, and permuted block tables for near fingerprints.
 
-All of it is DataFrame expressions.  A fingerprint has 128 bits.  The terms of a text are its distinct
+All of it is DataFrame operations.  A fingerprint has 128 bits.  The terms of a text are its distinct
 words, weighted 1, 2 or 3 by length (short words are the common ones); each term's two 64-bit hashes vote
 with its weight for or against every bit.
 
-Votes are counted eight at a time: ``(h >> k) & 0x0101010101010101`` spreads every eighth bit of a hash
-over the bytes of a long, so sixteen additions a term serve 128 counters.  A byte holds the votes of
-42 terms of weight 3; longer term lists are summed block by block into 128 wide counters, so texts of
-any length count in full.
+Votes are counted four at a time: ``(h >> k) & 0x0001000100010001`` spreads every sixteenth bit of a hash
+over the 16-bit lanes of a long, so 32 sums in one generated aggregation serve 128 counters.  A lane holds
+the votes of 10,922 terms of weight 3; longer term lists are summed in chunks of that many, and chunks in
+64 sums of 32-bit lanes, so texts of any length count in full.  The aggregation runs on rows that are
+already dealt by their key, without a shuffle of its own.
 """
 
 from __future__ import annotations
@@ -21,16 +22,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, stored
 
 BITS = 128
-_LANES = 0x0101010101010101
-_BLOCK = 42
-_HEX = "0123456789abcdef"
-#: The fingerprint of a text without words.
-BLANK = "0" * (BITS // 4)
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+_LANES = 0x0001000100010001
+_PAIRS = 0x0000FFFF0000FFFF
+_CHUNK = 10_922
 
 
 def words(text: Column) -> Column:
@@ -39,58 +33,48 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
-def _term(w: Column) -> Column:
-    size = F.length(w)
-    return F.struct(F.xxhash64(w).alias("a"), F.xxhash64(w, F.lit(1)).alias("b"), (F.lit(1) + (size > 3).cast("int") + (size > 6).cast("int")).cast("long").alias("w"))
-
-
-def _block_votes(terms: Column) -> Column:
-    """Sixteen longs of eight byte-wide counters each, for at most _BLOCK terms."""
-
-    def add(acc: Column, t: Column) -> Column:
-        sums = []
-        for k in range(BITS // 8):
-            h = t["a"] if k < 8 else t["b"]
-            spread = F.shiftrightunsigned(h, k % 8).bitwiseAND(F.lit(_LANES))
-            sums.append(F.element_at(acc, k + 1) + t["w"] * spread)
-        return F.array(*sums)
-
-    return F.aggregate(terms, F.array(*[F.lit(0).cast("long")] * (BITS // 8)), add)
-
+def fingerprints(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
+    """keys and, for the i-th of texts, the halves a<i> and b<i> of its fingerprint as longs.
 
-def _votes(terms: Column) -> Column:
-    """128 counters: the weight of the terms whose hash has the bit."""
-    places = F.array(*[F.lit(j) for j in range(BITS)])
-    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(terms) - 1) / _BLOCK), F.lit(0)).cast("int"))
-
-    def widen(acc: Column, i: Column) -> Column:
-        def place(sums: Column):
-            # expr: shifts by a column
-            return F.zip_with(acc, F.flatten(F.transform(sums, lambda s: F.array(*[F.shiftrightunsigned(s, 8 * lane).bitwiseAND(F.lit(255)) for lane in range(8)]))), lambda x, y: x + y)
-
-        return _let(_block_votes(F.slice(terms, i * _BLOCK + 1, _BLOCK)), place)
-
-    zero = F.transform(places, lambda j: F.lit(0).cast("long"))
-    return F.aggregate(blocks, zero, widen)
+    The keys name the rows.  Null texts and texts without words have an all-zero fingerprint; equal texts
+    have equal fingerprints.
+    """
+    tagged = rows.select(*keys, F.posexplode(F.array(*[words(F.col(t)) for t in texts])).alias("tag", "words"))
+    terms = tagged.select(*keys, "tag", F.posexplode_outer("words").alias("pos", "word"))
+    size = F.length("word")
+    weight = F.when(F.col("word").isNull(), 0).otherwise(1 + (size > 3).cast("int") + (size > 6).cast("int")).cast("long")
+    hashed = terms.select(*keys, "tag", F.floor(F.coalesce("pos", F.lit(0)) / _CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("h0"), F.xxhash64("word", F.lit(1)).alias("h1"), weight.alias("w"))
+    votes = [F.sum(F.col("w") * F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))).alias(f"{h}_{k}") for h in ("h0", "h1") for k in range(16)]
+    chunks = hashed.groupBy(*keys, "tag", "chunk").agg(F.sum("w").alias("w"), *votes)
+    wide = [F.sum((F.shiftrightunsigned(f"{h}_{k}", 16) if odd else F.col(f"{h}_{k}")).bitwiseAND(F.lit(_PAIRS))).alias(f"{h}_{k}_{odd}") for h in ("h0", "h1") for k in range(16) for odd in (0, 1)]
+    summed = chunks.groupBy(*keys, "tag").agg(F.sum("w").alias("w"), *wide)
 
+    def half(h: str) -> Column:
+        out = F.lit(0).cast("long")
+        for bit in range(64):
+            lane, k = divmod(bit, 16)
+            pair = F.col(f"{h}_{k}_{lane % 2}")
+            votes = F.shiftrightunsigned(pair, 32) if lane >= 2 else pair.bitwiseAND(F.lit(0xFFFFFFFF))
+            out = out.bitwiseOR(F.when(2 * votes > F.col("w"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0))).otherwise(F.lit(0)).cast("long"))
+        return out
 
-def fingerprint(text: Column) -> Column:
-    """32 hexadecimal digits; null and texts without words: all zero.  Equal texts have equal fingerprints."""
+    halves = summed.select(*keys, "tag", half("h0").alias("a"), half("h1").alias("b"))
+    of = lambda c, i: F.max(F.when(F.col("tag") == i, F.col(c))).alias(f"{c}{i}")
+    return halves.groupBy(*keys).agg(*[of(c, i) for i in range(len(texts)) for c in ("a", "b")])
 
-    def digits(terms: Column) -> Column:
-        total = F.aggregate(terms, F.lit(0).cast("long"), lambda s, t: s + t["w"])
 
-        def nibbles(pair: Column) -> Column:
-            bit = lambda i, k: F.when(2 * F.element_at(pair["votes"], i * 4 + k + 1) > pair["total"], 8 >> k).otherwise(0)
-            return F.array_join(F.transform(F.array(*[F.lit(i) for i in range(BITS // 4)]), lambda i: F.substring(F.lit(_HEX), 1 + bit(i, 0) + bit(i, 1) + bit(i, 2) + bit(i, 3), F.lit(1))), "")
+def as_text(a: Column, b: Column) -> Column:
+    """The fingerprint as 32 hexadecimal digits."""
+    return F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
 
-        return _let(F.struct(_votes(terms).alias("votes"), total.alias("total")), nibbles)
 
-    return _let(F.transform(words(text), _term), digits)
+def likeness(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Share of equal bits of two fingerprints, 0 to 1."""
+    return F.lit(1.0) - (F.bit_count(a.bitwiseXOR(c)) + F.bit_count(b.bitwiseXOR(d))) / F.lit(float(BITS))
 
 
 def distance(a: Column, b: Column) -> Column:
-    """Bits in which two fingerprints differ."""
+    """Bits in which two fingerprints, as text, differ."""
     part = lambda s, i: F.conv(F.substring(s, 1 + 8 * i, 8), 16, 10).cast("long")
     total = F.lit(0)
     for i in range(BITS // 32):
@@ -98,11 +82,6 @@ def distance(a: Column, b: Column) -> Column:
     return total
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal bits, 0 to 1."""
-    return F.lit(1.0) - distance(a, b) / F.lit(float(BITS))
-
-
 def next_keys(docs: DataFrame, key: str, size: Column) -> DataFrame:
     """(key, size, next): the next smaller key of each key, and the largest after the smallest.
 
@@ -133,18 +112,38 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     end is cut, and near_next compares with the empty text.  Other columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    chain = next_keys(docs, key, F.length(body))
+    chain = stored(next_keys(docs, key, F.length(body)), "chain")
     # both joins below read one exchange of these rows
-    full = docs.select(F.col(key).alias("id"), body.alias("body"), fingerprint(body).alias("fp"))
-    donors = full.withColumnsRenamed({"id": "next"}).join(chain, "next").select("id", F.substring("body", F.lit(1), F.floor(F.col("size") / 3).cast("int")).alias("piece"), F.col("fp").alias("next_fp"))
-    if chain.count() != docs.filter(F.col(key).isNotNull()).count():
-        donors = donors.groupBy("id").agg(F.max(F.struct(F.length("piece").alias("n"), "piece", "next_fp")).alias("d")).select("id", "d.piece", "d.next_fp")
+    full = docs.select(F.col(key).alias("id"), body.alias("body"))
+    repeats = chain.count() != docs.filter(F.col(key).isNotNull()).count()
+    repeats = repeats or bool(docs.filter(F.col(key).isNull()).limit(1).count())
+    if repeats:
+        full = full.groupBy("id", "body").agg(F.count("*").alias("times"))
+    else:
+        full = full.withColumn("times", F.lit(1).cast("long"))
+    donors = full.select(F.col("id").alias("next"), "body").join(chain, "next").select("id", F.substring("body", F.lit(1), F.floor(F.col("size") / 3).cast("int")).alias("piece"), F.length("body").alias("of"))
+    if repeats:
+        donors = donors.groupBy("id").agg(F.max(F.struct("of", "piece")).alias("d")).select("id", "d.piece")
     n = F.length("body")
     cut = F.floor(n / 3).cast("int")
-    both = full.join(donors, "id", "left").withColumn("n_chars", n.cast("long"))
+    both = full.join(donors.select("id", "piece"), "id", "left").withColumn("n_chars", n.cast("long"))
     both = both.withColumn("edited", F.concat(F.substring("body", F.lit(1), n - cut), F.substring(F.coalesce("piece", F.lit("")), F.lit(1), cut)))
-    both = both.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", fingerprint(F.col("edited")).alias("efp"), F.coalesce("next_fp", F.lit(BLANK)).alias("next_fp"))
-    return both.select(F.col("id").alias(key), "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    both = both.select("id", "n_chars", "times", F.sha2("edited", 256).alias("sha"), "body", "edited", *([F.xxhash64("body").alias("h")] if repeats else []))
+    done = stored(fingerprints(both, ["id", "n_chars", "times", "sha", *(["h"] if repeats else [])], ["body", "edited"]), "fingerprints")
+    of_next = done.filter("id is not null").groupBy("id").agg(F.max(F.struct("n_chars", "a0", "b0")).alias("d")) if repeats else done.filter("id is not null").select("id", F.struct("n_chars", "a0", "b0").alias("d"))
+    after = chain.select("id", "next").join(of_next.select(F.col("id").alias("next"), F.col("d.a0").alias("a2"), F.col("d.b0").alias("b2")), "next").drop("next")
+    out = done.join(after, "id", "left").withColumns({"a2": F.coalesce("a2", F.lit(0)), "b2": F.coalesce("b2", F.lit(0))})
+    if repeats:
+        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return out.select(
+        F.col("id").alias(key),
+        "n_chars",
+        F.col("sha").alias("edited_sha256"),
+        as_text(F.col("a0"), F.col("b0")).alias("fingerprint"),
+        as_text(F.col("a1"), F.col("b1")).alias("edited_fingerprint"),
+        likeness(F.col("a0"), F.col("b0"), F.col("a1"), F.col("b1")).alias("near_edited"),
+        likeness(F.col("a0"), F.col("b0"), F.col("a2"), F.col("b2")).alias("near_next"),
+    )
 
 
 def near_fingerprints(fps: DataFrame, radius: int = 3, key: str = "doc_id", fp: str = "fingerprint", blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
