@@ -113,14 +113,13 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """
     body = F.coalesce(F.col(text), F.lit(""))
     chain = stored(next_keys(docs, key, F.length(body)), "chain")
-    # both joins below read one exchange of these rows
     full = docs.select(F.col(key).alias("id"), body.alias("body"))
     repeats = chain.count() != docs.filter(F.col(key).isNotNull()).count()
     repeats = repeats or bool(docs.filter(F.col(key).isNull()).limit(1).count())
     if repeats:
         full = full.groupBy("id", "body").agg(F.count("*").alias("times"))
-    else:
-        full = full.withColumn("times", F.lit(1).cast("long"))
+    else:  # the same filter for both joins below, so that they read one exchange of these rows
+        full = full.filter("id is not null")
     donors = full.select(F.col("id").alias("next"), "body").join(chain, "next").select("id", F.substring("body", F.lit(1), F.floor(F.col("size") / 3).cast("int")).alias("piece"), F.length("body").alias("of"))
     if repeats:
         donors = donors.groupBy("id").agg(F.max(F.struct("of", "piece")).alias("d")).select("id", "d.piece")
@@ -128,6 +127,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     cut = F.floor(n / 3).cast("int")
     both = full.join(donors.select("id", "piece"), "id", "left").withColumn("n_chars", n.cast("long"))
     both = both.withColumn("edited", F.concat(F.substring("body", F.lit(1), n - cut), F.substring(F.coalesce("piece", F.lit("")), F.lit(1), cut)))
+    both = both if repeats else both.withColumn("times", F.lit(1).cast("long"))
     both = both.select("id", "n_chars", "times", F.sha2("edited", 256).alias("sha"), "body", "edited", *([F.xxhash64("body").alias("h")] if repeats else []))
     done = stored(fingerprints(both, ["id", "n_chars", "times", "sha", *(["h"] if repeats else [])], ["body", "edited"]), "fingerprints")
     of_next = done.filter("id is not null").groupBy("id").agg(F.max(F.struct("n_chars", "a0", "b0")).alias("d")) if repeats else done.filter("id is not null").select("id", F.struct("n_chars", "a0", "b0").alias("d"))
