@@ -5,15 +5,80 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .brown_lm import held_out_scores
+from .chat_format import fit_chat_model, formatted, marked
 from .common import table
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_classes
 from .language_id import held_out_languages
+from .license_scan import licenses
 from .materialise import written_index
 from .mixing import mixed
 from .simhash import edited_fingerprints
+from .url_filter import host, judged
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw transcripts of all conversations (markers in many styles, a quarter of them missing), parsed and rendered."""
+    raw = marked(table(spark, sf_dir, "conversations"))
+    return formatted(raw.drop("role"), fit_chat_model(raw))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence texts and notices in every document."""
+    return licenses(table(spark, sf_dir, "documents"))
+
+
+# Hosts that the list blocks from its first day.
+BLOCKED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com", "adult-x.example.net", "free-bets.example.com", "casino-win.example.org", "ads-track.example.org")
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """A dated list for the hosts of pages, as the table has none: the digest of a host decides whether it is
+    blocked, released and blocked again, or blocked with one path allowed later."""
+    h = pages.select(host(F.col("url")).alias("h")).filter("h is not null").distinct()
+    m = F.conv(F.substring(F.md5(F.col("h")), 1, 2), 16, 10).cast("int")
+    day = lambda n: F.date_add(F.lit("2023-01-01").cast("date"), n)
+    row = lambda e, k, a, n: F.struct(e.alias("entry"), F.lit(k).alias("kind"), F.lit(a).alias("action"), day(n).alias("at"))
+    again = F.array(row(F.col("h"), "host", "block", m), row(F.col("h"), "host", "remove", m + 300), row(F.col("h"), "host", "block", m + 600))
+    part = F.array(row(F.col("h"), "host", "block", m), row(F.concat("h", F.lit("/en")), "path", "allow", m + 150))
+    rule = h.select(F.explode(F.when(m < 48, again).when(m < 80, part)).alias("r")).select("r.*")
+    fixed = pages.sparkSession.createDataFrame([(b,) for b in BLOCKED_HOSTS], "entry string").select("entry", F.lit("host").alias("kind"), F.lit("block").alias("action"), day(0).alias("at"))
+    return rule.union(fixed)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list entries active on its fetch day, which its id gives."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(1000)).cast("int"))
+    return judged(pages.withColumn("fetched_at", day), url_list(pages))
+
+
+OP5_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, DATE '2023-01-01' + CAST((page_id * 7919) % 1000 AS INT) AS fetched_at,
+         rtrim(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.') AS h,
+         rtrim(regexp_replace(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), '/+', '/', 'g'), '/') AS p
+  FROM pages),
+h AS (SELECT DISTINCT h, CAST('0x' || substr(md5(h), 1, 2) AS INT) AS m FROM c WHERE h <> ''),
+l AS (
+  SELECT h AS key, 'host' AS kind, 'block' AS action, DATE '2023-01-01' + m AS day_at FROM h WHERE m < 80
+  UNION ALL SELECT h, 'host', 'remove', DATE '2023-01-01' + m + 300 FROM h WHERE m < 48
+  UNION ALL SELECT h, 'host', 'block', DATE '2023-01-01' + m + 600 FROM h WHERE m < 48
+  UNION ALL SELECT h || '/en', 'path', 'allow', DATE '2023-01-01' + m + 150 FROM h WHERE m >= 48 AND m < 80
+  UNION ALL SELECT unnest([BLOCKED]), 'host', 'block', DATE '2023-01-01'),
+d AS (SELECT kind, key, day_at, max(action) AS action FROM l GROUP BY ALL),
+s AS (SELECT *, lead(day_at) OVER (PARTITION BY kind, key ORDER BY day_at) AS until FROM d),
+j AS (
+  SELECT c.page_id, c.url, c.fetched_at, s.key, s.action, s.day_at AS since,
+         row_number() OVER (PARTITION BY c.page_id, c.url, c.fetched_at ORDER BY (kind = 'path') DESC, length(key) DESC, (action = 'allow') DESC, key DESC) AS k
+  FROM c JOIN s ON s.action <> 'remove' AND s.day_at <= c.fetched_at AND (s.until IS NULL OR c.fetched_at < s.until)
+   AND ((s.kind = 'host' AND (c.h = s.key OR ends_with(c.h, '.' || s.key))) OR (s.kind = 'path' AND (c.h || c.p = s.key OR starts_with(c.h || c.p, s.key || '/')))))
+SELECT c.page_id, c.url, c.fetched_at, coalesce(j.action = 'block', false) AS blocked, j.key AS rule, j.action AS rule_action, j.since AS rule_since
+FROM c LEFT JOIN j ON j.k = 1 AND c.page_id = j.page_id AND c.url = j.url AND c.fetched_at = j.fetched_at
+""".replace("BLOCKED", ", ".join(f"'{b}'" for b in BLOCKED_HOSTS))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +152,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_language_id": op2_language_id,
         "op3_mixing": op3_mixing,
+        "op4_license_scan": op4_license_scan,
+        "op5_url_filter": op5_url_filter,
         "op6_simhash": op6_simhash,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_jaccard_join": op8_jaccard_join,
@@ -98,4 +166,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL}
+    return {"op3_mixing": OP3_SQL, "op5_url_filter": OP5_SQL}

@@ -108,15 +108,18 @@ def buffers(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
 
 
-def iter_words(arr: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[Words]:
-    """The words of every row, in runs of rows of at most SEGMENT bytes; a longer row comes alone."""
+def iter_words(arr: pa.Array | pa.ChunkedArray, lower: bool = True, table: np.ndarray | None = None) -> Iterator[Words]:
+    """The words of every row, in runs of rows of at most SEGMENT bytes; a longer row comes alone.
+
+    table maps bytes before words are found, LOWER unless given."""
+    table = LOWER if table is None else table
     off, data = buffers(arr)
     first, n = 0, len(off) - 1
     while first < n:
         last = int(np.searchsorted(off, off[first] + SEGMENT, side="right")) - 1
         last = min(max(last, first + 1), n)
         raw = data[off[first] : off[last]]
-        low = LOWER[raw] if lower else raw
+        low = table[raw] if lower else raw
         if len(low) <= SEGMENT:
             cuts = off[first : last + 1] - off[first]
             starts, ends = _word_spans(low, cuts)
