@@ -1,14 +1,15 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 Documents are sets of word shingles.  All sets are put in one global order, rare shingles first, where
-"rare" comes from a two-row count sketch over every document (a fixed 2 MB whatever the corpus holds;
-with any counts the order stays global and the join exact).
+"rare" comes from a count sketch over every document (a fixed 8 MB whatever the corpus holds; with any
+counts the order stays global and the join exact).
 
 A set of size s that needs an overlap of at least ``ceil(t * s)`` shares l shingles of its first
 ``s - ceil(t * s) + l`` with every set that it links to.  Each set picks the l from 1 to ``max_match``
 whose estimated cost (postings read, plus candidates left after asking for l matches) is least, and a
 pair becomes a candidate when it shares the smaller of its two l.  Size and position filters apply to
-every shared shingle.
+every shared shingle, and so does a parity bitmap: each shingle flips one of 512 bits of its set, so two
+sets differ in at least as many shingles as their bitmaps differ in bits.
 
 Equal sets are collapsed to one representative before anything is joined.  Candidates come in two steps
 that together lose no link between components:
@@ -32,12 +33,16 @@ from . import textkernel as K
 from .common import broadcast_if, stored
 from .components import components
 
-#: log2 of the counters in each of the two rows of the sketch.
-SKETCH_BITS = 17
+#: log2 of the counters of the sketch.
+SKETCH_BITS = 20
+#: 64-bit words of a set's parity bitmap.
+PARITY_WORDS = 8
 #: Estimated cost of verifying a candidate, in postings read.
 VERIFY_COST = 50.0
 #: Ids that may be broadcast as a filter (8 bytes each).
 BROADCAST_IDS = 500_000
+#: log2 of the bits of the filter that drops shingles which no two documents share.
+SHARED_BITS = 26
 _BLOCK = 4096
 
 
@@ -46,9 +51,14 @@ def _need(num: int, den: int, size):
     return -((-num * size) // den)
 
 
-def _buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rest = np.uint64(64 - SKETCH_BITS)
-    return (h >> rest).astype(np.int64), (K.mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> rest).astype(np.int64)
+def _buckets(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set of hashes."""
+    flips = np.bincount((s & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _sets(arr, n: int):
@@ -60,17 +70,15 @@ def _sets(arr, n: int):
 
 
 def shingle_sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """Counts of distinct shingles a document over all documents, in 2 rows of 2**SKETCH_BITS counters."""
+    """Counts of shingles over all documents, in 2**SKETCH_BITS counters."""
     size = 1 << SKETCH_BITS
 
     def count(batches):
-        table = np.zeros((2, size), dtype=np.int64)
+        flat = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for w in K.iter_words(batch.column(0)):
                 sh, _ = K.shingles(w, n)
-                for row, b in enumerate(_buckets(sh)):
-                    table[row] += np.bincount(b, minlength=size)
-        flat = table.reshape(-1)
+                flat += np.bincount(_buckets(sh), minlength=size)
         used = np.flatnonzero(flat.reshape(-1, _BLOCK).any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([flat[b * _BLOCK : (b + 1) * _BLOCK].astype("<i4" if flat.max(initial=0) < 2**31 else "<i8").tobytes() for b in used], pa.binary())], ["block", "counts"])
 
@@ -82,40 +90,39 @@ def shingle_sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
     partial = docs.select(text).mapInArrow(count, "block int, counts binary")
-    out = np.zeros(2 * size, dtype=np.int64)
+    out = np.zeros(size, dtype=np.int64)
     for r in partial.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():
         out[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(bytes(r.counts), dtype="<i8")
-    return out.reshape(2, size)
+    return out
 
 
 def _signatures(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, max_match: int, sketch: np.ndarray) -> DataFrame:
-    """(id, size, k1, k2, match, prefix) of every document; k1 and k2 name the set."""
+    """(id, size, k1, k2, match, prefix, parity) of every document; k1 and k2 name the set."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     id_type = docs.schema[key].dataType
-    out = T.StructType([T.StructField("id", id_type), T.StructField("size", T.IntegerType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("match", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    out = T.StructType([T.StructField("id", id_type), T.StructField("size", T.IntegerType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("match", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))])
 
     def sign(batches):
         table = shared.value
-        noise = table.mean(axis=1)
+        noise = table.mean()
         for batch in batches:
-            size, k1, k2, match, pre = [], [], [], [], []
+            size, k1, k2, match, pre, parity = [], [], [], [], [], [np.zeros(0, dtype=np.int64)]
             for _, s in _sets(batch.column(1), n):
                 m = len(s)
                 size.append(m)
                 with np.errstate(over="ignore"):
                     k1.append(K.mix(np.array([np.add.reduce(K.mix(s)) + np.uint64(m)]))[0])
                     k2.append(K.mix(np.array([np.add.reduce(K.mix(s ^ np.uint64(0xABC98388FB8FAC03))) ^ np.uint64(m)]))[0])
+                parity.append(_parity(s))
                 if not m:
                     match.append(0)
                     pre.append(np.zeros(0, dtype=np.int64))
                     continue
-                b0, b1 = _buckets(s)
-                seen = np.minimum(table[0][b0], table[1][b1])
+                seen = table[_buckets(s)]
                 order = np.lexsort((s, seen))
                 base = m - _need(num, den, m)
                 most = min(max_match, m - base)
-                excess = np.minimum(table[0][b0] - noise[0], table[1][b1] - noise[1])[order]
-                rare = np.cumsum(np.maximum(excess[: base + most], 0.0))
+                rare = np.cumsum(np.maximum(seen[order[: base + most]] - noise, 0.0))
                 cost = [rare[base + k - 1] * (1 + VERIFY_COST / k) + base + k for k in range(1, most + 1)]
                 pick = int(np.argmin(cost)) + 1
                 match.append(pick)
@@ -123,13 +130,48 @@ def _signatures(docs: DataFrame, key: str, text: str, n: int, num: int, den: int
             off = np.concatenate([[0], np.cumsum([len(p) for p in pre])]).astype(np.int32)
             flat = np.concatenate(pre) if pre else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int32()), pa.array(np.array(k1, dtype=np.uint64).view(np.int64)), pa.array(np.array(k2, dtype=np.uint64).view(np.int64)), pa.array(match, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
-                ["id", "size", "k1", "k2", "match", "prefix"],
+                [batch.column(0), pa.array(size, pa.int32()), pa.array(np.array(k1, dtype=np.uint64).view(np.int64)), pa.array(np.array(k2, dtype=np.uint64).view(np.int64)), pa.array(match, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(np.concatenate(parity)))],
+                out.names,
             )
 
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(sign, out)
 
 
+def _bitmap(tokens: DataFrame) -> np.ndarray:
+    """A filter of 2**SHARED_BITS bits that every given token passes."""
+    place = F.col("token").bitwiseAND(F.lit((1 << SHARED_BITS) - 1))
+    words = tokens.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (SHARED_BITS - 6), dtype=np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def _shared_prefixes(signed: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(id, k1, k2, size, match, pos, token) with the prefix shingles that pass the bitmap, of sets with any."""
+    shared = signed.sparkSession.sparkContext.broadcast(bitmap)
+    ids = signed.schema["id"]
+    longs = T.ArrayType(T.LongType())
+    out = T.StructType([ids, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("match", T.IntegerType()), T.StructField("pos", T.ArrayType(T.IntegerType())), T.StructField("token", longs)])
+
+    def keep(batches):
+        bits = shared.value
+        for batch in batches:
+            lists = batch.column(5)
+            flat, off = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            off = off - off[0]
+            at = flat & ((1 << SHARED_BITS) - 1)
+            ok = (bits[at >> 6] >> (at & 63)) & 1 == 1
+            row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            n = np.bincount(row[ok], minlength=len(off) - 1)
+            some = np.flatnonzero(n)
+            bounds = pa.array(np.concatenate([[0], np.cumsum(n[some])]).astype(np.int32))
+            pos = (np.arange(len(flat)) - np.repeat(off[:-1], np.diff(off)) + 1)[ok].astype(np.int32)
+            part = batch.take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.ListArray.from_arrays(bounds, pa.array(pos)), pa.ListArray.from_arrays(bounds, pa.array(flat[ok]))], out.names)
+
+    return signed.filter("size > 0 and id is not null").select("id", "k1", "k2", "size", "match", "prefix").mapInArrow(keep, out)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
     """(a, b, linked) of every candidate pair, from the whole texts."""
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
@@ -162,14 +204,11 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         raise ValueError("the similarity must be in (0, 1]")
     sketch = shingle_sketch(docs, text, n)
     signed = stored(_signatures(docs, key, text, n, num, den, max_match, sketch), "signatures")
-    sets = (
-        signed.filter("size > 0 and id is not null")
-        .groupBy("k1", "k2")
-        .agg(F.min("id").alias("rep"), F.count("*").alias("n_class"), F.first("size").alias("size"), F.first("match").alias("match"), F.first("prefix").alias("prefix"))
-    )
-    sets = stored(sets, "sets")
-    rows = sets.select("rep", "size", "match", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
-    # a posting list with one member makes no pair
+    sets = stored(signed.filter("size > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n_class")), "sets")
+    shared = signed.select(F.explode("prefix").alias("token")).groupBy("token").count().filter("count > 1").select("token")
+    # a posting list with one member makes no pair, so only prefixes' shared shingles move on
+    kept = _shared_prefixes(signed, _bitmap(shared)).join(sets.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"])
+    rows = stored(kept.select(F.col("id").alias("rep"), "size", "match", F.explode(F.arrays_zip("pos", "token")).alias("p")).select("rep", "size", "match", "p.pos", "p.token"), "rows")
     hubs = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("pos", "rep", "size", "match")).alias("hub")).filter("n > 1").select("token", "hub")
     posts = stored(rows.join(hubs, "token"), "postings")
 
@@ -178,7 +217,21 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         need = f"ceil({num} * ({p}.size + {q}.size) / {num + den})"
         return F.expr(f"least({p}.pos, {q}.pos) + least({p}.size - {p}.pos, {q}.size - {q}.pos) >= {need} and {den} * {p}.size >= {num} * {q}.size and {den} * {q}.size >= {num} * {p}.size")
 
+    def alike(p: str, q: str):
+        """Parity filter: bits that differ can't be more than shingles that may."""
+        differ = " + ".join(f"bit_count({p}[{i}] ^ {q}[{i}])" for i in range(PARITY_WORDS))
+        return differ
+
+    maps = signed.join(sets.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"]).select(F.col("id").alias("rep"), "size", "parity").dropDuplicates(["rep"])
+    maps = stored(maps.join(posts.select("rep").distinct(), "rep", "left_semi"), "parity")
+
+    def mapped(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that pass the parity filter."""
+        both = pairs.join(maps.toDF("a", "sa", "pa"), "a").join(maps.toDF("b", "sb", "pb"), "b")
+        return both.filter(F.expr(f"{alike('pa', 'pb')} <= sa + sb - 2 * ceil({num} * (sa + sb) / {num + den})")).select("a", "b")
+
     star = posts.alias("p").filter(F.expr("rep <> hub.rep") & near("p", "hub")).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+    star = stored(mapped(star), "pairs")
     tried = stored(_verified(star, docs, key, text, n, num, den).groupBy("a", "b").agg(F.max("linked").alias("linked")), "star")
     comps = stored(components(tried.filter("linked"), "a", "b"), "components")
 
@@ -188,11 +241,13 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     open_posts = placed(posts.select("token", "rep", "pos", "size", "match", F.col("hub.rep").alias("hub_rep")), "rep", "comp")
     open_posts = placed(open_posts, "hub_rep", "hub_comp")
     # lists whose members are all in one component are done
-    outside = stored(open_posts.filter("comp <> hub_comp").select("token", "rep", "pos", "size", "match", "comp", "hub_comp"), "outside")
-    left = open_posts.join(outside.select("token").distinct(), "token", "left_semi").select("token", "rep", "pos", "size", "match", "comp", "hub_comp")
+    columns = ["token", "rep", "pos", "size", "match", "comp", "hub_comp"]
+    outside = stored(open_posts.filter("comp <> hub_comp").select(*columns), "outside")
+    left = open_posts.join(outside.select("token").distinct(), "token", "left_semi").select(*columns)
+    outside, left = (x.join(maps.select("rep", "parity"), "rep") for x in (outside, left))
     pairs = (
         outside.alias("x")
-        .join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr("x.comp <> y.comp and (y.comp = y.hub_comp or x.rep < y.rep)") & near("x", "y"))
+        .join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr("x.comp <> y.comp and (y.comp = y.hub_comp or x.rep < y.rep)") & near("x", "y") & F.expr(f"{alike('x.parity', 'y.parity')} <= x.size + y.size - 2 * ceil({num} * (x.size + y.size) / {num + den})"))
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.least("x.match", "y.match").alias("m"))
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.min("m").alias("m"))
@@ -210,3 +265,20 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"),
         F.coalesce("n_class", F.lit(1)).alias("n_class"),
     )
+
+
+def one_of_each_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of docs, with all their columns, without near duplicates: of each component of
+    jaccard_classes() the row with the smallest key stays.
+
+    Of rows that repeat that key one stays.  Rows with a null key can't be told apart and all stay.
+    """
+    classes = stored(jaccard_classes(docs, key, text, **how).select(F.col(key).alias("__id"), "component_id"), "classes")
+    n, distinct = classes.agg(F.count("__id"), F.count_distinct("__id")).first()
+    keep = classes.filter("__id = component_id").select("__id").distinct()
+    kept = docs.join(keep, docs[key] == keep["__id"], "left_semi")
+    if n != distinct:
+        kept = kept.dropDuplicates([key])
+    if classes.filter("__id is null").limit(1).count():
+        kept = kept.unionByName(docs.filter(F.col(key).isNull()))
+    return kept.select(*docs.columns)

@@ -41,8 +41,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Blanks that the pattern knows beside the ASCII ones, in UTF-8.
 _OTHER_BLANKS = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_CACHE = 200_000
-_loaded: dict[str, tuple[tiktoken.Encoding, dict[int, np.ndarray]]] = {}
+_loaded: dict[str, tuple[tiktoken.Encoding, np.ndarray]] = {}
 
 
 @dataclass(frozen=True)
@@ -63,69 +62,130 @@ class Layout:
         return self.seq_len * np.dtype(self.dtype).itemsize
 
 
-def _tokenizer(layout: Layout) -> tuple[tiktoken.Encoding, dict[int, np.ndarray]]:
+def _tokenizer(layout: Layout) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """The encoding, loaded once a process, and the bytes of every token."""
     if layout.vocabulary not in _loaded:
         with open(layout.vocabulary, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _loaded[layout.vocabulary] = tiktoken.Encoding("words", pat_str=layout.pattern, mergeable_ranks=ranks, special_tokens={}), {}
+        lengths = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)
+        lengths[list(ranks.values())] = [len(token) for token in ranks]
+        _loaded[layout.vocabulary] = tiktoken.Encoding("words", pat_str=layout.pattern, mergeable_ranks=ranks, special_tokens={}), lengths
     return _loaded[layout.vocabulary]
 
 
-def encoded(arr, layout: Layout):
-    """(first row, token offsets, tokens) of runs of rows; every row ends with the end token."""
-    enc, cache = _tokenizer(layout)
-    end = np.array([layout.end_token], dtype=np.int32)
+def _units(w: K.Words, rows_at: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop, name) of the units of the rows in plain, in order: a word with the blanks before it,
+    or the blanks that close a row.  Equal names mean equal bytes."""
+    raw, n = w.low, len(w)
+    counts = np.diff(w.off)
+    row = np.repeat(np.arange(n), counts)
+    begin = np.empty(len(w.starts), dtype=np.int64)
+    if len(begin):
+        begin[1:] = w.ends[:-1]
+        begin[w.off[:-1][counts > 0]] = rows_at[:-1][counts > 0]
+    # a word is named by its hash and the blanks before it: nearly always one
+    run = w.starts - begin
+    with np.errstate(over="ignore"):
+        name = w.h + np.where(run == 1, raw[begin], 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if len(begin) else w.h
+        many = np.flatnonzero(run > 1)
+        if len(many):
+            name[many] = K.mix(w.h[many] + _span_hashes(raw, begin[many], w.starts[many]))
+    start, stop = begin, w.ends
+    tail_from = rows_at[:-1].copy()
+    tail_from[counts > 0] = w.ends[w.off[1:][counts > 0] - 1]
+    tail = np.flatnonzero(rows_at[1:] > tail_from)
+    if len(tail):
+        row = np.concatenate([row, tail])
+        start, stop = np.concatenate([start, tail_from[tail]]), np.concatenate([stop, rows_at[1:][tail]])
+        name = np.concatenate([name, K.mix(~_span_hashes(raw, tail_from[tail], rows_at[1:][tail]))])
+        order = np.lexsort((start, row))
+        row, start, stop, name = row[order], start[order], stop[order], name[order]
+    if not plain.all():
+        ok = plain[row]
+        row, start, stop, name = row[ok], start[ok], stop[ok], name[ok]
+    return row, start, stop, name
+
+
+def encoded(arr, layout: Layout, count_only: bool = False):
+    """(first row, token offsets, tokens) of runs of rows; every row ends with the end token.  With count_only
+    the tokens are left out."""
+    enc, lengths = _tokenizer(layout)
+    off, _ = K.buffers(arr)
     for w in K.iter_words(arr, lower=False):
         n, raw = len(w), w.low
-        rows_at = _row_bounds(w, arr, n)
-        # units: a word with the blanks before it, and the blanks that close a row
-        counts = np.diff(w.off)
-        tail_from = np.where(counts > 0, w.ends[np.maximum(w.off[1:] - 1, 0)] if len(w.ends) else 0, rows_at[:-1])
-        tail = rows_at[1:] > tail_from
-        begin = np.empty(len(w.starts), dtype=np.int64)
-        if len(begin):
-            begin[1:] = w.ends[:-1]
-            heads = w.off[:-1][counts > 0]
-            begin[heads] = rows_at[:-1][counts > 0]
-        row = np.concatenate([np.repeat(np.arange(n), counts), np.flatnonzero(tail)])
-        start = np.concatenate([begin, tail_from[tail]]).astype(np.int64)
-        stop = np.concatenate([w.ends, rows_at[1:][tail]]).astype(np.int64)
-        order = np.lexsort((start, row))
-        row, start, stop = row[order], start[order], stop[order]
-        odd = set()
+        rows_at = off[w.first : w.first + n + 1] - off[w.first]
+        plain = np.ones(n, dtype=bool)
         if _OTHER_BLANKS.search(raw):
-            odd = {i for i in range(n) if _OTHER_BLANKS.search(raw[rows_at[i] : rows_at[i + 1]])}
-        # equal words after one blank are the bulk: name a unit by its bytes
-        h = np.concatenate([_span_hashes(raw, start, stop)]) if len(start) else np.zeros(0, dtype=np.uint64)
-        names, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        ids: list[np.ndarray] = []
-        if len(cache) > _CACHE:
-            cache.clear()
-        for name, k in zip(names.tolist(), first.tolist(), strict=True):
-            got = cache.get(name)
-            if got is None:
-                got = np.array(enc.encode_ordinary(raw[start[k] : stop[k]].tobytes().decode("utf-8", "replace")), dtype=np.int32)
-                cache[name] = got
-            ids.append(got)
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-        base = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else np.zeros(0, dtype=np.int64)
-        each = sizes[inverse] if len(sizes) else np.zeros(0, dtype=np.int64)
-        per_row = np.bincount(row, weights=each, minlength=n).astype(np.int64) if len(row) else np.zeros(n, dtype=np.int64)
+            plain[:] = [_OTHER_BLANKS.search(raw[rows_at[i] : rows_at[i + 1]]) is None for i in range(n)]
+        row, start, stop, name = _units(w, rows_at, plain)
+        # distinct units, encoded in one string
+        _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
+        base, sizes, flat = _encoded_units(enc, lengths, raw, start[first], stop[first])
+        each = sizes[inverse]
+        per_row = np.bincount(row, weights=each, minlength=n).astype(np.int64)
+        whole = {i: np.array(_encode_text(enc, raw[rows_at[i] : rows_at[i + 1]].tobytes().decode("utf-8")), dtype=np.int32) for i in np.flatnonzero(~plain)}
+        for i, own in whole.items():
+            per_row[i] = len(own)
+        bounds = np.concatenate([[0], np.cumsum(per_row + 1)])
+        if count_only:
+            yield w.first, bounds, None
+            continue
+        tokens = np.full(bounds[-1], layout.end_token, dtype=np.int32)
         place = np.concatenate([[0], np.cumsum(each)])
-        tokens = flat[np.repeat(base[inverse] - place[:-1], each) + np.arange(place[-1])] if len(each) else np.zeros(0, dtype=np.int32)
-        bounds = np.concatenate([[0], np.cumsum(per_row)])
-        if odd:
-            parts = [np.array(enc.encode_ordinary(raw[rows_at[i] : rows_at[i + 1]].tobytes().decode("utf-8", "replace")), dtype=np.int32) if i in odd else tokens[bounds[i] : bounds[i + 1]] for i in range(n)]
-            per_row = np.array([len(p) for p in parts], dtype=np.int64)
-            tokens = np.concatenate(parts) if parts else tokens
-            bounds = np.concatenate([[0], np.cumsum(per_row)])
-        yield w.first, bounds + np.arange(n + 1), np.insert(tokens, bounds[1:], end[0])
+        # the tokens of plain rows, each row shifted by the end tokens and whole rows before it
+        shift = bounds[:-1] - np.concatenate([[0], np.cumsum(np.where(plain, per_row, 0))[:-1]])
+        at = np.arange(place[-1])
+        tokens[at + np.repeat(shift[row], each)] = flat[np.repeat(base[inverse] - place[:-1], each) + at]
+        for i, own in whole.items():
+            tokens[bounds[i] : bounds[i] + len(own)] = own
+        yield w.first, bounds, tokens
 
 
-def _row_bounds(w: K.Words, arr, n: int) -> np.ndarray:
-    off, _ = K.buffers(arr)
-    return off[w.first : w.first + n + 1] - off[w.first]
+#: Runs of blanks from here on are cut out before the pattern is matched, which would recurse on them.
+_LONG = 4096
+_LONG_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{_LONG},}}")
+
+
+def _encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """Tokens of a text.  A long run of blanks is one piece of the pattern, all of it at the end of the
+    text and all but its last blank elsewhere."""
+    out, at = [], 0
+    for m in _LONG_RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[at : m.start()]) + enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
+def _encoded_units(enc: tiktoken.Encoding, lengths: np.ndarray, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, number of tokens) of every span, and the tokens.
+
+    Spans that end in a word are joined and encoded together: a word ends a token, and so does the line feed
+    put before those that don't begin with a blank.  Bytes tell where each span's tokens are.
+    """
+    n = len(start)
+    base, sizes = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    blank_first, blank_last = K.WHITESPACE[raw[start]], K.WHITESPACE[raw[stop - 1]]
+    alone = blank_last | (stop - start > _LONG)
+    together = np.flatnonzero(~alone)
+    bare = ~blank_first[together]
+    size = stop[together] - start[together]
+    ends = np.cumsum(size + bare)
+    begins = ends - size
+    joined = np.full(ends[-1] if len(ends) else 0, 10, dtype=np.uint8)
+    before, at = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size, np.arange(size.sum())
+    joined[at + np.repeat(begins - before, size)] = raw[at + np.repeat(start[together] - before, size)]
+    flat = np.array(enc.encode_ordinary(joined.tobytes().decode("utf-8")), dtype=np.int32)
+    upto = np.concatenate([[0], np.cumsum(lengths[flat])])
+    base[together] = np.searchsorted(upto, begins)
+    sizes[together] = np.searchsorted(upto, ends) - base[together]
+    parts, n_flat = [flat], len(flat)
+    for k in np.flatnonzero(alone):  # the blanks that close a row, and long units
+        own = _encode_text(enc, raw[start[k] : stop[k]].tobytes().decode("utf-8"))
+        base[k], sizes[k] = n_flat, len(own)
+        n_flat += len(own)
+        parts.append(np.array(own, dtype=np.int32))
+    return base, sizes, np.concatenate(parts)
 
 
 def _span_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -240,7 +300,7 @@ def materialised(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
     def count(batches):
         tokens = 0
         for batch in batches:
-            for _, bounds, _ in encoded(batch.column(0), layout):
+            for _, bounds, _ in encoded(batch.column(0), layout, count_only=True):
                 tokens += int(bounds[-1])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([tokens])], ["part", "tokens"])
 
