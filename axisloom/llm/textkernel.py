@@ -174,7 +174,7 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         return out, w.off
     left = np.repeat(w.off[1:], counts) - np.arange(total)  # words from here to the row's end
     with np.errstate(over="ignore"):
-        for j in range(n):
+        for j in range(min(n, total)):
             mult = np.uint64((0xA24BAED4963EE407 + 2 * j * 0x9FB21C651E98DF25) & _M64 | 1)
             part = mix(w.h[j:] + mult) * mult
             out[: total - j] += np.where(left[: total - j] > j, part, np.uint64(0))
@@ -193,7 +193,7 @@ def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         return out, np.zeros(0, dtype=bool)
     ok = np.repeat(w.off[1:], np.diff(w.off)) - np.arange(total) >= n
     with np.errstate(over="ignore"):
-        for j in range(n):
+        for j in range(min(n, total)):
             mult = np.uint64((0xA24BAED4963EE407 + 2 * j * 0x9FB21C651E98DF25) & _M64 | 1)
             out[: total - j] += mix(w.h[j:] + mult) * mult
         return mix(out + np.uint64(n) * np.uint64(0xC2B2AE3D27D4EB4F)), ok
