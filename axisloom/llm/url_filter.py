@@ -17,9 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Path segments of a URL that can be list entries.
-MAX_SEGMENTS = 8
-
 
 def host(url: Column) -> Column:
     """Host of an http(s) URL, lower-cased, without user, port and a final dot; NULL if there is none."""
@@ -34,13 +31,13 @@ def path(url: Column) -> Column:
     return F.when(p == "", F.lit("/")).otherwise(p)
 
 
-def keys(h: Column, p: Column) -> Column:
+def keys(h: Column, p: Column, depth: int) -> Column:
     """All list entries that a URL can match, as structs (kind, key): its host suffixes, and its host with
-    every path prefix that ends at a slash or at the path's end (up to MAX_SEGMENTS segments)."""
+    every path prefix that ends at a slash or at the path's end, of at most depth segments."""
     labels = F.split(h, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("host").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
     parts = F.filter(F.split(p, "/"), lambda s: s != "")
-    upto = F.least(F.size(parts), F.lit(MAX_SEGMENTS))
+    upto = F.least(F.size(parts), F.lit(depth))
     prefixes = F.transform(
         F.when(upto > 0, F.sequence(F.lit(1), F.greatest(upto, F.lit(1)))).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(F.lit("path").alias("kind"), F.concat(h, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("key")),
@@ -70,9 +67,11 @@ def judged(captures: DataFrame, log: DataFrame, key: str = "page_id", url: str =
     URL and time) each get the same judgement.  Empty tables give an empty result or no matches.
     """
     spans = intervals(log)
+    # no prefix longer than the list's deepest path can match
+    depth = spans.filter("kind = 'path'").agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
     rows = captures.select(F.col(key).alias("id"), F.col(url).alias("u"), F.col(fetched).alias("f"))
     at = rows.filter("u is not null and f is not null").select("id", "u", "f", host(F.col("u")).alias("h"), path(F.col("u")).alias("p")).filter("h is not null")
-    asked = at.select("id", "u", "f", F.explode(keys(F.col("h"), F.col("p"))).alias("k")).select("id", "u", "f", "k.kind", "k.key")
+    asked = at.select("id", "u", "f", F.explode(keys(F.col("h"), F.col("p"), depth)).alias("k")).select("id", "u", "f", "k.kind", "k.key")
     hit = asked.join(spans, ["kind", "key"]).filter((F.col("since") <= F.col("f")) & (F.col("until").isNull() | (F.col("f") < F.col("until"))))
     rank = F.struct((F.col("kind") == "path").cast("int").alias("path"), F.length("key").alias("size"), (F.col("action") == "allow").cast("int").alias("allow"), "key", "action", "since")
     best = hit.groupBy("id", "u", "f").agg(F.max(rank).alias("best"))
