@@ -1,11 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The n-word windows of the benchmark items are the seeds.  One pass counts every seed over the whole
-corpus; a seed stays when its count is at most ``rare_factor`` times the median count of its item's seeds
-(plus a constant), so stock phrases go while the seeds of an item that leaked into a third of all
-documents stay.  A second pass looks the remaining seeds up in every document, clusters the hits of an
-item by diagonal, and aligns the words around a cluster with the item.  Nothing is shuffled but seed
-counts; a document is aligned in the task that read it.
+corpus.  A second pass looks the seeds up in every document, clusters the hits of an item by diagonal, and
+aligns the words around a cluster with the item, the clusters with the rarest seeds first.  No seed is
+dropped for its count: a cluster is left out only when the words it shares with the item can't reach the
+score asked for, or that of an alignment already found.  Nothing is shuffled but seed counts; a document
+is aligned in the task that read it.
 
 The benchmark goes to the executors in blocks of at most ``block_words`` words (a few MB), so its size
 is bounded whatever the benchmark holds; a larger benchmark takes more blocks, each with its own passes.
@@ -13,7 +13,7 @@ is bounded whatever the benchmark holds; a larger benchmark takes more blocks, e
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,6 @@ class Rule:
     n: int = 3
     #: Items of fewer words give no evidence and are not searched.
     min_words: int = 5
-    rare_factor: float = 4.0
-    rare_plus: int = 10
     #: Distinct seeds that a cluster must hold (one for items with fewer than 6 seeds).
     min_seeds: int = 2
     #: Alignment score over that of the whole item, from which a document counts as contaminated.
@@ -52,6 +50,7 @@ class Items:
     start: np.ndarray  # seeds[i] is at places start[i]:start[i + 1] of item and place
     item: np.ndarray
     place: np.ndarray
+    count: np.ndarray  # of each seed, over all documents
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash in seeds, -1 where it is none."""
@@ -79,7 +78,7 @@ def _items(ids: list, texts: list[str], n: int, min_words: int) -> Items:
     seeds, inverse = np.unique(flat, return_inverse=True)
     order = np.argsort(inverse, kind="stable")
     cat = lambda x: np.concatenate(x)[order].astype(np.int32) if x else np.zeros(0, dtype=np.int32)
-    return Items(kept, words, seeds, np.searchsorted(inverse[order], np.arange(len(seeds) + 1)), cat(item), cat(place))
+    return Items(kept, words, seeds, np.searchsorted(inverse[order], np.arange(len(seeds) + 1)), cat(item), cat(place), np.zeros(len(seeds), dtype=np.int64))
 
 
 def _filter(seeds: np.ndarray) -> np.ndarray:
@@ -96,8 +95,8 @@ def _hits(items: Items, bits: np.ndarray, h: np.ndarray, ok: np.ndarray) -> tupl
     return at[found >= 0], found[found >= 0]
 
 
-def _rare(docs: DataFrame, text: str, items: Items, rule: Rule) -> Items:
-    """items with the seeds that are rare for their item, by their counts over all documents."""
+def _counted(docs: DataFrame, text: str, items: Items, rule: Rule) -> Items:
+    """items with the counts of their seeds over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast((items, _filter(items.seeds)))
 
     def count(batches):
@@ -113,17 +112,7 @@ def _rare(docs: DataFrame, text: str, items: Items, rule: Rule) -> Items:
     counts = np.zeros(len(items.seeds), dtype=np.int64)
     for r in docs.select(text).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.seed] = r.n
-    owner = np.repeat(np.arange(len(items.seeds)), np.diff(items.start))
-    keep = np.zeros(len(owner), dtype=bool)
-    by_item = np.argsort(items.item, kind="stable")
-    bounds = np.searchsorted(items.item[by_item], np.arange(len(items.ids) + 1))
-    for k in range(len(items.ids)):
-        own = by_item[bounds[k] : bounds[k + 1]]
-        c = counts[owner[own]]
-        keep[own] = c <= rule.rare_factor * np.median(c) + rule.rare_plus
-    owner, item, place = owner[keep], items.item[keep], items.place[keep]
-    used, again = np.unique(owner, return_inverse=True)
-    return Items(items.ids, items.words, items.seeds[used], np.searchsorted(again, np.arange(len(used) + 1)), item, place)
+    return replace(items, count=counts)
 
 
 def smith_waterman(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
@@ -163,15 +152,20 @@ def align_row(h: np.ndarray, hits: tuple[np.ndarray, np.ndarray], items: Items,
         own = item == k
         y = items.words[k]
         pad = max(3, len(y) // 5)
-        best = None
-        for c in _clusters((place - where)[own], max(2, len(y) // 2)):
+        least, best = rule.min_score * MATCH * len(y), None
+        clusters = _clusters((place - where)[own], max(2, len(y) // 2))
+        for c in sorted(clusters, key=lambda c: items.count[seed[own][c]].min()):
             n_seeds = len(np.unique(seed[own][c]))
             if n_seeds < (rule.min_seeds if seeds_of[k] >= 6 else 1):
                 continue
             diag = (place - where)[own][c]
             lo, hi = max(0, int(diag.min()) - pad), min(len(h), int(diag.max()) + len(y) + pad)
+            # no alignment scores more than its matches, at most one for each word of either side
+            most = MATCH * min(np.count_nonzero(np.isin(h[lo:hi], y)), np.count_nonzero(np.isin(y, h[lo:hi])))
+            if most < least or (best and most < best[0]):
+                continue
             score, end, end_y = smith_waterman(h[lo:hi], y)
-            if score >= rule.min_score * MATCH * len(y) and (best is None or score > best[0]):
+            if score >= least and (best is None or (-score, lo + end) < (-best[0], best[2])):
                 _, back, _ = smith_waterman(h[lo : lo + end][::-1], y[:end_y][::-1])
                 best = (score, lo + end - back, lo + end, n_seeds)
         if best:
@@ -209,7 +203,7 @@ def _blocks(bench: DataFrame, key: str, text: str, rule: Rule) -> list[Items]:
 def _prepared(docs: DataFrame, text: str, bench: DataFrame, bench_key: str, bench_text: str, rule: Rule):
     sc = docs.sparkSession.sparkContext
     for block in _blocks(bench, bench_key, bench_text, rule):
-        items = _rare(docs, text, block, rule)
+        items = _counted(docs, text, block, rule)
         yield sc.broadcast((items, _filter(items.seeds), np.bincount(items.item, minlength=len(items.ids))))
 
 

@@ -84,3 +84,19 @@ def test_contaminated(spark):
     assert sorted(r.doc_id for r in decontaminated(df, bench).collect()) == [3, 4, 5, 6]
     assert contaminated(df, bench.limit(0)).collect() == []
     assert contaminated(df.limit(0), bench).collect() == []
+
+
+def test_contaminated_repeated_edits(spark):
+    one, two = [f"w{i}" for i in range(40)], [f"v{i}" for i in range(40)]
+    edited = [w if i % 4 else f"x{i}" for i, w in enumerate(one)]
+    filler = [f"f{i}" for i in range(60)]
+    texts = [filler + edited + filler] * 12 + [filler + two[:20]] * 15 + [two[5:9] + filler] * 30 + [filler + one[5:8] + filler + edited]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(one)), (8, " ".join(two))], "item_id long, text string")
+    number = {w: i for i, w in enumerate(one + two + edited + filler)}
+    code = lambda ws: np.array([number[w] for w in ws])
+    brute = {(k, i): brute_alignment(code(t), code(y)) / 80 for k, t in enumerate(texts) for i, y in ((7, one), (8, two))}
+    found = contaminated(df, bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == {k: x for k, x in brute.items() if x >= 0.4}
+    assert len(found) == 28
+    assert sorted(r.doc_id for r in decontaminated(df, bench).collect()) == list(range(27, 57))
