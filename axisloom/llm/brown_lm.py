@@ -4,12 +4,16 @@ A word is predicted in two steps: its class from the class of the word before, a
 class.  Classes come from the exchange algorithm: starting from an assignment by frequency, each word in
 turn moves to the class that raises the likelihood of the training bigrams most, until no word moves.
 
-Scale.  The most frequent ``cluster_words`` words are exchanged one by one, from a dense table of their
-bigram counts (a fixed size).  All other words, known or not, stand for one of eight shapes (ends in
-punctuation, has a digit, has a byte above 127); the shapes take part in the exchange like words.  Counts of
-words and bigrams cover the whole training text.  Exact counts of the ``dictionary_words`` most frequent
-words go to the executors as a table of fixed size; the long tail beyond is joined by word, where no key
-is frequent.
+Scale.  Every word seen at least twice has a class of its own; the number of classes grows with theirs.
+The most frequent ``cluster_words`` words are exchanged one by one on the driver, from a dense table of their
+bigram counts, until none moves; in it all other words stand for one of eight shapes (ends in punctuation,
+has a digit, has a byte above 127), those seen once apart from the others.  The other words seen at least twice then
+move in rounds on the executors, from sparse counts of each word by the class before and after it, where the classes of
+the first step are fixed (so a neighbour that isn't among the ``cluster_words`` counts as its shape).  A
+round moves each word to its best class under the model of the round before; rounds end when
+their likelihood rises by less than ``least_rise`` of itself.  Words seen once stay with their shape: they
+are what is known of unknown words.  The classes of all words seen twice go to the executors
+(18 bytes a word, so this grows with the vocabulary); words seen once are joined by word.
 
 Smoothing.  Class transitions back off to the class frequencies with a Dirichlet prior.  Words of a
 shape share its mass by absolute discounting; what the discount frees is the probability of a word never
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import crc_mod, stored
+from .common import crc_mod, drop_stored, stored
 
 SHAPES = 8
 _PUNCT = np.zeros(256, dtype=bool)
@@ -45,9 +49,10 @@ class Settings:
     """Bounds of what is kept in memory, and of the fit."""
 
     cluster_words: int = 1024
+    #: The number of classes is the vocabulary to the power of class_growth, this at least.
     classes: int = 48
-    exchange_rounds: int = 8
-    dictionary_words: int = 262_144
+    class_growth: float = 0.3
+    least_rise: float = 1e-4
     prior: float = 20.0
 
 
@@ -60,6 +65,13 @@ def _shapes(w: K.Words) -> np.ndarray:
     return _PUNCT[w.low[w.ends - 1]] + 2 * (digit[w.ends] > digit[w.starts]) + 4 * (high[w.ends] > high[w.starts]).astype(np.int64)
 
 
+def _spread(mask: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x where mask is set, 0 elsewhere."""
+    out = np.zeros(len(mask))
+    out[mask] = x
+    return out
+
+
 def _find(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Place of each hash in the sorted table, -1 where it isn't there."""
     if not len(table):
@@ -102,15 +114,14 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class BrownModel:
-    """A fitted model; places 0 to k - 1 are exchanged words, k the end token, k + 1 to k + 8 the shapes."""
+    """A fitted model; places 0 to k - 1 are the words seen at least twice, k the end token, k + 1 to k + 8 the shapes."""
 
-    words: np.ndarray  # sorted hashes of the exchanged words
+    words: np.ndarray  # sorted hashes of the words seen at least twice
+    words_n: np.ndarray  # their counts
     class_of: np.ndarray  # class of each place
     log_next: np.ndarray  # log10 P(class | class before)
     log_place: np.ndarray  # log10 P(place | its class)
-    dictionary: np.ndarray  # sorted hashes of the words with counts at hand
-    dictionary_n: np.ndarray
-    shape_n: np.ndarray  # tokens and types of each shape beyond the exchanged words
+    shape_n: np.ndarray  # tokens and types of each shape among the words seen once
     shape_types: np.ndarray
     discount: float
     train_tokens: int
@@ -120,13 +131,6 @@ class BrownModel:
     def log_base(self, c):
         return np.log10((c + 1.0) / (self.train_tokens + 1.0 * (self.vocabulary + 1)))
 
-    def log_in_shape(self, shape: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 P(word | shape) for a word beyond the exchanged ones, of training count c (0: unknown)."""
-        n, types = self.shape_n[shape], self.shape_types[shape]
-        seen = np.where(c > 0, np.maximum(c - self.discount, 1e-12) / np.maximum(n, 1), 0)
-        unseen = np.where(n > 0, self.discount * types / np.maximum(n, 1), 1.0)
-        return np.log10(np.where(c > 0, seen, unseen))
-
     def places(self, w: K.Words, shapes: np.ndarray) -> np.ndarray:
         at = _find(self.words, w.h)
         return np.where(at >= 0, at, len(self.words) + 1 + shapes)
@@ -141,9 +145,9 @@ def _with_ends(place: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray
     return seq, before
 
 
-def exchange(bigrams: np.ndarray, start: np.ndarray, classes: int, rounds: int) -> np.ndarray:
+def exchange(bigrams: np.ndarray, start: np.ndarray, classes: int) -> np.ndarray:
     """Class of each place: each place moves to the class that raises the sum of N(c, d) log N(c, d)
-    - N(c) log N(c) - N(d) log N(d) most, in order of frequency, until none moves or the rounds are over."""
+    - N(c) log N(c) - N(d) log N(d) most, in order of frequency, until none moves."""
     cls = start.copy()
     v = len(cls)
     left, right = bigrams.sum(axis=1), bigrams.sum(axis=0)
@@ -157,7 +161,11 @@ def exchange(bigrams: np.ndarray, start: np.ndarray, classes: int, rounds: int)
     def xlogx(x):
         return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
-    for _ in range(rounds):
+    base = xlogx(table)
+    # what counts as a rise: more than rounding may feign, so that no place moves in circles
+    least = 1e-9 + 1e-12 * float(xlogx(bigrams.sum()))
+    moved = 1
+    while moved:
         moved = 0
         for i in np.argsort(-(left + right), kind="stable"):
             a, r, c, own = cls[i], row[i].copy(), col[i].copy(), bigrams[i, i]
@@ -169,18 +177,20 @@ def exchange(bigrams: np.ndarray, start: np.ndarray, classes: int, rounds: int)
             table[a, a] -= own
             n_left[a] -= left[i]
             n_right[a] -= right[i]
+            base[a], base[:, a] = xlogx(table[a]), xlogx(table[:, a])
             # what putting it into each class adds
-            rows = (xlogx(table + r[None, :]) - xlogx(table)).sum(axis=1)
-            cols = (xlogx(table + c[:, None]) - xlogx(table)).sum(axis=0)
+            rows = (xlogx(table + r[None, :]) - base).sum(axis=1)
+            cols = (xlogx(table + c[:, None]) - base).sum(axis=0)
             d = np.diagonal(table)
             both = xlogx(d + r + c + own) - xlogx(d + r) - xlogx(d + c) + xlogx(d)
             gain = rows + cols + both - (xlogx(n_left + left[i]) - xlogx(n_left)) - (xlogx(n_right + right[i]) - xlogx(n_right))
             b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             table[b] += r
             table[:, b] += c
             table[b, b] += own
+            base[b], base[:, b] = xlogx(table[b]), xlogx(table[:, b])
             n_left[b] += left[i]
             n_right[b] += right[i]
             if b != a:
@@ -190,71 +200,177 @@ def exchange(bigrams: np.ndarray, start: np.ndarray, classes: int, rounds: int)
                 row[:, b] += bigrams[:, i]
                 col[:, a] -= bigrams[i]
                 col[:, b] += bigrams[i]
-        if not moved:
-            break
     return cls
 
 
-def fit_brown(train: DataFrame, text: str = "text", settings: Settings = Settings()) -> tuple[BrownModel, DataFrame]:
-    """The model of all rows of train, and the stored table of all word counts (word, shape, n)."""
-    sc = train.sparkSession.sparkContext
-    train = train.select(text)
-    counts = stored(word_counts(train, text), "words")
-    sums = {r["shape"]: r for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("types"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).collect()}
-    n_docs = train.count()
-    # the words of the highest counts: whole steps of a logarithmic histogram, so that no order of all words is needed
-    step = F.floor(F.log2("n") * 16)
-    histogram = sorted(((r["s"], r["c"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True)
-    upto = np.cumsum([c for _, c in histogram])
-    fits = [s for (s, _), u in zip(histogram, upto, strict=True) if u <= settings.dictionary_words]
-    top = counts.filter(step >= (fits[-1] if fits else 1 << 30)).select("word", "shape", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    hashes, n, shape = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["shape"].to_numpy()
-    k = min(settings.cluster_words, len(hashes))
-    order = np.argsort(hashes[:k])
-    words, words_n, words_shape = hashes[:k][order], n[:k][order], shape[:k][order]
-    places = k + 1 + SHAPES
-    probe = BrownModel(words, np.zeros(0), np.zeros(0), np.zeros(0), hashes[:0], n[:0], np.zeros(0), np.zeros(0), 0.0, 0, 0, n_docs)
-    shared = sc.broadcast(probe)
+def _transitions(table: np.ndarray, mass: np.ndarray, prior: float) -> np.ndarray:
+    """P(class | class before), backing off to the share of each class in mass."""
+    share = mass / mass.sum()
+    return (table + prior * share[None, :]) / (table.sum(axis=1, keepdims=True) + prior)
+
+
+def _pair_sums(train: DataFrame, side: int, codes) -> np.ndarray:
+    """A side x side table of how often each code follows each, over all rows; codes gives those of a Words."""
 
     def pairs(batches):
-        model = shared.value
-        dense = np.zeros(places * places, dtype=np.int64)
+        dense = np.zeros(side * side, dtype=np.int64)
         for batch in batches:
             for w in K.iter_words(batch.column(0)):
-                seq, before = _with_ends(model.places(w, _shapes(w)), w.off, k)
-                key, c = np.unique(before * places + seq, return_counts=True)
-                dense[key] += c
+                seq, before = codes(w)
+                dense += np.bincount(before * side + seq, minlength=side * side)
         used = np.flatnonzero(dense)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(dense[used])], ["pair", "n"])
 
-    bigrams = np.zeros(places * places)
+    out = np.zeros(side * side)
     found = train.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    bigrams[found["pair"].to_numpy()] = found["n"].to_numpy()
-    bigrams = bigrams.reshape(places, places)
+    out[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(side, side)
+
+
+def _contexts(train: DataFrame, start, cls: np.ndarray, classes: int, k: int) -> DataFrame:
+    """(word, ctx, n) stored: for each word that isn't exchanged one by one, its place among the words, and how often the class ctx is
+    before it (ctx - classes: after it)."""
+    width = 2 * classes
+
+    def count(batches):
+        held, held_n = [], []
+
+        def flush():
+            key, inv = np.unique(np.concatenate(held), return_inverse=True)
+            return key, np.bincount(inv, weights=np.concatenate(held_n)).astype(np.int64)
+
+        def out(key, n):
+            for i in range(0, len(key), 100_000):
+                part = key[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array((part // width).astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.array(n[i : i + 100_000])], ["word", "ctx", "n"])
+
+        for batch in batches:
+            for w in K.iter_words(batch.column(0)):
+                at, place = _start_places(start.value, w, k)
+                seq, before = _with_ends(cls[place], w.off, int(cls[k]))
+                own = np.arange(len(at)) + w.row_of_word()
+                tail = np.flatnonzero(place > k + SHAPES)
+                own, at = own[tail], at[tail]
+                key, n = np.unique(np.concatenate([at * width + before[own], at * width + classes + seq[own + 1]]), return_counts=True)
+                held.append(key)
+                held_n.append(n)
+            if sum(map(len, held)) > 4_000_000:
+                key, n = flush()
+                held, held_n = [key], [n]
+                if len(key) > 2_000_000:
+                    yield from out(key, n)
+                    held, held_n = [], []
+        if held:
+            yield from out(*flush())
+
+    sums = train.mapInArrow(count, "word int, ctx int, n long").repartition("word").groupBy("word", "ctx").agg(F.sum("n").alias("n"))
+    return stored(sums.groupBy("word").agg(F.collect_list("ctx").alias("ctx"), F.collect_list("n").alias("n")), "contexts")
+
+
+def _best(contexts: DataFrame, classes: int, weights: np.ndarray, last: bool) -> pa.Table:
+    """Each word's best class: (word, cls) if last, else the sums of all words' counts by class: (cell, n), cell 0 the log likelihood."""
+    shared = contexts.sparkSession.sparkContext.broadcast(weights)
+
+    def assign(batches):
+        sums, total = np.zeros((classes, 2 * classes)), 0.0
+        for batch in batches:
+            size = len(batch)
+            row = np.repeat(np.arange(size), np.diff(batch.column(1).offsets.to_numpy()))
+            x = np.bincount(row * 2 * classes + batch.column(1).flatten().to_numpy(), weights=batch.column(2).flatten().to_numpy(), minlength=size * 2 * classes).reshape(size, -1)
+            gain = x @ shared.value
+            best = np.argmax(gain, axis=1)
+            if last:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32))], ["word", "cls"])
+                continue
+            total += gain[np.arange(size), best].sum()
+            onehot = np.zeros((size, classes))
+            onehot[np.arange(size), best] = 1
+            sums += onehot.T @ x
+        if not last:
+            flat = np.concatenate([[total], sums.ravel()])
+            used = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], ["cell", "n"])
+
+    if last:
+        return contexts.mapInArrow(assign, "word int, cls int").toArrow()
+    return contexts.mapInArrow(assign, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+
+
+def _start_places(start: tuple[np.ndarray, np.ndarray], w: K.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's place among the words seen at least twice (-1: none), and its place in the exchange of the k most frequent."""
+    words, core = start
+    at, shapes = _find(words, w.h), _shapes(w)
+    own = core[at] if len(core) else at
+    return at, np.where(at < 0, k + 1 + shapes, np.where(own >= 0, own, k + 1 + SHAPES + shapes))
+
+
+def fit_brown(train: DataFrame, text: str = "text", settings: Settings = Settings()) -> tuple[BrownModel, DataFrame]:
+    """The model of all rows of train, and the stored table of all word counts (word, shape, n)."""
+    sc = train.sparkSession.sparkContext
+    train = train.select(text)
+    counts = stored(word_counts(train, text), "words")
+    sums_1 = {r["shape"]: r["c"] for r in counts.filter("n = 1").groupBy("shape").agg(F.count("*").alias("c")).collect()}
+    n_docs = train.count()
+    top = counts.filter("n > 1").select("word", "n").toArrow()
+    hashes, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(hashes)
+    words, words_n = hashes[order], n[order]
+    v = len(words)
+    frequent = np.lexsort((words.view(np.int64), -words_n))[: settings.cluster_words]
+    k = len(frequent)
+    core = np.full(v, -1, dtype=np.int32)
+    core[frequent] = np.arange(k)
+    places = k + 1 + 2 * SHAPES
+    start = sc.broadcast((words, core))
+    bigrams = _pair_sums(train, places, lambda w: _with_ends(_start_places(start.value, w, k)[1], w.off, k))
     freq = bigrams.sum(axis=0)
-    classes = max(1, min(settings.classes, places))
-    start = np.zeros(places, dtype=np.int64)
-    start[np.argsort(-freq, kind="stable")] = np.arange(places) % classes
-    cls = exchange(bigrams, start, classes, settings.exchange_rounds)
-    onehot = np.zeros((places, classes))
-    onehot[np.arange(places), cls] = 1
-    table = onehot.T @ bigrams @ onehot
+    classes = max(1, min(max(settings.classes, round(v**settings.class_growth)), places))
+    first = np.zeros(places, dtype=np.int64)
+    first[np.argsort(-freq, kind="stable")] = np.arange(places) % classes
+    cls = exchange(bigrams, first, classes)
+    class_of = np.zeros(v + 1 + SHAPES, dtype=np.int16)
+    class_of[frequent], class_of[v:] = cls[:k], cls[k : k + 1 + SHAPES]
+    if v > k:
+        onehot = np.zeros((places, classes))
+        onehot[np.arange(places), cls] = 1
+        own = onehot.copy()
+        own[k + 1 + SHAPES :] = 0  # without the words that are to move
+        before, after = onehot.T @ bigrams @ own, own.T @ bigrams @ onehot
+        contexts = _contexts(train, start, cls, classes, k)
+        left, right, reached = onehot.T @ bigrams @ onehot, onehot.T @ bigrams @ onehot, -np.inf
+        while True:
+            mass = left.sum(axis=0) + 0.5
+            weights = np.concatenate([np.log(_transitions(left, mass, settings.prior)) - np.log(mass)[None, :], np.log(_transitions(right, right.sum(axis=0) + 0.5, settings.prior)).T])
+            found = _best(contexts, classes, weights, False)
+            sums = np.zeros(1 + 2 * classes * classes)
+            sums[found["cell"].to_numpy()] = found["n"].to_numpy()
+            if sums[0] <= reached + settings.least_rise * abs(sums[0]):
+                break
+            reached, sums = sums[0], sums[1:].reshape(classes, 2 * classes)
+            left, right = before + sums[:, :classes].T, after + sums[:, classes:]
+        found = _best(contexts, classes, weights, True)
+        class_of[found["word"].to_numpy()] = found["cls"].to_numpy()
+        drop_stored(contexts)
+    by_place = sc.broadcast((words, class_of))
+
+    def codes(w):
+        own, to = by_place.value
+        at = _find(own, w.h)
+        return _with_ends(to[np.where(at >= 0, at, len(own) + 1 + _shapes(w))].astype(np.int64), w.off, int(to[len(own)]))
+
+    table = _pair_sums(train, classes, codes)
+    once = [float(sums_1[s]) if s in sums_1 else 0.0 for s in range(SHAPES)]
+    floor = np.concatenate([words_n, [n_docs], once])
     # a place never seen (a shape without words) still gets a share
-    floor = freq + 0.5 * (freq == 0)
-    mass = onehot.T @ floor
-    share = mass / mass.sum()
-    nxt = (table + settings.prior * share[None, :]) / (table.sum(axis=1, keepdims=True) + settings.prior)
-    with np.errstate(divide="ignore"):
-        log_next, log_place = np.log10(nxt), np.log10(floor / mass[cls])
-    clustered = np.bincount(words_shape, weights=words_n, minlength=SHAPES), np.bincount(words_shape, minlength=SHAPES)
-    shape_n = np.array([float(sums[s]["n"]) if s in sums else 0.0 for s in range(SHAPES)]) - clustered[0]
-    shape_types = np.array([float(sums[s]["types"]) if s in sums else 0.0 for s in range(SHAPES)]) - clustered[1]
-    n1, n2 = sum(r["n1"] for r in sums.values()), sum(r["n2"] for r in sums.values())
-    by_hash = np.argsort(hashes)
+    floor = floor + 0.5 * (floor == 0)
+    mass = np.bincount(class_of, weights=floor, minlength=classes)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        log_next, log_place = np.log10(_transitions(table, mass, settings.prior)), np.log10(floor / mass[class_of])
+    n1, n2 = sum(sums_1.values()), int((words_n == 2).sum())
     model = BrownModel(
-        words, cls, log_next, log_place, hashes[by_hash], n[by_hash], shape_n, shape_types,
+        words, words_n, class_of, log_next, log_place.astype(np.float64), np.array(once), np.array(once),
         min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2))),
-        int(sum(r["n"] for r in sums.values())) + n_docs, int(sum(r["types"] for r in sums.values())) + (n_docs > 0), n_docs,
+        int(words_n.sum()) + n1 + n_docs, v + n1 + (n_docs > 0), n_docs,
     )
     return model, counts
 
@@ -284,15 +400,12 @@ def lm_scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str =
                 seq, before = _with_ends(place, w.off, k)
                 row = np.repeat(np.arange(n), np.diff(w.off) + 1)
                 log_p = np.bincount(row, weights=m.log_next[m.class_of[before], m.class_of[seq]] + m.log_place[seq], minlength=n)
-                found = _find(m.dictionary, w.h)
-                c = np.where(found >= 0, m.dictionary_n[np.maximum(found, 0)] if len(m.dictionary) else 0, 0)
+                here = place < k
+                c = m.words_n[place[here]]
                 owner = w.row_of_word()
-                here = found >= 0
-                inner = np.where(here & (place > k), m.log_in_shape(np.minimum(shapes, SHAPES - 1), c), 0.0)
-                log_p += np.bincount(owner, weights=inner, minlength=n)
-                base = np.bincount(owner, weights=np.where(here, m.log_base(c), 0.0), minlength=n) + m.log_base(m.end_count)
+                base = np.bincount(owner, weights=_spread(here, m.log_base(c)), minlength=n) + m.log_base(m.end_count)
                 known = np.bincount(owner, weights=here, minlength=n).astype(np.int64) + (m.end_count > 0)
-                # words beyond the dictionary, once a row
+                # words seen once or never, once a row
                 rare = np.flatnonzero(~here)
                 if len(rare):
                     order = np.lexsort((w.h[rare], owner[rare]))
@@ -319,7 +432,7 @@ def lm_scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str =
                 yield pa.RecordBatch.from_arrays(cols, wide.names)
 
     parts = docs.select(*keep, F.col(text).alias("__text")).mapInArrow(score, wide)
-    joined = parts.join(counts.select(F.col("word").alias("w"), F.col("n")), (F.col("word") == F.col("w")) & (F.col("shape") >= 0), "left")
+    joined = parts.join(counts.filter("n = 1").select(F.col("word").alias("w"), F.col("n")), (F.col("word") == F.col("w")) & (F.col("shape") >= 0), "left")
     c = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     total = float(model.train_tokens + model.vocabulary + 1)
     d = model.discount

@@ -8,9 +8,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from axisloom.llm.brown_lm import exchange, fit_brown
 from axisloom.llm.decontaminate import contaminated, decontaminated, smith_waterman
 from axisloom.llm.language_id import fit_language_model, languages
 from axisloom.llm.queries import op2_language_id, op7_lm_scoring
+from axisloom.llm.textkernel import hash_words
 
 SF = "/root/testdata/sf0.001"
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -55,6 +57,25 @@ def test_lm(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_classes_of_all_words(spark):
+    rng = np.random.default_rng(3)
+    name = lambda g, i: g + "".join(chr(97 + (i // 26**j) % 26) for j in range(3))
+    firsts, seconds = ([name(g, i) for i in range(1000)] for g in "pq")
+    texts = [" ".join(f"{around}{rng.choice(list('abcdefgh'))} {group[i]}" for i in rng.permutation(1000)) for group, around in ((firsts, "x"), (seconds, "y")) for _ in range(4)]
+    model, _ = fit_brown(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert len(model.words) == 2016
+    of = dict(zip(model.words.tolist(), model.class_of.tolist(), strict=False))
+    one, two = ({c: n for c, n in Counter(of[h] for h in hash_words(g).tolist()).items()} for g in (firsts, seconds))
+    assert sum(min(one.get(c, 0), two.get(c, 0)) for c in one) < 30
+
+
+def test_exchange_ends_when_none_moves():
+    rng = np.random.default_rng(4)
+    bigrams = rng.poisson(rng.gamma(0.3, 2.0, (120, 120))).astype(float)
+    cls = exchange(bigrams, np.arange(120) % 9, 9)
+    assert (exchange(bigrams, cls, 9) == cls).all()
+
+
 def brute_alignment(x, y):
     h = np.zeros((len(x) + 1, len(y) + 1), dtype=int)
     for i in range(1, len(x) + 1):
