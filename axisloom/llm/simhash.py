@@ -146,7 +146,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     )
 
 
-def near_fingerprints(fps: DataFrame, radius: int = 3, key: str = "doc_id", fp: str = "fingerprint", blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+def near_fingerprints(fps: DataFrame, radius: int = 9, key: str = "doc_id", fp: str = "fingerprint", blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All pairs of fingerprints within the radius, as (pairs, members).
 
     members has (key, class): class is the smallest key with the same fingerprint; pairs has (a, b, bits)
@@ -156,6 +156,10 @@ def near_fingerprints(fps: DataFrame, radius: int = 3, key: str = "doc_id", fp:
     The bits are cut into ``blocks`` (radius + 1 unless given); every choice of ``blocks - radius`` of them
     is a table, keyed by the bits of its blocks.  Two fingerprints within the radius agree on all blocks of
     some table; a pair is taken from the first such table only.
+
+    The default radius is from the 17 pairs of different fingerprints that op8_jaccard_join's classes
+    (Jaccard of 0.9 or more) hold at sf0.1: they differ in 3 to 13 bits, 16 of them in at most 9 and 2 in
+    at most 3.  The least of 17,578 distances between sampled documents was 41.
     """
     blocks = blocks or radius + 1
     if not 0 <= radius < blocks <= BITS // 4:

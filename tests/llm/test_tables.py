@@ -12,6 +12,7 @@ from axisloom.llm import license_texts
 from axisloom.llm.license_scan import licenses, patience
 from axisloom.llm.materialise import PATTERN, VOCABULARY, Feistel, Layout, materialised, read_sequences
 from axisloom.llm.queries import llm_oracle_sql, llm_queries, op1_chat_format, op6_simhash
+from axisloom.llm.simhash import near_fingerprints
 from axisloom.llm.url_filter import judged
 from tests.oracle import assert_same, connect
 
@@ -106,3 +107,26 @@ def test_tokens_round_trip(spark, tmp_path):
 
 def test_no_tokens(spark, tmp_path):
     assert materialised(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}").collect() == []
+
+
+def test_near_fingerprints(spark):
+    rng = random.Random(6)
+    fps = [rng.getrandbits(128) for _ in range(40)]
+    for base in fps[:30]:  # near copies at 1 to 15 bits
+        for n in (1, 3, 4, 7, 9, 10, 15):
+            copy = base
+            for bit in rng.sample(range(128), n):
+                copy ^= 1 << bit
+            fps.append(copy)
+    fps += [(0xABCD << 112) | rng.getrandbits(112) for _ in range(300)]  # one hot block
+    fps += fps[:20]  # equal ones
+    rows = [(i, f"{f:032x}") for i, f in enumerate(fps)] + [(None, f"{fps[0]:032x}"), (9999, None)]
+    pairs, members = near_fingerprints(spark.createDataFrame(rows, "doc_id long, fingerprint string"))
+    first = {}
+    for i, f in enumerate(fps):
+        first.setdefault(f, i)
+    brute = {(min(i, j), max(i, j), (f ^ g).bit_count()) for f, i in first.items() for g, j in first.items() if i < j and (f ^ g).bit_count() <= 9}
+    found = [(r.a, r.b, r.bits) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == brute
+    assert {b for *_, b in found} >= {1, 3, 4, 7, 9}
+    assert sorted((r.doc_id, r["class"]) for r in members.collect()) == [(i, first[f]) for i, f in enumerate(fps)]
