@@ -197,7 +197,10 @@ def fit_language_model(train: DataFrame, text: str = "text", label: str = "lang"
     model.idf = np.log((1.0 + sum(sizes.values())) / (1.0 + df)) + 1.0
 
     quota = max(1, settings.max_train_docs // len(labels))
-    draw = F.pmod(F.xxhash64(F.lit(settings.seed), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # drawn from the distinct texts of each label, by their hash
+    train = train.withColumn("hash", F.xxhash64(F.lit(settings.seed), "text"))
+    sizes = {r["label"]: r["count"] for r in train.select("label", "hash").distinct().groupBy("label").count().collect()}
+    draw = F.pmod("hash", F.lit(1 << 30)) / F.lit(float(1 << 30))
     chance = F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, quota / v)))]), F.col("label"))
 
     def vectors(batches):
@@ -206,18 +209,21 @@ def fit_language_model(train: DataFrame, text: str = "text", label: str = "lang"
             for _, u, c in _features(batch.column(0), settings.bits):
                 used.append(u.astype("<i4").tobytes())
                 counts.append(c.astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(used, pa.binary()), pa.array(counts, pa.binary())], ["label", "used", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(used, pa.binary()), pa.array(counts, pa.binary())], ["label", "hash", "used", "counts"])
 
     place = {k: i for i, k in enumerate(labels)}
     taken: dict[str, int] = {}
     rows = []
-    for r in train.filter(draw < chance).mapInArrow(vectors, "label string, used binary, counts binary").toLocalIterator():
+    drawn = train.filter(draw < chance).dropDuplicates(["label", "hash"]).select("text", "label", "hash")
+    found = drawn.mapInArrow(vectors, "label string, hash long, used binary, counts binary").toLocalIterator()
+    for r in sorted(found, key=lambda r: (r.hash % (1 << 30), r.hash, r.label)):
         taken[r.label] = taken.get(r.label, 0) + 1
-        if taken[r.label] <= 2 * quota:
-            rows.append((np.frombuffer(bytes(r.used), dtype="<i4"), np.frombuffer(bytes(r.counts), dtype="<i4"), place[r.label]))
-    rows = [r for r in rows if len(r[0])]
-    kept = [r for i, r in enumerate(rows) if i % settings.calibration_share]
-    back = [r for i, r in enumerate(rows) if not i % settings.calibration_share]
+        if taken[r.label] <= 2 * quota and len(r.used):
+            rows.append((np.frombuffer(bytes(r.used), dtype="<i4"), np.frombuffer(bytes(r.counts), dtype="<i4"), place[r.label], r.hash))
+    # a text with several labels is on one side; fewer texts than the share takes one from are all for training
+    texts = {h: i + 1 for i, h in enumerate(dict.fromkeys(r[3] for r in rows))}
+    kept = [r[:3] for r in rows if texts[r[3]] % settings.calibration_share]
+    back = [r[:3] for r in rows if not texts[r[3]] % settings.calibration_share]
     _ftrl(model, kept)
     if back:
         model.temperature = _temperature(np.array([model.logits(u, c) for u, c, _ in back]), np.array([y for _, _, y in back]))

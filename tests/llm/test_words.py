@@ -8,9 +8,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from axisloom.llm import language_id
 from axisloom.llm.brown_lm import exchange, fit_brown
 from axisloom.llm.decontaminate import contaminated, decontaminated, smith_waterman
-from axisloom.llm.language_id import fit_language_model, languages
+from axisloom.llm.language_id import Settings, fit_language_model, languages
 from axisloom.llm.queries import op2_language_id, op7_lm_scoring
 from axisloom.llm.textkernel import hash_words
 
@@ -41,6 +42,17 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in languages(df, none).collect()} == {"und"}
 
 
+def test_language_sample_of_distinct_texts(spark, monkeypatch):
+    name = lambda i: "".join(chr(97 + (i * 7919 // 26**j) % 26) for j in range(4))
+    rows = [("the same text said again", "en")] * 3000 + [(f"text {name(i)} about cats", "en") for i in range(200)] + [(f"le texte {name(i)} des chats", "fr") for i in range(200)]
+    train, taken = spark.createDataFrame(rows, "text string, lang string"), []
+    monkeypatch.setattr(language_id, "_ftrl", lambda model, kept: taken.append([(u.tobytes(), c.tobytes(), y) for u, c, y in kept]))
+    for n in (3, 7):
+        fit_language_model(train.repartition(n), settings=Settings(max_train_docs=10_000))
+    assert taken[0] == taken[1]
+    assert 300 < len(taken[0]) == len(set(taken[0])) < 401
+
+
 def test_lm(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     tokens = {k: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UP)), None] for k, t in docs}
