@@ -19,8 +19,7 @@ INF = float("inf")
 
 def clean(x: Column) -> Column:
     """x as double, NaN as NULL."""
-    x = x.cast("double")
-    return F.when(~F.isnan(x), x)
+    return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
 
 
 def _log(x: Column) -> Column:

@@ -68,7 +68,8 @@ def hex_grid(df: DataFrame, rings: int, n_classes: int, x: str = "x", y: str = "
     size = hex_size(rings)
     fx, fy = F.lit(2.0) * F.col(x) - F.lit(1.0), F.lit(2.0) * F.col(y) - F.lit(1.0)
     q, r = hex_round(*to_axial(fx, fy, size))
-    at = df.withColumns({"q": q, "r": r}).filter(hex_distance(F.col("q"), F.col("r"), F.lit(0), F.lit(0)) <= rings)
+    # a generator's output, so that the filter doesn't write the rounding out again for each reference
+    at = df.select("*", F.inline(F.array(F.struct(q.alias("q"), r.alias("r"))))).filter(hex_distance(F.col("q"), F.col("r"), F.lit(0), F.lit(0)) <= rings)
     sums = [F.sum((F.col(cls) == c).cast("long")).alias(f"c{c}") for c in range(n_classes)]
     out = at.groupBy("q", "r").agg(F.count("*").alias("count"), F.avg(x).alias("cx"), F.avg(y).alias("cy"), *sums)
     return out.select("q", "r", "count", "cx", "cy", F.array(*[F.col(f"c{c}") for c in range(n_classes)]).alias("class_counts"))

@@ -83,11 +83,14 @@ def silhouette_all(grid: DataFrame, n: int) -> DataFrame:
     In a class of N rows a cell of w rows is at mean distance sum / (N - w) of its class; classes in one cell
     only are skipped as owners but stay in the denominator.
     """
-    c = grid.select("pair", "ix", "iy", F.posexplode("class_counts").alias("cls", "w")).filter("w > 0").withColumns({"x": cell_centre(F.col("ix"), n), "y": cell_centre(F.col("iy"), n)})
-    c = c.withColumn("size", F.sum("w").over(W.partitionBy("pair", "cls")))
-    other = c.select("pair", F.col("cls").alias("ocls"), F.col("w").alias("ow"), F.col("size").alias("osize"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    at = grid.withColumns({"x": cell_centre(F.col("ix"), n), "y": cell_centre(F.col("iy"), n)})
+    each = at.select("pair", "ix", "iy", "x", "y", F.posexplode("class_counts").alias("cls", "w")).filter("w > 0")
+    each = each.withColumn("size", F.sum("w").over(W.partitionBy("pair", "cls")))
+    other = each.select("pair", F.col("cls").alias("ocls"), F.col("w").alias("ow"), F.col("size").alias("osize"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
-    by = c.join(other, "pair").groupBy("pair", "ix", "iy", "cls", "w", "size", "ocls", "osize").agg(F.sum(F.col("ow") * d).alias("d"))
+    # distances of a cell to all rows of a class, once for all classes of the cell
+    by = at.select("pair", "ix", "iy", "x", "y").join(other, "pair").groupBy("pair", "ix", "iy", "ocls", "osize").agg(F.sum(F.col("ow") * d).alias("d"))
+    by = each.select("pair", "ix", "iy", "cls", "w", "size").join(by, ["pair", "ix", "iy"])
     a = F.max(F.when((F.col("cls") == F.col("ocls")) & (F.col("size") > F.col("w")), F.col("d") / (F.col("size") - F.col("w"))))
     b = F.min(F.when(F.col("cls") != F.col("ocls"), F.col("d") / F.col("osize")))
     cell = by.groupBy("pair", "ix", "iy", "cls", "w").agg(a.alias("a"), b.alias("b"))

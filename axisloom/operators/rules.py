@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_rect, rect_distance
-from .axis import Axis, Bounds, normalised
+from .axis import Axis, Bounds, with_placed
 
 MATCH_WEIGHT, NEAR_WEIGHT = 10.0, 3.0
 
@@ -49,9 +49,6 @@ class Rule:
     y_bounds: Bounds
     rects: tuple[Rect, ...]
 
-    def place(self) -> tuple[Column, Column]:
-        return normalised(self.x, self.x_bounds), normalised(self.y, self.y_bounds)
-
 
 def _any(x: Column, y: Column, rects: tuple[Rect, ...]) -> Column:
     out = F.lit(False)
@@ -62,10 +59,10 @@ def _any(x: Column, y: Column, rects: tuple[Rect, ...]) -> Column:
 
 def _placed(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[str]]:
     """df with a column pair per rule (__x<i>, __y<i>), each computed once."""
-    cols = {}
+    axes = {}
     for i, r in enumerate(rules):
-        cols[f"__x{i}"], cols[f"__y{i}"] = r.place()
-    return df.withColumns(cols) if cols else df, list(cols)
+        axes[f"__x{i}"], axes[f"__y{i}"] = (r.x, r.x_bounds), (r.y, r.y_bounds)
+    return with_placed(df, axes) if axes else df, list(axes)
 
 
 def scored(df: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import PairConfig
 from ..functions.geometry import occupancy_cell
 from ..functions.transforms import EPS_TWIN
-from .axis import Axis, Bounds, Term, bounds, normalised
+from .axis import Axis, Bounds, Term, bounds, placed_pairs
 from .stats import composite_separation
 
 Weights = list[tuple[int, int]]
@@ -74,19 +74,21 @@ class Measured:
     nonfinite: bool
 
 
-def measure(df: DataFrame, pairs: list[tuple[Axis, Axis]], n: int, epsilon: float) -> list[Measured]:
-    """Bounds and occupancy of many pairs: one job for the bounds, one for all distinct cells."""
-    flat = [a for p in pairs for a in p]
-    at = bounds(df, [a if a.terms else Axis((Term(df.columns[0]),)) for a in flat], epsilon)
-    aggs = []
-    for i, (x, y) in enumerate(pairs):
-        bx, by = at[2 * i], at[2 * i + 1]
-        nx, ny = normalised(x, bx, epsilon), normalised(y, by, epsilon)
-        ix, iy = occupancy_cell(nx, n), occupancy_cell(ny, n)
-        aggs += [F.count_distinct(ix).alias(f"x{i}"), F.count_distinct(iy).alias(f"y{i}"), F.count_distinct(ix * n + iy).alias(f"b{i}")]
-    row = df.agg(*aggs).first()
+def measure(df: DataFrame, pairs: list[tuple[Axis, Axis]], n: int, epsilon: float, known: dict[Axis, Bounds] | None = None) -> list[Measured]:
+    """Bounds and occupancy of many pairs: one job for the bounds that aren't known yet, one for all occupied cells."""
+    known = {} if known is None else known
+    new = list(dict.fromkeys(a for p in pairs for a in p if a not in known))
+    if new:
+        known |= dict(zip(new, bounds(df, new, epsilon), strict=True))
+    at = [(known[x], known[y]) for x, y in pairs]
+    cells = placed_pairs(df, pairs, at, (), epsilon).select("pair", occupancy_cell(F.col("x"), n).alias("ix"), occupancy_cell(F.col("y"), n).alias("iy")).distinct()
+    found = {r["pair"]: r for r in cells.groupBy("pair").agg(F.size(F.collect_set("ix")).alias("x"), F.size(F.collect_set("iy")).alias("y"), F.count("*").alias("both")).collect()}
     infinite = lambda b, a: bool(a.terms) and not (b.low > float("-inf") and b.high < float("inf"))
-    return [Measured(x, y, at[2 * i], at[2 * i + 1], row[f"x{i}"], row[f"y{i}"], row[f"b{i}"], infinite(at[2 * i], x) or infinite(at[2 * i + 1], y)) for i, (x, y) in enumerate(pairs)]
+    out = []
+    for i, ((x, y), (bx, by)) in enumerate(zip(pairs, at, strict=True)):
+        r = found.get(i)
+        out.append(Measured(x, y, bx, by, *((r["x"], r["y"], r["both"]) if r else (0, 0, 0)), infinite(bx, x) or infinite(by, y)))
+    return out
 
 
 def accepts(m: Measured, n: int, mode: str, ratio: float) -> bool:
@@ -112,6 +114,11 @@ class PairGenerator:
         self.sign = np.random.RandomState(config.sign_seed)
         self.pick = np.random.RandomState(config.transform_seed)
         self.order = np.random.RandomState(config.shuffle_seed)
+        #: Bounds of the axes measured so far; of a pair only the side that changed is measured again.
+        self.known: dict[Axis, Bounds] = {}
+
+    def _measure(self, pairs: list[tuple[Axis, Axis]]) -> list[Measured]:
+        return measure(self.df, pairs, self.n, self.config.epsilon, self.known)
 
     def _term(self, j: int) -> Term:
         """Sign first, then transform; feature 0 is never negative."""
@@ -138,14 +145,14 @@ class PairGenerator:
                 for attempt in range(3):
                     trial = list(axes)
                     trial[side] = Axis((*axes[side].terms, term))
-                    m = measure(self.df, [(trial[0], trial[1])], self.n, c.epsilon)[0]
+                    m = self._measure([(trial[0], trial[1])])[0]
                     if accepts(m, self.n, c.mode, c.min_occupancy):
                         axes, added = trial, True
                         break
                     term = self._retry(term, m.nonfinite, attempt == 0)
                 failures = 0 if added else failures + 1
             if all(a.terms for a in axes):
-                m = measure(self.df, [(axes[0], axes[1])], self.n, c.epsilon)[0]
+                m = self._measure([(axes[0], axes[1])])[0]
                 if best is None or _score(m, c.mode) > _score(best, c.mode):
                     best = m
         return best
@@ -163,7 +170,7 @@ class PairGenerator:
                     signs[j] = signs[j] if j == 0 else -signs[j]
                 axes.append(Axis(tuple(Term(self.features[j], signs[j], c.transforms[self.pick.randint(len(c.transforms))]) for j in chosen)))
             drawn.append((axes[0], axes[1]))
-        found = measure(self.df, drawn, self.n, c.epsilon)
+        found = self._measure(drawn)
         valid = [m for m in found if accepts(m, self.n, c.mode, c.min_occupancy)]
         return valid[0] if valid else max(found, key=lambda m: _score(m, c.mode), default=None)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import grid_cell, resolution
-from ..operators.axis import Axis, Bounds, Term, bounds, normalised
+from ..operators.axis import Axis, Bounds, Term, bounds, placed_pairs
 from ..operators.cover import Grid, cover
 from ..operators.rules import Rect, Rule, matched, scored, vote
 from ..operators.search import sparse_projection
@@ -52,8 +52,7 @@ def _grids(df: DataFrame, pairs: list[tuple[Axis, Axis]], n: int, n_classes: int
     aggregation folds before anything moves."""
     at = bounds(df, [a for p in pairs for a in p])
     pairs_at = [(at[2 * i], at[2 * i + 1]) for i in range(len(pairs))]
-    cells = [F.struct(F.lit(i).alias("pair"), grid_cell(normalised(x, bx), n).alias("ix"), grid_cell(normalised(y, by), n).alias("iy")) for i, ((x, y), (bx, by)) in enumerate(zip(pairs, pairs_at, strict=True))]
-    long = df.select("cls", F.explode(F.array(*cells)).alias("c")).select("cls", "c.*")
+    long = placed_pairs(df, pairs, pairs_at).select("cls", "pair", grid_cell(F.col("x"), n).alias("ix"), grid_cell(F.col("y"), n).alias("iy"))
     sums = [F.sum((F.col("cls") == c).cast("long")).alias(f"c{c}") for c in range(n_classes)]
     grid = long.groupBy("pair", "ix", "iy").agg(F.count("*").alias("count"), *sums).select("pair", "ix", "iy", "count", F.array(*[F.col(f"c{c}") for c in range(n_classes)]).alias("class_counts"))
     return pairs_at, grid

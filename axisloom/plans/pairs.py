@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import PairConfig
 from ..functions.geometry import resolution
-from ..operators.axis import normalised
+from ..operators.axis import with_placed
 from ..operators.grid import countable, pure_count, square_grid
 from ..operators.search import Measured, PairGenerator
 from ..operators.stats import class_statistics, collected_means, separating, separation, top_features
@@ -48,7 +48,7 @@ def generate_pairs(df: DataFrame, features: list[str], label: str, target, confi
             os.makedirs(os.path.join(out, "points"), exist_ok=True)
             write_config(os.path.join(out, "config.json"), config, n_bins=n, target=str(target))
         for i, m in enumerate(PairGenerator(rows, features, candidates, n, config).generate()):
-            placed = rows.withColumns({"x": normalised(m.x, m.x_bounds, config.epsilon), "y": normalised(m.y, m.y_bounds, config.epsilon)})
+            placed = with_placed(rows, {"x": (m.x, m.x_bounds), "y": (m.y, m.y_bounds)}, config.epsilon)
             grid = square_grid(countable(placed), n, len(labels))
             pure = pure_count(grid, cls).first()["pure_count"]
             results.append(PairResult(m, pure, grid))

@@ -18,7 +18,7 @@ from .functions.transforms import TRANSFORMS, clean, signed_sqrt, transform
 from .operators import grid as G
 from .operators import metrics as M
 from .operators import stats as S
-from .operators.axis import Axis, Term, bounds, bounds_table, invalid_stats, normalised, placed
+from .operators.axis import Axis, Term, bounds, bounds_table, invalid_stats, placed, placed_pairs, with_values
 from .operators.cover import Grid, cover
 from .operators.rules import Rect, Rule, first_match, matched, scored, training_error, vote
 from .operators.search import PairGenerator
@@ -61,10 +61,7 @@ def _placed(s: SparkSession, d: str) -> DataFrame:
 
 def _pair_grid(s: SparkSession, d: str) -> DataFrame:
     """Grids of the three pairs, by one aggregation."""
-    rows = _lines(s, d)
-    at = bounds(rows, [a for p in PAIRS for a in p])
-    cells = [F.struct(F.lit(i).alias("pair"), normalised(x, at[2 * i]).alias("x"), normalised(y, at[2 * i + 1]).alias("y")) for i, (x, y) in enumerate(PAIRS)]
-    return G.square_grid(rows.select("cls", F.explode(F.array(*cells)).alias("c")).select("cls", "c.*"), N, CLASSES, keys=("pair",))
+    return G.square_grid(placed_pairs(_lines(s, d), PAIRS), N, CLASSES, keys=("pair",))
 
 
 # -- SQL building blocks ----------------------------------------------------------------------------
@@ -212,7 +209,7 @@ def _holes(s: SparkSession, d: str) -> DataFrame:
     SELECT event_id, valid, round(CASE WHEN valid = 3 THEN s WHEN valid > 0 THEN s * 3 / valid END, 6) + 0.0 AS p FROM v""",
 )
 def _(s, d):
-    return _holes(s, d).select("event_id", _HOLES.valid().alias("valid"), _r(_HOLES.value()).alias("p"))
+    return with_values(_holes(s, d), {"p": _HOLES}).select("event_id", F.col("p_valid").alias("valid"), _r("p").alias("p"))
 
 
 @query(

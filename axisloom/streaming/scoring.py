@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.geometry import grid_cell
-from ..operators.axis import Axis, Bounds, normalised
+from ..operators.axis import Axis, Bounds, with_placed
 from ..operators.rules import Rule, scored
 
 
@@ -18,8 +18,8 @@ def score_stream(stream: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def grid_stream(stream: DataFrame, x: Axis, y: Axis, x_bounds: Bounds, y_bounds: Bounds, n: int) -> DataFrame:
     """Running (ix, iy, cls, count) for fixed axes; state is one row per occupied cell and class (complete or update mode)."""
-    px, py = normalised(x, x_bounds), normalised(y, y_bounds)
-    return stream.filter("cls >= 0").groupBy(grid_cell(px, n).alias("ix"), grid_cell(py, n).alias("iy"), "cls").agg(F.count("*").alias("count"))
+    at = with_placed(stream.filter("cls >= 0"), {"x": (x, x_bounds), "y": (y, y_bounds)})
+    return at.groupBy(grid_cell(F.col("x"), n).alias("ix"), grid_cell(F.col("y"), n).alias("iy"), "cls").agg(F.count("*").alias("count"))
 
 
 def to_memory(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> StreamingQuery:
