@@ -17,12 +17,19 @@ that together lose no link between components:
 * star: in each posting list everyone is paired with the list's most central member, so a list of a
   million near copies makes a million pairs; verified links are closed to components;
 * rest: members outside the central member's component are paired with the members of other components.
+  A list of more than ``LONG_LIST`` members is dealt by bands of set sizes first: sets that link are in the
+  same band or in two that touch.
+
+A set is named by the smallest key that has it.  A key that repeats with different texts has several sets;
+they are one node, so their names are linked before components are closed.
 
 The result has one row per document.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +50,8 @@ VERIFY_COST = 50.0
 BROADCAST_IDS = 500_000
 #: log2 of the bits of the filter that drops shingles which no two documents share.
 SHARED_BITS = 26
+#: Members from which a posting list is dealt by set size.
+LONG_LIST = 256
 _BLOCK = 4096
 
 
@@ -197,8 +206,9 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     of fewer words has one shingle, its whole word sequence).  component_id is the smallest key reachable
     by links, n_class the number of rows whose set is equal.  Null and empty texts, and texts without
     words, have an empty set, link with nothing and are their own component.  Rows that repeat a key are
-    one node and share its component; a row with a null key keeps a null component.  Other columns of docs
-    are ignored.  An empty table gives an empty result.
+    one node, with the links of all its texts, and share its component; a row with a null key keeps a null
+    component.  Columns of docs other than the two aren't read, whatever their names.  An empty table gives an
+    empty result.
     """
     if not 0 < num <= den:
         raise ValueError("the similarity must be in (0, 1]")
@@ -209,7 +219,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     # a posting list with one member makes no pair, so only prefixes' shared shingles move on
     kept = _shared_prefixes(signed, _bitmap(shared)).join(sets.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"])
     rows = stored(kept.select(F.col("id").alias("rep"), "size", "match", F.explode(F.arrays_zip("pos", "token")).alias("p")).select("rep", "size", "match", "p.pos", "p.token"), "rows")
-    hubs = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("pos", "rep", "size", "match")).alias("hub")).filter("n > 1").select("token", "hub")
+    hubs = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("pos", "rep", "size", "match")).alias("hub")).filter("n > 1").select("token", "n", "hub")
     posts = stored(rows.join(hubs, "token"), "postings")
 
     def near(p: str, q: str):
@@ -222,7 +232,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         differ = " + ".join(f"bit_count({p}[{i}] ^ {q}[{i}])" for i in range(PARITY_WORDS))
         return differ
 
-    maps = signed.join(sets.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"]).select(F.col("id").alias("rep"), "size", "parity").dropDuplicates(["rep"])
+    # one row a set: a name that stands for several sets has the bitmap of each
+    maps = signed.join(sets.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"]).select(F.col("id").alias("rep"), "k1", "k2", "size", "parity").dropDuplicates(["rep", "k1", "k2"]).drop("k1", "k2")
     maps = stored(maps.join(posts.select("rep").distinct(), "rep", "left_semi"), "parity")
 
     def mapped(pairs: DataFrame) -> DataFrame:
@@ -233,21 +244,30 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     star = posts.alias("p").filter(F.expr("rep <> hub.rep") & near("p", "hub")).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
     star = stored(mapped(star), "pairs")
     tried = stored(_verified(star, docs, key, text, n, num, den).groupBy("a", "b").agg(F.max("linked").alias("linked")), "star")
-    comps = stored(components(tried.filter("linked"), "a", "b"), "components")
+    # the sets of one key are one node
+    several = signed.filter("size > 0 and id is not null").groupBy("id").agg(F.min("k1").alias("l1"), F.max("k1").alias("h1"), F.min("k2").alias("l2"), F.max("k2").alias("h2")).filter("l1 <> h1 or l2 <> h2").select("id")
+    same = signed.filter("size > 0").join(several, "id", "left_semi").join(sets, ["k1", "k2"]).filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    same = stored(same, "same")
+    comps = stored(components(tried.filter("linked").select("a", "b").union(same), "a", "b"), "components")
 
     def placed(df: DataFrame, node: str, comp: str) -> DataFrame:
         return df.join(comps.select(F.col("node").alias(node), F.col("component").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
 
-    open_posts = placed(posts.select("token", "rep", "pos", "size", "match", F.col("hub.rep").alias("hub_rep")), "rep", "comp")
+    open_posts = placed(posts.select("token", "n", "rep", "pos", "size", "match", F.col("hub.rep").alias("hub_rep")), "rep", "comp")
     open_posts = placed(open_posts, "hub_rep", "hub_comp")
     # lists whose members are all in one component are done
-    columns = ["token", "rep", "pos", "size", "match", "comp", "hub_comp"]
+    columns = ["token", "n", "rep", "pos", "size", "match", "comp", "hub_comp"]
     outside = stored(open_posts.filter("comp <> hub_comp").select(*columns), "outside")
     left = open_posts.join(outside.select("token").distinct(), "token", "left_semi").select(*columns)
-    outside, left = (x.join(maps.select("rep", "parity"), "rep") for x in (outside, left))
+    # sizes that link differ by at most den / num, a band of their logarithm (the margin is for its rounding)
+    band = F.floor(F.log("size") / (math.log(den / num) * (1 + 1e-9) + 1e-9)).cast("int")
+    long = F.col("n") > LONG_LIST
+    outside = outside.withColumn("band", F.when(long, band).otherwise(0))
+    left = left.withColumn("band", F.explode(F.when(long, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))))
+    outside, left = (x.join(maps.select("rep", F.col("size").alias("s"), "parity"), "rep").filter("size = s").drop("s") for x in (outside, left))
     pairs = (
         outside.alias("x")
-        .join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr("x.comp <> y.comp and (y.comp = y.hub_comp or x.rep < y.rep)") & near("x", "y") & F.expr(f"{alike('x.parity', 'y.parity')} <= x.size + y.size - 2 * ceil({num} * (x.size + y.size) / {num + den})"))
+        .join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & F.expr("x.comp <> y.comp and (y.comp = y.hub_comp or x.rep < y.rep)") & near("x", "y") & F.expr(f"{alike('x.parity', 'y.parity')} <= x.size + y.size - 2 * ceil({num} * (x.size + y.size) / {num + den})"))
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.least("x.match", "y.match").alias("m"))
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.min("m").alias("m"))
@@ -256,7 +276,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         .join(tried.select("a", "b"), ["a", "b"], "left_anti")
     )
     rest = _verified(stored(pairs, "pairs"), docs, key, text, n, num, den).filter("linked").select("a", "b")
-    linked = tried.filter("linked").select("a", "b").union(rest)
+    linked = tried.filter("linked").select("a", "b").union(rest).union(same)
     final = stored(components(linked, "a", "b"), "components")
     rep = sets.select("k1", "k2", "rep", "n_class").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n_class", F.coalesce("component", "rep").alias("comp"))
     return signed.select("id", "size", "k1", "k2").join(rep, ["k1", "k2"], "left").select(
