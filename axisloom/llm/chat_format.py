@@ -7,8 +7,12 @@ and emission probabilities are smoothed counts of labelled transcripts; Viterbi
 A transcript comes as rows (conversation, turn, text), in order of turn; its length isn't bounded.  Viterbi is
 a product of matrices under (max, +): every row gives a matrix of best scores from the state before it to
 the state at its end, blocks of rows multiply theirs, one row per block is chained per conversation, and
-the states found at the ends of blocks are carried back to rows and to lines.  No task holds more than a block
-of rows or one matrix per block of a conversation.
+the states found at the ends of blocks are carried back to rows and to lines.
+
+Rows are sorted once, in ranges that may end anywhere, also between rows that are equal, so that a conversation
+or a turn with any number of rows is dealt to many tasks.  A block is at most ``BLOCK`` rows of one
+conversation that follow each other in a range.  No task holds more than a block of rows, or one matrix (392 bytes)
+per block of a conversation.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +69,11 @@ def _lines(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
 
+def _codes(text: str | None) -> bytes:
+    """What is observed of the lines of a text, a byte a line."""
+    return bytes((k * _SIZES + s) * _ENDS + e for k, s, e in map(_observe, _lines(text)))
+
+
 @dataclass(frozen=True)
 class ChatModel:
     """Log probabilities: steps (from S states and START to as many) and emissions by feature (S x values)."""
@@ -73,10 +83,11 @@ class ChatModel:
     size: np.ndarray
     end: np.ndarray
 
-    def emission(self, lines: list[str]) -> np.ndarray:
-        o = np.array([_observe(x) for x in lines]).reshape(-1, 3)
-        seen = (self.kind[:, o[:, 0]] + self.size[:, o[:, 1]] + self.end[:, o[:, 2]]).T
-        return np.hstack([seen, np.full((len(lines), 1), _NEVER)])
+    def emission(self, codes: bytes) -> np.ndarray:
+        """Log probability of each line's features in each state, and of none in START."""
+        o = np.frombuffer(codes, dtype=np.uint8)
+        seen = (self.kind[:, o // (_SIZES * _ENDS)] + self.size[:, o // _ENDS % _SIZES] + self.end[:, o % _ENDS]).T
+        return np.hstack([seen, np.full((len(o), 1), _NEVER)])
 
 
 def _log(counts: np.ndarray, add: float = 0.5) -> np.ndarray:
@@ -137,12 +148,22 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def _row_matrix(model: ChatModel, text: str | None) -> np.ndarray:
-    e = model.emission(_lines(text))
-    out = model.step + e[0][None, :]
-    for x in e[1:]:
-        out = _times(out, model.step + x[None, :])
-    return out
+class _Matrices:
+    """Row matrices by what is observed; those of short rows, which come again and again, are kept."""
+
+    def __init__(self, model: ChatModel):
+        self.model, self.kept = model, {}
+
+    def of(self, codes: bytes) -> np.ndarray:
+        found = self.kept.get(codes)
+        if found is None:
+            e = self.model.emission(codes)
+            found = self.model.step + e[0][None, :]
+            for x in e[1:]:
+                found = _times(found, self.model.step + x[None, :])
+            if len(codes) <= 16 and len(self.kept) < 50_000:
+                self.kept[codes] = found
+        return found
 
 
 def _ends(entry: int, matrices: list[np.ndarray], leave: int | None) -> list[int]:
@@ -163,28 +184,47 @@ def _ends(entry: int, matrices: list[np.ndarray], leave: int | None) -> list[int
 
 
 def recovered(turns: DataFrame, model: ChatModel, conv: str = "conv_id", turn: str = "turn", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(conv, turn, text, entry, exit): the states before and at the end of every row on the best path.
+    """(conv, turn, text, seen, entry, exit): the states before and at the end of every row on the best path, and what
+    was observed of its lines.
 
-    entry is START before a conversation's first row.  Rows are ordered by turn, then text; rows that repeat are
-    lines said again.  Null texts are one empty line.  Rows with a null conversation or turn are left out.
+    entry is START before a conversation's first row.  Rows are ordered by turn, then by a digest of the text; rows
+    that repeat are lines said again.  Null texts are one empty line.  Of equally good paths the one with the
+    lower states, from the end on, is taken.  Rows with a null conversation or turn belong to no transcript and
+    aren't in the result.  An empty table gives an empty result; other columns are ignored.
     """
     shared = turns.sparkSession.sparkContext.broadcast(model)
     rows = turns.filter(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(text).alias("x"))
-    rows = rows.withColumn("b", F.floor(F.col("t") / block).cast("long"))
+    order = ["c", "t", "h", "u"]
+    ranges = rows.withColumns({"h": F.xxhash64("x"), "u": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
     kc, kt = turns.schema[conv].dataType, turns.schema[turn].dataType
-    flat = T.StructType([T.StructField("c", kc), T.StructField("b", T.LongType()), T.StructField("m", T.ArrayType(T.DoubleType()))])
+    dealt = T.StructType([T.StructField("c", kc), T.StructField("t", kt), T.StructField("x", T.StringType()), T.StructField("o", T.BinaryType()), T.StructField("b", T.LongType()), T.StructField("m", T.ArrayType(T.DoubleType()))])
 
-    def ordered(table: pa.Table) -> pa.Table:
-        return table.sort_by([("t", "ascending"), ("x", "ascending")])
-
-    def multiply(table: pa.Table) -> pa.Table:
-        m = None
-        for x in ordered(table).column("x").to_pylist():
-            r = _row_matrix(shared.value, x)
-            m = r if m is None else _times(m, r)
-        return pa.table({"c": table.column("c").slice(0, 1), "b": table.column("b").slice(0, 1), "m": pa.array([m.reshape(-1).tolist()], pa.list_(pa.float64()))})
-
-    blocks = stored(rows.groupBy("c", "b").applyInArrow(multiply, flat), "blocks")
+    def deal(batches):
+        """Every row with its block, and one more row with the product of each block."""
+        mats = _Matrices(shared.value)
+        b, size, m, last = TaskContext.get().partitionId() << 40, 0, None, None
+        for batch in batches:
+            seen, blocks, closed, convs = [], [], [], batch.column(0).to_pylist()
+            for c, x in zip(convs, batch.column(2).to_pylist(), strict=True):
+                if size and (c != last or size == block):
+                    closed.append((last, b, m))
+                    b, size, m = b + 1, 0, None
+                codes = _codes(x)
+                one = mats.of(codes)
+                m, size, last = one if m is None else _times(m, one), size + 1, c
+                seen.append(codes)
+                blocks.append(b)
+            none = pa.nulls(len(convs), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(seen, pa.binary()), pa.array(blocks, pa.int64()), none], dealt.names)
+            yield ends_of(closed, batch.schema)
+        if size:
+            yield ends_of([(last, b, m)], batch.schema)
+
+    def ends_of(closed, schema):
+        n = len(closed)
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in closed], schema.field(0).type), pa.nulls(n, schema.field(1).type), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.array([b for _, b, _ in closed], pa.int64()), pa.array([m.reshape(-1).tolist() for *_, m in closed], pa.list_(pa.float64()))], dealt.names)
+
+    dealt_rows = stored(ranges.select("c", "t", "x").mapInArrow(deal, dealt), "turns")
     ends = T.StructType([T.StructField("c", kc), T.StructField("b", T.LongType()), T.StructField("entry", T.IntegerType()), T.StructField("leave", T.IntegerType())])
 
     def chain(table: pa.Table) -> pa.Table:
@@ -193,18 +233,19 @@ def recovered(turns: DataFrame, model: ChatModel, conv: str = "conv_id", turn: s
         states = _ends(START, mats, None)
         return pa.table({"c": table.column("c"), "b": table.column("b"), "entry": pa.array([START, *states[:-1]], pa.int32()), "leave": pa.array(states, pa.int32())})
 
-    found = blocks.groupBy("c").applyInArrow(chain, ends)
-    out = T.StructType([T.StructField("c", kc), T.StructField("t", kt), T.StructField("x", T.StringType()), T.StructField("entry", T.IntegerType()), T.StructField("leave", T.IntegerType())])
+    found = dealt_rows.filter("m is not null").select("c", "b", "m").groupBy("c").applyInArrow(chain, ends).select("b", "entry", "leave")
+    out = T.StructType([T.StructField("c", kc), T.StructField("t", kt), T.StructField("x", T.StringType()), T.StructField("o", T.BinaryType()), T.StructField("entry", T.IntegerType()), T.StructField("leave", T.IntegerType())])
 
     def carry(table: pa.Table) -> pa.Table:
-        table = ordered(table)
-        model = shared.value
+        # rows of one turn in the order in which they were dealt: that of their digests
+        table = table.sort_by([("t", "ascending"), ("h", "ascending")])
+        mats = _Matrices(shared.value)
         entry, leave = table.column("entry")[0].as_py(), table.column("leave")[0].as_py()
-        mats = [_row_matrix(model, x) for x in table.column("x").to_pylist()]
-        states = _ends(entry, mats, leave)
-        return pa.table({"c": table.column("c"), "t": table.column("t"), "x": table.column("x"), "entry": pa.array([entry, *states[:-1]], pa.int32()), "leave": pa.array(states, pa.int32())})
+        states = _ends(entry, [mats.of(o) for o in table.column("o").to_pylist()], leave)
+        return pa.table({"c": table.column("c"), "t": table.column("t"), "x": table.column("x"), "o": table.column("o"), "entry": pa.array([entry, *states[:-1]], pa.int32()), "leave": pa.array(states, pa.int32())})
 
-    return rows.join(found, ["c", "b"]).groupBy("c", "b").applyInArrow(carry, out).select(F.col("c").alias(conv), F.col("t").alias(turn), F.col("x").alias(text), "entry", F.col("leave").alias("exit"))
+    carried = dealt_rows.filter("m is null").select("c", "t", "x", "o", "b", F.xxhash64("x").alias("h")).join(found, "b").groupBy("b").applyInArrow(carry, out)
+    return carried.select(F.col("c").alias(conv), F.col("t").alias(turn), F.col("x").alias(text), F.col("o").alias("seen"), "entry", F.col("leave").alias("exit"))
 
 
 def formatted(turns: DataFrame, model: ChatModel, conv: str = "conv_id", turn: str = "turn", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -213,22 +254,21 @@ def formatted(turns: DataFrame, model: ChatModel, conv: str = "conv_id", turn: s
 
     Every turn that begins in a row opens with ``<|role|>`` on a line of its own; the turn before it is closed
     with ``<|end|>`` first.  Rows in order of turn, joined by line feeds, are the conversation (its last turn
-    open).  Markers are taken off the lines that begin a turn.
+    open).  Markers are taken off the lines that begin a turn.  Rows with a null conversation or turn keep
+    their text as it is and have no role; for the rest recovered() says what nulls, repeats and ties give.
     """
     shared = turns.sparkSession.sparkContext.broadcast(model)
     found = recovered(turns, model, conv, turn, text, block)
     out = T.StructType([turns.schema[conv], turns.schema[turn], T.StructField("role", T.StringType()), T.StructField("roles", T.ArrayType(T.StringType())), T.StructField("rendered", T.StringType())])
 
     def render(batches):
+        model = shared.value
         for batch in batches:
             last, roles, texts = [], [], []
-            for x, entry, leave in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                lines = _lines(x)
-                model = shared.value
-                mats = [model.step + e[None, :] for e in model.emission(lines)]
-                states = _ends(entry, mats, leave)
+            for x, codes, entry, leave in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                states = [leave] if len(codes) == 1 else _ends(entry, [model.step + e[None, :] for e in model.emission(codes)], leave)
                 parts, held, before = [], [], entry
-                for line, s in zip(lines, states, strict=True):
+                for line, s in zip(_lines(x), states, strict=True):
                     if s % 2 == 0:
                         if before != START:
                             parts.append("<|end|>")
@@ -244,7 +284,8 @@ def formatted(turns: DataFrame, model: ChatModel, conv: str = "conv_id", turn: s
                 texts.append("\n".join(parts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(last, pa.string()), pa.array(roles, pa.list_(pa.string())), pa.array(texts, pa.string())], out.names)
 
-    return found.mapInArrow(render, out)
+    loose = turns.filter(F.col(conv).isNull() | F.col(turn).isNull()).select(F.col(conv), F.col(turn), F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("roles"), F.coalesce(F.col(text), F.lit("")).alias("rendered"))
+    return found.mapInArrow(render, out).union(loose)
 
 
 def marked(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -7,9 +7,10 @@ clamp over weight, so the fixed point is one window over the table of sources.
 
 A document of a source with rate ``target / size`` is taken ``floor(rate)`` times whole.  The fraction
 left over is a seeded draw: documents are ordered by a keyed digest of their id and taken once more until
-the source's target is met to the word; at most one document a source (where the line falls) is taken in
-part.  The order is never sorted as a whole: sizes are summed by source and leading digits of the
-digest, and only the one cell in which the line falls is ordered row by row.
+the source's target is met to the word; only the document where the line falls is taken in part.  Rows that
+repeat an id and a size are drawn as a unit, and where the line falls in one they share its words evenly.
+The order is never sorted as a whole: sizes are summed by source and leading digits of the digest; two
+steps of 256 cells find the cell in which the line falls, and only that one's ids are put in order.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, word_count
 
-#: Hex digits of the digest that make a cell: 16**4 cells a source.
-CELL_DIGITS = 4
+#: Hex digits of the digest that a step looks at (16**2 cells a source), and those that make a cell.
+STEP_DIGITS, CELL_DIGITS = 2, 4
 
 
 def _digest(key: Column, seed: str) -> Column:
@@ -47,6 +48,20 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], share: float, max_e
     return ranked.select("source", "source_size", "weight", F.when(F.col("clamped"), F.col("clamp")).otherwise(F.col("rest.left") * F.col("weight") / F.col("rest.open")).alias("target"))
 
 
+def _line(parts: DataFrame, place: list[str], size: str) -> DataFrame:
+    """(source, edge): of parts (source, place, size, room) in order of place, the one in which the running sum of
+    size passes the room, with the room that is left in it; a source whose parts all fit has no row."""
+    order = W.partitionBy("source").orderBy(*place)
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = parts.withColumn("left", F.col("room") - before).filter(f"left >= 0 and left < {size}")
+    return at.groupBy(F.col("source").alias("s")).agg(F.min(F.struct(*place, *[c for c in parts.columns if c not in ("source", "room", *place)], F.col("left").alias("room"))).alias("edge"))
+
+
+def _of(df: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+    """df joined with a table of sources, s, in which null is a source; broadcast where it is small."""
+    return df.join(F.broadcast(side) if _small(side) else side, F.col("source").eqNullSafe(F.col("s")), how).drop("s")
+
+
 def mixed(
     docs: DataFrame,
     key: str = "doc_id",
@@ -63,38 +78,33 @@ def mixed(
     size counts the words of the text (null: 0), taken the words that the mix takes, repeats how often the
     document is taken whole and part the words of one further, partial repetition.  taken is
     ``repeats * size + part`` and at most ``max_epochs * size`` rounded up to a whole repetition's words.
-    Documents without words are never taken.  Null sources are a source of their own.  Rows that repeat a
-    key are told apart by size and share its draw.  The same rows and seed give the same mix however they
-    are partitioned.  An empty table gives an empty result.
+    Documents without words are never taken.  Null sources are a source of their own, null keys one key.  Rows
+    that repeat a key in one source and size share its draw; where the line falls among them they are taken
+    alike, and the source may then miss its target by less than a word for each of them.  The same rows and
+    seed give the same mix however they are partitioned.  An empty table gives an empty result.
     """
     digest = _digest(F.col(key), seed)
     sized = docs.select(F.col(key).alias("__key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), digest.alias("digest"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
-    narrow = sized.select("__key", "source", "size", "digest") if keep else sized
-    narrow = narrow.withColumn("cell", F.substring("digest", 1, CELL_DIGITS))
-    cells = stored(narrow.groupBy("source", "cell").agg(F.sum("size").alias("words")), "cells")
+    narrow = sized.select("source", "size", "digest")
+    cells = stored(narrow.groupBy("source", F.substring("digest", 1, CELL_DIGITS).alias("cell")).agg(F.sum("size").alias("words")), "cells")
     plan = water_fill(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     # whole repetitions, and the words that are left for one more of some documents
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("extra", F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
-    plan = stored(plan, "plan")
-    running = F.sum("words").over(W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow))
-    at = cells.withColumn("upto", running).join(plan.select("source", "extra").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    edge = at.filter("upto > extra and upto - words <= extra").groupBy("source").agg(F.min(F.struct("cell", (F.col("extra") - F.col("upto") + F.col("words")).alias("room"))).alias("edge"))
-    plan = stored(plan.join(edge.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "plan")
-    # the documents of the one cell of each source in which the line falls
-    line = plan.select(F.col("source").alias("s"), "edge").filter("edge is not null")
-    inside = narrow.join(F.broadcast(line) if _small(line) else line, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("edge.cell")))
-    order = W.partitionBy("source").orderBy("digest", "size", "__key")
-    filled = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = inside.withColumn("room", F.col("edge.room") - filled).filter("room < size")
-    stops = inside.groupBy("source").agg(F.min(F.struct("digest", "size", F.col("__key").alias("k"), F.greatest("room", F.lit(0)).alias("room"))).alias("stop"))
-    plan = stored(plan.join(stops.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "plan")
-    side = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "extra", "edge", "stop")
-    full = sized.join(F.broadcast(side) if _small(side) else side, F.col("source").eqNullSafe(F.col("s")))
-    mine = F.struct(F.col("digest"), F.col("size"), F.col("__key").alias("k"))
-    stop = F.struct(F.col("stop.digest").alias("digest"), F.col("stop.size").alias("size"), F.col("stop.k").alias("k"))
-    again = (F.when(F.col("extra") <= 0, 0).when(F.col("edge").isNull() | F.col("stop").isNull(), F.when(F.col("edge").isNull() | (F.substring("digest", 1, CELL_DIGITS) <= F.col("edge.cell")), 1).otherwise(0)).when(mine < stop, 1).otherwise(0))
-    part = F.when((F.col("extra") > 0) & F.col("stop").isNotNull() & mine.eqNullSafe(stop), F.col("stop.room")).otherwise(F.lit(0)).cast("long")
+    plan = stored(plan.withColumn("extra", F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size")), "plan")
+    steps = cells.groupBy("source", F.substring("cell", 1, STEP_DIGITS).alias("step")).agg(F.sum("words").alias("words"))
+    step = _line(_of(steps, plan.select(F.col("source").alias("s"), F.col("extra").alias("room"))), ["step"], "words")
+    inside = _of(cells, step).filter(F.substring("cell", 1, STEP_DIGITS) == F.col("edge.step"))
+    cell = stored(_line(inside.select("source", "cell", "words", F.col("edge.room").alias("room")), ["cell"], "words"), "edge")
+    # the ids of the one cell of each source in which the line falls, rows of one id and size as a unit
+    inside = _of(narrow, cell).filter(F.substring("digest", 1, CELL_DIGITS) == F.col("edge.cell"))
+    units = inside.groupBy("source", "digest", "size").agg(F.count("*").alias("rows"), F.max("edge.room").alias("room")).withColumn("words", F.col("size") * F.col("rows"))
+    stop = stored(_line(units.select("source", "digest", "size", "rows", "words", "room"), ["digest", "size"], "words"), "stop")
+    side = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "extra").join(stop.select(F.col("s").alias("s2"), F.col("edge").alias("stop")), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
+    full = _of(sized, stored(side, "plan"))
+    mine, stops = F.struct("digest", "size"), F.struct(F.col("stop.digest").alias("digest"), F.col("stop.size").alias("size"))
+    # without a stop all rows fit, or none is wanted
+    again = F.when(F.col("stop").isNull(), (F.col("extra") > 0).cast("int")).when(mine < stops, 1).otherwise(0)
+    part = F.when(F.col("stop").isNotNull() & (mine == stops), F.floor(F.col("stop.room") / F.col("stop.rows"))).otherwise(0).cast("long")
     full = full.withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + again).otherwise(0).cast("long")).withColumn("part", part)
     return full.select(
         F.col("__key").alias(key),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .brown_lm import held_out_scores
 from .chat_format import fit_chat_model, formatted, marked
-from .common import table
+from .common import crc_mod, table
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_classes
 from .language_id import held_out_languages
@@ -21,9 +21,11 @@ from .url_filter import host, judged
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw transcripts of all conversations (markers in many styles, a quarter of them missing), parsed and rendered."""
+    """Raw transcripts of all conversations (markers in many styles, a quarter of them missing), parsed and rendered
+    by a model of four of five folds of them; held_out marks the conversations of the fifth."""
     raw = marked(table(spark, sf_dir, "conversations"))
-    return formatted(raw.drop("role"), fit_chat_model(raw))
+    held = crc_mod("conv_id", 5) == 2
+    return formatted(raw.drop("role"), fit_chat_model(raw.filter(~held))).withColumn("held_out", held)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,15 +119,17 @@ t AS (
   SELECT g.source, g.source_size, CASE WHEN g.clamped THEN g.clamp ELSE e.rest * g.weight / e.open END AS target
   FROM g LEFT JOIN e ON true),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+u AS (
+  SELECT source, digest, size, count(*) AS n, CAST(sum(size) AS BIGINT) AS words,
+         coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY digest, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled
+  FROM d GROUP BY source, digest, size),
 x AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, CAST(round(p.target) AS BIGINT) - p.whole * p.source_size AS extra,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.size, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, u.n, u.words, CAST(round(p.target) AS BIGINT) - p.whole * p.source_size - u.filled AS room
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN u ON d.source IS NOT DISTINCT FROM u.source AND d.digest = u.digest AND d.size = u.size)
 SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN size = 0 THEN 0 ELSE (whole + CASE WHEN extra - filled >= size THEN 1 ELSE 0 END) * size
-         + CASE WHEN extra - filled > 0 AND extra - filled < size THEN extra - filled ELSE 0 END END AS BIGINT) AS taken,
-       CAST(CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN extra - filled >= size THEN 1 ELSE 0 END END AS BIGINT) AS repeats,
-       CAST(CASE WHEN extra - filled > 0 AND extra - filled < size THEN extra - filled ELSE 0 END AS BIGINT) AS part
+       CAST(CASE WHEN size = 0 THEN 0 ELSE (whole + CASE WHEN room >= words THEN 1 ELSE 0 END) * size + CASE WHEN room > 0 AND room < words THEN room // n ELSE 0 END END AS BIGINT) AS taken,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN room >= words THEN 1 ELSE 0 END END AS BIGINT) AS repeats,
+       CAST(CASE WHEN room > 0 AND room < words THEN room // n ELSE 0 END AS BIGINT) AS part
 FROM x
 """
 
