@@ -4,9 +4,13 @@ A text and a licence template are aligned on the words that occur once in each:
 subsequence of their places anchors the alignment, and the gaps between anchors are aligned in the same
 way, after common words at their ends.  Coverage is the share of the template's words that align.
 
-A long document says its words many times, so the alignment looks at one stretch of the document at a
-time.  Words of a template that lie within ``slack`` times its length are a necessary condition of enough
-coverage within that length; only stretches that meet it are aligned, and all that meet it are.
+A long document says its words many times, so the alignment looks at one window of ``slack`` times the
+template's length at a time.  The words that a window and the template have in common, each as often as
+both have it, bound what can align in it, and are counted for all windows at once.  The window of the
+largest bound is aligned first; what is found in it is cut out, and the text before and after it is searched
+in the same way, down to windows whose bound is too small.  A window that fails is aligned with a quarter of
+the template's length before and after it, and no window in that stretch is tried again, so a text full of
+licence words takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -104,6 +108,8 @@ class Scanner:
         self.bits = np.zeros(1 << 16, dtype=bool)
         self.bits[(self.all >> np.uint64(48)).astype(np.int64)] = True
         self.member = np.array([np.isin(self.all, v) for v in self.vocab]).reshape(len(self.names), len(self.all))
+        #: How often each template has each of all words.
+        self.times = [np.bincount(np.searchsorted(self.all, w), minlength=len(self.all)) for w in words]
         self.min_coverage, self.slack = min_coverage, slack
 
     def scan(self, h: np.ndarray) -> list[Found]:
@@ -116,21 +122,53 @@ class Scanner:
         at, place = at[ok], place[ok]
         out = []
         for t, name in enumerate(self.names):
-            n = len(self.words[t])
-            need, span = int(np.ceil(self.min_coverage * n)), int(np.ceil(self.slack * n))
-            hits = at[self.member[t, place]]
-            if len(hits) < need:
+            own = self.member[t, place]
+            for first, end, matched in self._occurrences(h, at[own], place[own], t):
+                out.append(Found(name, matched / len(self.words[t]), first, end, matched))
+        return sorted(out, key=lambda f: (-f.matched, -f.coverage, f.first, f.license))
+
+    def _occurrences(self, h: np.ndarray, at: np.ndarray, word: np.ndarray, t: int) -> list[tuple[int, int, int]]:
+        """(first place, end, aligned words) of every occurrence of template t; at: places of its words in h."""
+        n = len(self.words[t])
+        need, span = int(np.ceil(self.min_coverage * n)), int(np.ceil(self.slack * n))
+        pad, found, todo = n // 4, [], [(0, len(at))]
+        while todo:
+            i, k = todo.pop()
+            if k - i < need:
                 continue
-            starts = hits[: len(hits) - need + 1][hits[need - 1 :] - hits[: len(hits) - need + 1] < span]
-            after = -1
-            for s in starts.tolist():
-                if s < after:
-                    continue
-                pairs = patience(h[s : s + span].tolist(), self.words[t])
+            bound = _in_common(at[i:k], word[i:k], self.times[t], span)
+            edge = int(at[k - 1]) + 1
+            while bound.max() >= need:
+                # the last of the best: it leaves out words before the occurrence
+                s = i + len(bound) - 1 - int(np.argmax(bound[::-1]))
+                lo, hi = int(at[s]), min(int(at[s]) + span, edge)
+                pairs = patience(h[lo:hi].tolist(), self.words[t])
+                if len(pairs) < need:
+                    lo, hi = max(lo - pad, int(at[i])), min(lo + span + pad, edge)
+                    pairs = patience(h[lo:hi].tolist(), self.words[t])
                 if len(pairs) >= need:
-                    after = s + pairs[-1][0] + 1
-                    out.append(Found(name, len(pairs) / n, s + pairs[0][0], after, len(pairs)))
-        return sorted(out, key=lambda f: (-f.matched, f.first, f.license))
+                    first, end = lo + pairs[0][0], lo + pairs[-1][0] + 1
+                    found.append((first, end, len(pairs)))
+                    todo += [(i, int(np.searchsorted(at, first))), (int(np.searchsorted(at, end)), k)]
+                    break
+                tried = slice(*(np.searchsorted(at[i:k], [int(at[s]) - pad, int(at[s]) + pad + 1])))
+                bound[tried] = 0
+        return found
+
+
+def _in_common(at: np.ndarray, word: np.ndarray, times: np.ndarray, span: int) -> np.ndarray:
+    """For the window of span words from each place in at: the words that it has in common with a template that
+    has word w times[w] times."""
+    order = np.lexsort((at, word))
+    # the place as many occurrences of the same word back as the template has of it: windows from there on up to
+    # the word itself count it
+    back = np.full(len(at), -1, dtype=np.int64)
+    rank = np.arange(len(at)) - times[word[order]]
+    ok = (rank >= 0) & (word[order][np.maximum(rank, 0)] == word[order])
+    back[order[ok]] = at[order[rank[ok]]]
+    after = np.searchsorted(at, np.maximum(back, at - span), side="right")
+    steps = np.bincount(after, minlength=len(at) + 1) - np.bincount(np.arange(len(at)) + 1, minlength=len(at) + 1)
+    return np.cumsum(steps)[: len(at)]
 
 
 def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, min_coverage: float = 0.75, slack: float = 1.25) -> DataFrame:
@@ -138,8 +176,10 @@ def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates
 
     licenses lists every occurrence of a template of which at least min_coverage aligns within slack times
     its length, as (license, coverage, first_word, end_word), most aligned words first; license and coverage are
-    the first one's, NULL and 0.0 where there is none.  Words are split at blanks and punctuation and
-    counted from 0.  Null and empty texts have none; other columns are ignored.
+    the first one's, NULL and 0.0 where there is none; of equally many the larger coverage, then the place,
+    then the name decides.  Words are split at blanks and punctuation and counted from 0.  Null and empty texts have none; rows
+    that repeat, also in their key, and null keys each have their own result; an empty table gives an empty
+    one.  Other columns, whatever their names, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates, min_coverage, slack))
     one = T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())])
