@@ -4,7 +4,8 @@ The n-word windows of the benchmark items are the seeds.  One pass counts every
 corpus.  A second pass looks the seeds up in every document, clusters the hits of an item by diagonal, and
 aligns the words around a cluster with the item, the clusters with the rarest seeds first.  No seed is
 dropped for its count: a cluster is left out only when the words it shares with the item can't reach the
-score asked for, or that of an alignment already found.  Nothing is shuffled but seed counts; a document
+score asked for, or that of an alignment already found.  An item of fewer than ``short_words`` words counts
+only where all of it stands, word for word; one of fewer than n words is a seed as a whole.  Nothing is shuffled but seed counts; a document
 is aligned in the task that read it.
 
 The benchmark goes to the executors in blocks of at most ``block_words`` words (a few MB), so its size
@@ -31,8 +32,8 @@ class Rule:
     """Parameters of the search."""
 
     n: int = 3
-    #: Items of fewer words give no evidence and are not searched.
-    min_words: int = 5
+    #: Items of fewer words are found only whole, word for word.
+    short_words: int = 5
     #: Distinct seeds that a cluster must hold (one for items with fewer than 6 seeds).
     min_seeds: int = 2
     #: Alignment score over that of the whole item, from which a document counts as contaminated.
@@ -51,6 +52,7 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     count: np.ndarray  # of each seed, over all documents
+    sizes: tuple[int, ...] = ()  # of the items that are shorter than a window
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash in seeds, -1 where it is none."""
@@ -60,14 +62,25 @@ class Items:
         return np.where(self.seeds[at] == h, at, -1)
 
 
-def _items(ids: list, texts: list[str], n: int, min_words: int) -> Items:
+def _windows(w: K.Words, n: int, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(place, hash) of all windows of n words, then of those of each smaller size that some item has."""
+    out = []
+    for size in (n, *sizes):
+        h, ok = K.windows(w, size)
+        at = np.flatnonzero(ok)
+        out.append((at, h[at]))
+    return out
+
+
+def _items(ids: list, texts: list[str], n: int) -> Items:
     kept, words, hashes, item, place = [], [], [], [], []
     for w in K.iter_words(pa.array(texts, pa.string())):
-        h, ok = K.windows(w, n)
+        by_size = {size: K.windows(w, size) for size in range(1, n + 1)}
         for i in range(len(w)):
             lo, hi = w.off[i], w.off[i + 1]
-            if hi - lo < min_words:
+            if hi == lo:
                 continue
+            h, ok = by_size[min(n, hi - lo)]
             at = np.flatnonzero(ok[lo:hi])
             hashes.append(h[lo:hi][at])
             item.append(np.full(len(at), len(kept)))
@@ -78,7 +91,7 @@ def _items(ids: list, texts: list[str], n: int, min_words: int) -> Items:
     seeds, inverse = np.unique(flat, return_inverse=True)
     order = np.argsort(inverse, kind="stable")
     cat = lambda x: np.concatenate(x)[order].astype(np.int32) if x else np.zeros(0, dtype=np.int32)
-    return Items(kept, words, seeds, np.searchsorted(inverse[order], np.arange(len(seeds) + 1)), cat(item), cat(place), np.zeros(len(seeds), dtype=np.int64))
+    return Items(kept, words, seeds, np.searchsorted(inverse[order], np.arange(len(seeds) + 1)), cat(item), cat(place), np.zeros(len(seeds), dtype=np.int64), tuple(sorted({len(x) for x in words if len(x) < n})))
 
 
 def _filter(seeds: np.ndarray) -> np.ndarray:
@@ -88,11 +101,19 @@ def _filter(seeds: np.ndarray) -> np.ndarray:
     return bits
 
 
-def _hits(items: Items, bits: np.ndarray, h: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose window is a seed, and the seed's index."""
-    at = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)] & ok)
-    found = items.lookup(h[at])
-    return at[found >= 0], found[found >= 0]
+def _hits(items: Items, bits: np.ndarray, w: K.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose window is a seed, and the seed's index, in order of place."""
+    places, seeds = [], []
+    for at, h in _windows(w, n, items.sizes):
+        some = bits[(h >> np.uint64(44)).astype(np.int64)]
+        at, found = at[some], items.lookup(h[some])
+        places.append(at[found >= 0])
+        seeds.append(found[found >= 0])
+    at, seed = np.concatenate(places), np.concatenate(seeds)
+    if items.sizes:
+        order = np.argsort(at, kind="stable")
+        at, seed = at[order], seed[order]
+    return at, seed
 
 
 def _counted(docs: DataFrame, text: str, items: Items, rule: Rule) -> Items:
@@ -104,8 +125,7 @@ def _counted(docs: DataFrame, text: str, items: Items, rule: Rule) -> Items:
         total = np.zeros(len(own.seeds), dtype=np.int64)
         for batch in batches:
             for w in K.iter_words(batch.column(0)):
-                h, ok = K.windows(w, rule.n)
-                total += np.bincount(_hits(own, bits, h, ok)[1], minlength=len(total))
+                total += np.bincount(_hits(own, bits, w, rule.n)[1], minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["seed", "n"])
 
@@ -152,7 +172,7 @@ def align_row(h: np.ndarray, hits: tuple[np.ndarray, np.ndarray], items: Items,
         own = item == k
         y = items.words[k]
         pad = max(3, len(y) // 5)
-        least, best = rule.min_score * MATCH * len(y), None
+        least, best = (rule.min_score if len(y) >= rule.short_words else 1.0) * MATCH * len(y), None
         clusters = _clusters((place - where)[own], max(2, len(y) // 2))
         for c in sorted(clusters, key=lambda c: items.count[seed[own][c]].min()):
             n_seeds = len(np.unique(seed[own][c]))
@@ -176,8 +196,7 @@ def align_row(h: np.ndarray, hits: tuple[np.ndarray, np.ndarray], items: Items,
 def _search(batch_text, items: Items, bits: np.ndarray, rule: Rule, seeds_of: np.ndarray):
     """(row, alignments) of the rows of a batch that have any."""
     for w in K.iter_words(batch_text):
-        h, ok = K.windows(w, rule.n)
-        at, seed = _hits(items, bits, h, ok)
+        at, seed = _hits(items, bits, w, rule.n)
         row = np.searchsorted(w.off, at, side="right") - 1
         for r in np.unique(row):
             lo, hi = np.searchsorted(row, [r, r + 1])
@@ -192,12 +211,12 @@ def _blocks(bench: DataFrame, key: str, text: str, rule: Rule) -> list[Items]:
     for r in bench.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").orderBy("k", "t").toLocalIterator():
         n = len(r.t.split())
         if ids and words + n > rule.block_words:
-            out.append(_items(ids, texts, rule.n, rule.min_words))
+            out.append(_items(ids, texts, rule.n))
             ids, texts, words = [], [], 0
         ids.append(r.k)
         texts.append(r.t)
         words += n
-    return out + ([_items(ids, texts, rule.n, rule.min_words)] if ids else [])
+    return out + ([_items(ids, texts, rule.n)] if ids else [])
 
 
 def _prepared(docs: DataFrame, text: str, bench: DataFrame, bench_key: str, bench_text: str, rule: Rule):
@@ -211,9 +230,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: s
     """One row for each document row and benchmark item that align with at least ``rule.min_score``:
     (key, item key, score, first_word, end_word, n_seeds); score is in (0, 1], the words are counted from 0.
 
-    Null and empty texts and texts of fewer than n words align with nothing.  Rows that repeat give rows
-    that repeat; a null key stays null.  Empty tables give an empty result.  Other columns are ignored.
+    Items of fewer than ``rule.short_words`` words have rows only for whole copies, of score 1.  Null and empty
+    texts, of documents and of items, align with nothing.  Rows that repeat give rows that repeat; a null key
+    stays null.  Of alignments of one score the first in the text is given.  Empty tables give an empty result.
+    Other columns are ignored; key columns of one name are an error.
     """
+    if key == bench_key:
+        raise ValueError("the key columns of documents and benchmark must have different names in the result")
     out = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(bench_key, bench.schema[bench_key].dataType), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("n_seeds", T.LongType())])
     parts = []
     for shared in _prepared(docs, text, bench, bench_key, bench_text, rule):
