@@ -29,7 +29,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -381,20 +380,25 @@ def lm_scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str =
 
     base_score is the add-one unigram score, score the model's log10 probability of the text.  Equal texts
     score the same, repeated rows give repeated rows, other columns of docs are ignored.  Words are
-    unknown when the training rows don't have them, and all are when there are no training rows.
+    unknown when the training rows don't have them, and all are when there are no training rows.  An empty
+    table gives an empty result.
+
+    Parts of a row meet again under two digests of its values, so that a task that runs again on rows in
+    another order gives the same; rows that are equal in all of these share their parts and are counted.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     k = len(model.words)
     fields = [f for c in keep for f in docs.schema.fields if f.name == c]
-    wide = T.StructType([T.StructField("row", T.LongType()), T.StructField("word", T.LongType()), T.StructField("shape", T.LongType()), T.StructField("times", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("log_p", T.DoubleType()), T.StructField("own", T.StructType(fields))])
+    wide = T.StructType([T.StructField("row", T.LongType()), T.StructField("row2", T.LongType()), T.StructField("word", T.LongType()), T.StructField("shape", T.LongType()), T.StructField("times", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("log_p", T.DoubleType()), T.StructField("own", T.StructType(fields))])
 
     def score(batches):
         m = shared.value
-        at = TaskContext.get().partitionId() << 36
         for batch in batches:
             own = pa.StructArray.from_arrays(batch.columns[: len(keep)], names=list(keep))
+            ids = [batch.column(len(keep) + j).to_numpy() for j in (1, 2)]
             for w in K.iter_words(batch.column(len(keep))):
                 n = len(w)
+                id1, id2 = (x[w.first : w.first + n] for x in ids)
                 shapes = _shapes(w)
                 place = m.places(w, shapes)
                 seq, before = _with_ends(place, w.off, k)
@@ -418,9 +422,10 @@ def lm_scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str =
                 one, none = np.arange(n), len(o)
                 mask = np.concatenate([np.zeros(n, dtype=bool), np.ones(none, dtype=bool)])
                 cols = [
-                    pa.array(np.concatenate([one, o]) + at),
+                    pa.array(id1[np.concatenate([one, o])]),
+                    pa.array(id2[np.concatenate([one, o])]),
                     # a row's own record takes a key that no other has, to be spread by the join
-                    pa.array(np.concatenate([K.mix((one + at).astype(np.uint64)).view(np.int64), h.astype(np.uint64).view(np.int64)])),
+                    pa.array(np.concatenate([K.mix(id1.view(np.uint64)).view(np.int64), h.astype(np.uint64).view(np.int64)])),
                     pa.array(np.concatenate([np.full(n, -1), s])),
                     pa.array(np.concatenate([np.diff(w.off) + 1, times])),
                     pa.array(np.concatenate([known, np.zeros(none, dtype=np.int64)])),
@@ -428,10 +433,12 @@ def lm_scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str =
                     pa.array(np.concatenate([log_p, np.zeros(none)])),
                     own.slice(w.first, n).take(pa.array(np.concatenate([one, np.zeros(none, dtype=np.int64)]), mask=mask)),
                 ]
-                at += n
                 yield pa.RecordBatch.from_arrays(cols, wide.names)
 
-    parts = docs.select(*keep, F.col(text).alias("__text")).mapInArrow(score, wide)
+    # a hash passes nulls over, so which values are null is hashed too
+    values = [F.col(c) for c in (*keep, text)]
+    nulls = [c.isNull() for c in values]
+    parts = docs.select(*keep, F.col(text).alias("__text"), F.xxhash64(*values, *nulls).alias("__1"), F.xxhash64(F.lit(7), *values, *nulls).alias("__2")).mapInArrow(score, wide)
     joined = parts.join(counts.filter("n = 1").select(F.col("word").alias("w"), F.col("n")), (F.col("word") == F.col("w")) & (F.col("shape") >= 0), "left")
     c = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     total = float(model.train_tokens + model.vocabulary + 1)
@@ -441,13 +448,16 @@ def lm_scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str =
     unseen = F.element_at(F.array(*[F.lit(float(u)) for _, u in per_shape]), (F.col("shape") + 1).cast("int"))
     tail = F.col("shape") >= 0
     joined = joined.select(
-        "row", "own", "shape",
+        "row", "row2", "own", "shape",
         F.when(tail, F.lit(0)).otherwise(F.col("times")).alias("n_tokens"),
         F.when(tail, F.when(c > 0, F.col("times")).otherwise(0)).otherwise(F.col("known")).alias("known"),
         F.when(tail, F.col("times") * F.log10((c + 1.0) / F.lit(total))).otherwise(F.col("base")).alias("base"),
         F.when(tail, F.col("times") * F.log10(F.when(c > 0, (c - F.lit(d)) / size).otherwise(unseen))).otherwise(F.col("log_p")).alias("log_p"),
     )
-    whole = joined.groupBy("row").agg(F.max("own").alias("own"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("log_p").alias("score"))
+    # n rows that are equal have n own records and n times the sums
+    whole = joined.groupBy("row", "row2").agg(F.max("own").alias("own"), F.count("own").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("log_p").alias("score"))
+    each = lambda c: (F.col(c) / F.col("rows")).alias(c)
+    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select("own", each("n_tokens"), each("n_known"), each("base_score"), each("score"))
     return whole.select("own.*", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(int(model.train_tokens)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
