@@ -55,18 +55,24 @@ class Layout:
     end_token: int = 50256
     dtype: str = "<u2"
     shard_bytes: int = 16 << 20
-    max_shards: int = 10_000
+    #: Tasks that write; from there on a task writes several shards, one after the other.
+    max_tasks: int = 10_000
 
     @property
     def stride(self) -> int:
         return self.seq_len * np.dtype(self.dtype).itemsize
 
 
-def _tokenizer(layout: Layout) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The encoding, loaded once a process, and the bytes of every token."""
+def _vocabulary(spark: SparkSession, layout: Layout):
+    """The bytes of the vocabulary file, read by the driver and sent to every executor once (a few MB at most)."""
+    with open(layout.vocabulary, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _tokenizer(layout: Layout, raw: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """The encoding of a vocabulary file's bytes, loaded once a process, and the bytes of every token."""
     if layout.vocabulary not in _loaded:
-        with open(layout.vocabulary, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
         lengths = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)
         lengths[list(ranks.values())] = [len(token) for token in ranks]
         _loaded[layout.vocabulary] = tiktoken.Encoding("words", pat_str=layout.pattern, mergeable_ranks=ranks, special_tokens={}), lengths
@@ -106,10 +112,10 @@ def _units(w: K.Words, rows_at: np.ndarray, plain: np.ndarray) -> tuple[np.ndarr
     return row, start, stop, name
 
 
-def encoded(arr, layout: Layout, count_only: bool = False):
+def encoded(arr, layout: Layout, vocabulary: bytes, count_only: bool = False):
     """(first row, token offsets, tokens) of runs of rows; every row ends with the end token.  With count_only
     the tokens are left out."""
-    enc, lengths = _tokenizer(layout)
+    enc, lengths = _tokenizer(layout, vocabulary)
     off, _ = K.buffers(arr)
     for w in K.iter_words(arr, lower=False):
         n, raw = len(w), w.low
@@ -249,12 +255,12 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return off, np.repeat(lo - off[:-1], n) + np.arange(off[-1])
 
 
-def _sequences(batches, layout: Layout):
+def _sequences(batches, layout: Layout, vocabulary: bytes):
     """(tokens of m sequences, m used lengths, offsets and values of their document ids) of a partition."""
     size = layout.seq_len
     held, held_ids, held_starts = np.zeros(0, dtype=np.int32), None, np.zeros(0, dtype=np.int64)
     for batch in batches:
-        for first, bounds, tokens in encoded(batch.column(1), layout):
+        for first, bounds, tokens in encoded(batch.column(1), layout, vocabulary):
             n = len(bounds) - 1
             ids = batch.column(0).slice(first, n)
             if held_ids is not None and len(held_ids):
@@ -294,13 +300,14 @@ def materialised(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
     """
     spark = docs.sparkSession
     docs = docs.select(key, text)
+    vocabulary = _vocabulary(spark, layout)
     if not stored_input:
         docs = stored(docs, "documents")
 
     def count(batches):
         tokens = 0
         for batch in batches:
-            for _, bounds, _ in encoded(batch.column(0), layout, count_only=True):
+            for _, bounds, _ in encoded(batch.column(0), layout, vocabulary.value, count_only=True):
                 tokens += int(bounds[-1])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([tokens])], ["part", "tokens"])
 
@@ -309,9 +316,10 @@ def materialised(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
     total, first = 0, {}
     for p in sorted(sequences):
         first[p], total = total, total + sequences[p]
-    n_shards = min(layout.max_shards, max(1, -(-total * layout.stride // layout.shard_bytes)))
+    n_shards = max(1, -(-total * layout.stride // layout.shard_bytes))
     per_shard = max(1, -(-total // n_shards))
     n_shards = max(1, -(-total // per_shard))
+    n_tasks = min(layout.max_tasks, n_shards)
     order = Feistel(max(1, total), layout.key)
     _write_manifest(spark, out, {"sequences": total, "seq_len": layout.seq_len, "dtype": layout.dtype, "stride": layout.stride, "per_shard": per_shard, "shards": n_shards if total else 0, "key": layout.key, "end_token": layout.end_token})
 
@@ -321,7 +329,7 @@ def materialised(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
     def place(batches):
         part = TaskContext.get().partitionId()
         at = first.get(part, 0)
-        for tokens, used, off, ids in _sequences(batches, layout):
+        for tokens, used, off, ids in _sequences(batches, layout, vocabulary.value):
             m = len(tokens)
             index = np.arange(at, at + m)
             if at + m > first.get(part, 0) + sequences.get(part, 0):
@@ -369,7 +377,7 @@ def materialised(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
             close()
 
     rows = docs.mapInArrow(place, placed)
-    return rows.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot").mapInArrow(write, written)
+    return rows.repartitionById(n_tasks, F.floor(F.col("shard").cast("long") * n_tasks / n_shards).cast("int")).sortWithinPartitions("slot").mapInArrow(write, written)
 
 
 def _write_manifest(spark: SparkSession, out: str, what: dict) -> None:
