@@ -1,8 +1,9 @@
-"""Document fingerprints: SimHash over weighted words, and permuted block tables for near fingerprints.
+"""Document fingerprints: SimHash over weighted word pairs, and permuted block tables for near fingerprints.
 
-All of it is DataFrame operations.  A fingerprint has 128 bits.  The terms of a text are its distinct
-words, weighted 1, 2 or 3 by length (short words are the common ones); each term's two 64-bit hashes vote
-with its weight for or against every bit.
+All of it is DataFrame operations.  A fingerprint has 128 bits.  The terms of a text are its words with the
+word that follows each, as often as they occur, weighted 1, 2 or 3 by how many of the two are longer than
+three characters (short words are the common ones); each term's two 64-bit hashes vote with its weight for
+or against every bit.
 
 Votes are counted four at a time: ``(h >> k) & 0x0001000100010001`` spreads every sixteenth bit of a hash
 over the 16-bit lanes of a long, so 32 sums in one generated aggregation serve 128 counters.  A lane holds
@@ -13,6 +14,7 @@ already dealt by their key, without a shuffle of its own.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -25,12 +27,18 @@ BITS = 128
 _LANES = 0x0001000100010001
 _PAIRS = 0x0000FFFF0000FFFF
 _CHUNK = 10_922
+#: Bits that near fingerprints may differ in.  Of the 18 pairs of different fingerprints in op8_jaccard_join's
+#: classes at sf0.1 (3-word shingles, Jaccard of 0.9 or more; they differ in 3 to 17 bits) 10 are within it.
+RADIUS = 9
+#: Keys that this divides are the queries of a near search.
+QUERY_STEP = 50
 
 
-def words(text: Column) -> Column:
-    """Distinct words, ASCII letters lower-cased."""
+def pairs_of_words(text: Column) -> Column:
+    """Every word, ASCII letters lower-cased, with the next one (null after the last), as an array of structs."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.array_distinct(F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    words = F.array_remove(F.split(low, r"[\x20\x09-\x0D]+"), "")
+    return F.arrays_zip(words.alias("word"), F.slice(words, F.lit(2), F.size(words)).alias("next"))
 
 
 def fingerprints(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
@@ -39,11 +47,11 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFram
     The keys name the rows.  Null texts and texts without words have an all-zero fingerprint; equal texts
     have equal fingerprints.
     """
-    tagged = rows.select(*keys, F.posexplode(F.array(*[words(F.col(t)) for t in texts])).alias("tag", "words"))
-    terms = tagged.select(*keys, "tag", F.posexplode_outer("words").alias("pos", "word"))
-    size = F.length("word")
-    weight = F.when(F.col("word").isNull(), 0).otherwise(1 + (size > 3).cast("int") + (size > 6).cast("int")).cast("long")
-    hashed = terms.select(*keys, "tag", F.floor(F.coalesce("pos", F.lit(0)) / _CHUNK).cast("int").alias("chunk"), F.xxhash64("word").alias("h0"), F.xxhash64("word", F.lit(1)).alias("h1"), weight.alias("w"))
+    tagged = rows.select(*keys, F.posexplode(F.array(*[pairs_of_words(F.col(t)) for t in texts])).alias("tag", "pairs"))
+    terms = tagged.select(*keys, "tag", F.posexplode_outer("pairs").alias("pos", "p")).select(*keys, "tag", "pos", F.col("p.word").alias("word"), F.col("p.next").alias("next"))
+    long = lambda c: F.coalesce((F.length(c) > 3).cast("int"), F.lit(0))
+    weight = F.when(F.col("word").isNull(), 0).otherwise(1 + long("word") + long("next")).cast("long")
+    hashed = terms.select(*keys, "tag", F.floor(F.coalesce("pos", F.lit(0)) / _CHUNK).cast("int").alias("chunk"), F.xxhash64("word", "next").alias("h0"), F.xxhash64("word", "next", F.lit(1)).alias("h1"), weight.alias("w"))
     votes = [F.sum(F.col("w") * F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))).alias(f"{h}_{k}") for h in ("h0", "h1") for k in range(16)]
     chunks = hashed.groupBy(*keys, "tag", "chunk").agg(F.sum("w").alias("w"), *votes)
     wide = [F.sum((F.shiftrightunsigned(f"{h}_{k}", 16) if odd else F.col(f"{h}_{k}")).bitwiseAND(F.lit(_PAIRS))).alias(f"{h}_{k}_{odd}") for h in ("h0", "h1") for k in range(16) for odd in (0, 1)]
@@ -73,13 +81,15 @@ def likeness(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.lit(1.0) - (F.bit_count(a.bitwiseXOR(c)) + F.bit_count(b.bitwiseXOR(d))) / F.lit(float(BITS))
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Bits in which two fingerprints, as text, differ."""
-    part = lambda s, i: F.conv(F.substring(s, 1 + 8 * i, 8), 16, 10).cast("long")
-    total = F.lit(0)
-    for i in range(BITS // 32):
-        total = total + F.bit_count(part(a, i).bitwiseXOR(part(b, i)))
-    return total
+def distance(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Bits in which two fingerprints, given by their halves, differ."""
+    return F.bit_count(a.bitwiseXOR(c)) + F.bit_count(b.bitwiseXOR(d))
+
+
+def _half(fp: Column, second: bool) -> Column:
+    """Half of a fingerprint as text, as a long."""
+    part = lambda i: F.conv(F.substring(fp, 1 + 8 * i + 16 * second, 8), 16, 10).cast("long")
+    return F.shiftleft(part(0), 32).bitwiseOR(part(1))
 
 
 def next_keys(docs: DataFrame, key: str, size: Column) -> DataFrame:
@@ -103,18 +113,22 @@ def next_keys(docs: DataFrame, key: str, size: Column) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: (key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+    """One row per document: (key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next, n_near).
 
     The edited text is the text with its last ``floor(n_chars / 3)`` code points replaced by the first as
     many (or all) of the next document's, in descending order of keys; the last document is followed by
     the first, and a single document by itself.  Null texts count as empty.  Rows that repeat a key are
     edited alike, with the longest text of the next key; a row with a null key has no next document: its
-    end is cut, and near_next compares with the empty text.  Other columns are ignored.
+    end is cut, and near_next compares with the empty text.  n_near, for keys that QUERY_STEP divides (null for
+    the others), is the number of rows of all whose fingerprint is within RADIUS bits, by block tables.  An
+    empty table gives an empty result.  Other columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     chain = stored(next_keys(docs, key, F.length(body)), "chain")
+    rows = chain.count()
     full = docs.select(F.col(key).alias("id"), body.alias("body"))
-    repeats = chain.count() != docs.filter(F.col(key).isNotNull()).count()
+    repeats = rows != docs.filter(F.col(key).isNotNull()).count()
     repeats = repeats or bool(docs.filter(F.col(key).isNull()).limit(1).count())
     if repeats:
         full = full.groupBy("id", "body").agg(F.count("*").alias("times"))
@@ -135,7 +149,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     out = done.join(after, "id", "left").withColumns({"a2": F.coalesce("a2", F.lit(0)), "b2": F.coalesce("b2", F.lit(0))})
     if repeats:
         out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return out.select(
+    out = out.select(
         F.col("id").alias(key),
         "n_chars",
         F.col("sha").alias("edited_sha256"),
@@ -144,40 +158,88 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         likeness(F.col("a0"), F.col("b0"), F.col("a1"), F.col("b1")).alias("near_edited"),
         likeness(F.col("a0"), F.col("b0"), F.col("a2"), F.col("b2")).alias("near_next"),
     )
+    asked = F.pmod(F.col(key).cast("long") if docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(key), F.lit(QUERY_STEP)) == 0
+    all_prints = done.select(F.col("id").alias(key), as_text(F.col("a0"), F.col("b0")).alias("fingerprint"), *(["times"] if repeats else []))
+    if repeats:
+        all_prints = all_prints.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    near = near_counts(all_prints, asked, key=key, blocks=blocks_for(rows, RADIUS))
+    named = near.select(F.col("fingerprint").alias("__asks"), "n_near")
+    return out.withColumn("__asks", F.when(asked, F.col("fingerprint"))).join(named, "__asks", "left").drop("__asks")
+
+
+def _tables(blocks: int, radius: int) -> list[list[tuple[int, int]]]:
+    """For every table, the bit ranges of its key; the ranges of two blocks that follow each other are one."""
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    return [[(edges[i], edges[i + 1]) for i in kept] for kept in combinations(range(blocks), blocks - radius)]
+
+
+def blocks_for(rows: int, radius: int, mates: int = 64) -> int:
+    """The least number of blocks with which the bits of a table's key are so many that, of rows unrelated
+    fingerprints, at most so many share a key.  The tables grow in number with it, and the search stays in proportion."""
+    need = math.log2(max(1, rows) / mates) if rows > mates else 0
+    return next((b for b in range(radius + 1, BITS + 1) if BITS * (b - radius) / b >= need), BITS)
+
+
+def _table_key(a: Column, b: Column, ranges: list[tuple[int, int]]) -> Column:
+    """The key of a table as a struct of two longs: the halves with all bits outside the ranges cleared."""
+    masks = [0, 0]
+    for lo, hi in ranges:
+        for bit in range(lo, hi):
+            masks[bit // 64] |= 1 << (63 - bit % 64)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.struct(a.bitwiseAND(F.lit(signed[0]).cast("long")).alias("a"), b.bitwiseAND(F.lit(signed[1]).cast("long")).alias("b"))
 
 
-def near_fingerprints(fps: DataFrame, radius: int = 9, key: str = "doc_id", fp: str = "fingerprint", blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+def block_matches(asked: DataFrame, classes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(asked's class x, classes' class y, bits) of all fingerprints within the radius of each other, by
+    permuted block tables; both sides have (class, a, b), a pair of equal fingerprints is one of them.
+
+    The bits are cut into blocks; every choice of ``blocks - radius`` of them is a table, keyed by the bits of
+    its blocks.  Two fingerprints within the radius agree on all blocks of some table; a pair is taken from the
+    first such table only.
+    """
+    if not 0 <= radius < blocks <= BITS:
+        raise ValueError("the radius must be smaller than the number of blocks")
+    tables = _tables(blocks, radius)
+    keyed = lambda df, p: df.select(F.col("class").alias(f"{p}"), F.col("a").alias(f"a{p}"), F.col("b").alias(f"b{p}"), F.posexplode(F.array(*[_table_key(F.col("a"), F.col("b"), t) for t in tables])).alias("table", "key"))
+    far = distance(F.col("ax"), F.col("bx"), F.col("ay"), F.col("by"))
+    both = keyed(asked, "x").join(keyed(classes, "y"), ["table", "key"]).filter(far <= radius)
+    first = F.lit(True)
+    for t, ranges in enumerate(tables):
+        first = first & ((F.col("table") <= t) | (_table_key(F.col("ax"), F.col("bx"), ranges) != _table_key(F.col("ay"), F.col("by"), ranges)))
+    return both.filter(first).select("x", "y", far.cast("int").alias("bits"))
+
+
+def _classes(fps: DataFrame, key: str, fp: str) -> tuple[DataFrame, DataFrame]:
+    fps = fps.select(F.col(key).alias("id"), F.col(fp).alias("fp")).filter("id is not null and fp is not null")
+    found = fps.groupBy("fp").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
+    return fps, found
+
+
+def near_fingerprints(fps: DataFrame, radius: int = RADIUS, key: str = "doc_id", fp: str = "fingerprint", blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All pairs of fingerprints within the radius, as (pairs, members).
 
     members has (key, class): class is the smallest key with the same fingerprint; pairs has (a, b, bits)
     for classes a < b whose fingerprints differ in at most radius bits.  Null keys and fingerprints are
-    left out.
+    left out.  With more blocks keys are longer and tables more; radius + 1 unless given (see blocks_for).
+    """
+    fps, found = _classes(fps, key, fp)
+    members = fps.join(found, "fp").select(F.col("id").alias(key), "class")
+    sides = found.select("class", _half(F.col("fp"), False).alias("a"), _half(F.col("fp"), True).alias("b"))
+    pairs = block_matches(sides, sides, radius, blocks or radius + 1).filter("x < y")
+    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "bits"), members
 
-    The bits are cut into ``blocks`` (radius + 1 unless given); every choice of ``blocks - radius`` of them
-    is a table, keyed by the bits of its blocks.  Two fingerprints within the radius agree on all blocks of
-    some table; a pair is taken from the first such table only.
 
-    The default radius is from the 17 pairs of different fingerprints that op8_jaccard_join's classes
-    (Jaccard of 0.9 or more) hold at sf0.1: they differ in 3 to 13 bits, 16 of them in at most 9 and 2 in
-    at most 3.  The least of 17,578 distances between sampled documents was 41.
+def near_counts(fps: DataFrame, asked: Column, radius: int = RADIUS, key: str = "doc_id", fp: str = "fingerprint", blocks: int | None = None) -> DataFrame:
+    """(fp, n_near) for the fingerprints of the rows that asked, a condition on key, holds for: the number of rows,
+    of all, whose fingerprint differs in at most radius bits, themselves included.
+
+    The search of a stated query set against all rows; rows of equal fingerprints are one entry of the tables,
+    with their number.  Null keys and fingerprints are left out.
     """
-    blocks = blocks or radius + 1
-    if not 0 <= radius < blocks <= BITS // 4:
-        raise ValueError("the radius must be smaller than the number of blocks, of which there are at most 32")
-    fps = fps.select(F.col(key).alias("id"), F.col(fp).alias("fp")).filter("id is not null and fp is not null")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("class"))
-    members = fps.join(classes, "fp").select(F.col("id").alias(key), "class")
-    edges = [round(i * BITS / 4 / blocks) for i in range(blocks + 1)]
-    tables = list(combinations(range(blocks), blocks - radius))
-
-    def table_key(c: Column, table: tuple[int, ...]) -> Column:
-        return F.concat(*[F.substring(c, edges[i] + 1, edges[i + 1] - edges[i]) for i in table])
-
-    keyed = classes.select("class", "fp", F.posexplode(F.array(*[table_key(F.col("fp"), t) for t in tables])).alias("table", "bits"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    before = F.lit(False)
-    for t, table in enumerate(tables):
-        before = before | ((F.col("x.table") > t) & (table_key(F.col("x.fp"), table) == table_key(F.col("y.fp"), table)))
-    far = distance(F.col("x.fp"), F.col("y.fp"))
-    pairs = x.join(y, (F.col("x.table") == F.col("y.table")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.class") < F.col("y.class")) & (far <= radius) & ~before)
-    return pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), far.cast("int").alias("bits")), members
+    fps, found = _classes(fps, key, fp)
+    halves = (_half(F.col("fp"), False).alias("a"), _half(F.col("fp"), True).alias("b"))
+    queries = fps.withColumnRenamed("id", key).filter(asked).select("fp").distinct().select(F.col("fp").alias("class"), *halves)
+    entries = found.select(F.struct("fp", "copies").alias("class"), *halves)
+    near = block_matches(queries, entries, radius, blocks or radius + 1)
+    return near.groupBy(F.col("x").alias(fp)).agg(F.sum("y.copies").alias("n_near"))
