@@ -27,7 +27,8 @@ def _log(x: Column) -> Column:
 
 
 def _inverse(x: Column) -> Column:
-    return F.when(x == 0, F.lit(INF)).otherwise(F.lit(1.0) / x)
+    # the two zeros are equal, but not as text
+    return F.when(x == 0, F.when(x.cast("string") == "-0.0", F.lit(-INF)).otherwise(F.lit(INF))).otherwise(F.lit(1.0) / x)
 
 
 def _sigmoid(x: Column) -> Column:

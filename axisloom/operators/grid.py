@@ -40,6 +40,13 @@ def pure_count(grid: DataFrame, target: int, keys: tuple[str, ...] = (), thresho
     return grid.groupBy(*keys).agg(F.coalesce(F.sum(F.when(t >= threshold * F.col("count"), t).otherwise(0)), F.lit(0)).alias("pure_count"))
 
 
+def pure_cells(grid: DataFrame, target: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, pure_cells, pure_rows, rows_per_pure_cell): cells of target rows alone; the mean is NULL without any."""
+    pure = (class_count(target) == F.col("count")) & (F.col("count") > 0)
+    out = grid.groupBy(*keys).agg(F.coalesce(F.sum(pure.cast("long")), F.lit(0)).alias("pure_cells"), F.coalesce(F.sum(F.when(pure, F.col("count"))), F.lit(0)).alias("pure_rows"))
+    return out.withColumn("rows_per_pure_cell", F.when(F.col("pure_cells") > 0, F.col("pure_rows") / F.col("pure_cells")))
+
+
 def dominant(grid: DataFrame) -> DataFrame:
     """grid with dominant, the first of the classes with most rows in the cell."""
     return grid.withColumn("dominant", F.array_position("class_counts", F.array_max("class_counts")).cast("int") - 1)

@@ -98,11 +98,19 @@ def training_error(df: DataFrame, cls: str = "cls", pred: str = "pred") -> DataF
     return df.agg(F.avg((F.col(cls) != F.col(pred)).cast("double")).alias("error"), F.avg((F.col(pred) >= 0).cast("double")).alias("scored"))
 
 
-def first_match(points: DataFrame, rects: DataFrame, x: str = "x", y: str = "y", key: str = "id") -> DataFrame:
+def first_match(points: DataFrame, rects: DataFrame, x: str = "x", y: str = "y", key: str = "id", side: int = 32) -> DataFrame:
     """(key, rule): for rule sets held as a table (rule, left, bottom, width, height), the smallest rule that
-    holds the point, or NULL.  A range join, meant for rules by the thousand."""
-    inside = in_rect(F.col(x), F.col(y), F.col("left"), F.col("bottom"), F.col("width"), F.col("height"))
-    hit = points.join(rects, inside).groupBy(key).agg(F.min("rule").alias("rule"))
+    holds the point, or NULL.
+
+    The unit square is cut into side * side cells (what lies outside belongs to the border's cells); points meet the
+    rectangles that touch their cell, by an equi-join.  Rows that repeat a key share the smallest of their rules.
+    """
+    clip = lambda v: F.least(F.greatest(F.floor(v * side), F.lit(0)), F.lit(side - 1)).cast("int")
+    range_of = lambda low, size: F.explode(F.sequence(clip(F.col(low)), clip(F.col(low) + F.col(size))))
+    wide = rects.filter("width >= 0 and height >= 0").withColumn("__i", range_of("left", "width")).withColumn("__j", range_of("bottom", "height"))
+    at = points.select(F.col(key), F.col(x).alias("__x"), F.col(y).alias("__y")).withColumns({"__i": clip(F.col("__x")), "__j": clip(F.col("__y"))})
+    inside = in_rect(F.col("__x"), F.col("__y"), F.col("left"), F.col("bottom"), F.col("width"), F.col("height"))
+    hit = at.join(wide, ["__i", "__j"]).filter(inside).groupBy(key).agg(F.min("rule").alias("rule"))
     return points.select(key).join(hit, key, "left")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import PairConfig
 from ..functions.geometry import resolution
 from ..operators.axis import with_placed
-from ..operators.grid import countable, pure_count, square_grid
+from ..operators.grid import countable, pure_cells, square_grid
 from ..operators.search import Measured, PairGenerator
 from ..operators.stats import class_statistics, collected_means, separating, separation, top_features
 from ..sources.sinks import grid_document, pair_name, pair_report, points, write_config
@@ -50,11 +50,12 @@ def generate_pairs(df: DataFrame, features: list[str], label: str, target, confi
         for i, m in enumerate(PairGenerator(rows, features, candidates, n, config).generate()):
             placed = with_placed(rows, {"x": (m.x, m.x_bounds), "y": (m.y, m.y_bounds)}, config.epsilon)
             grid = square_grid(countable(placed), n, len(labels))
-            pure = pure_count(grid, cls).first()["pure_count"]
+            cells = pure_cells(grid, cls).first()
+            pure = cells["pure_rows"]
             results.append(PairResult(m, pure, grid))
             if out:
                 zero = placed.agg(F.sum((F.col("x") == 0).cast("long")), F.sum((F.col("y") == 0).cast("long"))).first()
-                report.append(pair_report(i, m.x, m.y, pure, m.occupied, n, tuple(zero)))
+                report.append(pair_report(i, m.x, m.y, pure, m.occupied, n, tuple(v or 0 for v in zero), cells["pure_cells"], config.mode, int((n if config.mode == "1d" else n * n) * config.min_occupancy)))
                 if config.export_grids:
                     with open(os.path.join(out, f"{pair_name(i, pure)}.json"), "w", encoding="utf-8") as f:
                         json.dump(grid_document(grid, n, cls, [str(v) for v in labels], list(range(len(labels))), m.x, m.y, pure), f)

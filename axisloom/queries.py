@@ -303,6 +303,11 @@ def _(s, d):
     return G.pure_count(_grid(s, d), TARGET)
 
 
+@query("grid_pure_cells", f"SELECT CAST(count(*) FILTER (c{TARGET} = cnt) AS BIGINT) AS pure_cells, CAST(coalesce(sum(cnt) FILTER (c{TARGET} = cnt), 0) AS BIGINT) AS pure_rows, CAST(sum(cnt) FILTER (c{TARGET} = cnt) AS DOUBLE) / nullif(count(*) FILTER (c{TARGET} = cnt), 0) AS rows_per_pure_cell FROM ({_grid_sql()})")
+def _(s, d):
+    return G.pure_cells(_grid(s, d), TARGET)
+
+
 @query("grid_dominant_class", f"SELECT ix, iy, CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END AS dominant FROM ({_grid_sql()})")
 def _(s, d):
     return G.dominant(_grid(s, d)).select("ix", "iy", "dominant")
@@ -536,16 +541,22 @@ def _generated(s: SparkSession, d: str, config: PairConfig) -> DataFrame:
 
 @query("pair_generation_incremental")
 def _(s, d):
-    return _generated(s, d, PairConfig(pairs=1, max_attempts=1, transforms=("none", "square", "sqrt")))
+    return _generated(s, d, PairConfig(pairs=1, max_attempts=2))
 
 
 @query("pair_generation_final")
 def _(s, d):
-    return _generated(s, d, PairConfig(pairs=2, max_attempts=3, incremental=False, transforms=("none", "square", "sqrt", "sigmoid")))
+    return _generated(s, d, PairConfig(pairs=2, incremental=False))
+
+
+def _rich(s: SparkSession, d: str) -> DataFrame:
+    """Customers in two classes that the account balance separates."""
+    return _table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("a"), (F.col("c_custkey") % 97).cast("double").alias("b"), (F.col("c_acctbal") > 4500).cast("int").alias("cls"))
 
 
 def _covered(s: SparkSession, d: str, ratio: float | None) -> DataFrame:
-    rects, rows = cover(Grid.collected(_grid(s, d), TARGET, N), min_rows=1, purity=0.5, ratio=ratio)
+    at = placed(_rich(s, d), Axis((Term("a"), Term("b"))), Axis((Term("a"), Term("b", -1))))
+    rects, rows = cover(Grid.collected(G.square_grid(at, N, 2), 1, N), min_rows=1, purity=0.75, ratio=ratio)
     return s.createDataFrame([(i, *map(float, q.parts()), rows) for i, q in enumerate(rects)], "rect int, left double, bottom double, width double, height double, covered long")
 
 
@@ -560,8 +571,8 @@ def _(s, d):
 
 
 def _model(s: SparkSession, d: str) -> RectangleClassifier:
-    c = _table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("a"), (F.col("c_custkey") % 97).cast("double").alias("b"), (F.col("c_acctbal") > 4500).cast("string").alias("rich"))
-    return RectangleClassifier(voters=1, seed=1, config=TrainerConfig(pairs=4, covered_pairs=2, max_rules=4)).fit(c, ["a", "b"], "rich")
+    """Three voters; fewer pairs and rules than the defaults, which take some minutes even for so small a table."""
+    return RectangleClassifier(voters=3, seed=1, config=TrainerConfig(pairs=6, covered_pairs=3, max_rules=6)).fit(_rich(s, d), ["a", "b"], "cls")
 
 
 @query("trainer_fit")
@@ -572,8 +583,7 @@ def _(s, d):
 
 @query("model_predict")
 def _(s, d):
-    c = _table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("a"), (F.col("c_custkey") % 97).cast("double").alias("b"))
-    return _model(s, d).transform(c, "id")
+    return _model(s, d).transform(_rich(s, d).drop("cls"), "id")
 
 
 @query("sparse_projection")

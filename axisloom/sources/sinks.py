@@ -73,8 +73,17 @@ def write_config(path: str, config: PairConfig, **more) -> None:
         json.dump(asdict(config) | more, f, indent=2)
 
 
-def pair_report(i: int, x: Axis, y: Axis, pure: int, occupied: int, n: int, invalid: tuple[int, int]) -> str:
-    return "\n".join([f"Pair {i}: pure count {pure}, {occupied} of {n * n} cells occupied", f"  x = {formula(x)}  (rows without a value: {invalid[0]})", f"  y = {formula(y)}  (rows without a value: {invalid[1]})"])
+def pair_report(i: int, x: Axis, y: Axis, pure: int, occupied: int, n: int, invalid: tuple[int, int], pure_cells: int = 0, mode: str = "2d", required: int = 0) -> str:
+    """What a run says of one pair: purity, occupancy, rows without a value, formulas."""
+    mean = f"{pure / pure_cells:.2f}" if pure_cells else "N/A"
+    return "\n".join(
+        [
+            f"Pair {i}: pure count {pure} in {pure_cells} pure cells, {mean} rows each",
+            f"  {occupied} of {n * n} cells occupied ({100 * occupied / (n * n):.1f} %), {required} required ({mode})",
+            f"  x = {formula(x)}  (rows without a value: {invalid[0]})",
+            f"  y = {formula(y)}  (rows without a value: {invalid[1]})",
+        ]
+    )
 
 
 def run_summary(pairs: DataFrame) -> DataFrame:

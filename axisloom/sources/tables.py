@@ -10,17 +10,45 @@ from pyspark.sql import types as T
 from ..functions.transforms import clean
 
 
+#: Cells that count as missing in a CSV file.
+MISSING = ("", "na", "nan", "null", "none", "n/a")
+
+
+def _number(c: str, kind: str) -> Column:
+    """A cell as a number; missing ones are NULL, anything else that is no number is an error."""
+    cell = F.trim(F.col(c))
+    bad = F.raise_error(F.concat(F.lit(f"column {c}: not a number: "), cell)).cast(kind)
+    return F.when(cell.isNull() | F.lower(cell).isin(*MISSING), F.lit(None).cast(kind)).otherwise(F.coalesce(cell.try_cast(kind), bad))
+
+
 def read_csv(spark: SparkSession, path: str, features: list[str], label: str | None = None, name: str | None = None) -> DataFrame:
-    """A CSV file with a header: features as double, label as long, name as string; no schema inference."""
+    """A CSV file with a header: features as double, label as long, name as string; no schema inference.
+
+    Raises ValueError for missing feature columns; a cell that is neither a number nor missing fails the read.
+    """
     raw = spark.read.option("header", True).csv(path)
     check_columns(raw, features)
-    cols = [F.col(f).try_cast("double").alias(f) for f in features]
-    for c, kind in ((label, "bigint"), (name, "string")):
-        if c and c in raw.columns:
-            cols.append(F.col(c).try_cast(kind).alias(c))
+    cols = [_number(f, "double").alias(f) for f in features]
+    if label and label in raw.columns:
+        cols.append(_number(label, "bigint").alias(label))
+    if name and name in raw.columns:
+        cols.append(F.col(name))
     return raw.select(*cols)
 
 
+def from_rows(spark: SparkSession, rows, features: list[str], label: str = "cls") -> DataFrame:
+    """A small in-memory matrix whose last column is the label, as a table of doubles and a long."""
+    data = [(*map(float, r[:-1]), None if r[-1] is None else int(r[-1])) for r in rows]
+    return spark.createDataFrame(data, ", ".join([*(f"`{f}` double" for f in features), f"`{label}` long"]))
+
+
+def demo_table(spark: SparkSession, rows: int = 100, features: int = 10, classes: int = 2, seed: int = 42) -> DataFrame:
+    """A seeded table of normal features f0, f1, ... whose first two are shifted by the class, for trying things out."""
+    ids = spark.range(rows).withColumn("cls", (F.col("id") % classes).cast("int"))
+    shift = lambda j: F.lit(3.0) * F.col("cls") if j < 2 else F.lit(0.0)
+    return ids.select("id", *[(F.randn(seed + j) + shift(j)).alias(f"f{j}") for j in range(features)], "cls")
+
+
 def read_dictionary(spark: SparkSession, path: str, value: str = "bigint") -> DataFrame:
     """(name, value) of a JSON object of one level."""
     text = spark.read.option("wholetext", True).text(path)
