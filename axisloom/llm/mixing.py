@@ -128,12 +128,15 @@ def materialised(docs: DataFrame, key: str = "doc_id", text: str = "text", n_cha
 
     A partial repetition keeps the text up to its last taken word, and its n_chars.
     """
-    rest = tuple(c for c in docs.columns if c != key)
-    full = mixed(docs, key, text, keep=rest, **how)
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # what docs calls its columns can clash with nothing
+    how = {"source": "source"} | how
+    full = mixed(docs.withColumnsRenamed(names), names[key], names[text], keep=tuple(c for c in names.values() if c != names[key]), **how | {"source": names[how["source"]]})
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("repeats").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
-    out = full.select(F.col(key), *rest, F.explode(copies).alias("__words"))
-    cut = F.expr(f"array_join(slice(filter(split(`{text}`, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), 1, cast(__words as int)), ' ')")
-    out = out.withColumn(text, F.when(F.col("__words") >= 0, cut).otherwise(F.col(text)))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("__words") >= 0, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out.select(*docs.columns)
+    out = full.select(*names.values(), F.explode(copies).alias("words"))
+    own = names[text]
+    cut = F.expr(f"array_join(slice(filter(split(`{own}`, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), 1, cast(words as int)), ' ')")
+    out = out.withColumn(own, F.when(F.col("words") >= 0, cut).otherwise(F.col(own)))
+    if n_chars in names:
+        at = names[n_chars]
+        out = out.withColumn(at, F.when(F.col("words") >= 0, F.length(own).cast(docs.schema[n_chars].dataType)).otherwise(F.col(at)))
+    return out.select(*[F.col(v).alias(c) for c, v in names.items()])

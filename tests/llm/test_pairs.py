@@ -82,5 +82,34 @@ def test_one_stays(spark):
     assert kept.count(None) == 1
 
 
+def test_repeated_keys(spark):
+    """A key with several texts is one node, with the links of all of them."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda n=30: " ".join(rng.choices(words, k=n))
+    one, two, three, four = text(), text(), text(), text()
+    rows = [(3, one), (5, one), (5, two), (7, two), (9, three), (9, four), (11, four + " tail"), (2, three), (13, text()), (13, text()), (13, None), (14, ""), (15, four)]
+    rows += [(20 + k % 7, text(rng.choice([6, 20, 60]))) for k in range(40)]
+    long = text(3000).split()
+    for k in range(6):  # above WIDE_FROM, near and not so near
+        copy = list(long)
+        for i in rng.sample(range(3000), [0, 3, 20, 60, 120, 400][k]):
+            copy[i] = rng.choice(words)
+        rows += [(40 + k, " ".join(copy)), (50 + k % 3, " ".join(rng.choices(words, k=3000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, num in ((3, 90), (5, 80)):
+        assert got(jaccard_classes(df, n=n, num=num).select("doc_id", "n_shingles", "component_id")) == brute(rows, n, num, 100)
+
+
+def test_common_shingle(spark):
+    """One shingle in 20,000 unrelated documents, and near copies among them."""
+    rng = random.Random(9)
+    rows = [(k, f"all share this {' '.join(f'u{rng.randrange(10**6)}' for _ in range(20))}") for k in range(20_000)]
+    rows += [(20_000 + k, t.replace("all", "each", 1)) for k, t in rows[:50]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r.component_id for r in jaccard_classes(df, n=3, num=80).collect()}
+    assert all(found[k] == (k - 20_000 if k >= 20_000 else k) for k in found) and len(found) == 20_050
+
+
 def test_empty(spark):
     assert jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
