@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from axisloom.llm import language_id
-from axisloom.llm.brown_lm import exchange, fit_brown
+from axisloom.llm.brown_lm import exchange, fit_brown, lm_scores
 from axisloom.llm.decontaminate import contaminated, decontaminated, smith_waterman
 from axisloom.llm.language_id import Settings, fit_language_model, languages
 from axisloom.llm.queries import op2_language_id, op7_lm_scoring
@@ -133,3 +133,31 @@ def test_contaminated_repeated_edits(spark):
     assert {(r.doc_id, r.item_id): r.score for r in found} == {k: x for k, x in brute.items() if x >= 0.4}
     assert len(found) == 28
     assert sorted(r.doc_id for r in decontaminated(df, bench).collect()) == list(range(27, 57))
+
+
+def test_short_items(spark):
+    """Items of fewer than five words count whole, those of fewer than a window too."""
+    docs = [(1, "so be it then"), (2, "be it so"), (3, "yes it is"), (4, "one two three four"), (5, "one two three five"), (6, None), (7, "yesterday")]
+    bench = spark.createDataFrame([(1, "be it"), (2, "YES"), (3, "one two three four"), (4, "")], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.score, r.first_word, r.end_word) for r in contaminated(df, bench).collect()}
+    assert found == {(1, 1): (1.0, 1, 3), (2, 1): (1.0, 0, 2), (3, 2): (1.0, 0, 1), (4, 3): (1.0, 0, 4)}
+    with pytest.raises(ValueError, match="different names"):
+        contaminated(df, bench.withColumnRenamed("item_id", "doc_id"), bench_key="doc_id")
+
+
+def test_lm_edges(spark):
+    """Null and empty texts, repeated rows and keys, null keys, unseen words, empty tables, clashing columns."""
+    rows = [(1, None, 1), (1, "", 1), (2, "a b a", 2), (2, "a b a", 2), (None, "a b a", 3), (None, None, 3), (3, "unseen 42 words", 4), (4, "long " * 300_000, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    model, counts = fit_brown(df.filter("doc_id < 3"))
+    out = lm_scores(df.repartition(5), model, counts).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in out) == sorted((str(k), len((t or "").split()) + 1) for k, t, _ in rows)
+    same = [r.score for r in out if r.n_tokens == 4 and r.doc_id != 3]
+    assert len(same) == 3 and max(same) == pytest.approx(min(same)) and all(math.isfinite(r.score) and r.score < 0 for r in out)
+    # n tokens of a document, known words and all: a, b and the end
+    assert (model.train_tokens, model.vocabulary) == (10, 3)
+    assert {r.n_known for r in out if r.doc_id == 3} == {1}
+    assert lm_scores(df.limit(0), model, counts).collect() == []
+    none, no_counts = fit_brown(df.limit(0))
+    assert all(r.n_known == 0 for r in lm_scores(df, none, no_counts).collect())
