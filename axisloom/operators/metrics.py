@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import cell_centre
 from .grid import class_count
 
+#: How many tasks may share the cells of one pair when these meet each other.
+SLICES = 8
+
 
 def _cells(grid: DataFrame, target: int) -> DataFrame:
     t = class_count(target)
@@ -59,16 +62,26 @@ def threshold_metrics(grid: DataFrame, target: int) -> DataFrame:
     return out.select("pair", F.when((F.col("tt") > 0) & (F.col("nn") > 0), F.col("area")).otherwise(F.lit(0.5)).alias("auc"), F.when(F.col("tt") > 0, F.col("f1")).otherwise(F.lit(0.0)).alias("f1"))
 
 
-def silhouette(grid: DataFrame, target: int, n: int) -> DataFrame:
-    """(pair, sil): target against the rest, by distances of cell centres weighted with counts.
+def _meet(own: DataFrame, other: DataFrame) -> DataFrame:
+    """own joined with other, all cells of a pair with all of it, of which there are at most n * n.
 
-    Cells meet cells of their own pair only, of which there are at most n * n.
+    The result is far larger than what goes in, so its size and not the input's has to set the number of tasks: own is
+    cut in slices, other repeated for each of them, and the number of partitions is given, for otherwise
+    small inputs would be merged into one task.
     """
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = own.withColumn("slice", F.pmod(F.col("ix") + F.col("iy"), F.lit(SLICES)))
+    other = other.withColumn("slice", F.explode(F.array(*[F.lit(i) for i in range(SLICES)])))
+    return own.repartition(parts, "pair", "slice").join(other.repartition(parts, "pair", "slice").hint("shuffle_hash"), ["pair", "slice"])
+
+
+def silhouette(grid: DataFrame, target: int, n: int) -> DataFrame:
+    """(pair, sil): target against the rest, by distances of cell centres weighted with counts."""
     c = _cells(grid, target).withColumns({"x": cell_centre(F.col("ix"), n), "y": cell_centre(F.col("iy"), n)})
     own = c.filter("t > 0").select("pair", "ix", "iy", F.col("t").alias("w"), "x", "y")
     other = c.select("pair", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("t").alias("ot"), F.col("n").alias("on"))
     d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
-    s = own.join(other, "pair").groupBy("pair", "ix", "iy", "w").agg(F.sum(F.col("ot") * d).alias("da"), F.sum(F.col("on") * d).alias("db"), F.sum("ot").alias("tt"), F.sum("on").alias("nn"))
+    s = _meet(own, other).groupBy("pair", "slice", "ix", "iy", "w").agg(F.sum(F.col("ot") * d).alias("da"), F.sum(F.col("on") * d).alias("db"), F.sum("ot").alias("tt"), F.sum("on").alias("nn"))
     ok = (F.col("tt") > 1) & (F.col("nn") > 0)
     a, b = F.when(ok, F.col("da") / (F.col("tt") - 1)), F.when(ok, F.col("db") / F.col("nn"))
     big = F.greatest(a, b)
@@ -89,7 +102,7 @@ def silhouette_all(grid: DataFrame, n: int) -> DataFrame:
     other = each.select("pair", F.col("cls").alias("ocls"), F.col("w").alias("ow"), F.col("size").alias("osize"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
     # distances of a cell to all rows of a class, once for all classes of the cell
-    by = at.select("pair", "ix", "iy", "x", "y").join(other, "pair").groupBy("pair", "ix", "iy", "ocls", "osize").agg(F.sum(F.col("ow") * d).alias("d"))
+    by = _meet(at.select("pair", "ix", "iy", "x", "y"), other).groupBy("pair", "slice", "ix", "iy", "ocls", "osize").agg(F.sum(F.col("ow") * d).alias("d"))
     by = each.select("pair", "ix", "iy", "cls", "w", "size").join(by, ["pair", "ix", "iy"])
     a = F.max(F.when((F.col("cls") == F.col("ocls")) & (F.col("size") > F.col("w")), F.col("d") / (F.col("size") - F.col("w"))))
     b = F.min(F.when(F.col("cls") != F.col("ocls"), F.col("d") / F.col("osize")))
