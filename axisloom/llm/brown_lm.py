@@ -4,16 +4,19 @@ A word is predicted in two steps: its class from the class of the word before, a
 class.  Classes come from the exchange algorithm: starting from an assignment by frequency, each word in
 turn moves to the class that raises the likelihood of the training bigrams most, until no word moves.
 
-Scale.  Every word seen at least twice has a class of its own; the number of classes grows with theirs.
+Scale.  A word is placed in a class by its own neighbours if it is seen at least twice and makes up at least
+``least_share`` of all training tokens; call these the listed words.  There are at most 1 / ``least_share`` of them
+however large the corpus is (ten million by default), so what the driver and each executor hold of words is bounded.
+The number of classes grows with theirs.
 The most frequent ``cluster_words`` words are exchanged one by one on the driver, from a dense table of their
 bigram counts, until none moves; in it all other words stand for one of eight shapes (ends in punctuation,
-has a digit, has a byte above 127), those seen once apart from the others.  The other words seen at least twice then
+has a digit, has a byte above 127), the listed words apart from the others.  The other listed words then
 move in rounds on the executors, from sparse counts of each word by the class before and after it, where the classes of
 the first step are fixed (so a neighbour that isn't among the ``cluster_words`` counts as its shape).  A
 round moves each word to its best class under the model of the round before; rounds end when
-their likelihood rises by less than ``least_rise`` of itself.  Words seen once stay with their shape: they
-are what is known of unknown words.  The classes of all words seen twice go to the executors
-(18 bytes a word, so this grows with the vocabulary); words seen once are joined by word.
+their likelihood rises by less than ``least_rise`` of itself.  Words not listed stay with their shape: they
+are what is known of unknown words.  The classes of the listed words go to the executors (18 bytes a word); the
+counts of the others, which no bound holds for, are joined by word.
 
 Smoothing.  Class transitions back off to the class frequencies with a Dirichlet prior.  Words of a
 shape share its mass by absolute discounting; what the discount frees is the probability of a word never
@@ -25,6 +28,7 @@ Words are named by 64-bit hashes of their bytes.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +56,8 @@ class Settings:
     classes: int = 48
     class_growth: float = 0.3
     least_rise: float = 1e-4
+    #: Share of the training tokens from which on a word is listed; at most 1 / least_share words can reach it.
+    least_share: float = 1e-7
     prior: float = 20.0
 
 
@@ -113,15 +119,16 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class BrownModel:
-    """A fitted model; places 0 to k - 1 are the words seen at least twice, k the end token, k + 1 to k + 8 the shapes."""
+    """A fitted model; places 0 to k - 1 are the listed words, k the end token, k + 1 to k + 8 the shapes."""
 
-    words: np.ndarray  # sorted hashes of the words seen at least twice
+    words: np.ndarray  # sorted hashes of the listed words
     words_n: np.ndarray  # their counts
     class_of: np.ndarray  # class of each place
     log_next: np.ndarray  # log10 P(class | class before)
     log_place: np.ndarray  # log10 P(place | its class)
-    shape_n: np.ndarray  # tokens and types of each shape among the words seen once
+    shape_n: np.ndarray  # tokens and types of each shape among the words not listed
     shape_types: np.ndarray
+    least: int  # count from which on words are listed
     discount: float
     train_tokens: int
     vocabulary: int
@@ -296,7 +303,7 @@ def _best(contexts: DataFrame, classes: int, weights: np.ndarray, last: bool) ->
 
 
 def _start_places(start: tuple[np.ndarray, np.ndarray], w: K.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's place among the words seen at least twice (-1: none), and its place in the exchange of the k most frequent."""
+    """Each word's place among the listed words (-1: not listed), and its place in the exchange of the k most frequent."""
     words, core = start
     at, shapes = _find(words, w.h), _shapes(w)
     own = core[at] if len(core) else at
@@ -308,9 +315,13 @@ def fit_brown(train: DataFrame, text: str = "text", settings: Settings = Setting
     sc = train.sparkSession.sparkContext
     train = train.select(text)
     counts = stored(word_counts(train, text), "words")
-    sums_1 = {r["shape"]: r["c"] for r in counts.filter("n = 1").groupBy("shape").agg(F.count("*").alias("c")).collect()}
     n_docs = train.count()
-    top = counts.filter("n > 1").select("word", "n").toArrow()
+    tokens, n1, n2 = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    least = max(2, math.ceil((tokens + n_docs) * settings.least_share))
+    shape_n, shape_types = np.zeros(SHAPES), np.zeros(SHAPES)
+    for r in counts.filter(F.col("n") < least).groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        shape_n[r["shape"]], shape_types[r["shape"]] = r["n"], r["types"]
+    top = counts.filter(F.col("n") >= least).select("word", "n").toArrow()
     hashes, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(hashes)
     words, words_n = hashes[order], n[order]
@@ -358,18 +369,16 @@ def fit_brown(train: DataFrame, text: str = "text", settings: Settings = Setting
         return _with_ends(to[np.where(at >= 0, at, len(own) + 1 + _shapes(w))].astype(np.int64), w.off, int(to[len(own)]))
 
     table = _pair_sums(train, classes, codes)
-    once = [float(sums_1[s]) if s in sums_1 else 0.0 for s in range(SHAPES)]
-    floor = np.concatenate([words_n, [n_docs], once])
+    floor = np.concatenate([words_n, [n_docs], shape_n])
     # a place never seen (a shape without words) still gets a share
     floor = floor + 0.5 * (floor == 0)
     mass = np.bincount(class_of, weights=floor, minlength=classes)
     with np.errstate(divide="ignore", invalid="ignore"):
         log_next, log_place = np.log10(_transitions(table, mass, settings.prior)), np.log10(floor / mass[class_of])
-    n1, n2 = sum(sums_1.values()), int((words_n == 2).sum())
     model = BrownModel(
-        words, words_n, class_of, log_next, log_place.astype(np.float64), np.array(once), np.array(once),
+        words, words_n, class_of, log_next, log_place.astype(np.float64), shape_n, shape_types, least,
         min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2))),
-        int(words_n.sum()) + n1 + n_docs, v + n1 + (n_docs > 0), n_docs,
+        tokens + n_docs, v + int(shape_types.sum()) + (n_docs > 0), n_docs,
     )
     return model, counts
 
@@ -409,7 +418,7 @@ def lm_scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str =
                 owner = w.row_of_word()
                 base = np.bincount(owner, weights=_spread(here, m.log_base(c)), minlength=n) + m.log_base(m.end_count)
                 known = np.bincount(owner, weights=here, minlength=n).astype(np.int64) + (m.end_count > 0)
-                # words seen once or never, once a row
+                # words not listed, once a row
                 rare = np.flatnonzero(~here)
                 if len(rare):
                     order = np.lexsort((w.h[rare], owner[rare]))
@@ -439,7 +448,7 @@ def lm_scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str =
     values = [F.col(c) for c in (*keep, text)]
     nulls = [c.isNull() for c in values]
     parts = docs.select(*keep, F.col(text).alias("__text"), F.xxhash64(*values, *nulls).alias("__1"), F.xxhash64(F.lit(7), *values, *nulls).alias("__2")).mapInArrow(score, wide)
-    joined = parts.join(counts.filter("n = 1").select(F.col("word").alias("w"), F.col("n")), (F.col("word") == F.col("w")) & (F.col("shape") >= 0), "left")
+    joined = parts.join(counts.filter(F.col("n") < model.least).select(F.col("word").alias("w"), F.col("n")), (F.col("word") == F.col("w")) & (F.col("shape") >= 0), "left")
     c = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     total = float(model.train_tokens + model.vocabulary + 1)
     d = model.discount

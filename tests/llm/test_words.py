@@ -6,9 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from axisloom.llm import language_id
+from axisloom.llm import textkernel as K
+from axisloom.llm.brown_lm import Settings as LmSettings
+from axisloom.llm.brown_lm import _shapes as shapes_of
 from axisloom.llm.brown_lm import exchange, fit_brown, lm_scores
 from axisloom.llm.decontaminate import contaminated, decontaminated, smith_waterman
 from axisloom.llm.language_id import Settings, fit_language_model, languages
@@ -53,6 +57,10 @@ def test_language_sample_of_distinct_texts(spark, monkeypatch):
     assert 300 < len(taken[0]) == len(set(taken[0])) < 401
 
 
+def words_of(text):
+    return next(iter(K.iter_words(pa.array([text]))))
+
+
 def test_lm(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     tokens = {k: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UP)), None] for k, t in docs}
@@ -161,3 +169,24 @@ def test_lm_edges(spark):
     assert lm_scores(df.limit(0), model, counts).collect() == []
     none, no_counts = fit_brown(df.limit(0))
     assert all(r.n_known == 0 for r in lm_scores(df, none, no_counts).collect())
+
+
+@pytest.mark.parametrize("share", [1e-7, 0.03, 1.0])
+def test_lm_probabilities_sum_to_one(spark, share):
+    """The known words, the end and an unknown word of each shape, after the start of a text."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{chr(97 + i % 26)}{'.' if i % 3 == 0 else ''}{i if i % 4 == 0 else ''}{'é' if i % 5 == 0 else ''}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary, 30, p=np.arange(1, 61) / 1830)) for _ in range(20)]
+    counts = Counter(w for t in texts for w in t.split())
+    model, table = fit_brown(spark.createDataFrame([(t,) for t in texts], "text string"), settings=LmSettings(least_share=share))
+    assert model.least == max(2, math.ceil(620 * share)) and len(model.words) == sum(n >= model.least for n in counts.values())
+    unknown = {(p, d, h): f"zz{'7' if d else ''}{'ü' if h else ''}{'!' if p else 'z'}" for p in (0, 1) for d in (0, 1) for h in (0, 1)}
+    tail = {(w[-1] in ".,;:!?", any(c.isdigit() for c in w), not w.isascii()) for w, n in counts.items() if n < model.least}
+    docs = [*counts, *unknown.values(), ""]
+    of = {r.text: r for r in lm_scores(spark.createDataFrame([(t,) for t in docs], "text string"), model, table, keep=("text",)).collect()}
+    places = {w: model.places(w_, shapes_of(w_))[0] if w else len(model.words) for w in docs for w_ in [words_of(w)]}
+    end = len(model.words)
+    p = {w: 10 ** (of[w].score - (model.log_next[model.class_of[places[w]], model.class_of[end]] + model.log_place[end] if w else 0)) for w in docs}
+    assert sum(p.values()) == pytest.approx(1.0)
+    assert all(of[w].n_known == (w in counts) + 1 for w in docs if w)
+    assert len({places[unknown[s]] for s in tail}) == len(tail)
