@@ -328,14 +328,17 @@ def one_of_each_class(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """The rows of docs, with all their columns, without near duplicates: of each component of
     jaccard_classes() the row with the smallest key stays.
 
-    Of rows that repeat that key one stays.  Rows with a null key can't be told apart and all stay.
+    Where a key repeats, rows are named by the key and a digest of the text: texts of one key that aren't near
+    duplicates all stay, of rows that repeat both one does.  Rows with a null key can't be told apart and all stay.
     """
-    classes = stored(jaccard_classes(docs, key, text, **how).select(F.col(key).alias("__id"), "component_id"), "classes")
-    n, distinct = classes.agg(F.count("__id"), F.count_distinct("__id")).first()
+    n, distinct = docs.agg(F.count(key), F.count_distinct(key)).first()
+    name = F.col(key) if n == distinct else F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text")))
+    named = docs.select(name.alias("__id"), F.col(text).alias("__text"))
+    classes = stored(jaccard_classes(named, "__id", "__text", **how).select("__id", "component_id"), "classes")
     keep = classes.filter("__id = component_id").select("__id").distinct()
-    kept = docs.join(keep, docs[key] == keep["__id"], "left_semi")
+    kept = docs.join(keep, name == keep["__id"], "left_semi")
     if n != distinct:
-        kept = kept.dropDuplicates([key])
+        kept = kept.withColumn("__id", name).dropDuplicates(["__id"]).drop("__id")
     if classes.filter("__id is null").limit(1).count():
         kept = kept.unionByName(docs.filter(F.col(key).isNull()))
     return kept.select(*docs.columns)

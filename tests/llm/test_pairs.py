@@ -82,6 +82,15 @@ def test_one_stays(spark):
     assert kept.count(None) == 1
 
 
+def test_one_stays_of_repeated_keys(spark):
+    """Texts of one key that are no near duplicates all stay, and what is near to any of them goes."""
+    rng = random.Random(12)
+    one, two, three = (" ".join(rng.choices([f"w{i}" for i in range(300)], k=40)) for _ in range(3))
+    rows = [(3, one), (5, one), (5, two), (5, two), (7, two + " tail"), (9, three), (9, three), (None, one), (None, one), (11, None), (11, None)]
+    kept = one_of_each_class(spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, component_id string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(3, one), (5, two), (9, three), (None, one), (None, one), (11, None)], key=str)
+
+
 def test_repeated_keys(spark):
     """A key with several texts is one node, with the links of all of them."""
     rng = random.Random(8)
