@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from .brown_lm import held_out_scores
 from .chat_format import fit_chat_model, formatted, marked
+from .collision import near_vectors
 from .common import crc_mod, table
 from .decontaminate import contaminated
+from .fill_middle import digests
 from .jaccard_join import jaccard_classes
 from .language_id import held_out_languages
 from .license_scan import licenses
 from .materialise import written_index
 from .mixing import mixed
 from .simhash import edited_fingerprints
+from .spelling import spelling_variants, vocabulary
 from .url_filter import host, judged
 
 
@@ -154,6 +157,40 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, one run in 97 misspelt by deletion, with the words one edit away and their root form."""
+    return spelling_variants(vocabulary(table(spark, sf_dir, "documents"), one_in=97))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every document by code points, and the digests of its output and of the text rebuilt."""
+    return digests(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+r AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM r),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1, n - b) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings of one label with a cosine of 0.93 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -166,8 +203,11 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_token_output": op9_token_output,
         "op10_decontamination": op10_decontamination,
+        "op11_spelling": op11_spelling,
+        "op12_fill_middle": op12_fill_middle,
+        "op13_near_vectors": op13_near_vectors,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op5_url_filter": OP5_SQL}
+    return {"op3_mixing": OP3_SQL, "op5_url_filter": OP5_SQL, "op12_fill_middle": OP12_SQL}
