@@ -1,8 +1,9 @@
 """Chat formatting: roles of transcript lines by a hidden Markov model, then canonical turns.
 
 States are (role, whether a turn begins here).  A line emits independent features: the kind of speaker
-marker at its head, its length, its last character, and whether it is the transcript's first.  Start, transition
-and emission probabilities are smoothed counts of labelled transcripts; Viterbi recovers the states.
+marker at its head, its length, its last character, and whether it is the first of its row.  Inside a row a turn begins
+only where a role's marker stands, so that the lines of a row without one vote on one role together.  Start,
+transition and emission probabilities are smoothed counts of labelled transcripts; Viterbi recovers the states.
 
 A transcript comes as rows (conversation, turn, text), in order of turn; its length isn't bounded.  Viterbi is
 a product of matrices under (max, +): every row gives a matrix of best scores from the state before it to
@@ -46,6 +47,8 @@ S = 2 * len(ROLES)
 START = S
 _NEVER = -1e9
 _KINDS, _SIZES, _ENDS = 5, 5, 4
+#: Added to the code of a row's first line.
+_FIRST = _KINDS * _SIZES * _ENDS
 
 
 def _marker(line: str) -> tuple[int, int]:
@@ -71,22 +74,27 @@ def _lines(text: str | None) -> list[str]:
 
 def _codes(text: str | None) -> bytes:
     """What is observed of the lines of a text, a byte a line."""
-    return bytes((k * _SIZES + s) * _ENDS + e for k, s, e in map(_observe, _lines(text)))
+    return bytes((k * _SIZES + s) * _ENDS + e + _FIRST * (i == 0) for i, (k, s, e) in enumerate(map(_observe, _lines(text))))
 
 
 @dataclass(frozen=True)
 class ChatModel:
-    """Log probabilities: steps (from S states and START to as many) and emissions by feature (S x values)."""
+    """Log probabilities: steps (from S states and START to as many), emissions by feature (S x values), and that a
+    line is the first of its row (S)."""
 
     step: np.ndarray
     kind: np.ndarray
     size: np.ndarray
     end: np.ndarray
+    first: np.ndarray
 
     def emission(self, codes: bytes) -> np.ndarray:
         """Log probability of each line's features in each state, and of none in START."""
         o = np.frombuffer(codes, dtype=np.uint8)
-        seen = (self.kind[:, o // (_SIZES * _ENDS)] + self.size[:, o // _ENDS % _SIZES] + self.end[:, o % _ENDS]).T
+        first, o = o >= _FIRST, o % _FIRST
+        kind = o // (_SIZES * _ENDS)
+        seen = (self.kind[:, kind] + self.size[:, o // _ENDS % _SIZES] + self.end[:, o % _ENDS] + self.first[:, None] * first).T
+        seen[:, ::2][~first & ((kind == 0) | (kind == 4))] = _NEVER
         return np.hstack([seen, np.full((len(o), 1), _NEVER)])
 
 
@@ -95,11 +103,22 @@ def _log(counts: np.ndarray, add: float = 0.5) -> np.ndarray:
     return np.log(p / p.sum(axis=-1, keepdims=True))
 
 
+def _backed(counts: np.ndarray, prior: float = 4.0) -> np.ndarray:
+    """_log of the counts of a feature by state, backed by ``prior`` counts spread as the states that begin turns, or those
+    that continue them, have it together: a role seldom seen has the lines of the others."""
+    out = counts.copy()
+    for side in (0, 1):
+        pool = counts[side::2].sum(axis=0) + 0.5
+        out[side::2] += prior * pool / pool.sum()
+    return _log(out, 0.1)
+
+
 def fit_chat_model(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> ChatModel:
     """Counts over transcripts with known roles; rows of other roles and null texts are left out.
 
     A row's first line begins a turn of its role, the others continue it.  Steps between rows are counted from a
-    turn to the next number (a join on both keys).
+    turn to the next number (a join on both keys).  Repeated rows count as often as they occur; an empty table gives
+    the model of no counts, in which all values of a feature are equally likely.
     """
     known = turns.filter(F.col(role).isin(*ROLES) & F.col(text).isNotNull()).select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))
 
@@ -133,14 +152,23 @@ def fit_chat_model(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     for r in first.collect():
         start[2 * ROLES.index(r[0])] += r["count"]
     step = np.full((S + 1, S + 1), _NEVER)
+    inside = tables["step"][1::2].sum()
+    stay = sum(tables["step"][b, b] for b in range(1, S, 2)) / inside if inside else 0.5
+    for b in range(1, S, 2):  # a role seldom seen goes on as the others do
+        tables["step"][b - 1 : b + 1, b] += 2 * stay
     step[:S, :S] = _log(tables["step"])
     step[START, :S] = _log(start)
+    for k in range(len(ROLES)):  # what the words of MARKERS say before any count
+        tables["kind"][2 * k, k + 1] += 2
+        tables["kind"][2 * k + 1, 0] += 2
+    began = tables["end"].sum(axis=1)
+    first = np.where(np.arange(S) % 2 == 0, _log(np.stack([began, 0 * began], axis=1))[:, 0], _log(np.stack([0 * began, began], axis=1))[:, 0])
     # a transcript begins with a turn, and a turn is continued in its own role
     for b in range(1, S, 2):
         for a in range(S + 1):
             if a == START or a // 2 != b // 2:
                 step[a, b] = _NEVER
-    return ChatModel(step, _log(tables["kind"]), _log(tables["size"]), _log(tables["end"]))
+    return ChatModel(step, _log(tables["kind"]), _backed(tables["size"]), _backed(tables["end"]), first)
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from axisloom.llm import license_texts
-from axisloom.llm.chat_format import START, S, fit_chat_model, formatted, marked, recovered
+from axisloom.llm.chat_format import _marker, START, S, fit_chat_model, formatted, marked, recovered
 from axisloom.llm.license_scan import _in_common, licenses, patience
 from axisloom.llm.materialise import PATTERN, VOCABULARY, Feistel, Layout, materialised, read_sequences
 from axisloom.llm.mixing import materialised as repeated
@@ -199,11 +199,43 @@ def test_words_in_common():
             assert bound == sum(min(v, times[w]) for w, v in own.items())
 
 
-def test_chat(spark):
-    known = {(r.conv_id, r.turn): r.role for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
-    rows = op1_chat_format(spark, SF).collect()
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_chat(spark, sf):
+    """Held-out rows: roles of those with a marker, of those without, and one role a row where no marker stands inside."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/conversations.parquet")
+    known = {(r.conv_id, r.turn): r.role for r in table.collect()}
+    raw = {(r.conv_id, r.turn): r.text for r in marked(table).collect()}
+    texts = {(r.conv_id, r.turn): r.text for r in table.collect()}
+    rows = op1_chat_format(spark, f"/root/testdata/{sf}").collect()
     assert len(rows) == len(known)
-    assert np.mean([known[r.conv_id, r.turn] == r.role for r in rows if r.held_out]) > 0.85
+    assert all(len(r.roles) == 1 for r in rows if not any(1 <= _marker(x)[0] <= 3 for x in raw[r.conv_id, r.turn].split("\n")[1:]))
+    right = {True: [], False: []}
+    for r in rows:
+        k = (r.conv_id, r.turn)
+        if r.held_out:
+            right[raw[k] != texts[k]].append(known[k] == r.role)
+    assert np.mean(right[True] + right[False]) > 0.85
+    assert np.mean(right[True]) >= 0.99
+    if sf == "sf0.01":
+        assert len(right[False]) > 20 and np.mean(right[False]) > 0.9
+
+
+def test_chat_long_rows_and_ties(spark):
+    """A row of very many lines, marked turns inside a row, and rows of one turn that tie."""
+    model = fit_chat_model(marked(spark.read.parquet(f"{SF}/conversations.parquet")))
+    long = "\n".join(["User: begin"] + ["more of it."] * 60_000)
+    rows = [(1, 0, long), (2, 0, "User: hi?\nand this\nBot: hello.\nUser: bye"), (3, 1, "Bot: b"), (3, 1, "User: a"), (3, 1, "User: a"), (3, 2, "Assistant: c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    out = formatted(df, model).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.conv_id, []).append(r)
+    assert by[1][0].roles == ["user"] and by[1][0].rendered == "<|user|>\n" + long.removeprefix("User: ")
+    assert by[2][0].roles == ["user", "assistant", "user"] and by[2][0].role == "user"
+    assert by[2][0].rendered == "<|user|>\nhi?\nand this\n<|end|>\n<|assistant|>\nhello.\n<|end|>\n<|user|>\nbye"
+    # tied rows come in the order of their texts' digests, however they are dealt
+    again = formatted(df.orderBy(F.desc("text")).coalesce(1), model, block=1).collect()
+    assert len(by[3]) == 4 and sorted(map(tuple, out), key=str) == sorted(map(tuple, again), key=str)
 
 
 def test_chat_paths(spark):
