@@ -101,6 +101,12 @@ def _term_columns(df: DataFrame, axes: list[Axis], keep: list[str], epsilon: flo
     return out, names
 
 
+def term_arrays(axes: list[Axis], feature, epsilon: float = EPSILON) -> tuple[list[Column], dict[tuple[str, str], int]]:
+    """The distinct (feature, transform) of the axes as columns over feature(name), NULL where missing, and their places."""
+    terms = list(dict.fromkeys((t.feature, t.transform) for a in axes for t in a.terms))
+    return [transform(clean(feature(f)), t, epsilon) for f, t in terms], {t: i for i, t in enumerate(terms)}
+
+
 def _add(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 

@@ -1,18 +1,23 @@
 """Rectangles as rules: first match, nearest rule, votes.
 
-A rule's rectangles live in the plane of its own two axes.  Rules are few (they come from a trained
-model), so they are inlined as expressions; scoring is one narrow pass without joins.
+A rule's rectangles live in the plane of its own two axes.  A few rules are inlined as expressions; those of a
+whole model are data that goes to the tasks (``scored_rows``), where a batch of rows meets them at once.  Either way
+scoring is one narrow pass without joins.  Rectangles of one plane that are held as a table are found by a join
+(``first_match``, ``nearest_rule``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_rect, rect_distance
-from .axis import Axis, Bounds, with_placed
+from .axis import Axis, Bounds, term_arrays, with_placed
 
 MATCH_WEIGHT, NEAR_WEIGHT = 10.0, 3.0
 
@@ -114,6 +119,128 @@ def first_match(points: DataFrame, rects: DataFrame, x: str = "x", y: str = "y",
     return points.select(key).join(hit, key, "left")
 
 
+def _box(df: DataFrame, low: list[Column], high: list[Column]) -> list[float | None]:
+    """Least and greatest finite value along x and along y."""
+    finite = lambda c: F.when(F.abs(c) < F.lit(float("inf")), c)
+    return list(df.agg(F.min(finite(low[0])), F.max(finite(high[0])), F.min(finite(low[1])), F.max(finite(high[1]))).first())
+
+
+def nearest_rule(points: DataFrame, rects: DataFrame, x: str = "x", y: str = "y", side: int = 32) -> DataFrame:
+    """points with rule, inside and distance, for rectangles held as a table (rule, left, bottom, width, height): the smallest rule
+    that holds the point, else the rule of the nearest rectangle (distance by the larger coordinate; ties to the
+    smaller rule).
+
+    The box around all points and rectangles is cut into side * side cells.  For every cell, the greatest distance that
+    a point in it can have from the nearest occupied cell ends the search: rectangles whose cells are all farther
+    away can't be the nearest of any point there.  The rest are one list per cell, which points meet by an equi-join
+    on their cell; the least distance is taken in the row, so rows that repeat need no key and nothing is grouped
+    by point.  No rectangle stands in the plan.  The search region has at most side ** 4 rows at any data size.
+
+    Points with a null, NaN or infinite coordinate, and all points without rectangles, have null results; rectangles with
+    a null or a negative size are left out.
+    """
+    rects = rects.filter("rule IS NOT NULL AND left IS NOT NULL AND bottom IS NOT NULL AND width >= 0 AND height >= 0").select("rule", F.col("left").alias("l"), (F.col("left") + F.col("width")).alias("r"), F.col("bottom").alias("b"), (F.col("bottom") + F.col("height")).alias("t"))
+    outer = [_box(points, [F.col(x), F.col(y)], [F.col(x), F.col(y)]), _box(rects, [F.col("l"), F.col("b")], [F.col("r"), F.col("t")])]
+    nothing = points.select("*", F.lit(None).cast(rects.schema["rule"].dataType).alias("rule"), F.lit(None).cast("boolean").alias("inside"), F.lit(None).cast("double").alias("distance"))
+    if any(v is None for o in outer for v in o):
+        return nothing
+    low = [min(o[k] for o in outer) for k in (0, 2)]
+    step = [(max(o[k + 1] for o in outer) - low[k // 2]) / side or 1.0 for k in (0, 2)]
+    place = lambda v, k: F.least(F.greatest(F.floor((v - F.lit(low[k])) / F.lit(step[k])), F.lit(0)), F.lit(side - 1)).cast("int")
+    wide = rects.withColumn("i", F.explode(F.sequence(place(F.col("l"), 0), place(F.col("r"), 0)))).withColumn("j", F.explode(F.sequence(place(F.col("b"), 1), place(F.col("t"), 1))))
+    wide = wide.withColumn("at", F.col("i") * side + F.col("j"))
+    # gaps and spans between cells, in cells; a margin of one part in 10^9 for rounding
+    apart = wide.select("at", "i", "j").distinct().select("at", "i", "j", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("cell"))
+    di, dj = F.abs(F.floor(F.col("cell") / side) - F.col("i")), F.abs(F.col("cell") % side - F.col("j"))
+    least = F.greatest((di - 1) * F.lit(step[0]), (dj - 1) * F.lit(step[1]), F.lit(0.0))
+    most = F.greatest((di + 1) * F.lit(step[0]), (dj + 1) * F.lit(step[1]))
+    apart = apart.select("at", "cell", least.alias("least"), most.alias("most"))
+    region = apart.join(apart.groupBy("cell").agg(F.min("most").alias("reach")), "cell").filter("least <= reach * (1 + 1e-9)").select("cell", "at")
+    # of the rectangles that are left, the same bounds between each and the cell
+    west, south = F.lit(low[0]) + F.floor(F.col("cell") / side) * F.lit(step[0]), F.lit(low[1]) + F.col("cell") % side * F.lit(step[1])
+    east, north = west + F.lit(step[0]), south + F.lit(step[1])
+    pairs = region.join(wide.select("at", "rule", "l", "r", "b", "t"), "at").select("cell", "rule", "l", "r", "b", "t").distinct()
+    pairs = pairs.withColumns({"least": F.greatest(F.col("l") - east, west - F.col("r"), F.col("b") - north, south - F.col("t"), F.lit(0.0)), "most": F.greatest(F.col("l") - west, east - F.col("r"), F.col("b") - south, north - F.col("t"), F.lit(0.0))})
+    near = pairs.groupBy("cell").agg(F.min("most").alias("reach"), F.collect_list(F.struct("rule", "l", "r", "b", "t", "least")).alias("all"))
+    lists = near.select("cell", F.filter("all", lambda q: q["least"] <= F.col("reach") + F.lit(max(step) * 1e-9)).alias("near"))
+    known = (F.abs(F.col(x)) < F.lit(float("inf"))) & (F.abs(F.col(y)) < F.lit(float("inf")))
+    px, py = F.col("__p.x"), F.col("__p.y")
+    at = points.withColumn("__p", F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).withColumn("cell", F.when(known, place(px, 0) * side + place(py, 1)))
+    away = lambda q: F.greatest(q["l"] - px, px - q["r"], q["b"] - py, py - q["t"], F.lit(0.0))
+    holds = lambda q: (px >= q["l"]) & (px < q["r"]) & (py >= q["b"]) & (py < q["t"])
+    found = at.join(lists, "cell", "left").withColumn("__m", F.array_min(F.transform("near", lambda q: F.struct((~holds(q)).alias("out"), away(q).alias("d"), q["rule"].alias("rule")))))
+    return found.select(*[F.col(c) for c in points.columns], F.col("__m.rule").alias("rule"), (~F.col("__m.out")).alias("inside"), F.col("__m.d").alias("distance"))
+
+
+def _placed_batch(terms: np.ndarray, axis: tuple[np.ndarray, np.ndarray], b: Bounds) -> np.ndarray:
+    """with_placed for a batch: columns of terms (NaN where missing), and an axis as their places and signs."""
+    if not b.usable or not len(axis[0]):
+        return np.zeros(len(terms))
+    total, valid = np.zeros(len(terms)), np.zeros(len(terms))
+    for k, sign in zip(*axis, strict=True):
+        known = ~np.isnan(terms[:, k])
+        total += np.where(known, terms[:, k] * sign, 0.0)
+        valid += known
+    with np.errstate(invalid="ignore", divide="ignore"):
+        value = total * (len(axis[0]) / valid)
+        return np.where(np.isnan(value), 0.0, (value - b.low) / (b.high - b.low))
+
+
+def score_batch(terms: np.ndarray, rules: list[tuple], block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """(class, weight) of each row of terms by rules (class, x, y, x bounds, y bounds, rectangles as rows)."""
+    pred, weight = np.full(len(terms), -1, dtype=np.int32), np.zeros(len(terms))
+    for at in range(0, len(terms), block):
+        part = terms[at : at + block]
+        first, best, nearest = np.full(len(part), -1), np.full(len(part), np.inf), np.zeros(len(part), dtype=np.int64)
+        for i, (_, ax, ay, bx, by, r) in enumerate(rules):
+            x, y = _placed_batch(part, ax, bx)[:, None], _placed_batch(part, ay, by)[:, None]
+            left, right, bottom, top = r.T
+            holds = ((x >= left) & (x < right) & (y >= bottom) & (y < top)).any(axis=1)
+            first[(first < 0) & holds] = i
+            away = np.maximum(np.maximum(np.maximum(left - x, x - right), np.maximum(bottom - y, y - top)), 0.0).min(axis=1, initial=np.inf)
+            nearest[away < best] = i
+            best = np.minimum(best, away)
+        classes = np.array([c for c, *_ in rules], dtype=np.int32)
+        pred[at : at + block] = classes[np.where(first >= 0, first, nearest)]
+        weight[at : at + block] = np.where(first >= 0, MATCH_WEIGHT, NEAR_WEIGHT)
+    return pred, weight
+
+
+def scored_rows(df: DataFrame, voters: list[list[Rule]], keep: list[str], epsilon: float = 1e-10) -> DataFrame:
+    """(keep, votes): for every rule list, the class and weight that scored() would give, as an array of structs (pred, weight).
+
+    df has, for rule list number i, its features as the columns of a struct ``__f<i>``.  The terms of a list are one array
+    column, evaluated by Spark; the rules are sent to the tasks, which take a batch of rows through each.
+    """
+    arrays, specs = [], []
+    for i, rules in enumerate(voters):
+        columns, place = term_arrays([a for r in rules for a in (r.x, r.y)], lambda f, i=i: F.col(f"__f{i}.{f}"), epsilon)
+        arrays.append((F.array(*columns) if columns else F.array().cast("array<double>")).alias(f"__t{i}"))
+        axis = lambda a, place=place: (np.array([place[t.feature, t.transform] for t in a.terms], dtype=np.int64), np.array([-1.0 if t.sign < 0 else 1.0 for t in a.terms]))
+        specs.append([(r.cls, axis(r.x), axis(r.y), r.x_bounds, r.y_bounds, np.array([(q.left, q.right, q.bottom, q.top) for q in r.rects]).reshape(-1, 4)) for r in rules])
+    shared = df.sparkSession.sparkContext.broadcast(specs)
+    kept = df.select(*keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+
+    def score(batches):
+        for batch in batches:
+            votes = []
+            for i, rules in enumerate(shared.value):
+                column = batch.column(len(keep) + i)
+                width = pa.compute.list_value_length(column)[0].as_py() if batch.num_rows else 0
+                flat = column.flatten().to_numpy(zero_copy_only=False) if width else np.zeros(0)
+                pred, weight = score_batch(flat.astype(np.float64).reshape(batch.num_rows, width), rules) if rules else (np.full(batch.num_rows, -1, dtype=np.int32), np.zeros(batch.num_rows))
+                votes.append((pred, weight))
+            n = len(votes)
+            pred = np.stack([v[0] for v in votes], axis=1).ravel() if n else np.zeros(0, dtype=np.int32)
+            weight = np.stack([v[1] for v in votes], axis=1).ravel() if n else np.zeros(0)
+            inner = pa.StructArray.from_arrays([pa.array(pred, pa.int32()), pa.array(weight, pa.float64())], ["pred", "weight"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n, pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists], [*keep, "votes"])
+
+    return df.select(*keep, *arrays).mapInArrow(score, f"{schema}, votes array<struct<pred: int, weight: double>>")
+
+
 def vote(votes: DataFrame, key: str = "id", cls: str = "pred", weight: str = "weight") -> DataFrame:
     """(key, winner): the class of most weight, the lowest of equals."""
     by = votes.groupBy(key, cls).agg(F.sum(weight).alias("w"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
-from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import grid_cell, resolution
 from ..operators.axis import Axis, Bounds, Term, bounds, placed_pairs
 from ..operators.cover import Grid, cover
-from ..operators.rules import Rect, Rule, matched, scored
+from ..operators.rules import Rect, Rule, matched, scored, scored_rows
 from ..operators.search import sparse_projection
 from ..operators.stats import class_statistics, collected_means, limits, separation, sqrt_features, standardised, top_features
 
@@ -140,19 +139,22 @@ class RectangleClassifier:
     def transform(self, df: DataFrame, key: str) -> DataFrame:
         """(key, cls_pred, label_pred), row by row; class 0 when a voter has no rules.
 
-        All voters score a row in one narrow pass; the class of most weight wins, the lowest of equals.
+        All voters score a row in one narrow pass; the class of most weight wins, the lowest of equals.  Rules are
+        data that goes to the tasks, so the plan is the same for ten of them and for thousands.
         """
         if not self.voters or any(not v.rules for v in self.voters):
             out = df.select(key, F.lit(0).alias("cls_pred"))
         else:
             features = list(dict.fromkeys(f for v in self.voters for f in v.features))
-            rows, votes = df.select(F.col(key).alias("__key"), F.struct(*[F.col(f) for f in features]).alias("__f")), []
+            rows = df.select(F.col(key).alias("__key"), F.struct(*[F.col(f) for f in features]).alias("__f"))
             for i, v in enumerate(self.voters):
-                open_row = rows.select("__key", "__f", *votes, *[F.col(f"__f.{f}").alias(f) for f in v.features])
-                rows = v.transform(open_row).select("__key", "__f", *votes, F.struct("pred", "weight").alias(f"__v{i}"))
-                votes.append(f"__v{i}")
-            weights = [reduce(lambda a, b: a + b, [F.when(F.col(f"{v}.pred") == c, F.col(f"{v}.weight")).otherwise(0.0) for v in votes]) for c in range(len(self.labels))]
-            sums = rows.select(F.col("__key").alias(key), F.array(*weights).alias("__w"))
+                kept = [c for c in rows.columns if c != "__f"]
+                own = v.prepared(rows.select(*kept, "__f", *[F.col(f"__f.{f}").alias(f) for f in v.features]))
+                rows = own.select(*kept, "__f", F.struct(*[F.col(f) for f in v.features]).alias(f"__f{i}"))
+            votes = scored_rows(rows, [v.rules for v in self.voters], ["__key"])
+            of = lambda c: F.aggregate("votes", F.lit(0.0), lambda s, v: s + F.when(v["pred"] == c, v["weight"]).otherwise(0.0))
+            weights = [of(c) for c in range(len(self.labels))]
+            sums = votes.select(F.col("__key").alias(key), F.array(*weights).alias("__w"))
             out = sums.select(key, (F.array_position("__w", F.array_max("__w")) - 1).cast("int").alias("cls_pred"))
         return out.withColumn("label_pred", F.element_at(F.array(*[F.lit(v) for v in self.labels]), F.col("cls_pred") + 1) if self.labels else F.lit(None))
 

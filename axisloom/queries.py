@@ -20,7 +20,7 @@ from .operators import metrics as M
 from .operators import stats as S
 from .operators.axis import Axis, Term, bounds, bounds_table, invalid_stats, placed, placed_pairs, with_values
 from .operators.cover import Grid, cover
-from .operators.rules import Rect, Rule, first_match, matched, scored, training_error, vote
+from .operators.rules import Rect, Rule, first_match, matched, nearest_rule, scored, training_error, vote
 from .operators.search import PairGenerator
 from .plans.model import RectangleClassifier, TrainerConfig
 from .sources.sinks import plot_table, points, run_summary
@@ -491,6 +491,25 @@ def _(s, d):
     return scored(rows, _rules(rows)).select("id", "no", "pred", "weight")
 
 
+# A rectangle around every part, in the plane of size and price, and the line items' quantities and discounts as points.
+_PART_RECTS_SQL = "SELECT CAST(p_partkey AS INT) AS rule, (p_size % 50) / 50.0::DOUBLE AS left_, (p_partkey % 9973) / 9973.0::DOUBLE AS bottom, (p_size % 7) / 300.0::DOUBLE AS width, (p_partkey % 11) / 400.0::DOUBLE AS height FROM part"
+_SHIP_POINTS_SQL = "SELECT l_orderkey AS id, l_linenumber AS no, (l_orderkey * 37 % 2003) / 1900.0::DOUBLE - 0.02 AS x, (l_partkey * 53 % 4001) / 3900.0::DOUBLE - 0.02 AS y FROM lineitem"
+
+
+@query(
+    "rule_nearest_table",
+    f"""WITH r AS ({_PART_RECTS_SQL}), p AS ({_SHIP_POINTS_SQL}),
+    u AS (SELECT DISTINCT x, y FROM p),
+    a AS (SELECT x, y, NOT (x >= left_ AND x < left_ + width AND y >= bottom AND y < bottom + height) AS away, greatest(left_ - x, x - (left_ + width), bottom - y, y - (bottom + height), 0.0) AS d, rule FROM u, r),
+    m AS (SELECT x, y, min(struct_pack(away := away, d := CASE WHEN away THEN d ELSE 0.0 END, rule := rule)) AS m FROM a GROUP BY x, y)
+    SELECT id, no, m.rule AS rule, NOT m.away AS inside, round(m.d, 6) + 0.0 AS distance FROM p JOIN m USING (x, y)""",
+)
+def _(s, d):
+    part = _table(s, d, "part").select(F.col("p_partkey").cast("int").alias("rule"), ((F.col("p_size") % 50) / F.lit(50.0)).alias("left"), ((F.col("p_partkey") % 9973) / F.lit(9973.0)).alias("bottom"), ((F.col("p_size") % 7) / F.lit(300.0)).alias("width"), ((F.col("p_partkey") % 11) / F.lit(400.0)).alias("height"))
+    line = _table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("no"), ((F.col("l_orderkey") * 37 % 2003) / F.lit(1900.0) - 0.02).alias("x"), ((F.col("l_partkey") * 53 % 4001) / F.lit(3900.0) - 0.02).alias("y"))
+    return nearest_rule(line, part).select("id", "no", "rule", "inside", _r("distance").alias("distance"))
+
+
 @query("training_error", f"SELECT round(avg((cls <> pred)::INT), 6) + 0.0 AS error, round(avg((pred >= 0)::INT), 6) + 0.0 AS scored FROM (SELECT cls, {_FIRST_SQL} ELSE -1 END AS pred FROM ({_placed_sql()}))")
 def _(s, d):
     rows = _lines(s, d)
