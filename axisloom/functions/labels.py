@@ -31,4 +31,5 @@ def label_lines(label: str) -> list[str]:
 
 
 def path_safe(label: str) -> str:
-    return re.sub(r"[\s/\\,()]+", "_", label).strip("_")
+    """A label for names of folders: spaces and slashes become underscores, brackets and commas go."""
+    return re.sub(r"[(),]", "", re.sub(r"[ /]", "_", label))

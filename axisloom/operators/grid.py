@@ -70,6 +70,31 @@ def occupancy_2d(df: DataFrame, n: int, x: str = "x", y: str = "y", ratio: float
     return df.agg(occupied.alias("occupied")).select("occupied", (F.col("occupied") >= int(n * n * ratio)).alias("valid"))
 
 
+def occupancy_states(df: DataFrame, n: int, x: str = "x", y: str = "y", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, side, bucket, cells): the occupied cells along x, along y and of the plane (side ``x``, ``y``, ``xy``) as bitmaps of
+    32,768 cells each.
+
+    States can be stored for every part of the data and merged by merged_occupancy() in any order and as often as
+    wanted.  Rows are folded to distinct cells by a hash aggregation before a bitmap is made; missing values occupy
+    no cell.
+    """
+    cells = df.select(*keys, occupancy_cell(F.col(x), n).alias("ix"), occupancy_cell(F.col(y), n).alias("iy")).distinct()
+    sides = [F.struct(F.lit(name).alias("side"), at.cast("long").alias("at")) for name, at in (("x", F.col("ix")), ("y", F.col("iy")), ("xy", F.col("ix") * n + F.col("iy")))]
+    each = cells.select(*keys, F.inline(F.array(*sides))).filter("at is not null")
+    return each.groupBy(*keys, "side", F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("cells"))
+
+
+def merged_occupancy(states: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The union of occupancy states, one state for each of keys, side and bucket."""
+    return states.groupBy(*keys, "side", "bucket").agg(F.bitmap_or_agg("cells").alias("cells"))
+
+
+def occupied_cells(states: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, occupied_x, occupied_y, occupied) of occupancy states, merged."""
+    of = lambda side, name: F.coalesce(F.sum(F.when(F.col("side") == side, F.bitmap_count("cells"))), F.lit(0)).alias(name)
+    return merged_occupancy(states, keys).groupBy(*keys).agg(of("x", "occupied_x"), of("y", "occupied_y"), of("xy", "occupied"))
+
+
 def hex_grid(df: DataFrame, rings: int, n_classes: int, x: str = "x", y: str = "y", cls: str = "cls") -> DataFrame:
     """(q, r, count, cx, cy, class_counts): hexagons of the lattice; points beyond its rings are dropped."""
     size = hex_size(rings)

@@ -2,13 +2,15 @@
 under occupancy constraints.
 
 The sign search works on class means alone, on the driver.  Pair generation draws on the driver and
-measures on the cluster: all candidates of a round are measured by one aggregation each for bounds and
-occupancy.
+measures on the cluster.  Every attempt has random streams of its own, so attempts don't wait for each other: those of
+all pairs grow in lockstep, and the one trial that each of them has in a round is a row of the same two
+aggregations, for bounds and for occupancy.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Generator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PairConfig
-from ..functions.geometry import occupancy_cell
 from ..functions.transforms import EPS_TWIN
 from .axis import Axis, Bounds, Term, bounds, placed_pairs
+from .grid import occupancy_states
 from .stats import composite_separation
 
 Weights = list[tuple[int, int]]
@@ -74,20 +76,48 @@ class Measured:
     nonfinite: bool
 
 
-def measure(df: DataFrame, pairs: list[tuple[Axis, Axis]], n: int, epsilon: float, known: dict[Axis, Bounds] | None = None) -> list[Measured]:
-    """Bounds and occupancy of many pairs: one job for the bounds that aren't known yet, one for all occupied cells."""
-    known = {} if known is None else known
+class Memo:
+    """What a run has measured: bounds of axes and measures of pairs, and how often they were found here."""
+
+    def __init__(self):
+        self.bounds: dict[Axis, Bounds] = {}
+        self.measured: dict[tuple[Axis, Axis], Measured] = {}
+        self.hits = self.misses = 0
+
+    def clear(self) -> None:
+        self.bounds.clear()
+        self.measured.clear()
+        self.hits = self.misses = 0
+
+    def statistics(self) -> dict[str, float]:
+        asked = self.hits + self.misses
+        return {"hits": self.hits, "misses": self.misses, "hit_rate": self.hits / asked if asked else 0.0, "axes": len(self.bounds), "pairs": len(self.measured)}
+
+
+def measure(df: DataFrame, pairs: list[tuple[Axis, Axis]], n: int, epsilon: float, memo: Memo | None = None) -> list[Measured]:
+    """Bounds and occupancy of many pairs: one job for the bounds that aren't known yet, one for all occupied cells of
+    the pairs that aren't; none for what memo holds."""
+    memo = Memo() if memo is None else memo
+    new = list(dict.fromkeys(p for p in pairs if p not in memo.measured))
+    memo.hits, memo.misses = memo.hits + len(pairs) - len(new), memo.misses + len(new)
+    if new:
+        memo.measured |= dict(zip(new, _measure(df, new, n, epsilon, memo.bounds), strict=True))
+    return [memo.measured[p] for p in pairs]
+
+
+def _measure(df: DataFrame, pairs: list[tuple[Axis, Axis]], n: int, epsilon: float, known: dict[Axis, Bounds]) -> list[Measured]:
     new = list(dict.fromkeys(a for p in pairs for a in p if a not in known))
     if new:
         known |= dict(zip(new, bounds(df, new, epsilon), strict=True))
     at = [(known[x], known[y]) for x, y in pairs]
-    cells = placed_pairs(df, pairs, at, (), epsilon).select("pair", occupancy_cell(F.col("x"), n).alias("ix"), occupancy_cell(F.col("y"), n).alias("iy")).distinct()
-    found = {r["pair"]: r for r in cells.groupBy("pair").agg(F.size(F.collect_set("ix")).alias("x"), F.size(F.collect_set("iy")).alias("y"), F.count("*").alias("both")).collect()}
+    states = occupancy_states(placed_pairs(df, pairs, at, (), epsilon), n, keys=("pair",))
+    found: dict[tuple[int, str], int] = {}
+    for r in states.select("pair", "side", F.bitmap_count("cells").alias("n")).collect():  # a row for each side and 32,768 cells
+        found[r["pair"], r["side"]] = found.get((r["pair"], r["side"]), 0) + r["n"]
     infinite = lambda b, a: bool(a.terms) and not (b.low > float("-inf") and b.high < float("inf"))
     out = []
     for i, ((x, y), (bx, by)) in enumerate(zip(pairs, at, strict=True)):
-        r = found.get(i)
-        out.append(Measured(x, y, bx, by, *((r["x"], r["y"], r["both"]) if r else (0, 0, 0)), infinite(bx, x) or infinite(by, y)))
+        out.append(Measured(x, y, bx, by, *(found.get((i, side), 0) for side in ("x", "y", "xy")), infinite(bx, x) or infinite(by, y)))
     return out
 
 
@@ -106,56 +136,88 @@ def _score(m: Measured, mode: str) -> int:
     return m.occupied if mode == "2d" else m.occupied_x + m.occupied_y
 
 
+#: A trial of an attempt: yields a pair to measure, is sent its measure, and returns the grown pair or None.
+Growth = Generator[tuple[Axis, Axis], Measured, "Measured | None"]
+
+
 class PairGenerator:
-    """Seeded generation of axis pairs over a cached feature table."""
+    """Seeded generation of axis pairs over a cached feature table.
+
+    memo may be shared between generators over the same rows, resolution and epsilon.
+    """
 
-    def __init__(self, df: DataFrame, features: list[str], candidates: list[int], n: int, config: PairConfig):
+    def __init__(self, df: DataFrame, features: list[str], candidates: list[int], n: int, config: PairConfig, memo: Memo | None = None):
         self.df, self.features, self.candidates, self.n, self.config = df, features, candidates, n, config
         self.sign = np.random.RandomState(config.sign_seed)
         self.pick = np.random.RandomState(config.transform_seed)
         self.order = np.random.RandomState(config.shuffle_seed)
-        #: Bounds of the axes measured so far; of a pair only the side that changed is measured again.
-        self.known: dict[Axis, Bounds] = {}
+        self.memo = Memo() if memo is None else memo
+        #: Trials of the last incremental run: how many attempts, rounds and measured trials it had.
+        self.attempts = self.rounds = self.trials = 0
 
     def _measure(self, pairs: list[tuple[Axis, Axis]]) -> list[Measured]:
-        return measure(self.df, pairs, self.n, self.config.epsilon, self.known)
+        return measure(self.df, pairs, self.n, self.config.epsilon, self.memo)
 
-    def _term(self, j: int) -> Term:
-        """Sign first, then transform; feature 0 is never negative."""
-        sign = 1 if self.sign.random_sample() > 0.5 or j == 0 else -1
-        return Term(self.features[j], sign, self.config.transforms[self.pick.randint(len(self.config.transforms))])
-
-    def _retry(self, t: Term, nonfinite: bool, first: bool) -> Term:
+    def _retry(self, t: Term, nonfinite: bool, first: bool, pick: np.random.RandomState) -> Term:
         if first and nonfinite and t.transform in EPS_TWIN:
             return Term(t.feature, t.sign, EPS_TWIN[t.transform])
         sign = t.sign if t.feature == self.features[0] else -t.sign
-        return Term(t.feature, sign, self.config.transforms[self.pick.randint(len(self.config.transforms))])
-
-    def incremental(self) -> Measured | None:
-        """Grows both axes term by term, each term checked; all attempts run and the most occupied stays."""
-        c, best = self.config, None
-        for _ in range(c.max_attempts):
-            queues = [[self.candidates[i] for i in self.pick.permutation(len(self.candidates))] for _ in range(2)]
-            axes, failures, wanted = [Axis(), Axis()], 0, 2 * max(3 * len(self.features) // 4, 1)
-            while sum(len(a.terms) for a in axes) < wanted and failures < c.max_failures and (queues[0] or queues[1]):
-                side = 0 if queues[0] and (len(axes[0].terms) <= len(axes[1].terms) or not queues[1]) else 1
-                if not queues[side]:
-                    side = 1 - side
-                term, added = self._term(queues[side].pop(0)), False
-                for attempt in range(3):
-                    trial = list(axes)
-                    trial[side] = Axis((*axes[side].terms, term))
-                    m = self._measure([(trial[0], trial[1])])[0]
-                    if accepts(m, self.n, c.mode, c.min_occupancy):
-                        axes, added = trial, True
-                        break
-                    term = self._retry(term, m.nonfinite, attempt == 0)
-                failures = 0 if added else failures + 1
-            if all(a.terms for a in axes):
-                m = self._measure([(axes[0], axes[1])])[0]
-                if best is None or _score(m, c.mode) > _score(best, c.mode):
-                    best = m
-        return best
+        return Term(t.feature, sign, self.config.transforms[pick.randint(len(self.config.transforms))])
+
+    def growth(self, pair: int, attempt: int) -> Growth:
+        """One attempt: both axes grow term by term, each term checked and retried twice.  Its draws come from streams
+        of its own, by the seeds of the configuration and its place."""
+        c = self.config
+        pick, flip = (np.random.RandomState(np.random.SeedSequence([seed, pair, attempt]).generate_state(4)) for seed in (c.transform_seed, c.sign_seed))
+        queues = [[self.candidates[i] for i in pick.permutation(len(self.candidates))] for _ in range(2)]
+        axes, failures, wanted, last = [Axis(), Axis()], 0, 2 * max(3 * len(self.features) // 4, 1), None
+        while sum(len(a.terms) for a in axes) < wanted and failures < c.max_failures and (queues[0] or queues[1]):
+            side = 0 if queues[0] and (len(axes[0].terms) <= len(axes[1].terms) or not queues[1]) else 1
+            if not queues[side]:
+                side = 1 - side
+            j = queues[side].pop(0)
+            # sign first, then transform; feature 0 is never negative
+            sign = 1 if flip.random_sample() > 0.5 or j == 0 else -1
+            term, added = Term(self.features[j], sign, c.transforms[pick.randint(len(c.transforms))]), False
+            for retry in range(3):
+                trial = list(axes)
+                trial[side] = Axis((*axes[side].terms, term))
+                m = yield trial[0], trial[1]
+                if accepts(m, self.n, c.mode, c.min_occupancy):
+                    axes, last, added = trial, m, True
+                    break
+                term = self._retry(term, m.nonfinite, retry == 0, pick)
+            failures = 0 if added else failures + 1
+        return last if all(a.terms for a in axes) else None
+
+    def grown(self, growths: list[Growth]) -> list[Measured | None]:
+        """The results of many attempts in lockstep: in each round, what all live ones ask for is measured at once."""
+        found: list[Measured | None] = [None] * len(growths)
+        asked: dict[int, tuple[Axis, Axis]] = {}
+        self.attempts, self.rounds, self.trials = len(growths), 0, 0
+
+        def go_on(k: int, m: Measured | None) -> None:
+            try:
+                asked[k] = growths[k].send(m)
+            except StopIteration as end:
+                found[k] = end.value
+
+        for k in range(len(growths)):
+            go_on(k, None)
+        while asked:
+            live, asked = asked, {}
+            self.rounds, self.trials = self.rounds + 1, self.trials + len(live)
+            for k, m in zip(live, self._measure(list(live.values())), strict=True):
+                go_on(k, m)
+        return found
+
+    def incremental(self, pairs: int | None = None) -> list[Measured | None]:
+        """For each pair, the most occupied of its attempts, the earliest of equals; None where no attempt has terms on
+        both sides."""
+        pairs, tries = self.config.pairs if pairs is None else pairs, self.config.max_attempts
+        found = self.grown([self.growth(p, a) for p in range(pairs) for a in range(tries)])
+        own = [[m for m in found[p * tries : (p + 1) * tries] if m is not None] for p in range(pairs)]
+        return [max(ms, key=lambda m: _score(m, self.config.mode), default=None) for ms in own]
 
     def final(self) -> Measured | None:
         """Draws all attempts, measures them in one job, and takes the first valid or else the most occupied."""
@@ -175,5 +237,5 @@ class PairGenerator:
         return valid[0] if valid else max(found, key=lambda m: _score(m, c.mode), default=None)
 
     def generate(self) -> list[Measured]:
-        found = [self.incremental() if self.config.incremental else self.final() for _ in range(self.config.pairs)]
+        found = self.incremental() if self.config.incremental else [self.final() for _ in range(self.config.pairs)]
         return [m for m in found if m is not None]

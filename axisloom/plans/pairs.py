@@ -58,7 +58,7 @@ def generate_pairs(df: DataFrame, features: list[str], label: str, target, confi
                 report.append(pair_report(i, m.x, m.y, pure, m.occupied, n, tuple(v or 0 for v in zero), cells["pure_cells"], config.mode, int((n if config.mode == "1d" else n * n) * config.min_occupancy)))
                 if config.export_grids:
                     with open(os.path.join(out, f"{pair_name(i, pure)}.json"), "w", encoding="utf-8") as f:
-                        json.dump(grid_document(grid, n, cls, [str(v) for v in labels], list(range(len(labels))), m.x, m.y, pure), f)
+                        json.dump(grid_document(grid, n, cls, [str(v) for v in labels], list(range(len(labels))), m.x, m.y, pure, features), f)
                 if config.export_points:
                     points(placed.withColumn("label", F.col(label).cast("string")), exclude_normal=config.exclude_normal).write.mode("overwrite").json(os.path.join(out, "points", f"pair_{i:02d}"))
         if out:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import PairConfig
+from .functions import catalogue
 from .functions.geometry import centre_distance, grid_cell, hex_distance, in_rect, rect_distance
 from .functions.transforms import TRANSFORMS, clean, signed_sqrt, transform
 from .operators import grid as G
@@ -20,11 +21,13 @@ from .operators import metrics as M
 from .operators import stats as S
 from .operators.axis import Axis, Term, bounds, bounds_table, invalid_stats, placed, placed_pairs, with_values
 from .operators.cover import Grid, cover
+from .operators.moments import finished_moments, merged_moments, moment_states
 from .operators.rules import Rect, Rule, first_match, matched, nearest_rule, scored, training_error, vote
 from .operators.search import PairGenerator
 from .plans.model import RectangleClassifier, TrainerConfig
 from .sources.sinks import plot_table, points, run_summary
 from .sources.tables import label_dictionary, unmapped, with_class, with_names
+from .streaming.grid_store import GridStore, scratch_folder
 
 FEATURES = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "line": "l_linenumber", "supplier": "l_suppkey"}
 N, RINGS, CLASSES, TARGET = 20, 5, 3, 1
@@ -256,6 +259,25 @@ def _(s, d):
     return m.select("feature", "n", _r("mean").alias("mean"), _r("sd").alias("sd"), _r("skewness", 4).alias("skewness"), _r("kurtosis", 4).alias("kurtosis"))
 
 
+# Slices by ship month and status, merged to quarters and to the whole.
+@query(
+    "moments_merged",
+    " UNION ALL ".join(
+        f"""SELECT {q} AS quarter, '{f}' AS feature, count(*) AS n, round(avg({f}), 4) + 0.0 AS mean, round(CASE WHEN count(*) >= 2 THEN stddev_samp({f}) END, 4) + 0.0 AS sd, round(CASE WHEN count(*) >= 3 THEN skewness({f}) END, 4) + 0.0 AS skewness,
+    round(CASE WHEN count(*) >= 4 THEN kurtosis({f}) END, 4) + 0.0 AS kurtosis FROM (SELECT CAST(l_{c} AS DOUBLE) AS {f}, CAST(year(l_shipdate) * 10 + quarter(l_shipdate) AS INT) AS q FROM lineitem) {g}"""
+        for f, c in (("quantity", "quantity"), ("discount", "discount"))
+        for q, g in (("q", "GROUP BY q"), ("NULL::INT", ""))
+    ),
+)
+def _(s, d):
+    raw = _table(s, d, "lineitem").select((F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).alias("month"), "l_linestatus", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
+    early, late = (moment_states(raw.filter(w), ["quantity", "discount"], ("month",)) for w in ("l_linestatus = 'F'", "l_linestatus <> 'F'"))
+    quarter = (F.floor(F.col("month") / 12) * 10 + F.floor(F.col("month") % 12 / 3) + 1).cast("int")
+    by_quarter = merged_moments(early.union(late).withColumn("quarter", quarter).drop("month"), ("quarter",))
+    both = by_quarter.union(merged_moments(by_quarter).select(F.lit(None).cast("int").alias("quarter"), "feature", "n", "mean", "m2", "m3", "m4"))
+    return finished_moments(both, ("quarter",)).select("quarter", "feature", "n", _r("mean", 4).alias("mean"), _r("sd", 4).alias("sd"), _r("skewness", 4).alias("skewness"), _r("kurtosis", 4).alias("kurtosis"))
+
+
 @query("auto_transform_flags")
 def _(s, d):
     rows = _lines(s, d)
@@ -548,9 +570,39 @@ def _(s, d):
     return points(named, exclude_normal=True).withColumns({"PC1": _r("PC1"), "PC2": _r("PC2")})
 
 
+# Occupancy of each class as bitmaps by return flag and line number, merged to return flags.
+@query("occupancy_merged", f"SELECT l_returnflag, count(DISTINCT floor(least(greatest(x * {N}, 0), {N - 1}))) AS occupied_x, count(DISTINCT floor(least(greatest(y * {N}, 0), {N - 1}))) AS occupied_y, count(DISTINCT floor(least(greatest(x * {N}, 0), {N - 1})) * {N} + floor(least(greatest(y * {N}, 0), {N - 1}))) AS occupied FROM ({_placed_sql()}) GROUP BY l_returnflag")
+def _(s, d):
+    states = G.occupancy_states(_placed(s, d).withColumn("line", F.col("no")), N, keys=("l_returnflag", "line"))
+    return G.occupied_cells(states, ("l_returnflag",))
+
+
+@query("stream_grid_store", f"""WITH e AS (SELECT (event_id % 1000) / 1000.0::DOUBLE AS x, (user_id % 97) / 97.0::DOUBLE AS y, event_type FROM events)
+    SELECT CAST(floor(least(greatest(0.99999::DOUBLE * x * {N}, 0), {N - 1})) AS INT) AS ix, CAST(floor(least(greatest(0.99999::DOUBLE * y * {N}, 0), {N - 1})) AS INT) AS iy, event_type, count(*) AS count FROM e GROUP BY ALL""")
+def _(s, d):
+    """The grid of the events that a stream of their files has left in a store; its batch replayed, then compacted."""
+    schema = _table(s, d, "events").schema
+    stream = s.readStream.schema(schema).parquet(f"{d}/events.parquet*")  # a pattern, as a stream takes no single file
+    cells = lambda e: e.select(grid_cell((F.col("event_id") % 1000) / F.lit(1000.0), N).alias("ix"), grid_cell((F.col("user_id") % 97) / F.lit(97.0), N).alias("iy"), "event_type")
+    store = GridStore(s, scratch_folder(s, "grid"), ("ix", "iy", "event_type"))
+    store.start(cells(stream), scratch_folder(s, "grid-checkpoint"), once=True).awaitTermination()
+    store.compact()
+    return store.read()
+
+
+_SQL_FORMS = ("none", "square", "sqrt", "log", "log_eps", "inverse", "inverse_eps", "sigmoid", "sigmoid_eps", "logit", "logit_eps")
+
+
+@query("sql_functions", "SELECT event_id, " + ", ".join(f"round({_SQL_T[t].format(x='(value - 0.5::DOUBLE)')}, 6) + 0.0 AS f_{t}" for t in _SQL_FORMS) + ", CAST(floor(least(greatest(0.99999::DOUBLE * value * 20, 0), 19)) AS INT) AS cell, round(greatest(0.1 - value, value - 0.4, 0.25 - value, value - 0.75, 0.0), 6) + 0.0 AS away FROM events")
+def _(s, d):
+    catalogue.register(s)
+    e = _table(s, d, "events").withColumn("v", F.col("value") - 0.5)
+    return e.select("event_id", *[_r(F.call_function(f"axis_{t}", F.col("v"))).alias(f"f_{t}") for t in _SQL_FORMS], F.call_function("axis_cell", F.col("value"), F.lit(20)).alias("cell"), _r(F.call_function("rect_away", F.col("value"), F.col("value"), F.lit(0.1), F.lit(0.25), F.lit(0.3), F.lit(0.5))).alias("away"))
+
+
 # algorithms that SQL can't express
 def _generated(s: SparkSession, d: str, config: PairConfig) -> DataFrame:
-    rows = _lines(s, d).select(*FEATURES, "cls").cache()
+    rows = _lines(s, d).select(*FEATURES, "cls").repartition(s.sparkContext.defaultParallelism).cache()
     found = PairGenerator(rows, list(FEATURES), list(range(len(FEATURES))), N, config).generate()
     axis = lambda a: json.dumps([[t.sign, t.transform, t.feature] for t in a.terms])
     out = s.createDataFrame([(i, axis(m.x), axis(m.y), m.occupied) for i, m in enumerate(found)], "pair int, x string, y string, occupied long")
@@ -560,7 +612,7 @@ def _generated(s: SparkSession, d: str, config: PairConfig) -> DataFrame:
 
 @query("pair_generation_incremental")
 def _(s, d):
-    return _generated(s, d, PairConfig(pairs=1, max_attempts=2))
+    return _generated(s, d, PairConfig(pairs=1))
 
 
 @query("pair_generation_final")

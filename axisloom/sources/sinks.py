@@ -28,8 +28,14 @@ def write_points(df: DataFrame, path: str, **how) -> None:
     points(df, **how).write.mode("overwrite").json(path)
 
 
-def grid_document(grid: DataFrame, n: int, target: int, names: list[str], ids: list[int], x: Axis, y: Axis, pure: int) -> dict:
-    """The occupied cells of one grid (at most n * n) as a document of parallel arrays."""
+def grid_document(grid: DataFrame, n: int, target: int, names: list[str], ids: list[int], x: Axis, y: Axis, pure: int, features: list[str] | None = None) -> dict:
+    """The occupied cells of one grid (at most n * n) as a document of parallel arrays.
+
+    With features, projection_weights_x and _y hold the signed places of the terms' features in that list; otherwise
+    places in the order in which the axes name them.
+    """
+    features = features or list(dict.fromkeys(t.feature for a in (x, y) for t in a.terms))
+    weights = lambda a: [(-1 if t.sign < 0 else 1) * features.index(t.feature) for t in a.terms]
     rows = dominant(grid).orderBy("ix", "iy").collect()
     shares = [{names[c]: {"percentage": 100.0 * k / r["count"], "count": k, "class_id": c, "original_class_id": ids[c]} for c, k in enumerate(r["class_counts"]) if k} for r in rows]
     return {
@@ -46,6 +52,8 @@ def grid_document(grid: DataFrame, n: int, target: int, names: list[str], ids: l
         "axis2_features": axis_terms(y),
         "best_purity_P": float(pure),
         "n_bins": n,
+        "projection_weights_x": weights(x),
+        "projection_weights_y": weights(y),
         "x_transforms": [t.transform for t in x.terms],
         "y_transforms": [t.transform for t in y.terms],
     }

@@ -348,7 +348,7 @@ def test_text():
     axis = Axis((Term("size", 1, "log"), Term("count", -1)))
     assert axis_terms(axis) == ["+log(size)", "-count"] and formula(axis) == "+log(size)-none(count)"
     assert label_lines("DoS (a, b)") == ["DoS", "a", "b"] and label_lines(" plain ") == ["plain"]
-    assert path_safe("a b/c(d)") == "a_b_c_d"
+    assert path_safe("a b/c(d, e)") == "a_b_cd_e" and path_safe(" (x)") == "_x"
 
 
 def test_nearest_rule(spark):
