@@ -1,6 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The n-word windows of the benchmark items are the seeds.  One pass counts every seed over the whole
+The seeds are the n-word windows of the benchmark items, and windows with gaps: all choices of n among n + 2 words in
+a row that begin with the first.  An alignment without insertions that reaches the default score has three words
+of five in common on average, so in some five words in a row three, whichever they are: edits that leave no run of words
+whole are found as well.  One pass counts every seed over the whole
 corpus.  A second pass looks the seeds up in every document, clusters the hits of an item by diagonal, and
 aligns the words around a cluster with the item, the clusters with the rarest seeds first.  No seed is
 dropped for its count: a cluster is left out only when the words it shares with the item can't reach the
@@ -14,6 +17,8 @@ is bounded whatever the benchmark holds; a larger benchmark takes more blocks, e
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -32,6 +37,8 @@ class Rule:
     """Parameters of the search."""
 
     n: int = 3
+    #: Words of a seed may be spread over so many more than n.
+    spread: int = 2
     #: Items of fewer words are found only whole, word for word.
     short_words: int = 5
     #: Distinct seeds that a cluster must hold (one for items with fewer than 6 seeds).
@@ -62,29 +69,34 @@ class Items:
         return np.where(self.seeds[at] == h, at, -1)
 
 
-def _windows(w: K.Words, n: int, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(place, hash) of all windows of n words, then of those of each smaller size that some item has."""
+def _shapes(n: int, spread: int) -> list[tuple[int, ...]]:
+    """The offsets of windows with gaps: n of n + spread words in a row, from the first."""
+    return [(0, *rest) for rest in itertools.combinations(range(1, n + spread), n - 1) if rest != tuple(range(1, n))]
+
+
+def _windows(w: K.Words, n: int, sizes: tuple[int, ...], spread: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(place, hash) of all windows of n words, of those of each smaller size that some item has, and of those with gaps."""
     out = []
-    for size in (n, *sizes):
-        h, ok = K.windows(w, size)
+    for h, ok in itertools.chain((K.windows(w, size) for size in (n, *sizes)), (K.spaced(w, shape) for shape in _shapes(n, spread))):
         at = np.flatnonzero(ok)
         out.append((at, h[at]))
     return out
 
 
-def _items(ids: list, texts: list[str], n: int) -> Items:
+def _items(ids: list, texts: list[str], n: int, spread: int) -> Items:
     kept, words, hashes, item, place = [], [], [], [], []
     for w in K.iter_words(pa.array(texts, pa.string())):
         by_size = {size: K.windows(w, size) for size in range(1, n + 1)}
+        gapped = [K.spaced(w, shape) for shape in _shapes(n, spread)]
         for i in range(len(w)):
             lo, hi = w.off[i], w.off[i + 1]
             if hi == lo:
                 continue
-            h, ok = by_size[min(n, hi - lo)]
-            at = np.flatnonzero(ok[lo:hi])
-            hashes.append(h[lo:hi][at])
-            item.append(np.full(len(at), len(kept)))
-            place.append(at)
+            for h, ok in (by_size[min(n, hi - lo)], *(gapped if hi - lo >= n else ())):
+                at = np.flatnonzero(ok[lo:hi])
+                hashes.append(h[lo:hi][at])
+                item.append(np.full(len(at), len(kept)))
+                place.append(at)
             kept.append(ids[w.first + i])
             words.append(w.h[lo:hi])
     flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
@@ -101,19 +113,17 @@ def _filter(seeds: np.ndarray) -> np.ndarray:
     return bits
 
 
-def _hits(items: Items, bits: np.ndarray, w: K.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _hits(items: Items, bits: np.ndarray, w: K.Words, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Places whose window is a seed, and the seed's index, in order of place."""
     places, seeds = [], []
-    for at, h in _windows(w, n, items.sizes):
+    for at, h in _windows(w, rule.n, items.sizes, rule.spread):
         some = bits[(h >> np.uint64(44)).astype(np.int64)]
         at, found = at[some], items.lookup(h[some])
         places.append(at[found >= 0])
         seeds.append(found[found >= 0])
     at, seed = np.concatenate(places), np.concatenate(seeds)
-    if items.sizes:
-        order = np.argsort(at, kind="stable")
-        at, seed = at[order], seed[order]
-    return at, seed
+    order = np.argsort(at, kind="stable")
+    return at[order], seed[order]
 
 
 def _counted(docs: DataFrame, text: str, items: Items, rule: Rule) -> Items:
@@ -125,7 +135,7 @@ def _counted(docs: DataFrame, text: str, items: Items, rule: Rule) -> Items:
         total = np.zeros(len(own.seeds), dtype=np.int64)
         for batch in batches:
             for w in K.iter_words(batch.column(0)):
-                total += np.bincount(_hits(own, bits, w, rule.n)[1], minlength=len(total))
+                total += np.bincount(_hits(own, bits, w, rule)[1], minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["seed", "n"])
 
@@ -196,7 +206,7 @@ def align_row(h: np.ndarray, hits: tuple[np.ndarray, np.ndarray], items: Items,
 def _search(batch_text, items: Items, bits: np.ndarray, rule: Rule, seeds_of: np.ndarray):
     """(row, alignments) of the rows of a batch that have any."""
     for w in K.iter_words(batch_text):
-        at, seed = _hits(items, bits, w, rule.n)
+        at, seed = _hits(items, bits, w, rule)
         row = np.searchsorted(w.off, at, side="right") - 1
         for r in np.unique(row):
             lo, hi = np.searchsorted(row, [r, r + 1])
@@ -205,18 +215,19 @@ def _search(batch_text, items: Items, bits: np.ndarray, rule: Rule, seeds_of: np
                 yield w.first + int(r), found
 
 
-def _blocks(bench: DataFrame, key: str, text: str, rule: Rule) -> list[Items]:
-    """The benchmark in blocks of at most block_words words (or one item)."""
-    out, ids, texts, words = [], [], [], 0
+def _blocks(bench: DataFrame, key: str, text: str, rule: Rule) -> Iterator[Items]:
+    """The benchmark in blocks of at most block_words words (or one item), one at a time."""
+    ids, texts, words = [], [], 0
     for r in bench.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").orderBy("k", "t").toLocalIterator():
         n = len(r.t.split())
         if ids and words + n > rule.block_words:
-            out.append(_items(ids, texts, rule.n))
+            yield _items(ids, texts, rule.n, rule.spread)
             ids, texts, words = [], [], 0
         ids.append(r.k)
         texts.append(r.t)
         words += n
-    return out + ([_items(ids, texts, rule.n)] if ids else [])
+    if ids:
+        yield _items(ids, texts, rule.n, rule.spread)
 
 
 def _prepared(docs: DataFrame, text: str, bench: DataFrame, bench_key: str, bench_text: str, rule: Rule):

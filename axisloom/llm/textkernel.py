@@ -197,3 +197,17 @@ def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
             mult = np.uint64((0xA24BAED4963EE407 + 2 * j * 0x9FB21C651E98DF25) & _M64 | 1)
             out[: total - j] += mix(w.h[j:] + mult) * mult
         return mix(out + np.uint64(n) * np.uint64(0xC2B2AE3D27D4EB4F)), ok
+
+
+def spaced(w: Words, offsets: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """As windows(), of the words at the offsets from each place: hash, and whether the last of them is in the row."""
+    total = len(w.h)
+    out = np.zeros(total, dtype=np.uint64)
+    if not total:
+        return out, np.zeros(0, dtype=bool)
+    ok = np.repeat(w.off[1:], np.diff(w.off)) - np.arange(total) > offsets[-1]
+    with np.errstate(over="ignore"):
+        for k, j in enumerate(offsets):
+            mult = np.uint64((0xA24BAED4963EE407 + 2 * (7 * k + j) * 0x9FB21C651E98DF25) & _M64 | 1)
+            out[: max(0, total - j)] += mix(w.h[j:] + mult) * mult
+        return mix(out + np.uint64(sum(1 << j for j in offsets)) * np.uint64(0xD6E8FEB86659FD93)), ok

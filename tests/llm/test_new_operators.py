@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from axisloom.llm.collision import least_count, near_vectors, window_probability
+from axisloom.llm.decontaminate import Rule, contaminated, smith_waterman
 from axisloom.llm.fill_middle import fill_in_middle, restored, split_parts
 from axisloom.llm.queries import OP12_SQL, op11_spelling, op12_fill_middle, op13_near_vectors
 from axisloom.llm.spelling import WaveletTree, near_words, spelling_variants, vocabulary
@@ -265,3 +266,46 @@ def test_least_count():
     assert least_count(24, window_probability(1.5), 0.9999) == 13
     assert least_count(10, 1.0, 0.9999) == 10
     assert least_count(10, 0.01, 0.99) == 1
+
+
+# benchmark decontamination: what the search finds of what full alignment finds
+
+
+def edited_copies(seed, items, edit):
+    """(items, documents that hold an edited copy of each among other words)."""
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(3000)]
+    bench, docs = [], []
+    for k in range(items):
+        item = rng.choices(words, k=rng.randint(12, 80))
+        copy = [x for j, w in enumerate(item) for x in edit(rng, words, j, w)]
+        bench.append((k, " ".join(item)))
+        docs.append((k, " ".join(rng.choices(words, k=40) + copy + rng.choices(words, k=40))))
+    return bench, docs
+
+
+def random_edits(share):
+    def edit(rng, words, j, w):
+        if rng.random() >= share:
+            return [w]
+        kind = rng.randrange(3)
+        return [rng.choice(words)] if kind == 0 else [] if kind == 1 else [w, rng.choice(words)]
+
+    return edit
+
+
+EDITS = {"one in ten": random_edits(0.1), "one in five": random_edits(0.2), "one in three": random_edits(0.33), "every third": lambda rng, words, j, w: [rng.choice(words)] if j % 3 == 2 else [w], "two of five": lambda rng, words, j, w: [rng.choice(words)] if j % 5 in (1, 3) else [w]}
+
+
+@pytest.mark.parametrize("name", EDITS)
+def test_decontamination_recall(spark, name):
+    """At least 0.95 of the edited copies that full Smith-Waterman alignment scores high enough are found; all where words are
+    replaced by a rule."""
+    bench, docs = edited_copies(len(name), 60, EDITS[name])
+    rule = Rule()
+    code = lambda t: np.array([zlib.crc32(w.encode()) for w in t.split()])
+    due = {k for (k, item), (_, doc) in zip(bench, docs, strict=True) if smith_waterman(code(doc), code(item))[0] >= rule.min_score * 2 * len(item.split())}
+    assert len(due) >= 20
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    found = {r.doc_id for r in got.collect() if r.doc_id == r.item_id}
+    assert len(found & due) >= (1.0 if name in ("every third", "two of five") else 0.95) * len(due)
