@@ -7,15 +7,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.geometry import cell_centre
 from .grid import class_count
 
-#: How many tasks may share the cells of one pair when these meet each other.
-SLICES = 8
+#: Cells whose distances to all others are held at once.
+LATTICE_ROWS = 256
 
 
 def _cells(grid: DataFrame, target: int) -> DataFrame:
@@ -62,59 +64,83 @@ def threshold_metrics(grid: DataFrame, target: int) -> DataFrame:
     return out.select("pair", F.when((F.col("tt") > 0) & (F.col("nn") > 0), F.col("area")).otherwise(F.lit(0.5)).alias("auc"), F.when(F.col("tt") > 0, F.col("f1")).otherwise(F.lit(0.0)).alias("f1"))
 
 
-def _meet(own: DataFrame, other: DataFrame) -> DataFrame:
-    """own joined with other, all cells of a pair with all of it, of which there are at most n * n.
+def _distance_sums(ix: np.ndarray, iy: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """For every cell, and every column of weights, the sum of weight times distance over all cells.
 
-    The result is far larger than what goes in, so its size and not the input's has to set the number of tasks: own is
-    cut in slices, other repeated for each of them, and the number of partitions is given, for otherwise
-    small inputs would be merged into one task.
+    Distances of centres depend on how far cells are apart alone: a table of n * n holds them all, and a block of cells
+    at a time is multiplied with the weights.
     """
-    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = own.withColumn("slice", F.pmod(F.col("ix") + F.col("iy"), F.lit(SLICES)))
-    other = other.withColumn("slice", F.explode(F.array(*[F.lit(i) for i in range(SLICES)])))
-    return own.repartition(parts, "pair", "slice").join(other.repartition(parts, "pair", "slice").hint("shuffle_hash"), ["pair", "slice"])
+    far = np.sqrt(np.add.outer(np.arange(n, dtype=np.float64) ** 2, np.arange(n, dtype=np.float64) ** 2)) / n
+    out = np.empty(weights.shape)
+    for at in range(0, len(ix), LATTICE_ROWS):
+        k = slice(at, at + LATTICE_ROWS)
+        out[k] = far[np.abs(ix[k, None] - ix), np.abs(iy[k, None] - iy)] @ weights
+    return out
+
+
+def _target_silhouette(sums: np.ndarray, counts: np.ndarray, total: np.ndarray, target: int) -> float:
+    """sums and counts by class, total counts of the cells."""
+    t = counts[:, target]
+    tt, nn = t.sum(), (total - t).sum()
+    if not (t > 0).any() or tt <= 1 or nn <= 0:
+        return 0.0
+    a, b = sums[:, target] / (tt - 1), (sums[:, -1] - sums[:, target]) / nn
+    big = np.maximum(a, b)
+    s = np.divide(b - a, big, out=np.zeros_like(big), where=big > 0)
+    return float((t * s)[t > 0].sum() / tt)
+
+
+def _class_silhouette(sums: np.ndarray, counts: np.ndarray) -> float | None:
+    size = counts.sum(axis=0)
+    if not size.sum():
+        return None
+    with np.errstate(all="ignore"):
+        a = np.where(size > counts, sums / (size - counts), np.nan)
+        mean = np.where(size > 0, sums / size, np.inf)
+    total = 0.0
+    for c in np.flatnonzero(size):
+        rest = np.delete(mean, c, axis=1)
+        b = rest.min(axis=1) if rest.shape[1] else np.full(len(mean), np.inf)
+        big = np.maximum(a[:, c], b)
+        ok = (counts[:, c] > 0) & ~np.isnan(a[:, c]) & np.isfinite(b) & (big > 0)
+        total += (counts[ok, c] * (b[ok] - a[ok, c]) / big[ok]).sum()
+    return float(total / size.sum())
+
+
+def silhouettes(grid: DataFrame, target: int, n: int) -> DataFrame:
+    """(pair, sil, sil_all) by one shuffle of the cells, of which a pair has at most n * n: no cell is joined with another.
+
+    sil: target against the rest, by distances of cell centres weighted with counts; 0 for fewer than two target
+    rows and without others.  sil_all: each class against its nearest other class.  In a class of N rows a cell of
+    w rows is at mean distance sum / (N - w) of its class; classes in one cell only are skipped as owners but
+    stay in the denominator.
+    """
+    key = T.StructType([grid.schema["pair"], T.StructField("sil", T.DoubleType()), T.StructField("sil_all", T.DoubleType())])
+
+    def measured(table: pa.Table) -> pa.Table:
+        ix, iy = (table[c].to_numpy().astype(np.int64) for c in ("ix", "iy"))
+        counts = np.array(table["class_counts"].to_pylist(), dtype=np.float64).reshape(len(ix), -1)
+        total = table["count"].to_numpy().astype(np.float64)
+        sums = _distance_sums(ix, iy, np.column_stack([counts, total]), n)
+        found = [_target_silhouette(sums, counts, total, target)], [_class_silhouette(sums[:, :-1], counts)]
+        return pa.table({"pair": table["pair"].slice(0, 1), "sil": pa.array(found[0], pa.float64()), "sil_all": pa.array(found[1], pa.float64())})
+
+    return grid.select("pair", "ix", "iy", "count", "class_counts").groupBy("pair").applyInArrow(measured, key)
 
 
 def silhouette(grid: DataFrame, target: int, n: int) -> DataFrame:
-    """(pair, sil): target against the rest, by distances of cell centres weighted with counts."""
-    c = _cells(grid, target).withColumns({"x": cell_centre(F.col("ix"), n), "y": cell_centre(F.col("iy"), n)})
-    own = c.filter("t > 0").select("pair", "ix", "iy", F.col("t").alias("w"), "x", "y")
-    other = c.select("pair", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("t").alias("ot"), F.col("n").alias("on"))
-    d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
-    s = _meet(own, other).groupBy("pair", "slice", "ix", "iy", "w").agg(F.sum(F.col("ot") * d).alias("da"), F.sum(F.col("on") * d).alias("db"), F.sum("ot").alias("tt"), F.sum("on").alias("nn"))
-    ok = (F.col("tt") > 1) & (F.col("nn") > 0)
-    a, b = F.when(ok, F.col("da") / (F.col("tt") - 1)), F.when(ok, F.col("db") / F.col("nn"))
-    big = F.greatest(a, b)
-    s = s.withColumn("s", F.when(big > 0, (b - a) / big).otherwise(F.lit(0.0)))
-    out = s.groupBy("pair").agg((F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("sil"))
-    return grid.select("pair").distinct().join(out, "pair", "left").withColumn("sil", F.coalesce("sil", F.lit(0.0)))
+    """(pair, sil) of silhouettes()."""
+    return silhouettes(grid, target, n).select("pair", "sil")
 
 
 def silhouette_all(grid: DataFrame, n: int) -> DataFrame:
-    """(pair, sil_all): each class against its nearest other class.
-
-    In a class of N rows a cell of w rows is at mean distance sum / (N - w) of its class; classes in one cell
-    only are skipped as owners but stay in the denominator.
-    """
-    at = grid.withColumns({"x": cell_centre(F.col("ix"), n), "y": cell_centre(F.col("iy"), n)})
-    each = at.select("pair", "ix", "iy", "x", "y", F.posexplode("class_counts").alias("cls", "w")).filter("w > 0")
-    each = each.withColumn("size", F.sum("w").over(W.partitionBy("pair", "cls")))
-    other = each.select("pair", F.col("cls").alias("ocls"), F.col("w").alias("ow"), F.col("size").alias("osize"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
-    # distances of a cell to all rows of a class, once for all classes of the cell
-    by = _meet(at.select("pair", "ix", "iy", "x", "y"), other).groupBy("pair", "slice", "ix", "iy", "ocls", "osize").agg(F.sum(F.col("ow") * d).alias("d"))
-    by = each.select("pair", "ix", "iy", "cls", "w", "size").join(by, ["pair", "ix", "iy"])
-    a = F.max(F.when((F.col("cls") == F.col("ocls")) & (F.col("size") > F.col("w")), F.col("d") / (F.col("size") - F.col("w"))))
-    b = F.min(F.when(F.col("cls") != F.col("ocls"), F.col("d") / F.col("osize")))
-    cell = by.groupBy("pair", "ix", "iy", "cls", "w").agg(a.alias("a"), b.alias("b"))
-    big = F.greatest("a", "b")
-    s = F.when(F.col("a").isNotNull() & F.col("b").isNotNull() & (big > 0), (F.col("b") - F.col("a")) / big).otherwise(F.lit(0.0))
-    return cell.groupBy("pair").agg((F.sum(F.col("w") * s) / F.sum("w")).alias("sil_all"))
+    """(pair, sil_all) of silhouettes(); NULL for pairs without a row of a known class."""
+    return silhouettes(grid, 0, n).select("pair", "sil_all")
 
 
 def all_metrics(grid: DataFrame, target: int, n: int) -> DataFrame:
     """Every metric of every pair."""
-    return simple_metrics(grid, target).join(threshold_metrics(grid, target), "pair").join(silhouette(grid, target, n), "pair").join(silhouette_all(grid, n), "pair")
+    return simple_metrics(grid, target).join(threshold_metrics(grid, target), "pair").join(silhouettes(grid, target, n), "pair")
 
 
 #: Names of metrics to their columns.

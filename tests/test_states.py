@@ -16,6 +16,7 @@ from axisloom.functions.geometry import grid_cell, rect_distance
 from axisloom.functions.transforms import TRANSFORMS, clean, transform
 from axisloom.operators.axis import Axis, Bounds, Term
 from axisloom.operators.grid import merged_occupancy, occupancy_states, occupied_cells
+from axisloom.operators.metrics import silhouettes
 from axisloom.operators.moments import STATE, finished_moments, merged_moments, moment_states
 from axisloom.operators.search import Measured, Memo, PairGenerator, accepts, measure
 from axisloom.operators.stats import moments
@@ -220,3 +221,28 @@ def test_grid_document_weights(spark):
 
 def test_merged_queries(spark):
     assert core.QUERIES["pair_generation_incremental"](spark, SF).count() == 1
+
+
+def test_silhouettes_by_loops(spark):
+    rng = np.random.default_rng(8)
+    grids = {0: [(i, j, rng.integers(0, 4, 3)) for i in range(9) for j in range(9)], 1: [(0, 0, np.array([5, 0, 0])), (3, 1, np.array([0, 1, 0]))], 2: [(2, 2, np.array([4, 0, 0]))], 3: [(1, 1, np.array([3, 2, 0])), (1, 2, np.array([0, 0, 9]))]}
+    rows = [(p, i, j, int(c.sum()), [int(v) for v in c]) for p, cells in grids.items() for i, j, c in cells if c.sum()]
+    df = spark.createDataFrame(rows, "pair int, ix int, iy int, count long, class_counts array<long>")
+    got = {r.pair: (r.sil, r.sil_all) for r in silhouettes(df, 1, 9).collect()}
+    for p in grids:
+        own = [(i, j, c) for q, i, j, _, c in rows if q == p]
+        size = [sum(c[k] for *_, c in own) for k in range(3)]
+        far = lambda a, k, own=own: sum(c[k] * math.hypot(a[0] - i, a[1] - j) / 9 for i, j, c in own)
+        one = every = 0.0
+        for cell in own:
+            rest = size[0] + size[2]
+            if cell[2][1] and size[1] > 1 and rest:
+                a, b = far(cell, 1) / (size[1] - 1), (far(cell, 0) + far(cell, 2)) / rest
+                one += cell[2][1] * ((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+            for k, w in enumerate(cell[2]):
+                others = [far(cell, o) / size[o] for o in range(3) if o != k and size[o]]
+                if w and size[k] > w and others and max(far(cell, k) / (size[k] - w), min(others)) > 0:
+                    a, b = far(cell, k) / (size[k] - w), min(others)
+                    every += w * (b - a) / max(a, b)
+        assert got[p] == (pytest.approx(one / size[1] if size[1] else 0.0), pytest.approx(every / sum(size)))
+    assert silhouettes(df.limit(0), 1, 9).count() == 0
