@@ -154,6 +154,8 @@ class PairGenerator:
         self.memo = Memo() if memo is None else memo
         #: Trials of the last incremental run: how many attempts, rounds and measured trials it had.
         self.attempts = self.rounds = self.trials = 0
+        #: For each pair of the last incremental run that has one, the number of the attempt that was taken, from 1.
+        self.chosen: list[int] = []
 
     def _measure(self, pairs: list[tuple[Axis, Axis]]) -> list[Measured]:
         return measure(self.df, pairs, self.n, self.config.epsilon, self.memo)
@@ -216,8 +218,10 @@ class PairGenerator:
         both sides."""
         pairs, tries = self.config.pairs if pairs is None else pairs, self.config.max_attempts
         found = self.grown([self.growth(p, a) for p in range(pairs) for a in range(tries)])
-        own = [[m for m in found[p * tries : (p + 1) * tries] if m is not None] for p in range(pairs)]
-        return [max(ms, key=lambda m: _score(m, self.config.mode), default=None) for ms in own]
+        own = [[(m, a + 1) for a, m in enumerate(found[p * tries : (p + 1) * tries]) if m is not None] for p in range(pairs)]
+        best = [max(ms, key=lambda m: _score(m[0], self.config.mode), default=None) for ms in own]
+        self.chosen = [b[1] for b in best if b is not None]
+        return [b[0] if b is not None else None for b in best]
 
     def final(self) -> Measured | None:
         """Draws all attempts, measures them in one job, and takes the first valid or else the most occupied."""

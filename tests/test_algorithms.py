@@ -23,6 +23,7 @@ from axisloom.operators.rules import Rect, Rule, first_match, scored
 from axisloom.operators.search import PairGenerator, accepts, measure, sparse_projection
 from axisloom.plans.model import RectangleClassifier, TrainerConfig
 from axisloom.plans.pairs import generate_pairs
+from axisloom.sources.sinks import grid_document
 from axisloom.sources import tables
 from axisloom.streaming.scoring import grid_stream, score_stream, to_memory
 
@@ -313,6 +314,9 @@ def test_run_and_command_line(spark, tmp_path):
         assert d["best_purity_P"] == sum(n for n, p in zip(d["bin_counts"], d["target_class_purity"], strict=True) if p == 1)
     assert spark.read.json(str(tmp_path / "run" / "points" / "pair_00")).count() == 90
     assert "pure cells" in (tmp_path / "run" / "report.txt").read_text()
+    one = [grid_document(r.grid, resolution(90), 1, ["a", "b", "c"], [0, 1, 2], r.measured.x, r.measured.y, r.pure, ["f0", "f1", "f2", "f3"]) for r in found]
+    assert docs == [json.loads(json.dumps(d)) for d in one]
+    assert json.loads((tmp_path / "run" / "summary.json").read_text())["pairs"] == 2
     with pytest.raises(ValueError, match="does not occur"):
         generate_pairs(df, ["f0"], "label", "nobody")
     with pytest.raises(ValueError, match="missing columns"):
