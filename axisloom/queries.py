@@ -19,6 +19,7 @@ from .functions.transforms import TRANSFORMS, clean, signed_sqrt, transform
 from .operators import grid as G
 from .operators import metrics as M
 from .operators import stats as S
+from .operators.accumulate import AxisAccumulator
 from .operators.axis import Axis, Term, bounds, bounds_table, invalid_stats, placed, placed_pairs, with_values
 from .operators.cover import Grid, cover
 from .operators.moments import finished_moments, merged_moments, moment_states
@@ -570,6 +571,15 @@ def _(s, d):
     return points(named, exclude_normal=True).withColumns({"PC1": _r("PC1"), "PC2": _r("PC2")})
 
 
+# An axis grown over stored sums: two terms, the second taken back, another one added.
+@query("axis_accumulated", "SELECT o_orderkey AS id, round(o_totalprice - sqrt(o_custkey), 6) + 0.0 AS value, 2 AS valid FROM orders")
+def _(s, d):
+    rows = _table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_custkey").cast("double").alias("customer"))
+    acc = AxisAccumulator(rows, "id", ["price", "customer"])
+    acc.add(Term("price")).add(Term("customer", 1, "square")).rollback().add(Term("customer", -1, "sqrt"))
+    return acc.values().select("id", _r("value").alias("value"), "valid")
+
+
 # Occupancy of each class as bitmaps by return flag and line number, merged to return flags.
 @query("occupancy_merged", f"SELECT l_returnflag, count(DISTINCT floor(least(greatest(x * {N}, 0), {N - 1}))) AS occupied_x, count(DISTINCT floor(least(greatest(y * {N}, 0), {N - 1}))) AS occupied_y, count(DISTINCT floor(least(greatest(x * {N}, 0), {N - 1})) * {N} + floor(least(greatest(y * {N}, 0), {N - 1}))) AS occupied FROM ({_placed_sql()}) GROUP BY l_returnflag")
 def _(s, d):
