@@ -261,10 +261,11 @@ def _(s, d):
 
 
 # Slices by ship month and status, merged to quarters and to the whole.
+# The total stands for the mean, whose decimals can end in ties that the two engines round apart.
 @query(
     "moments_merged",
     " UNION ALL ".join(
-        f"""SELECT {q} AS quarter, '{f}' AS feature, count(*) AS n, round(avg({f}), 4) + 0.0 AS mean, round(CASE WHEN count(*) >= 2 THEN stddev_samp({f}) END, 4) + 0.0 AS sd, round(CASE WHEN count(*) >= 3 THEN skewness({f}) END, 4) + 0.0 AS skewness,
+        f"""SELECT {q} AS quarter, '{f}' AS feature, count(*) AS n, round(sum({f}), 4) + 0.0 AS total, round(CASE WHEN count(*) >= 2 THEN stddev_samp({f}) END, 4) + 0.0 AS sd, round(CASE WHEN count(*) >= 3 THEN skewness({f}) END, 4) + 0.0 AS skewness,
     round(CASE WHEN count(*) >= 4 THEN kurtosis({f}) END, 4) + 0.0 AS kurtosis FROM (SELECT CAST(l_{c} AS DOUBLE) AS {f}, CAST(year(l_shipdate) * 10 + quarter(l_shipdate) AS INT) AS q FROM lineitem) {g}"""
         for f, c in (("quantity", "quantity"), ("discount", "discount"))
         for q, g in (("q", "GROUP BY q"), ("NULL::INT", ""))
@@ -276,7 +277,7 @@ def _(s, d):
     quarter = (F.floor(F.col("month") / 12) * 10 + F.floor(F.col("month") % 12 / 3) + 1).cast("int")
     by_quarter = merged_moments(early.union(late).withColumn("quarter", quarter).drop("month"), ("quarter",))
     both = by_quarter.union(merged_moments(by_quarter).select(F.lit(None).cast("int").alias("quarter"), "feature", "n", "mean", "m2", "m3", "m4"))
-    return finished_moments(both, ("quarter",)).select("quarter", "feature", "n", _r("mean", 4).alias("mean"), _r("sd", 4).alias("sd"), _r("skewness", 4).alias("skewness"), _r("kurtosis", 4).alias("kurtosis"))
+    return finished_moments(both, ("quarter",)).select("quarter", "feature", "n", _r(F.col("mean") * F.col("n"), 4).alias("total"), _r("sd", 4).alias("sd"), _r("skewness", 4).alias("skewness"), _r("kurtosis", 4).alias("kurtosis"))
 
 
 @query("auto_transform_flags")
