@@ -4,19 +4,20 @@ A word is predicted in two steps: its class from the class of the word before, a
 class.  Classes come from the exchange algorithm: starting from an assignment by frequency, each word in
 turn moves to the class that raises the likelihood of the training bigrams most, until no word moves.
 
-Scale.  A word is placed in a class by its own neighbours if it is seen at least twice and makes up at least
-``least_share`` of all training tokens; call these the listed words.  There are at most 1 / ``least_share`` of them
-however large the corpus is (ten million by default), so what the driver and each executor hold of words is bounded.
+Scale.  Every word seen at least twice is placed in a class by its own neighbours, whatever the size of the corpus.
 The number of classes grows with theirs.
 The most frequent ``cluster_words`` words are exchanged one by one on the driver, from a dense table of their
 bigram counts, until none moves; in it all other words stand for one of eight shapes (ends in punctuation,
-has a digit, has a byte above 127), the listed words apart from the others.  The other listed words then
+has a digit, has a byte above 127).  The other words seen twice or more then
 move in rounds on the executors, from sparse counts of each word by the class before and after it, where the classes of
 the first step are fixed (so a neighbour that isn't among the ``cluster_words`` counts as its shape).  A
 round moves each word to its best class under the model of the round before; rounds end when
-their likelihood rises by less than ``least_rise`` of itself.  Words not listed stay with their shape: they
-are what is known of unknown words.  The classes of the listed words go to the executors (18 bytes a word); the
-counts of the others, which no bound holds for, are joined by word.
+their likelihood rises by less than ``least_rise`` of itself.  Words seen once stay with their shape: they
+are what is known of unknown words.
+
+Counts and classes of all words are a stored table, the lexicon.  Its most frequent part, at most ``shared_words`` words,
+goes to the tasks; a text's other words are joined to it by word and brought back to their places in the text.  What is
+shared changes the speed alone, not the result.
 
 Smoothing.  Class transitions back off to the class frequencies with a Dirichlet prior.  Words of a
 shape share its mass by absolute discounting; what the discount frees is the probability of a word never
@@ -28,8 +29,7 @@ Words are named by 64-bit hashes of their bytes.
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +56,8 @@ class Settings:
     classes: int = 48
     class_growth: float = 0.3
     least_rise: float = 1e-4
-    #: Share of the training tokens from which on a word is listed; at most 1 / least_share words can reach it.
-    least_share: float = 1e-7
+    #: At most this many words, the most frequent, go to the tasks with their classes; the others are joined.
+    shared_words: int = 262_144
     prior: float = 20.0
 
 
@@ -119,27 +119,38 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class BrownModel:
-    """A fitted model; places 0 to k - 1 are the listed words, k the end token, k + 1 to k + 8 the shapes."""
+    """A fitted model, but for the words that are left in the lexicon."""
 
-    words: np.ndarray  # sorted hashes of the listed words
+    words: np.ndarray  # sorted hashes of the shared words, those seen least times or more
     words_n: np.ndarray  # their counts
-    class_of: np.ndarray  # class of each place
-    log_next: np.ndarray  # log10 P(class | class before)
-    log_place: np.ndarray  # log10 P(place | its class)
-    shape_n: np.ndarray  # tokens and types of each shape among the words not listed
+    words_class: np.ndarray  # and classes
+    least: int
+    end_class: int
+    shape_class: np.ndarray
+    mass: np.ndarray  # tokens of each class
+    log_end: float  # log10 P(end | its class)
+    log_shape: np.ndarray  # log10 P(shape | its class)
+    shape_n: np.ndarray  # tokens and types of each shape among the words seen once
     shape_types: np.ndarray
-    least: int  # count from which on words are listed
     discount: float
     train_tokens: int
     vocabulary: int
     end_count: int
+    prior: float
+    log_next: np.ndarray | None = None  # log10 P(class | class before)
 
     def log_base(self, c):
         return np.log10((c + 1.0) / (self.train_tokens + 1.0 * (self.vocabulary + 1)))
 
-    def places(self, w: K.Words, shapes: np.ndarray) -> np.ndarray:
-        at = _find(self.words, w.h)
-        return np.where(at >= 0, at, len(self.words) + 1 + shapes)
+    def log_word(self, cls, n):
+        """log10 P(word | its class) of words seen n >= 2 times."""
+        return np.log10(n / self.mass[cls])
+
+    def log_rare(self, shape, n):
+        """log10 P(word | class of its shape) of words seen once (n = 1) or never (0)."""
+        size = np.maximum(self.shape_n, 1.0)
+        unseen = np.where(self.shape_n > 0, self.discount * self.shape_types / size, 1.0)
+        return self.log_shape[shape] + np.log10(np.where(n > 0, (1.0 - self.discount) / size[shape], unseen[shape]))
 
 
 def _with_ends(place: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,245 +245,374 @@ def _pair_sums(train: DataFrame, side: int, codes) -> np.ndarray:
 
 
 def _contexts(train: DataFrame, start, cls: np.ndarray, classes: int, k: int) -> DataFrame:
-    """(word, ctx, n) stored: for each word that isn't exchanged one by one, its place among the words, and how often the class ctx is
-    before it (ctx - classes: after it)."""
+    """(word, shape, ctx, n) stored: for each word seen twice or more that isn't exchanged one by one, the classes ctx before it
+    and (ctx - classes) after it, and how often each is."""
     width = 2 * classes
 
-    def count(batches):
-        held, held_n = [], []
-
-        def flush():
-            key, inv = np.unique(np.concatenate(held), return_inverse=True)
-            return key, np.bincount(inv, weights=np.concatenate(held_n)).astype(np.int64)
+    def merged(h, s, ctx, n):
+        words, first, inv = np.unique(h, return_index=True, return_inverse=True)
+        key, at = np.unique(inv * width + ctx, return_inverse=True)
+        own = key // width
+        return words[own], s[first][own], key % width, np.bincount(at, weights=n).astype(np.int64)
 
-        def out(key, n):
-            for i in range(0, len(key), 100_000):
-                part = key[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array((part // width).astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.array(n[i : i + 100_000])], ["word", "ctx", "n"])
+    def out(found):
+        h, s, ctx, n = found
+        for i in range(0, len(h), 100_000):
+            part = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(s[part].astype(np.int32)), pa.array(ctx[part].astype(np.int32)), pa.array(n[part])], ["word", "shape", "ctx", "n"])
 
+    def count(batches):
+        held = []
         for batch in batches:
             for w in K.iter_words(batch.column(0)):
-                at, place = _start_places(start.value, w, k)
+                shapes = _shapes(w)
+                place = _start_places(start.value, w, shapes, k)
                 seq, before = _with_ends(cls[place], w.off, int(cls[k]))
-                own = np.arange(len(at)) + w.row_of_word()
-                tail = np.flatnonzero(place > k + SHAPES)
-                own, at = own[tail], at[tail]
-                key, n = np.unique(np.concatenate([at * width + before[own], at * width + classes + seq[own + 1]]), return_counts=True)
-                held.append(key)
-                held_n.append(n)
-            if sum(map(len, held)) > 4_000_000:
-                key, n = flush()
-                held, held_n = [key], [n]
-                if len(key) > 2_000_000:
-                    yield from out(key, n)
-                    held, held_n = [], []
+                tail = np.flatnonzero(place > k)
+                own = tail + w.row_of_word()[tail]
+                h, s = np.tile(w.h[tail], 2), np.tile(shapes[tail], 2)
+                held.append(merged(h, s, np.concatenate([before[own], classes + seq[own + 1]]), np.ones(len(h))))
+            if sum(len(x[0]) for x in held) > 4_000_000:
+                held = [merged(*map(np.concatenate, zip(*held, strict=True)))]
+                if len(held[0][0]) > 2_000_000:
+                    yield from out(held[0])
+                    held = []
         if held:
-            yield from out(*flush())
+            yield from out(merged(*map(np.concatenate, zip(*held, strict=True))))
+
+    sums = train.mapInArrow(count, "word long, shape int, ctx int, n long").repartition("word").groupBy("word", "shape", "ctx").agg(F.sum("n").alias("n"))
+    by_word = sums.groupBy("word", "shape").agg(F.collect_list("ctx").alias("ctx"), F.collect_list("n").alias("n"), F.sum("n").alias("both"))
+    return stored(by_word.filter("both >= 4").drop("both"), "contexts")
 
-    sums = train.mapInArrow(count, "word int, ctx int, n long").repartition("word").groupBy("word", "ctx").agg(F.sum("n").alias("n"))
-    return stored(sums.groupBy("word").agg(F.collect_list("ctx").alias("ctx"), F.collect_list("n").alias("n")), "contexts")
 
+def _dense(batch: pa.RecordBatch, classes: int) -> np.ndarray:
+    """The counts of a batch of _contexts(), a row of 2 x classes for each word."""
+    size = len(batch)
+    row = np.repeat(np.arange(size), np.diff(batch.column("ctx").offsets.to_numpy()))
+    return np.bincount(row * 2 * classes + batch.column("ctx").flatten().to_numpy(), weights=batch.column("n").flatten().to_numpy(), minlength=size * 2 * classes).reshape(size, -1)
+
+
+def _cells(df: DataFrame, add, size: int) -> np.ndarray:
+    """The sum over all batches of what add(batch) gives, an array of a fixed size."""
+
+    def sums(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            total += add(batch)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
+
+    out = np.zeros(size)
+    found = df.mapInArrow(sums, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _onehot(at: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(at), width))
+    out[np.arange(len(at)), at] = 1
+    return out
 
-def _best(contexts: DataFrame, classes: int, weights: np.ndarray, last: bool) -> pa.Table:
-    """Each word's best class: (word, cls) if last, else the sums of all words' counts by class: (cell, n), cell 0 the log likelihood."""
+
+def _best_sums(contexts: DataFrame, classes: int, weights: np.ndarray) -> tuple[float, np.ndarray]:
+    """With each word in its best class: the log likelihood, and the sums of the words' counts by class."""
+    shared = contexts.sparkSession.sparkContext.broadcast(weights)
+
+    def add(batch):
+        x = _dense(batch, classes)
+        gain = x @ shared.value
+        best = np.argmax(gain, axis=1)
+        return np.concatenate([[gain[np.arange(len(x)), best].sum()], (_onehot(best, classes).T @ x).ravel()])
+
+    sums = _cells(contexts, add, 1 + 2 * classes * classes)
+    return sums[0], sums[1:].reshape(classes, 2 * classes)
+
+
+def _best_classes(contexts: DataFrame, classes: int, weights: np.ndarray) -> DataFrame:
+    """(word, cls): each word's best class."""
     shared = contexts.sparkSession.sparkContext.broadcast(weights)
 
     def assign(batches):
-        sums, total = np.zeros((classes, 2 * classes)), 0.0
         for batch in batches:
-            size = len(batch)
-            row = np.repeat(np.arange(size), np.diff(batch.column(1).offsets.to_numpy()))
-            x = np.bincount(row * 2 * classes + batch.column(1).flatten().to_numpy(), weights=batch.column(2).flatten().to_numpy(), minlength=size * 2 * classes).reshape(size, -1)
-            gain = x @ shared.value
-            best = np.argmax(gain, axis=1)
-            if last:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32))], ["word", "cls"])
-                continue
-            total += gain[np.arange(size), best].sum()
-            onehot = np.zeros((size, classes))
-            onehot[np.arange(size), best] = 1
-            sums += onehot.T @ x
-        if not last:
-            flat = np.concatenate([[total], sums.ravel()])
-            used = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(np.argmax(_dense(batch, classes) @ shared.value, axis=1).astype(np.int32))], ["word", "cls"])
 
-    if last:
-        return contexts.mapInArrow(assign, "word int, cls int").toArrow()
-    return contexts.mapInArrow(assign, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return contexts.mapInArrow(assign, "word long, cls int")
 
 
-def _start_places(start: tuple[np.ndarray, np.ndarray], w: K.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's place among the listed words (-1: not listed), and its place in the exchange of the k most frequent."""
-    words, core = start
-    at, shapes = _find(words, w.h), _shapes(w)
-    own = core[at] if len(core) else at
-    return at, np.where(at < 0, k + 1 + shapes, np.where(own >= 0, own, k + 1 + SHAPES + shapes))
+def _start_places(core: tuple[np.ndarray, np.ndarray], w: K.Words, shapes: np.ndarray, k: int) -> np.ndarray:
+    """Each word's place in the exchange of the k most frequent: its own, or that of its shape after the end's, k."""
+    words, place = core
+    at = _find(words, w.h)
+    return np.where(at >= 0, place[at] if len(place) else at, k + 1 + shapes)
 
 
-def fit_brown(train: DataFrame, text: str = "text", settings: Settings = Settings()) -> tuple[BrownModel, DataFrame]:
-    """The model of all rows of train, and the stored table of all word counts (word, shape, n)."""
-    sc = train.sparkSession.sparkContext
-    train = train.select(text)
-    counts = stored(word_counts(train, text), "words")
+def _fit_classes(train: DataFrame, settings: Settings) -> tuple[BrownModel, DataFrame]:
+    """The model of all rows of train but for its transitions, and the stored lexicon (word, shape, n, cls) of all words;
+    cls is null for words seen once.  train has one column, the text."""
+    spark = train.sparkSession
+    sc = spark.sparkContext
+    counts = stored(word_counts(train, train.columns[0]), "words")
     n_docs = train.count()
-    tokens, n1, n2 = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    least = max(2, math.ceil((tokens + n_docs) * settings.least_share))
+    tokens, types, n1, n2 = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     shape_n, shape_types = np.zeros(SHAPES), np.zeros(SHAPES)
-    for r in counts.filter(F.col("n") < least).groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+    for r in counts.filter("n < 2").groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
         shape_n[r["shape"]], shape_types[r["shape"]] = r["n"], r["types"]
-    top = counts.filter(F.col("n") >= least).select("word", "n").toArrow()
-    hashes, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(hashes)
-    words, words_n = hashes[order], n[order]
-    v = len(words)
-    frequent = np.lexsort((words.view(np.int64), -words_n))[: settings.cluster_words]
+    # the most frequent words, exchanged one by one
+    top = counts.filter("n >= 2").orderBy(F.desc("n"), "word").limit(settings.cluster_words).select("word").toArrow()
+    frequent = top["word"].to_numpy()
     k = len(frequent)
-    core = np.full(v, -1, dtype=np.int32)
-    core[frequent] = np.arange(k)
-    places = k + 1 + 2 * SHAPES
-    start = sc.broadcast((words, core))
-    bigrams = _pair_sums(train, places, lambda w: _with_ends(_start_places(start.value, w, k)[1], w.off, k))
-    freq = bigrams.sum(axis=0)
+    order = np.argsort(frequent.view(np.uint64))
+    start = sc.broadcast((frequent.view(np.uint64)[order], order))
+    places = k + 1 + SHAPES
+    bigrams = _pair_sums(train, places, lambda w: _with_ends(_start_places(start.value, w, _shapes(w), k), w.off, k))
+    v = types - n1
     classes = max(1, min(max(settings.classes, round(v**settings.class_growth)), places))
     first = np.zeros(places, dtype=np.int64)
-    first[np.argsort(-freq, kind="stable")] = np.arange(places) % classes
+    first[np.argsort(-bigrams.sum(axis=0), kind="stable")] = np.arange(places) % classes
     cls = exchange(bigrams, first, classes)
-    class_of = np.zeros(v + 1 + SHAPES, dtype=np.int16)
-    class_of[frequent], class_of[v:] = cls[:k], cls[k : k + 1 + SHAPES]
+    found = spark.createDataFrame([(int(w), int(c)) for w, c in zip(frequent, cls, strict=False)], "word long, cls int")
+    contexts = None
     if v > k:
-        onehot = np.zeros((places, classes))
-        onehot[np.arange(places), cls] = 1
+        onehot = _onehot(cls, classes)
         own = onehot.copy()
-        own[k + 1 + SHAPES :] = 0  # without the words that are to move
-        before, after = onehot.T @ bigrams @ own, own.T @ bigrams @ onehot
+        own[k + 1 :] = 0
         contexts = _contexts(train, start, cls, classes, k)
-        left, right, reached = onehot.T @ bigrams @ onehot, onehot.T @ bigrams @ onehot, -np.inf
+        # words seen once stay with their shapes: all of a shape without the words that are to move
+        before, after = onehot.T @ bigrams, (bigrams @ onehot).T
+        moving = _cells(contexts, lambda b: (_onehot(b.column("shape").to_numpy(), SHAPES).T @ _dense(b, classes)).ravel(), SHAPES * 2 * classes).reshape(SHAPES, -1)
+        fixed_before, fixed_after = before @ own, own.T @ after.T
+        for shape in range(SHAPES):
+            at = k + 1 + shape
+            fixed_before[:, cls[at]] += before[:, at] - moving[shape, :classes]
+            fixed_after[cls[at]] += after[:, at] - moving[shape, classes:]
+        left = right = onehot.T @ bigrams @ onehot
+        reached = -np.inf
         while True:
             mass = left.sum(axis=0) + 0.5
             weights = np.concatenate([np.log(_transitions(left, mass, settings.prior)) - np.log(mass)[None, :], np.log(_transitions(right, right.sum(axis=0) + 0.5, settings.prior)).T])
-            found = _best(contexts, classes, weights, False)
-            sums = np.zeros(1 + 2 * classes * classes)
-            sums[found["cell"].to_numpy()] = found["n"].to_numpy()
-            if sums[0] <= reached + settings.least_rise * abs(sums[0]):
+            likelihood, sums = _best_sums(contexts, classes, weights)
+            if likelihood <= reached + settings.least_rise * abs(likelihood):
                 break
-            reached, sums = sums[0], sums[1:].reshape(classes, 2 * classes)
-            left, right = before + sums[:, :classes].T, after + sums[:, classes:]
-        found = _best(contexts, classes, weights, True)
-        class_of[found["word"].to_numpy()] = found["cls"].to_numpy()
+            reached = likelihood
+            left, right = fixed_before + sums[:, :classes].T, fixed_after + sums[:, classes:]
+        found = found.unionByName(_best_classes(contexts, classes, weights))
+    lexicon = stored(counts.join(found, "word", "left"), "lexicon")
+    drop_stored(counts)
+    if contexts is not None:
         drop_stored(contexts)
-    by_place = sc.broadcast((words, class_of))
-
-    def codes(w):
-        own, to = by_place.value
-        at = _find(own, w.h)
-        return _with_ends(to[np.where(at >= 0, at, len(own) + 1 + _shapes(w))].astype(np.int64), w.off, int(to[len(own)]))
-
-    table = _pair_sums(train, classes, codes)
-    floor = np.concatenate([words_n, [n_docs], shape_n])
-    # a place never seen (a shape without words) still gets a share
-    floor = floor + 0.5 * (floor == 0)
-    mass = np.bincount(class_of, weights=floor, minlength=classes)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        log_next, log_place = np.log10(_transitions(table, mass, settings.prior)), np.log10(floor / mass[class_of])
+    # the words that go to the tasks: those above the least power of two that not too many words reach
+    sizes = {r["b"]: r["words"] for r in lexicon.filter("n >= 2").groupBy(F.floor(F.log2("n") + 1e-9).alias("b")).agg(F.count("*").alias("words")).collect()}
+    reach, bit = 0, max(sizes, default=0) + 1
+    while bit > 1 and reach + sizes.get(bit - 1, 0) <= settings.shared_words:
+        bit -= 1
+        reach += sizes.get(bit, 0)
+    shared = lexicon.filter(F.col("n") >= 2**bit).select("word", "n", "cls").toArrow()
+    hashes = shared["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    # what is never seen (a shape without words, an end without documents) still gets a share
+    ends, shapes = n_docs + 0.5 * (n_docs == 0), shape_n + 0.5 * (shape_n == 0)
+    end_class, shape_class = int(cls[k]), cls[k + 1 :]
+    mass = np.bincount(np.append(shape_class, end_class), weights=np.append(shapes, ends), minlength=classes)
+    for r in lexicon.filter("cls IS NOT NULL").groupBy("cls").agg(F.sum("n").alias("n")).collect():
+        mass[r["cls"]] += r["n"]
     model = BrownModel(
-        words, words_n, class_of, log_next, log_place.astype(np.float64), shape_n, shape_types, least,
-        min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2))),
-        tokens + n_docs, v + int(shape_types.sum()) + (n_docs > 0), n_docs,
+        hashes[order], shared["n"].to_numpy()[order], shared["cls"].to_numpy()[order], 2**bit, end_class, shape_class, mass,
+        float(np.log10(ends / mass[end_class])), np.log10(shapes / mass[shape_class]), shape_n, shape_types,
+        min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2))), tokens + n_docs, types + (n_docs > 0), n_docs, settings.prior,
     )
-    return model, counts
+    return model, lexicon
 
 
-def lm_scores(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep with n_tokens, n_known, train_tokens, base_score, score and perplexity of every
-    row's whole text (null: empty, which has the end token alone).
+def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
-    base_score is the add-one unigram score, score the model's log10 probability of the text.  Equal texts
-    score the same, repeated rows give repeated rows, other columns of docs are ignored.  Words are
-    unknown when the training rows don't have them, and all are when there are no training rows.  An empty
-    table gives an empty result.
 
-    Parts of a row meet again under two digests of its values, so that a task that runs again on rows in
-    another order gives the same; rows that are equal in all of these share their parts and are counted.
+def _spans(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, bytes) of a binary array without nulls."""
+    _, off, data = arr.buffers()
+    if not len(arr):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+    off = np.frombuffer(off, dtype=np.int32)[arr.offset : arr.offset + len(arr) + 1]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return np.diff(off).astype(np.int64), data[off[0] : off[-1]]
+
+
+def _encoded(docs: DataFrame, model: BrownModel, lexicon: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """own (a struct of the columns in keep), seq (the classes of the text's words and of its end, 16 bits each), n_known,
+    base_score, and place: the sum of log10 P(word | its class).
+
+    Words that aren't shared leave the row for the join by word and come back with their positions.  Parts of a row
+    meet again under two digests of its values and its partition, so that a task that runs again gives the same.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    k = len(model.words)
-    fields = [f for c in keep for f in docs.schema.fields if f.name == c]
-    wide = T.StructType([T.StructField("row", T.LongType()), T.StructField("row2", T.LongType()), T.StructField("word", T.LongType()), T.StructField("shape", T.LongType()), T.StructField("times", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("log_p", T.DoubleType()), T.StructField("own", T.StructType(fields))])
+    own_type = T.StructType([f for c in keep for f in docs.schema.fields if f.name == c])
+    wide = T.StructType([T.StructField("row", T.LongType()), T.StructField("row2", T.LongType()), T.StructField("word", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("shape", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("place", T.DoubleType()), T.StructField("own", own_type)])
 
-    def score(batches):
+    def parts(batches):
+        """A record of each row (at -1; data: classes) and of each other word of it (at: its first position; data: all of them)."""
         m = shared.value
         for batch in batches:
             own = pa.StructArray.from_arrays(batch.columns[: len(keep)], names=list(keep))
             ids = [batch.column(len(keep) + j).to_numpy() for j in (1, 2)]
             for w in K.iter_words(batch.column(len(keep))):
-                n = len(w)
+                n, owner = len(w), w.row_of_word()
                 id1, id2 = (x[w.first : w.first + n] for x in ids)
-                shapes = _shapes(w)
-                place = m.places(w, shapes)
-                seq, before = _with_ends(place, w.off, k)
-                row = np.repeat(np.arange(n), np.diff(w.off) + 1)
-                log_p = np.bincount(row, weights=m.log_next[m.class_of[before], m.class_of[seq]] + m.log_place[seq], minlength=n)
-                here = place < k
-                c = m.words_n[place[here]]
-                owner = w.row_of_word()
+                found = _find(m.words, w.h)
+                here = found >= 0
+                c, cls = m.words_n[found[here]], m.words_class[found[here]]
+                full = np.full(len(w.h) + n, m.end_class, dtype=np.int16)
+                full[(np.arange(len(w.h)) + owner)[here]] = cls
+                place = np.bincount(owner, weights=_spread(here, m.log_word(cls, c)), minlength=n) + m.log_end
                 base = np.bincount(owner, weights=_spread(here, m.log_base(c)), minlength=n) + m.log_base(m.end_count)
                 known = np.bincount(owner, weights=here, minlength=n).astype(np.int64) + (m.end_count > 0)
-                # words not listed, once a row
-                rare = np.flatnonzero(~here)
-                if len(rare):
-                    order = np.lexsort((w.h[rare], owner[rare]))
-                    o, h, s = owner[rare][order], w.h[rare][order], shapes[rare][order]
-                    head = np.concatenate([[True], (o[1:] != o[:-1]) | (h[1:] != h[:-1])])
-                    times = np.diff(np.append(np.flatnonzero(head), len(o)))
-                    o, h, s = o[head], h[head], s[head]
-                else:
-                    o, h, s, times = (np.zeros(0, dtype=np.int64),) * 4
-                one, none = np.arange(n), len(o)
+                rest = np.flatnonzero(~here)
+                rest = rest[np.lexsort((w.h[rest], owner[rest]))]
+                o, h = owner[rest], w.h[rest]
+                head = np.flatnonzero(np.concatenate([np.ones(min(1, len(rest)), dtype=bool), (o[1:] != o[:-1]) | (h[1:] != h[:-1])]))
+                positions = (rest - w.off[o]).astype(np.int32)
+                row_ends, word_ends = 2 * (w.off + np.arange(n + 1)), 4 * np.append(head, len(rest))
+                data = _binary(np.concatenate([row_ends, row_ends[-1] + word_ends[1:]]), np.concatenate([full.view(np.uint8), positions.view(np.uint8)]))
+                one, none = np.arange(n), len(head)
                 mask = np.concatenate([np.zeros(n, dtype=bool), np.ones(none, dtype=bool)])
+                of = np.concatenate([one, o[head]])
+                zeros = np.zeros(none)
                 cols = [
-                    pa.array(id1[np.concatenate([one, o])]),
-                    pa.array(id2[np.concatenate([one, o])]),
+                    pa.array(id1[of]),
+                    pa.array(id2[of]),
                     # a row's own record takes a key that no other has, to be spread by the join
-                    pa.array(np.concatenate([K.mix(id1.view(np.uint64)).view(np.int64), h.astype(np.uint64).view(np.int64)])),
-                    pa.array(np.concatenate([np.full(n, -1), s])),
-                    pa.array(np.concatenate([np.diff(w.off) + 1, times])),
-                    pa.array(np.concatenate([known, np.zeros(none, dtype=np.int64)])),
-                    pa.array(np.concatenate([base, np.zeros(none)])),
-                    pa.array(np.concatenate([log_p, np.zeros(none)])),
-                    own.slice(w.first, n).take(pa.array(np.concatenate([one, np.zeros(none, dtype=np.int64)]), mask=mask)),
+                    pa.array(np.concatenate([K.mix(id1.view(np.uint64)), h[head]]).view(np.int64)),
+                    pa.array(np.concatenate([np.full(n, -1, dtype=np.int32), positions[head]])),
+                    pa.array(np.concatenate([np.zeros(n), _shapes(w)[rest][head]]).astype(np.int32)),
+                    data,
+                    pa.array(np.concatenate([known, zeros.astype(np.int64)])),
+                    pa.array(np.concatenate([base, zeros])),
+                    pa.array(np.concatenate([place, zeros])),
+                    own.slice(w.first, n).take(pa.array(np.concatenate([one, zeros.astype(np.int64)]), mask=mask)),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, wide.names)
 
+    def whole(held):
+        """The rows of whole groups of parts; n rows that are equal have n own records and n of each word."""
+        m = shared.value
+        t = pa.Table.from_batches(held).combine_chunks()
+        col = {c: t[c].chunk(0) for c in t.column_names}
+        num = {c: col[c].to_numpy() for c in ("row", "row2", "at", "shape", "known", "base", "place")}
+        new = np.concatenate([[True], (num["row"][1:] != num["row"][:-1]) | (num["row2"][1:] != num["row2"][:-1])])
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        is_own = num["at"] < 0
+        size = len(starts)
+        copies = np.bincount(group[is_own], minlength=size)
+        lengths, data = _spans(col["data"].take(pa.array(starts)))
+        seq = data.copy().view(np.int16)
+        offsets = np.concatenate([[0], np.cumsum(lengths // 2)])
+        rest = np.flatnonzero(~is_own)
+        spans, data = _spans(col["data"].take(pa.array(rest)))
+        times, g, shape = spans // 4, group[rest], num["shape"][rest]
+        n = col["n"].fill_null(0).to_numpy()[rest]
+        cls = col["cls"].fill_null(-1).to_numpy()[rest]
+        listed = cls >= 0
+        place = m.log_rare(shape, n)
+        place[listed] = m.log_word(cls[listed], n[listed])
+        seq[np.repeat(offsets[g], times) + data.view(np.int32)] = np.repeat(np.where(listed, cls, m.shape_class[shape]), times)
+        add = lambda x: np.bincount(g, weights=times * x, minlength=size) / copies
+        own = np.flatnonzero(is_own)
+        back = group[own]
+        return pa.RecordBatch.from_arrays(
+            [
+                col["own"].take(pa.array(own)),
+                _binary(2 * offsets, seq.view(np.uint8)).take(pa.array(back)),
+                pa.array(num["known"][own] + np.rint(add(n > 0)).astype(np.int64)[back]),
+                pa.array(num["base"][own] + add(m.log_base(n))[back]),
+                pa.array(num["place"][own] + add(place)[back]),
+            ],
+            ["own", "seq", "n_known", "base_score", "place"],
+        )
+
+    def assemble(batches):
+        held, last = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            r1, r2 = batch.column("row").to_numpy(), batch.column("row2").to_numpy()
+            change = np.flatnonzero((r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])) + 1
+            cut = int(change[-1]) if len(change) else 0
+            if cut or last != (r1[0], r2[0]):
+                ready = [*held, batch.slice(0, cut)] if cut else held
+                if ready:
+                    yield whole(ready)
+                held = []
+            held.append(batch.slice(cut))
+            last = (r1[-1], r2[-1])
+        if held:
+            yield whole(held)
+
     # a hash passes nulls over, so which values are null is hashed too
     values = [F.col(c) for c in (*keep, text)]
-    nulls = [c.isNull() for c in values]
-    parts = docs.select(*keep, F.col(text).alias("__text"), F.xxhash64(*values, *nulls).alias("__1"), F.xxhash64(F.lit(7), *values, *nulls).alias("__2")).mapInArrow(score, wide)
-    joined = parts.join(counts.filter(F.col("n") < model.least).select(F.col("word").alias("w"), F.col("n")), (F.col("word") == F.col("w")) & (F.col("shape") >= 0), "left")
-    c = F.coalesce(F.col("n"), F.lit(0)).cast("double")
-    total = float(model.train_tokens + model.vocabulary + 1)
-    d = model.discount
-    per_shape = [(max(a, 1.0), d * b / a if a > 0 else 1.0) for a, b in zip(model.shape_n, model.shape_types, strict=True)]
-    size = F.element_at(F.array(*[F.lit(float(a)) for a, _ in per_shape]), (F.col("shape") + 1).cast("int"))
-    unseen = F.element_at(F.array(*[F.lit(float(u)) for _, u in per_shape]), (F.col("shape") + 1).cast("int"))
-    tail = F.col("shape") >= 0
-    joined = joined.select(
-        "row", "row2", "own", "shape",
-        F.when(tail, F.lit(0)).otherwise(F.col("times")).alias("n_tokens"),
-        F.when(tail, F.when(c > 0, F.col("times")).otherwise(0)).otherwise(F.col("known")).alias("known"),
-        F.when(tail, F.col("times") * F.log10((c + 1.0) / F.lit(total))).otherwise(F.col("base")).alias("base"),
-        F.when(tail, F.col("times") * F.log10(F.when(c > 0, (c - F.lit(d)) / size).otherwise(unseen))).otherwise(F.col("log_p")).alias("log_p"),
-    )
-    # n rows that are equal have n own records and n times the sums
-    whole = joined.groupBy("row", "row2").agg(F.max("own").alias("own"), F.count("own").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("log_p").alias("score"))
-    each = lambda c: (F.col(c) / F.col("rows")).alias(c)
-    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select("own", each("n_tokens"), each("n_known"), each("base_score"), each("score"))
-    return whole.select("own.*", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(int(model.train_tokens)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    values = [*values, *[c.isNull() for c in values], F.spark_partition_id()]
+    rows = docs.select(*keep, F.col(text).alias("__text"), F.xxhash64(*values).alias("__1"), F.xxhash64(F.lit(7), *values).alias("__2"))
+    words = lexicon.filter(F.col("n") < model.least).select(F.col("word").alias("w"), "n", "cls")
+    joined = rows.mapInArrow(parts, wide).join(words, (F.col("word") == F.col("w")) & (F.col("at") >= 0), "left").drop("word", "w")
+    out = T.StructType([T.StructField("own", own_type), T.StructField("seq", T.BinaryType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("place", T.DoubleType())])
+    return joined.repartition("row").sortWithinPartitions("row", "row2", "at").mapInArrow(assemble, out)
+
+
+def _with_transitions(model: BrownModel, encoded: DataFrame) -> BrownModel:
+    """The model with transitions counted in encoded training rows."""
+    classes, end = len(model.mass), model.end_class
+
+    def add(batch):
+        seq = _spans(batch.column(0))[1].view(np.int16).astype(np.int64)
+        # every row closes with an end, which stands before the next row
+        before = np.concatenate([[end], seq[:-1]]) if len(seq) else seq
+        return np.bincount(before * classes + seq, minlength=classes * classes)
+
+    table = _cells(encoded.select("seq"), add, classes * classes).reshape(classes, classes)
+    return replace(model, log_next=np.log10(_transitions(table, model.mass, model.prior)))
+
+
+def fit_brown(train: DataFrame, text: str = "text", settings: Settings = Settings()) -> tuple[BrownModel, DataFrame]:
+    """The model of all rows of train, and the stored lexicon (word, shape, n, cls) of all words."""
+    train = train.select(F.col(text).alias("text"))
+    model, lexicon = _fit_classes(train, settings)
+    return _with_transitions(model, _encoded(train.withColumn("train", F.lit(True)), model, lexicon, "text", ("train",))), lexicon
+
+
+def _scored(encoded: DataFrame, model: BrownModel) -> DataFrame:
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches):
+        m = shared.value
+        for batch in batches:
+            lengths, data = _spans(batch.column("seq"))
+            seq = data.view(np.int16)
+            before = np.concatenate([[m.end_class], seq[:-1]]) if len(seq) else seq
+            row = np.repeat(np.arange(len(batch)), lengths // 2)
+            moves = np.bincount(row, weights=m.log_next[before, seq], minlength=len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(lengths // 2), batch.column("n_known"), batch.column("base_score"), pa.array(moves + batch.column("place").to_numpy())], names)
+
+    names = ["own", "n_tokens", "n_known", "base_score", "score"]
+    schema = T.StructType([encoded.schema["own"], *[T.StructField(c, T.LongType() if c.startswith("n_") else T.DoubleType()) for c in names[1:]]])
+    found = encoded.mapInArrow(score, schema)
+    return found.select("own.*", "n_tokens", "n_known", F.lit(int(model.train_tokens)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
+def lm_scores(docs: DataFrame, model: BrownModel, lexicon: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in keep with n_tokens, n_known, train_tokens, base_score, score and perplexity of every
+    row's whole text (null: empty, which has the end token alone).
+
+    base_score is the add-one unigram score, score the model's log10 probability of the text.  Equal texts
+    score the same, repeated rows give repeated rows, other columns of docs are ignored.  Words are
+    unknown when the training rows don't have them, and all are when there are no training rows.  An empty
+    table gives an empty result.
+    """
+    return _scored(_encoded(docs, model, lexicon, text, keep), model)
 
 
 def held_out_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, settings: Settings = Settings()) -> DataFrame:
     """(key, held_out, ...): scores of all rows under a model that never saw the fold
     ``crc32(key as text) mod folds = fold``.  A null key is never held out."""
     held = crc_mod(key, folds) == fold
-    model, counts = fit_brown(docs.filter(~held), text, settings)
-    return lm_scores(docs.withColumn("held_out", held), model, counts, text, keep=(key, "held_out"))
+    model, lexicon = _fit_classes(docs.filter(~held).select(text), settings)
+    # all rows are encoded once, for the transitions and for the scores
+    rows = stored(_encoded(docs.withColumn("held_out", held), model, lexicon, text, (key, "held_out")), "classes")
+    return _scored(rows, _with_transitions(model, rows.filter("NOT own.held_out")))

@@ -13,7 +13,7 @@ from axisloom.llm import language_id
 from axisloom.llm import textkernel as K
 from axisloom.llm.brown_lm import Settings as LmSettings
 from axisloom.llm.brown_lm import _shapes as shapes_of
-from axisloom.llm.brown_lm import exchange, fit_brown, lm_scores
+from axisloom.llm.brown_lm import exchange, fit_brown, held_out_scores, lm_scores
 from axisloom.llm.decontaminate import contaminated, decontaminated, smith_waterman
 from axisloom.llm.language_id import Settings, fit_language_model, languages
 from axisloom.llm.queries import op2_language_id, op7_lm_scoring
@@ -82,9 +82,9 @@ def test_lm_classes_of_all_words(spark):
     name = lambda g, i: g + "".join(chr(97 + (i // 26**j) % 26) for j in range(3))
     firsts, seconds = ([name(g, i) for i in range(1000)] for g in "pq")
     texts = [" ".join(f"{around}{rng.choice(list('abcdefgh'))} {group[i]}" for i in rng.permutation(1000)) for group, around in ((firsts, "x"), (seconds, "y")) for _ in range(4)]
-    model, _ = fit_brown(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert len(model.words) == 2016
-    of = dict(zip(model.words.tolist(), model.class_of.tolist(), strict=False))
+    _, lexicon = fit_brown(spark.createDataFrame([(t,) for t in texts], "text string"), settings=LmSettings(shared_words=100))
+    of = {r.word % 2**64: r.cls for r in lexicon.collect()}
+    assert len(of) == 2016 and None not in of.values()
     one, two = ({c: n for c, n in Counter(of[h] for h in hash_words(g).tolist()).items()} for g in (firsts, seconds))
     assert sum(min(one.get(c, 0), two.get(c, 0)) for c in one) < 30
 
@@ -171,22 +171,51 @@ def test_lm_edges(spark):
     assert all(r.n_known == 0 for r in lm_scores(df, none, no_counts).collect())
 
 
-@pytest.mark.parametrize("share", [1e-7, 0.03, 1.0])
-def test_lm_probabilities_sum_to_one(spark, share):
+@pytest.mark.parametrize(("shared", "cluster"), [(0, 1024), (10, 5), (1000, 0)])
+def test_lm_probabilities_sum_to_one(spark, shared, cluster):
     """The known words, the end and an unknown word of each shape, after the start of a text."""
     rng = np.random.default_rng(6)
     vocabulary = [f"w{chr(97 + i % 26)}{'.' if i % 3 == 0 else ''}{i if i % 4 == 0 else ''}{'é' if i % 5 == 0 else ''}" for i in range(60)]
-    texts = [" ".join(rng.choice(vocabulary, 30, p=np.arange(1, 61) / 1830)) for _ in range(20)]
+    texts = [" ".join(rng.choice(vocabulary, 30, p=np.arange(1, 61) / 1830)) for _ in range(20)] + ["once. onceé once1"]
     counts = Counter(w for t in texts for w in t.split())
-    model, table = fit_brown(spark.createDataFrame([(t,) for t in texts], "text string"), settings=LmSettings(least_share=share))
-    assert model.least == max(2, math.ceil(620 * share)) and len(model.words) == sum(n >= model.least for n in counts.values())
-    unknown = {(p, d, h): f"zz{'7' if d else ''}{'ü' if h else ''}{'!' if p else 'z'}" for p in (0, 1) for d in (0, 1) for h in (0, 1)}
-    tail = {(w[-1] in ".,;:!?", any(c.isdigit() for c in w), not w.isascii()) for w, n in counts.items() if n < model.least}
-    docs = [*counts, *unknown.values(), ""]
-    of = {r.text: r for r in lm_scores(spark.createDataFrame([(t,) for t in docs], "text string"), model, table, keep=("text",)).collect()}
-    places = {w: model.places(w_, shapes_of(w_))[0] if w else len(model.words) for w in docs for w_ in [words_of(w)]}
-    end = len(model.words)
-    p = {w: 10 ** (of[w].score - (model.log_next[model.class_of[places[w]], model.class_of[end]] + model.log_place[end] if w else 0)) for w in docs}
-    assert sum(p.values()) == pytest.approx(1.0)
+    model, lexicon = fit_brown(spark.createDataFrame([(t,) for t in texts], "text string"), settings=LmSettings(shared_words=shared, cluster_words=cluster))
+    assert len(model.words) == sum(n >= model.least for n in counts.values()) <= shared
+    known = {r.word % 2**64: r for r in lexicon.collect()}
+    assert sorted(r.n for r in known.values()) == sorted(counts.values()) and all((r.cls is None) == (r.n == 1) for r in known.values())
+    unknown = [f"zz{'7' if d else ''}{'ü' if h else ''}{'!' if p else 'z'}" for p in (0, 1) for d in (0, 1) for h in (0, 1)]
+    docs = [*counts, *unknown, ""]
+    of = {r.text: r for r in lm_scores(spark.createDataFrame([(t,) for t in docs], "text string"), model, lexicon, keep=("text",)).collect()}
+
+    def to_end(word):
+        """log10 P(end | word)."""
+        w = words_of(word)
+        r = known.get(int(w.h[0]))
+        return model.log_next[r.cls if r and r.cls is not None else model.shape_class[shapes_of(w)[0]], model.end_class] + model.log_end
+
+    assert sum(10 ** (of[w].score - (to_end(w) if w else 0)) for w in docs) == pytest.approx(1.0)
     assert all(of[w].n_known == (w in counts) + 1 for w in docs if w)
-    assert len({places[unknown[s]] for s in tail}) == len(tail)
+
+
+def test_lm_same_whatever_is_shared(spark):
+    """Scores don't depend on which words go to the tasks and which are joined."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    extra = [(-1, None), (-2, ""), (-3, "never seen wordsé! 77x"), (-4, "long text again " * 100_000), (-5, "a b"), (-5, "a b"), (None, "a b")]
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    found = []
+    for shared in (0, 10, 10**6):
+        rows = held_out_scores(docs, settings=LmSettings(shared_words=shared)).collect()
+        found.append(sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in rows))
+    assert len(found[0]) == docs.count()
+    for other in found[1:]:
+        assert [r[:4] for r in other] == [r[:4] for r in found[0]]
+        assert np.array([r[4:] for r in other]) == pytest.approx(np.array([r[4:] for r in found[0]]), rel=1e-9)
+
+
+def test_lm_rounds_against_full_exchange(spark):
+    """What moving words in rounds under fixed contexts loses against exchanging all of them one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    bits = {}
+    for words in (64, 256, 100_000):
+        rows = held_out_scores(docs, settings=LmSettings(cluster_words=words, classes=48, class_growth=0.0)).filter("held_out").collect()
+        bits[words] = -sum(r.score for r in rows) / sum(r.n_tokens for r in rows)
+    assert bits[256] < 1.03 * bits[100_000] and bits[64] < 1.06 * bits[100_000]
