@@ -246,20 +246,36 @@ def _pair_sums(train: DataFrame, side: int, codes) -> np.ndarray:
 
 def _contexts(train: DataFrame, start, cls: np.ndarray, classes: int, k: int) -> DataFrame:
     """(word, shape, ctx, n) stored: for each word seen twice or more that isn't exchanged one by one, the classes ctx before it
-    and (ctx - classes) after it, and how often each is."""
+    and (ctx - classes) after it, and how often each is.
+
+    A task sends a word's counts as one record; records of a word come sorted and are added up as they stream by."""
     width = 2 * classes
 
     def merged(h, s, ctx, n):
+        """The same counts with each (h, ctx) once, in the order of h."""
         words, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        key, at = np.unique(inv * width + ctx, return_inverse=True)
-        own = key // width
-        return words[own], s[first][own], key % width, np.bincount(at, weights=n).astype(np.int64)
-
-    def out(found):
+        key = inv * width + ctx
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        head = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1]]))
+        own = key[head] // width
+        return words[own], s[first][own], (key[head] % width).astype(np.int16), np.add.reduceat(n[order], head) if len(head) else n
+
+    def records(found, least):
+        """A record of each word seen least times or more."""
         h, s, ctx, n = found
-        for i in range(0, len(h), 100_000):
-            part = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(s[part].astype(np.int32)), pa.array(ctx[part].astype(np.int32)), pa.array(n[part])], ["word", "shape", "ctx", "n"])
+        head = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), dtype=bool), h[1:] != h[:-1]]))
+        if not len(head):
+            return
+        size = np.diff(np.append(head, len(h)))
+        # every occurrence has a class before it and one after it
+        kept = np.add.reduceat(n, head) >= 2 * least
+        entries = np.repeat(kept, size)
+        off = pa.array(np.concatenate([[0], np.cumsum(size[kept])]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(off, pa.array(x[entries])) for x in (ctx, n)]
+        whole = pa.RecordBatch.from_arrays([pa.array(h[head][kept].view(np.int64)), pa.array(s[head][kept].astype(np.int32)), *lists], ["word", "shape", "ctx", "n"])
+        for i in range(0, len(whole), 50_000):
+            yield whole.slice(i, 50_000)
 
     def count(batches):
         held = []
@@ -270,19 +286,36 @@ def _contexts(train: DataFrame, start, cls: np.ndarray, classes: int, k: int) ->
                 seq, before = _with_ends(cls[place], w.off, int(cls[k]))
                 tail = np.flatnonzero(place > k)
                 own = tail + w.row_of_word()[tail]
-                h, s = np.tile(w.h[tail], 2), np.tile(shapes[tail], 2)
-                held.append(merged(h, s, np.concatenate([before[own], classes + seq[own + 1]]), np.ones(len(h))))
-            if sum(len(x[0]) for x in held) > 4_000_000:
+                h, s = np.tile(w.h[tail], 2), np.tile(shapes[tail].astype(np.int8), 2)
+                held.append(merged(h, s, np.concatenate([before[own], classes + seq[own + 1]]), np.ones(len(h), dtype=np.int64)))
+            if sum(len(x[0]) for x in held) > 1_500_000:
                 held = [merged(*map(np.concatenate, zip(*held, strict=True)))]
-                if len(held[0][0]) > 2_000_000:
-                    yield from out(held[0])
+                if len(held[0][0]) > 1_000_000:
+                    yield from records(held[0], 0)
                     held = []
         if held:
-            yield from out(merged(*map(np.concatenate, zip(*held, strict=True))))
+            yield from records(merged(*map(np.concatenate, zip(*held, strict=True))), 0)
+
+    def add_up(batches):
+        last = None  # the counts of the last word, which may go on
+        for batch in batches:
+            size = np.diff(batch.column(2).offsets.to_numpy())
+            found = [np.repeat(batch.column(i).to_numpy(), size) for i in (0, 1)] + [batch.column(i).flatten().to_numpy() for i in (2, 3)]
+            found[0] = found[0].view(np.uint64)
+            if last is not None:
+                found = [np.concatenate(x) for x in zip(last, found, strict=True)]
+            if not len(found[0]):
+                continue
+            end = found[0][-1]
+            found = merged(*found)
+            goes_on = found[0] == end
+            last = [x[goes_on] for x in found]
+            yield from records([x[~goes_on] for x in found], 2)
+        if last is not None:
+            yield from records(last, 2)
 
-    sums = train.mapInArrow(count, "word long, shape int, ctx int, n long").repartition("word").groupBy("word", "shape", "ctx").agg(F.sum("n").alias("n"))
-    by_word = sums.groupBy("word", "shape").agg(F.collect_list("ctx").alias("ctx"), F.collect_list("n").alias("n"), F.sum("n").alias("both"))
-    return stored(by_word.filter("both >= 4").drop("both"), "contexts")
+    schema = "word long, shape int, ctx array<short>, n array<long>"
+    return stored(train.mapInArrow(count, schema).repartition("word").sortWithinPartitions("word").mapInArrow(add_up, schema), "contexts")
 
 
 def _dense(batch: pa.RecordBatch, classes: int) -> np.ndarray:
@@ -495,6 +528,7 @@ def _encoded(docs: DataFrame, model: BrownModel, lexicon: DataFrame, text: str,
         """The rows of whole groups of parts; n rows that are equal have n own records and n of each word."""
         m = shared.value
         t = pa.Table.from_batches(held).combine_chunks()
+        t = t.take(pa.array(np.lexsort([t[c].to_numpy() for c in ("at", "row2", "row")]))).combine_chunks()
         col = {c: t[c].chunk(0) for c in t.column_names}
         num = {c: col[c].to_numpy() for c in ("row", "row2", "at", "shape", "known", "base", "place")}
         new = np.concatenate([[True], (num["row"][1:] != num["row"][:-1]) | (num["row2"][1:] != num["row2"][:-1])])
@@ -533,16 +567,16 @@ def _encoded(docs: DataFrame, model: BrownModel, lexicon: DataFrame, text: str,
         for batch in batches:
             if not len(batch):
                 continue
-            r1, r2 = batch.column("row").to_numpy(), batch.column("row2").to_numpy()
-            change = np.flatnonzero((r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])) + 1
+            row = batch.column("row").to_numpy()
+            change = np.flatnonzero(row[1:] != row[:-1]) + 1
             cut = int(change[-1]) if len(change) else 0
-            if cut or last != (r1[0], r2[0]):
+            if cut or last != row[0]:
                 ready = [*held, batch.slice(0, cut)] if cut else held
                 if ready:
                     yield whole(ready)
                 held = []
             held.append(batch.slice(cut))
-            last = (r1[-1], r2[-1])
+            last = row[-1]
         if held:
             yield whole(held)
 
@@ -553,7 +587,7 @@ def _encoded(docs: DataFrame, model: BrownModel, lexicon: DataFrame, text: str,
     words = lexicon.filter(F.col("n") < model.least).select(F.col("word").alias("w"), "n", "cls")
     joined = rows.mapInArrow(parts, wide).join(words, (F.col("word") == F.col("w")) & (F.col("at") >= 0), "left").drop("word", "w")
     out = T.StructType([T.StructField("own", own_type), T.StructField("seq", T.BinaryType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("place", T.DoubleType())])
-    return joined.repartition("row").sortWithinPartitions("row", "row2", "at").mapInArrow(assemble, out)
+    return joined.repartition("row").sortWithinPartitions("row").mapInArrow(assemble, out)
 
 
 def _with_transitions(model: BrownModel, encoded: DataFrame) -> BrownModel:
