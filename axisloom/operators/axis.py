@@ -190,13 +190,13 @@ def bounds(df: DataFrame, axes: list[Axis], epsilon: float = EPSILON, invalid: s
 
 
 def legacy_bounds(df: DataFrame, axes: list[Axis]) -> list[Bounds]:
-    """Bounds as the trainer takes them: plain sums of the features, in which a missing term and a row without any
-    count as 0; the upper margin starts from the range that the lower one has widened, and a single value
-    gets no margin."""
-    zero = df.select(*[F.coalesce(clean(F.col(f)), F.lit(0.0)).alias(f) for f in dict.fromkeys(t.feature for a in axes for t in a.terms)])
-    plain = [Axis(tuple(Term(t.feature, t.sign) for t in a.terms)) for a in axes]
-    rows = many_values(zero, [(a,) for a in plain]).groupBy("row").agg(F.min("v0").alias("lo"), F.max("v0").alias("hi")).collect()
-    found = {r["row"]: (r["lo"], r["hi"]) for r in rows if r["lo"] is not None}
+    """Bounds as the trainer takes them, by one job: plain sums of the features, in which a row without any term counts as 0;
+    the upper margin starts from the range that the lower one has widened, and a single value gets no margin."""
+    own = list(dict.fromkeys(Axis(tuple(Term(t.feature, t.sign) for t in a.terms)) for a in axes))
+    value = F.coalesce("v0", F.lit(0.0))
+    rows = many_values(df, [(a,) for a in own]).groupBy("row").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
+    by_axis = {own[r["row"]]: (r["lo"], r["hi"]) for r in rows if r["lo"] is not None}
+    found = {i: by_axis[plain] for i, a in enumerate(axes) if (plain := Axis(tuple(Term(t.feature, t.sign) for t in a.terms))) in by_axis}
     out = []
     for i in range(len(axes)):
         lo, hi = found.get(i, (0.0, 0.0))

@@ -59,9 +59,18 @@ def sparse_projection(means, target: int, candidates: list[int], rng: np.random.
     return best, score
 
 
-def good_projection(means, target: int, candidates: list[int], rng: np.random.RandomState) -> tuple[Weights, float]:
-    """The best over 25, 50 and 75 % of the candidates."""
-    return max((sparse_projection(means, target, candidates, rng, share, 1) for share in (0.25, 0.5, 0.75)), key=lambda x: x[1])
+def good_projection(means, target: int, candidates: list[int], rng: np.random.RandomState, limit: int = 50) -> tuple[Weights, float]:
+    """The trainer's search: the best over one, two and three quarters of the candidates, all signs positive before annealing.
+    Fewer than limit candidates are put into a random order before each quarter; limit or more are taken best first."""
+    order, best, score = list(candidates), [], -1.0
+    for quarters in (1, 2, 3):
+        if len(order) < limit:
+            order = [order[i] for i in rng.permutation(len(order))]
+        w = _signs(means, target, [(j, 1) for j in order[: max(1, quarters * len(order) // 4)]], rng, False)
+        s = composite_separation(means, target, w)
+        if s > score:
+            best, score = w, s
+    return best, score
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,8 @@
 """The ensemble classifier: trainers that cover the grids of generated axis pairs with rectangles.
 
 Training loops on the driver over small results (class means, bounds, grids); rows are only aggregated.
-The open rows are always derived from the rule list, so the plan stays one projection over the cached
-feature table however many rules there are.
+The rows that no rule holds yet are kept as a cached table, made from the one before by the last rule alone, so
+generated code has the size of one rule however many there are.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import grid_cell, resolution
-from ..operators.axis import Axis, Bounds, Term, bounds, placed_pairs
+from ..operators.axis import Axis, Bounds, Term, legacy_bounds, placed_pairs
 from ..operators.cover import Grid, cover
 from ..operators.rules import Rect, Rule, matched, scored, scored_rows
-from ..operators.search import sparse_projection
-from ..operators.stats import class_statistics, collected_means, limits, separation, sqrt_features, standardised, top_features
+from ..operators.search import good_projection
+from ..operators.stats import class_statistics, limits, separation, sqrt_features, standardised, top_features
 
 
 @dataclass(frozen=True)
@@ -28,8 +28,10 @@ class TrainerConfig:
     top_features: int = 50
     pairs: int = 25
     covered_pairs: int = 6
-    min_rows: int = 5
-    max_rules: int = 40
+    #: Rules must hold more rows than this; a tenth of the rows, from 1 to 10, unless given.
+    min_rows: int | None = None
+    #: Training ends after this many rules of a voter, if given.
+    max_rules: int | None = None
     relaxed_purity: float = 0.75
 
 
@@ -47,10 +49,9 @@ class Voter:
         return scored(self.prepared(df), self.rules)
 
 
-def _grids(df: DataFrame, pairs: list[tuple[Axis, Axis]], n: int, n_classes: int) -> tuple[list[tuple[Bounds, Bounds]], DataFrame]:
+def _grids(df: DataFrame, pairs: list[tuple[Axis, Axis]], at: list[Bounds], n: int, n_classes: int) -> tuple[list[tuple[Bounds, Bounds]], DataFrame]:
     """One aggregation for the grids of all pairs: rows are exploded to a cell per pair, which partial
     aggregation folds before anything moves."""
-    at = bounds(df, [a for p in pairs for a in p])
     pairs_at = [(at[2 * i], at[2 * i + 1]) for i in range(len(pairs))]
     long = placed_pairs(df, pairs, pairs_at).select("cls", "pair", grid_cell(F.col("x"), n).alias("ix"), grid_cell(F.col("y"), n).alias("iy"))
     sums = [F.sum((F.col("cls") == c).cast("long")).alias(f"c{c}") for c in range(n_classes)]
@@ -59,49 +60,66 @@ def _grids(df: DataFrame, pairs: list[tuple[Axis, Axis]], n: int, n_classes: int
 
 
 def train_voter(df: DataFrame, features: list[str], n_classes: int, rng: np.random.RandomState, config: TrainerConfig = TrainerConfig()) -> Voter:
-    """Rules for every class, found in turn over the rows that no rule holds yet."""
+    """Rules for the classes in turn, each found among the rows that no rule holds yet.
+
+    A class's turn gives a rule when the best cover holds more than the least number of rows.  When no turn of two rounds
+    of the classes has, that number falls by one, until it is 0 or every class has a rule.  Once a rule has taken
+    less than a hundredth of the open rows, rectangles need no longer be pure.  Axes are placed by the bounds of all
+    training rows, open or not.
+    """
     clean = df.select(*features, "cls").filter("cls >= 0")
     roots = sqrt_features(clean, features)
     rooted = clean.withColumns({f: F.signum(f) * F.sqrt(F.abs(F.col(f).cast("double"))) for f in roots}) if roots else clean
     voter = Voter(features, roots, limits(rooted, features))
-    rows = voter.prepared(clean).withColumn("pred", F.lit(-1)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = voter.prepared(clean).persist(StorageLevel.MEMORY_AND_DISK)
+    open_rows, purity, covered, cls = rows, 1.0, set(), 0
     try:
-        min_rows, purity, failures, cls = config.min_rows, 1.0, 0, -1
-        while len(voter.rules) < config.max_rules:
-            cls = (cls + 1) % n_classes
-            open_rows = matched(rows, voter.rules).filter("pred < 0").select(*features, "cls")
-            left = open_rows.count()
-            if left == 0:
-                break
-            stats = class_statistics(open_rows, features)
-            present = {r["cls"] for r in stats.select("cls").collect()}
+        counts, means = _open_state(rows, features, n_classes)
+        left = sum(counts)
+        min_rows = min(max(left // 10, 1), 10) if config.min_rows is None else config.min_rows
+        turns = 1  # since the last rule
+        while left and n_classes and (config.max_rules is None or len(voter.rules) < config.max_rules):
+            if turns >= 2 * n_classes:
+                min_rows, turns = min_rows - 1, 0
+                if min_rows <= 0 or len(covered) == n_classes:
+                    break
             found = None
-            if cls in present:  # the means of classes without open rows are zeros
-                means = collected_means(stats, features, n_classes)
+            if counts[cls]:
                 best = top_features(separation(means, cls), config.top_features)
-                pairs = []
-                for _ in range(config.pairs):
-                    x, y = (Axis(tuple(Term(features[j], s) for j, s in sparse_projection(means, cls, best, rng, rounds=2)[0])) for _ in range(2))
-                    pairs.append((x, y))
-                found = _best_cover(open_rows, pairs, resolution(left), n_classes, cls, min_rows, purity, config)
+                axis = lambda: Axis(tuple(Term(features[j], s) for j, s in good_projection(means, cls, best, rng, config.top_features)[0]))  # noqa: B023, E731
+                pairs = [(axis(), axis()) for _ in range(config.pairs)]
+                at = legacy_bounds(rows, [a for p in pairs for a in p])
+                found = _best_cover(open_rows, pairs, at, resolution(left), n_classes, cls, min_rows, purity, config)
             if found and found[1] > min_rows:
                 voter.rules.append(found[0])
-                failures = 0
-                if found[1] < 0.01 * left:
+                covered.add(cls)
+                turns = 0
+                rest = matched(open_rows.withColumn("pred", F.lit(-1)), [found[0]]).filter("pred < 0").select(*features, "cls").persist(StorageLevel.MEMORY_AND_DISK)
+                counts, means = _open_state(rest, features, n_classes)
+                if left - sum(counts) < 0.01 * left:
                     purity = config.relaxed_purity
-            else:
-                failures += 1
-            if failures >= 2 * n_classes:
-                if {r.cls for r in voter.rules} >= present or min_rows <= 1:
-                    break
-                min_rows, failures = min_rows - 1, 0
+                left = sum(counts)
+                if open_rows is not rows:
+                    open_rows.unpersist()
+                open_rows = rest
+            turns += 1
+            cls = (cls + 1) % n_classes
     finally:
+        open_rows.unpersist()
         rows.unpersist()
     return voter
 
 
-def _best_cover(df: DataFrame, pairs: list[tuple[Axis, Axis]], n: int, n_classes: int, cls: int, min_rows: int, purity: float, config: TrainerConfig) -> tuple[Rule, int] | None:
-    at, grid = _grids(df, pairs, n, n_classes)
+def _open_state(df: DataFrame, features: list[str], n_classes: int) -> tuple[list[int], list[list[float]]]:
+    """Rows and means of every class, by one job; zeros for a class without rows."""
+    counts, means = [0] * n_classes, [[0.0] * len(features) for _ in range(n_classes)]
+    for r in class_statistics(df, features).collect():
+        counts[r["cls"]], means[r["cls"]] = r["count"], [float(r[f"mean_{f}"]) for f in features]
+    return counts, means
+
+
+def _best_cover(df: DataFrame, pairs: list[tuple[Axis, Axis]], bounds: list[Bounds], n: int, n_classes: int, cls: int, min_rows: int, purity: float, config: TrainerConfig) -> tuple[Rule, int] | None:
+    at, grid = _grids(df, pairs, bounds, n, n_classes)
     by: dict[int, list] = {}
     for r in grid.collect():
         by.setdefault(r["pair"], []).append(r)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from axisloom import __main__ as cli
 from axisloom import queries as core
-from axisloom.config import PairConfig
+from axisloom.config import FUZZ0, PairConfig
 from axisloom.functions.geometry import grid_cell, occupancy_cell, resolution
 from axisloom.functions.labels import axis_terms, formula, label_lines, path_safe
 from axisloom.functions.normal import upper_tail
@@ -20,8 +20,8 @@ from axisloom.operators.axis import Axis, Bounds, Term, bounds, invalid_stats, l
 from axisloom.operators.cover import Grid, cover
 from axisloom.operators.grid import square_grid
 from axisloom.operators.rules import Rect, Rule, first_match, scored
-from axisloom.operators.search import PairGenerator, accepts, measure, sparse_projection
-from axisloom.plans.model import RectangleClassifier, TrainerConfig
+from axisloom.operators.search import PairGenerator, accepts, good_projection, measure, sparse_projection
+from axisloom.plans.model import RectangleClassifier, TrainerConfig, train_voter
 from axisloom.plans.pairs import generate_pairs
 from axisloom.sources.sinks import grid_document
 from axisloom.sources import tables
@@ -262,6 +262,46 @@ def test_classifier_on_blobs(spark):
     assert {r.cls_pred for r in model.transform(df, "id").collect()} == {0}
 
 
+def test_good_projection():
+    """Signs that separate the target best are found; the order is kept when there are enough candidates."""
+    means = [[1.0, -1.0, 1.0, -1.0], [-1.0, 1.0, -1.0, 1.0], [0.0, 0.0, 0.0, 0.0]]
+    rng = np.random.RandomState(0)
+    w, score = good_projection(means, 0, [0, 1, 2, 3], rng)
+    assert score == pytest.approx(1.0) and len({s * means[0][j] for j, s in w}) == 1
+    assert {tuple(sorted(j for j, _ in good_projection(means, 0, [3, 1, 2, 0], rng, limit=4)[0])) for _ in range(20)} <= {(3,), (1, 3), (1, 2, 3)}
+    assert good_projection(means, 0, [2], rng)[0] == [(2, 1)] or good_projection(means, 0, [2], rng)[0] == [(2, -1)]
+
+
+def test_trainer_rules_by_hand(spark):
+    """One feature: a rule for each of two classes, with the bounds of all rows whichever are open."""
+    values = [(x / 10, 0) for x in range(60)] + [(20 + x / 10, 1) for x in range(60)]
+    df = spark.createDataFrame(values, "f double, cls int")
+    voter = train_voter(df, ["f"], 2, np.random.RandomState(1), TrainerConfig(pairs=2, covered_pairs=1))
+    assert [r.cls for r in voter.rules] == [0, 1]
+    seen = [r.f for r in voter.prepared(df).collect()]
+    for r in voter.rules:
+        (term,) = r.x.terms
+        lo, hi = sorted((-1.0 if term.sign < 0 else 1.0) * x for x in (min(seen), max(seen)))
+        low = lo - FUZZ0 * (hi - lo)
+        assert (r.x_bounds.low, r.x_bounds.high) == pytest.approx((low, hi + FUZZ0 * (hi - low)), abs=1e-12)
+    got = [(r.f, r.cls, r.pred) for r in voter.transform(df).collect()]
+    assert len(got) == 120 and all(c == p for _, c, p in got)
+    # no rule where each would hold too few rows; the least number falls to 1 and no further
+    few = train_voter(df.limit(1), ["f"], 2, np.random.RandomState(1), TrainerConfig(pairs=2, covered_pairs=1))
+    assert few.rules == [] and train_voter(df.limit(0), ["f"], 2, np.random.RandomState(1)).rules == []
+
+
+def test_trainer_without_a_cap_on_rules(spark):
+    """Interleaved stripes need many rules: training goes on until no turn of two rounds gives one."""
+    values = [(i, (x + 0.5) / 12 + 0.004 * (i % 5), float(i % 7), x % 2) for i, x in enumerate(range(12)) for _ in range(30)]
+    df = spark.createDataFrame([(float(x), float(y), c) for _, x, y, c in values], "a double, b double, cls int")
+    voter = train_voter(df, ["a", "b"], 2, np.random.RandomState(3), TrainerConfig(pairs=3, covered_pairs=2))
+    got = voter.transform(df).collect()
+    assert np.mean([r.cls == r.pred for r in got]) > 0.9
+    capped = train_voter(df, ["a", "b"], 2, np.random.RandomState(3), TrainerConfig(pairs=3, covered_pairs=2, max_rules=1))
+    assert capped.rules == voter.rules[:1]
+
+
 def test_trainer_queries(spark):
     fit, predicted = core.QUERIES["trainer_fit"](spark, SF).collect(), core.QUERIES["model_predict"](spark, SF).collect()
     rich = {r.id: r.cls for r in core._rich(spark, SF).collect()}
