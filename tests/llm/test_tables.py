@@ -20,7 +20,7 @@ from axisloom.llm.materialise import PATTERN, VOCABULARY, Feistel, Layout, mater
 from axisloom.llm.mixing import materialised as repeated
 from axisloom.llm.mixing import mixed
 from axisloom.llm.queries import llm_oracle_sql, llm_queries, op1_chat_format, op6_simhash
-from axisloom.llm.simhash import RADIUS, blocks_for, edited_fingerprints, near_fingerprints
+from axisloom.llm.simhash import RADIUS, blocks_for, edited_fingerprints, fingerprints, near_fingerprints
 from axisloom.llm.url_filter import allowed, judged
 from tests.oracle import assert_same, connect
 
@@ -100,9 +100,9 @@ def test_fingerprints(spark):
 
 
 def simhash(text):
-    """Votes of word pairs, by the hash of the engine (given as a function of two words)."""
+    """Terms and their weights: distinct words, distinct pairs of words."""
     words = re.findall(r"[^\x20\x09-\x0D]+", text.translate(UP))
-    return [(w, words[i + 1] if i + 1 < len(words) else None, 1 + (len(w) > 3) + (i + 1 < len(words) and len(words[i + 1]) > 3)) for i, w in enumerate(words)]
+    return {w: 3 if len(w) > 3 else 1 for w in words} | {f"{a} {b}": 1 for a, b in zip(words, words[1:], strict=False)}
 
 
 def test_fingerprint_bits(spark):
@@ -113,13 +113,13 @@ def test_fingerprint_bits(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
     got = edited_fingerprints(df).collect()
     assert len(got) == len(rows)
-    terms = {(a, b) for _, t, _ in rows for a, b, _ in simhash(t or "")}
-    hashed = {(r.a, r.b): (r.h0 % 2**64, r.h1 % 2**64) for r in spark.createDataFrame(list(terms), "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h0"), F.xxhash64("a", "b", F.lit(1)).alias("h1")).collect()}
+    terms = {term for _, t, _ in rows for term in simhash(t or "")}
+    hashed = {r.t: (r.h0 % 2**64, r.h1 % 2**64) for r in spark.createDataFrame([(t,) for t in terms], "t string").select("t", F.xxhash64("t").alias("h0"), F.xxhash64("t", F.lit(1)).alias("h1")).collect()}
 
     def bits(text):
         votes, whole = np.zeros(128, dtype=np.int64), 0
-        for a, b, w in simhash(text):
-            value = (hashed[a, b][0] << 64) | hashed[a, b][1]
+        for term, w in simhash(text).items():
+            value = (hashed[term][0] << 64) | hashed[term][1]
             votes += w * np.array([value >> (127 - i) & 1 for i in range(128)])
             whole += w
         return f"{int(''.join('1' if 2 * v > whole else '0' for v in votes) or '0', 2):032x}"
@@ -143,6 +143,24 @@ def test_fingerprint_bits(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_near_recall(spark):
+    """Of copies with words replaced, so that the 3-word shingles keep a Jaccard of 0.9 or more, nine in ten are within the radius."""
+    rng = random.Random(8)
+    shingles = lambda w: set(zip(w, w[1:], w[2:], strict=False))
+    rows = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null").orderBy("doc_id").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text)
+        for n in range(1, 1 + len(words) // 50):
+            copy = list(words)
+            for i in rng.sample(range(len(words)), n):
+                copy[i] = f"word{rng.randrange(10**6)}"
+            if 10 * len(shingles(words) & shingles(copy)) >= 9 * len(shingles(words) | shingles(copy)):
+                rows.append((len(rows), " ".join(words), " ".join(copy)))
+    got = fingerprints(spark.createDataFrame(rows, "id long, text string, copy string"), ["id"], ["text", "copy"]).collect()
+    bits = [((r.a0 ^ r.a1) % 2**64).bit_count() + ((r.b0 ^ r.b1) % 2**64).bit_count() for r in got]
+    assert len(bits) == len(rows) > 100 and np.mean([b <= RADIUS for b in bits]) >= 0.9
+
+
 def test_near_counts(spark):
     """The query's count of near rows against all pairs."""
     rows = op6_simhash(spark, SF).collect()
@@ -309,7 +327,7 @@ def test_near_fingerprints(spark):
     first = {}
     for i, f in enumerate(fps):
         first.setdefault(f, i)
-    brute = {(min(i, j), max(i, j), (f ^ g).bit_count()) for f, i in first.items() for g, j in first.items() if i < j and (f ^ g).bit_count() <= 9}
+    brute = {(min(i, j), max(i, j), (f ^ g).bit_count()) for f, i in first.items() for g, j in first.items() if i < j and (f ^ g).bit_count() <= RADIUS}
     found = [(r.a, r.b, r.bits) for r in pairs.collect()]
     assert len(found) == len(set(found)) and set(found) == brute
     assert {b for *_, b in found} >= {1, 3, 4, 7, 9}
