@@ -36,11 +36,14 @@ RADIUS = 12
 QUERY_STEP = 50
 
 
-def terms_of(text: Column) -> Column:
-    """The distinct words, ASCII letters lower-cased, and the distinct pairs of a word and the next (with a space
-    between them, which no word holds), as an array."""
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    words = F.array_remove(F.split(low, r"[\x20\x09-\x0D]+"), "")
+def words_of(text: Column) -> Column:
+    """The words, ASCII letters lower-cased, as an array."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+"), "")
+
+
+def terms_of(words: Column) -> Column:
+    """The distinct words and the distinct pairs of a word and the next (with a space between them, which no word holds),
+    as an array; words should be a column, as it is read more than once."""
     pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(F.array_distinct(words), F.array_distinct(pairs))
 
@@ -51,8 +54,8 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFram
     The keys name the rows.  Null texts and texts without words have an all-zero fingerprint; equal texts
     have equal fingerprints.
     """
-    tagged = rows.select(*keys, F.posexplode(F.array(*[terms_of(F.col(t)) for t in texts])).alias("tag", "terms"))
-    terms = tagged.select(*keys, "tag", F.posexplode_outer("terms").alias("pos", "term"))
+    tagged = rows.select(*keys, F.posexplode(F.array(*[words_of(F.col(t)) for t in texts])).alias("tag", "words"))
+    terms = tagged.select(*keys, "tag", F.posexplode_outer(terms_of(F.col("words"))).alias("pos", "term"))
     weight = F.when(F.col("term").isNull(), 0).when(F.instr("term", " ") > 0, 1).when(F.length("term") > 3, 3).otherwise(1).cast("long")
     hashed = terms.select(*keys, "tag", F.floor(F.coalesce("pos", F.lit(0)) / _CHUNK).cast("int").alias("chunk"), F.xxhash64("term").alias("h0"), F.xxhash64("term", F.lit(1)).alias("h1"), weight.alias("w"))
     votes = [F.sum(F.col("w") * F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))).alias(f"{h}_{k}") for h in ("h0", "h1") for k in range(16)]
