@@ -76,14 +76,17 @@ def label_dictionary(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class(df: DataFrame, label: str, dictionary: DataFrame) -> DataFrame:
-    """df with cls, -1 where the label isn't in the dictionary."""
-    side = dictionary.select(F.col("label").alias("__label"), "cls")
+    """df with cls, -1 where the label isn't in the dictionary.
+
+    The dictionary goes to the tasks: a row of it is a class, and rows dealt by a few labels would crowd into as many tasks.
+    """
+    side = F.broadcast(dictionary.select(F.col("label").alias("__label"), "cls"))
     return df.join(side, F.col(label) == F.col("__label"), "left").drop("__label").withColumn("cls", F.coalesce("cls", F.lit(-1)))
 
 
 def with_names(df: DataFrame, cls: str, dictionary: DataFrame, name: str = "name") -> DataFrame:
     """df with the name of its class, 'Unknown (id)' where there is none."""
-    side = dictionary.select(F.col("cls").alias("__cls"), F.col("label").cast("string").alias(name))
+    side = F.broadcast(dictionary.select(F.col("cls").alias("__cls"), F.col("label").cast("string").alias(name)))
     out = df.join(side, F.col(cls) == F.col("__cls"), "left").drop("__cls")
     return out.withColumn(name, F.coalesce(name, F.concat(F.lit("Unknown ("), F.col(cls).cast("string"), F.lit(")"))))
 
@@ -94,7 +97,7 @@ def unmapped(df: DataFrame, name: str, dictionary: DataFrame, key: str = "name")
 
 
 def with_colours(df: DataFrame, colours: DataFrame, name: str = "name", default: str = "red") -> DataFrame:
-    side = colours.select(F.col("name").alias("__name"), F.col("value").alias("colour"))
+    side = F.broadcast(colours.select(F.col("name").alias("__name"), F.col("value").alias("colour")))
     return df.join(side, F.col(name) == F.col("__name"), "left").drop("__name").withColumn("colour", F.coalesce("colour", F.lit(default)))
 
 
