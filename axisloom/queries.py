@@ -602,13 +602,23 @@ def _(s, d):
 
 
 _SQL_FORMS = ("none", "square", "sqrt", "log", "log_eps", "inverse", "inverse_eps", "sigmoid", "sigmoid_eps", "logit", "logit_eps")
+# What both engines compute exactly isn't rounded; the rest is, by three operations that are exact in both: the engines'
+# own round() parts them for large values.
+_EXACT = ("none", "square", "sqrt", "inverse", "inverse_eps")
 
 
-@query("sql_functions", "SELECT event_id, " + ", ".join(f"round({_SQL_T[t].format(x='(value - 0.5::DOUBLE)')}, 6) + 0.0 AS f_{t}" for t in _SQL_FORMS) + ", CAST(floor(least(greatest(0.99999::DOUBLE * value * 20, 0), 19)) AS INT) AS cell, round(greatest(0.1 - value, value - 0.4, 0.25 - value, value - 0.75, 0.0), 6) + 0.0 AS away FROM events")
+def _rounded_sql(t: str) -> str:
+    form = _SQL_T[t].format(x="v")
+    return f"CASE WHEN v IS NOT NULL THEN {form if t in _EXACT else f'round_even(({form}) * 1e6::DOUBLE, 0) / 1e6::DOUBLE'} + 0.0::DOUBLE END AS f_{t}"
+
+
+@query("sql_functions", "SELECT event_id, " + ", ".join(map(_rounded_sql, _SQL_FORMS)) + ", CASE WHEN v IS NOT NULL THEN CAST(floor(least(greatest(0.99999::DOUBLE * value * 20, 0), 19)) AS INT) END AS cell, greatest(0.1::DOUBLE - value, value - 0.4::DOUBLE, 0.25::DOUBLE - value, value - 0.75::DOUBLE, 0.0::DOUBLE) AS away FROM (SELECT event_id, value, CASE WHEN NOT isnan(value) THEN value - 0.5::DOUBLE END AS v FROM events)")
 def _(s, d):
     catalogue.register(s)
     e = _table(s, d, "events").withColumn("v", F.col("value") - 0.5)
-    return e.select("event_id", *[_r(F.call_function(f"axis_{t}", F.col("v"))).alias(f"f_{t}") for t in _SQL_FORMS], F.call_function("axis_cell", F.col("value"), F.lit(20)).alias("cell"), _r(F.call_function("rect_away", F.col("value"), F.col("value"), F.lit(0.1), F.lit(0.25), F.lit(0.3), F.lit(0.5))).alias("away"))
+    form = lambda t: F.call_function(f"axis_{t}", F.col("v"))
+    forms = [((form(t) if t in _EXACT else F.rint(form(t) * 1e6) / F.lit(1e6)) + F.lit(0.0)).alias(f"f_{t}") for t in _SQL_FORMS]
+    return e.select("event_id", *forms, F.call_function("axis_cell", F.col("value"), F.lit(20)).alias("cell"), F.call_function("rect_away", F.col("value"), F.col("value"), F.lit(0.1), F.lit(0.25), F.lit(0.3), F.lit(0.5)).alias("away"))
 
 
 # algorithms that SQL can't express
