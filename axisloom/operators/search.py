@@ -3,8 +3,8 @@ under occupancy constraints.
 
 The sign search works on class means alone, on the driver.  Pair generation draws on the driver and
 measures on the cluster.  Every attempt has random streams of its own, so attempts don't wait for each other: those of
-all pairs grow in lockstep, and the one trial that each of them has in a round is a row of the same two
-aggregations, for bounds and for occupancy.
+all pairs grow in lockstep, and the trials that they have in a round share the same two passes over the rows, for bounds
+and for occupancy.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from collections.abc import Generator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PairConfig
-from ..functions.transforms import EPS_TWIN
-from .axis import Axis, Bounds, Term, bounds, placed_pairs
-from .grid import occupancy_states
+from ..functions.transforms import EPS_TWIN, clean
+from .axis import Axis, Bounds, Term, widened
 from .stats import composite_separation
 
 Weights = list[tuple[int, int]]
@@ -114,20 +114,109 @@ def measure(df: DataFrame, pairs: list[tuple[Axis, Axis]], n: int, epsilon: floa
     return [memo.measured[p] for p in pairs]
 
 
+def _values(terms: list[np.ndarray], own: list[tuple[int, float]]) -> np.ndarray:
+    """An axis's values, as with_values has them, over columns of terms; NaN stands for missing on both sides."""
+    total, valid = np.zeros(len(terms[0])), np.zeros(len(terms[0]))
+    for k, sign in own:
+        known = ~np.isnan(terms[k])
+        total += np.where(known, terms[k] * sign, 0.0)
+        valid += known
+    return total * (len(own) / np.where(valid > 0, valid, np.nan))
+
+
+def _term(x: np.ndarray, name: str, epsilon: float) -> np.ndarray:
+    """functions.transforms.transform over a batch; NaN stands for missing on both sides."""
+    if name in ("log_eps", "inverse_eps"):
+        return _term(x + epsilon, name.removesuffix("_eps"), epsilon)
+    if name == "square":
+        return x * x
+    if name == "sqrt":
+        return np.where(x < 0, 0.0, np.sqrt(x))
+    if name == "log":
+        return np.log(x)
+    if name == "inverse":
+        return 1.0 / x
+    if name not in ("sigmoid", "sigmoid_eps", "logit", "logit_eps"):
+        return x
+    small = np.exp(-np.abs(x))
+    p = np.where(x >= 0, 1.0 / (1.0 + small), small / (1.0 + small))
+    if name.endswith("_eps"):
+        p = np.maximum(np.minimum(p, 1.0 - epsilon), epsilon)
+    return p if name.startswith("sigmoid") else np.log(p / (1.0 - p))
+
+
+def _folded(df: DataFrame, axes: list[Axis], epsilon: float, fold, schema: str) -> DataFrame:
+    """The rows that fold gives for each partition: it takes an iterator of lists of values, one array an axis.  A batch's
+    terms are evaluated once each in the task and the axes are added up there: no row is written out once for each axis, and no
+    code is generated whose size grows with the terms (the JVM doesn't compile large methods)."""
+    terms = list(dict.fromkeys((t.feature, t.transform) for a in axes for t in a.terms))
+    features = list(dict.fromkeys(f for f, _ in terms))
+    specs = [[(terms.index((t.feature, t.transform)), -1.0 if t.sign < 0 else 1.0) for t in a.terms] for a in axes]
+
+    def run(batches):
+        def values():
+            for batch in batches:
+                columns = dict(zip(features, (c.to_numpy(zero_copy_only=False).astype(np.float64, copy=False) for c in batch.columns), strict=False))
+                with np.errstate(all="ignore"):
+                    own = [_term(columns[f], t, epsilon) for f, t in terms]
+                    yield [_values(own, s) if s else np.full(batch.num_rows, np.nan) for s in specs]
+
+        with np.errstate(all="ignore"):
+            yield from fold(values())
+
+    return df.select(*([clean(F.col(f)).alias(f"f{i}") for i, f in enumerate(features)] or [F.lit(None).cast("double").alias("f0")])).mapInArrow(run, schema)
+
+
+def _ranges(df: DataFrame, axes: list[Axis], epsilon: float) -> list[Bounds]:
+    """Bounds of all axes by one pass: a row of each partition and axis."""
+
+    def fold(values):
+        low, high = np.full(len(axes), np.nan), np.full(len(axes), np.nan)
+        for vs in values:
+            for i, v in enumerate(vs):
+                low[i], high[i] = np.fmin(low[i], np.fmin.reduce(v, initial=np.nan)), np.fmax(high[i], np.fmax.reduce(v, initial=np.nan))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(axes), dtype=np.int32)), pa.array(low, from_pandas=True), pa.array(high, from_pandas=True)], ["axis", "lo", "hi"])
+
+    found = {r["axis"]: widened(r["lo"], r["hi"]) for r in _folded(df, axes, epsilon, fold, "axis int, lo double, hi double").groupBy("axis").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
+    return [found.get(i, Bounds(0.0, 0.0)) for i in range(len(axes))]
+
+
+def _occupied(df: DataFrame, pairs: list[tuple[Axis, Axis]], at: list[tuple[Bounds, Bounds]], n: int, epsilon: float) -> dict[int, tuple[int, int, int]]:
+    """Occupied cells along x, along y and of the plane of every pair, by one pass: a row of each partition, pair and occupied cell."""
+    axes = list(dict.fromkeys(a for p in pairs for a in p))
+    own = [(axes.index(x), axes.index(y)) for x, y in pairs]
+
+    def cell(v: np.ndarray, b: Bounds) -> np.ndarray:
+        where = np.where(np.isnan(v), 0.0, (v - b.low) / (b.high - b.low)) if b.usable else np.zeros(len(v))
+        return np.minimum(np.maximum(where * n, 0.0), n - 1.0).astype(np.int64)
+
+    def fold(values):
+        dense = n * n <= 1 << 16
+        seen = [np.zeros(n * n if dense else 0, dtype=bool if dense else np.int64) for _ in pairs]
+        for vs in values:
+            for i, ((x, y), (bx, by)) in enumerate(zip(own, at, strict=True)):
+                found = cell(vs[x], bx) * n + cell(vs[y], by)
+                if dense:
+                    seen[i][found] = True
+                else:
+                    seen[i] = np.union1d(seen[i], found)
+        seen = [np.flatnonzero(s) for s in seen] if dense else seen
+        for i, cells in enumerate(seen):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), i, dtype=np.int32)), pa.array(cells // n), pa.array(cells % n)], ["pair", "ix", "iy"])
+
+    cells = _folded(df, axes, epsilon, fold, "pair int, ix long, iy long").distinct()
+    states = cells.groupBy("pair").agg(F.count_distinct("ix").alias("x"), F.count_distinct("iy").alias("y"), F.count("*").alias("xy"))
+    return {r["pair"]: (r["x"], r["y"], r["xy"]) for r in states.collect()}
+
+
 def _measure(df: DataFrame, pairs: list[tuple[Axis, Axis]], n: int, epsilon: float, known: dict[Axis, Bounds]) -> list[Measured]:
     new = list(dict.fromkeys(a for p in pairs for a in p if a not in known))
     if new:
-        known |= dict(zip(new, bounds(df, new, epsilon), strict=True))
+        known |= dict(zip(new, _ranges(df, new, epsilon), strict=True))
     at = [(known[x], known[y]) for x, y in pairs]
-    states = occupancy_states(placed_pairs(df, pairs, at, (), epsilon), n, keys=("pair",))
-    found: dict[tuple[int, str], int] = {}
-    for r in states.select("pair", "side", F.bitmap_count("cells").alias("n")).collect():  # a row for each side and 32,768 cells
-        found[r["pair"], r["side"]] = found.get((r["pair"], r["side"]), 0) + r["n"]
+    found = _occupied(df, pairs, at, n, epsilon)
     infinite = lambda b, a: bool(a.terms) and not (b.low > float("-inf") and b.high < float("inf"))
-    out = []
-    for i, ((x, y), (bx, by)) in enumerate(zip(pairs, at, strict=True)):
-        out.append(Measured(x, y, bx, by, *(found.get((i, side), 0) for side in ("x", "y", "xy")), infinite(bx, x) or infinite(by, y)))
-    return out
+    return [Measured(x, y, bx, by, *found.get(i, (0, 0, 0)), infinite(bx, x) or infinite(by, y)) for i, ((x, y), (bx, by)) in enumerate(zip(pairs, at, strict=True))]
 
 
 def accepts(m: Measured, n: int, mode: str, ratio: float) -> bool:

@@ -623,7 +623,9 @@ def _(s, d):
 
 # algorithms that SQL can't express
 def _generated(s: SparkSession, d: str, config: PairConfig) -> DataFrame:
-    rows = _lines(s, d).select(*FEATURES, "cls").repartition(s.sparkContext.defaultParallelism).cache()
+    parts = s.sparkContext.defaultParallelism
+    rows = _lines(s, d).select(*FEATURES, "cls")
+    rows = (rows if _table(s, d, "lineitem").rdd.getNumPartitions() >= parts else rows.repartition(parts)).cache()
     found = PairGenerator(rows, list(FEATURES), list(range(len(FEATURES))), N, config).generate()
     axis = lambda a: json.dumps([[t.sign, t.transform, t.feature] for t in a.terms])
     out = s.createDataFrame([(i, axis(m.x), axis(m.y), m.occupied) for i, m in enumerate(found)], "pair int, x string, y string, occupied long")
