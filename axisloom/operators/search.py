@@ -182,7 +182,8 @@ def _ranges(df: DataFrame, axes: list[Axis], epsilon: float) -> list[Bounds]:
 
 
 def _occupied(df: DataFrame, pairs: list[tuple[Axis, Axis]], at: list[tuple[Bounds, Bounds]], n: int, epsilon: float) -> dict[int, tuple[int, int, int]]:
-    """Occupied cells along x, along y and of the plane of every pair, by one pass: a row of each partition, pair and occupied cell."""
+    """Occupied cells along x, along y and of the plane of every pair, by one pass: a row of each partition, pair,
+    side and occupied cell."""
     axes = list(dict.fromkeys(a for p in pairs for a in p))
     own = [(axes.index(x), axes.index(y)) for x, y in pairs]
 
@@ -202,11 +203,13 @@ def _occupied(df: DataFrame, pairs: list[tuple[Axis, Axis]], at: list[tuple[Boun
                     seen[i] = np.union1d(seen[i], found)
         seen = [np.flatnonzero(s) for s in seen] if dense else seen
         for i, cells in enumerate(seen):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), i, dtype=np.int32)), pa.array(cells // n), pa.array(cells % n)], ["pair", "ix", "iy"])
+            for side, own_cells in enumerate((np.unique(cells // n), np.unique(cells % n), cells)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own_cells), v, dtype=np.int32)) for v in (i, side)] + [pa.array(own_cells.astype(np.int64))], ["pair", "side", "cell"])
 
-    cells = _folded(df, axes, epsilon, fold, "pair int, ix long, iy long").distinct()
-    states = cells.groupBy("pair").agg(F.count_distinct("ix").alias("x"), F.count_distinct("iy").alias("y"), F.count("*").alias("xy"))
-    return {r["pair"]: (r["x"], r["y"], r["xy"]) for r in states.collect()}
+    counts: dict[int, list[int]] = {}
+    for r in _folded(df, axes, epsilon, fold, "pair int, side int, cell long").distinct().groupBy("pair", "side").count().collect():
+        counts.setdefault(r["pair"], [0, 0, 0])[r["side"]] = r["count"]
+    return {pair: (x, y, xy) for pair, (x, y, xy) in counts.items()}
 
 
 def _measure(df: DataFrame, pairs: list[tuple[Axis, Axis]], n: int, epsilon: float, known: dict[Axis, Bounds]) -> list[Measured]:
