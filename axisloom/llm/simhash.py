@@ -170,13 +170,9 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         all_prints = all_prints.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     near = near_counts(all_prints, asked, key=key, blocks=blocks_for(rows, RADIUS))
     named = near.select(F.col("fingerprint").alias("__asks"), "n_near")
-    return out.withColumn("__asks", F.when(asked, F.col("fingerprint"))).join(named, "__asks", "left").drop("__asks")
-
-
-def _tables(blocks: int, radius: int) -> list[list[tuple[int, int]]]:
-    """For every table, the bit ranges of its key; the ranges of two blocks that follow each other are one."""
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    return [[(edges[i], edges[i + 1]) for i in kept] for kept in combinations(range(blocks), blocks - radius)]
+    # rows that don't ask have keys of their own, which no fingerprint equals: nulls would all be dealt to one task
+    own = F.concat(F.lit("-"), F.coalesce(F.col(key).cast("string"), F.col("edited_sha256")))
+    return out.withColumn("__asks", F.when(asked, F.col("fingerprint")).otherwise(own)).join(named, "__asks", "left").drop("__asks")
 
 
 def blocks_for(rows: int, radius: int, mates: int = 512) -> int:
@@ -187,14 +183,19 @@ def blocks_for(rows: int, radius: int, mates: int = 512) -> int:
     return next((b for b in range(radius + 1, BITS + 1) if BITS * (b - radius) / b >= need), BITS)
 
 
-def _table_key(a: Column, b: Column, ranges: list[tuple[int, int]]) -> Column:
-    """The key of a table as a struct of two longs: the halves with all bits outside the ranges cleared."""
+def _masks(ranges: list[tuple[int, int]]) -> list[Column]:
+    """Two longs whose bits inside the ranges are set."""
     masks = [0, 0]
     for lo, hi in ranges:
         for bit in range(lo, hi):
             masks[bit // 64] |= 1 << (63 - bit % 64)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return F.struct(a.bitwiseAND(F.lit(signed[0]).cast("long")).alias("a"), b.bitwiseAND(F.lit(signed[1]).cast("long")).alias("b"))
+    return [F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks]
+
+
+def _table_key(a: Column, b: Column, ranges: list[tuple[int, int]]) -> Column:
+    """The key of a table as a struct of two longs: the halves with all bits outside the ranges cleared."""
+    masks = _masks(ranges)
+    return F.struct(a.bitwiseAND(masks[0]).alias("a"), b.bitwiseAND(masks[1]).alias("b"))
 
 
 def block_matches(asked: DataFrame, classes: DataFrame, radius: int, blocks: int) -> DataFrame:
@@ -204,16 +205,28 @@ def block_matches(asked: DataFrame, classes: DataFrame, radius: int, blocks: int
     The bits are cut into blocks; every choice of ``blocks - radius`` of them is a table, keyed by the bits of
     its blocks.  Two fingerprints within the radius agree on all blocks of some table; a pair is taken from the
     first such table only.
+
+    Both sides are dealt by key and sorted: by its size before it is repeated for every table, the planner would take the asked
+    side for one that the driver can collect and send out.
     """
-    if not 0 <= radius < blocks <= BITS:
-        raise ValueError("the radius must be smaller than the number of blocks")
-    tables = _tables(blocks, radius)
-    keyed = lambda df, p: df.select(F.col("class").alias(f"{p}"), F.col("a").alias(f"a{p}"), F.col("b").alias(f"b{p}"), F.posexplode(F.array(*[_table_key(F.col("a"), F.col("b"), t) for t in tables])).alias("table", "key"))
+    if not 0 <= radius < blocks < 63:
+        raise ValueError("the radius must be smaller than the number of blocks, which are 62 at most")
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    number = lambda n: F.lit(n).cast("long")
+    tables = [
+        F.struct(number(sum(1 << i for i in kept)).alias("table"), number((2 << kept[-1]) - 1).alias("upto"), _table_key(F.col("a"), F.col("b"), [(edges[i], edges[i + 1]) for i in kept]).alias("key"))
+        for kept in combinations(range(blocks), blocks - radius)
+    ]
+    keyed = lambda df, p: df.select(F.col("class").alias(p), F.col("a").alias(f"a{p}"), F.col("b").alias(f"b{p}"), F.explode(F.array(*tables)).alias("at")).select(p, f"a{p}", f"b{p}", "at.*")
     far = distance(F.col("ax"), F.col("bx"), F.col("ay"), F.col("by"))
-    both = keyed(asked, "x").join(keyed(classes, "y"), ["table", "key"]).filter(far <= radius)
-    first = F.lit(True)
-    for t, ranges in enumerate(tables):
-        first = first & ((F.col("table") <= t) | (_table_key(F.col("ax"), F.col("bx"), ranges) != _table_key(F.col("ay"), F.col("by"), ranges)))
+    both = keyed(asked, "x").hint("merge").join(keyed(classes, "y").drop("upto"), ["table", "key"]).filter(far <= radius)
+    # tables are in the order of their blocks, so the first one is that of the first blocks that agree; one term a block keeps
+    # the code of the join short enough to be compiled
+    same = number(0)
+    for i, block in enumerate(zip(edges, edges[1:])):
+        a, b = _masks([block])
+        same = same + F.when(F.col("ax").bitwiseXOR(F.col("ay")).bitwiseAND(a).bitwiseOR(F.col("bx").bitwiseXOR(F.col("by")).bitwiseAND(b)) == 0, number(1 << i)).otherwise(number(0))
+    first = same.bitwiseAND(F.col("upto")) == F.col("table")
     return both.filter(first).select("x", "y", far.cast("int").alias("bits"))
 
 
@@ -247,6 +260,6 @@ def near_counts(fps: DataFrame, asked: Column, radius: int = RADIUS, key: str =
     fps, found = _classes(fps, key, fp)
     halves = (_half(F.col("fp"), False).alias("a"), _half(F.col("fp"), True).alias("b"))
     queries = fps.withColumnRenamed("id", key).filter(asked).select("fp").distinct().select(F.col("fp").alias("class"), *halves)
-    entries = found.select(F.struct("fp", "copies").alias("class"), *halves)
+    entries = found.select(F.col("copies").alias("class"), *halves)
     near = block_matches(queries, entries, radius, blocks or radius + 1)
-    return near.groupBy(F.col("x").alias(fp)).agg(F.sum("y.copies").alias("n_near"))
+    return near.groupBy(F.col("x").alias(fp)).agg(F.sum("y").alias("n_near"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from axisloom.llm.simhash import edited_fingerprints, near_counts
 from axisloom.sources.tables import label_dictionary, with_class, with_colours, with_names
 
 
@@ -25,3 +26,22 @@ def test_rows_are_not_dealt_by_label(no_small_tables):
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     got = {r["cls"]: (r["name"], r["colour"], r["n"]) for r in coloured.groupBy("cls", "name", "colour").agg(F.count("*").alias("n")).collect()}
     assert got == {1: ("N", "blue", 800), 0: ("A", "red", 100), -1: ("Unknown (-1)", "red", 100)}
+
+
+def test_near_search_is_not_collected(spark):
+    """The asked side, repeated for every table, stays off the driver; the size before that looks small enough."""
+    prints = spark.range(3000).select(F.col("id").alias("doc_id"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 32).alias("fingerprint"))
+    near = near_counts(prints, F.col("doc_id") % 50 == 0, blocks=14)
+    assert near.filter("n_near = 1").count() == 60
+    assert near.collect() and "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_do_not_ask_are_dealt(no_small_tables):
+    spark = no_small_tables
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"))
+        shares = edited_fingerprints(docs).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in shares) == 400 and max(r["count"] for r in shares) < 200
