@@ -131,9 +131,10 @@ def nearest_rule(points: DataFrame, rects: DataFrame, x: str = "x", y: str = "y"
     smaller rule).
 
     The box around all points and rectangles is cut into side * side cells.  For every cell, the greatest distance that
-    a point in it can have from the nearest occupied cell ends the search: rectangles whose cells are all farther
-    away can't be the nearest of any point there.  The rest are one list per cell, which points meet by an equi-join
-    on their cell; the least distance is taken in the row, so rows that repeat need no key and nothing is grouped
+    a point in it can have from the nearest occupied cell, and from the rectangles that touch it, ends the search:
+    rectangles farther away can't be the nearest of any point there.  A cell is cut into the more parts the more rectangles
+    touch it, and each part keeps those that can win in it (``_part_lists``); points meet the list of their part by an
+    equi-join, and the least distance is taken in the row, so rows that repeat need no key and nothing is grouped
     by point.  No rectangle stands in the plan.  The search region has at most side ** 4 rows at any data size.
 
     Points with a null, NaN or infinite coordinate, and all points without rectangles, have null results; rectangles with
@@ -159,17 +160,102 @@ def nearest_rule(points: DataFrame, rects: DataFrame, x: str = "x", y: str = "y"
     # of the rectangles that are left, the same bounds between each and the cell
     west, south = F.lit(low[0]) + F.floor(F.col("cell") / side) * F.lit(step[0]), F.lit(low[1]) + F.col("cell") % side * F.lit(step[1])
     east, north = west + F.lit(step[0]), south + F.lit(step[1])
-    pairs = region.join(wide.select("at", "rule", "l", "r", "b", "t"), "at").select("cell", "rule", "l", "r", "b", "t").distinct()
-    pairs = pairs.withColumns({"least": F.greatest(F.col("l") - east, west - F.col("r"), F.col("b") - north, south - F.col("t"), F.lit(0.0)), "most": F.greatest(F.col("l") - west, east - F.col("r"), F.col("b") - south, north - F.col("t"), F.lit(0.0))})
-    near = pairs.groupBy("cell").agg(F.min("most").alias("reach"), F.collect_list(F.struct("rule", "l", "r", "b", "t", "least")).alias("all"))
-    lists = near.select("cell", F.filter("all", lambda q: q["least"] <= F.col("reach") + F.lit(max(step) * 1e-9)).alias("near"))
+    least = F.greatest(F.col("l") - east, west - F.col("r"), F.col("b") - north, south - F.col("t"), F.lit(0.0))
+    most = F.greatest(F.col("l") - west, east - F.col("r"), F.col("b") - south, north - F.col("t"), F.lit(0.0))
+    own = wide.withColumn("cell", F.col("at")).groupBy("cell").agg(F.min(most).alias("reach"), F.count("*").alias("n"))
+    parts = own.select("cell", F.least(F.lit(64), F.pow(2, F.greatest(F.lit(0), F.floor(F.log2(F.sqrt("n") / 2))))).cast("int").alias("parts"), "reach")
+    pairs = region.join(F.broadcast(parts), "cell", "left").join(wide.select("at", "rule", "l", "r", "b", "t"), "at").filter(F.col("reach").isNull() | (least <= F.col("reach") + F.lit(max(step) * 1e-9)))
+    pairs = pairs.groupBy("cell", "l", "r", "b", "t").agg(F.min("rule").alias("rule"), F.first(F.coalesce("parts", F.lit(1))).alias("parts"))
+    kind = rects.schema["rule"].dataType.simpleString()
+    lists = pairs.groupBy("cell").applyInArrow(lambda t: _part_lists(t, side, low, step), f"cell int, part int, rules array<{kind}>, l array<double>, r array<double>, b array<double>, t array<double>")
     known = (F.abs(F.col(x)) < F.lit(float("inf"))) & (F.abs(F.col(y)) < F.lit(float("inf")))
-    px, py = F.col("__p.x"), F.col("__p.y")
-    at = points.withColumn("__p", F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).withColumn("cell", F.when(known, place(px, 0) * side + place(py, 1)))
-    away = lambda q: F.greatest(q["l"] - px, px - q["r"], q["b"] - py, py - q["t"], F.lit(0.0))
-    holds = lambda q: (px >= q["l"]) & (px < q["r"]) & (py >= q["b"]) & (py < q["t"])
-    found = at.join(lists, "cell", "left").withColumn("__m", F.array_min(F.transform("near", lambda q: F.struct((~holds(q)).alias("out"), away(q).alias("d"), q["rule"].alias("rule")))))
-    return found.select(*[F.col(c) for c in points.columns], F.col("__m.rule").alias("rule"), (~F.col("__m.out")).alias("inside"), F.col("__m.d").alias("distance"))
+    at = points.select(F.struct(*[F.col(c) for c in points.columns]).alias("__row"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.when(known, place(F.col(x), 0) * side + place(F.col(y), 1)).alias("cell"))
+    at = at.join(F.broadcast(parts.select("cell", "parts")), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    within = lambda v, k, i: F.least(F.greatest(F.floor(((v - F.lit(low[k])) / F.lit(step[k]) - i) * F.col("parts")), F.lit(0)), F.col("parts") - 1)
+    at = at.withColumn("part", (within(F.col("__x"), 0, F.floor(F.col("cell") / side)) * F.col("parts") + within(F.col("__y"), 1, F.col("cell") % side)).cast("int"))
+    met = at.join(lists, ["cell", "part"], "left").select("__row", "__x", "__y", "rules", "l", "r", "b", "t")
+    found = met.mapInArrow(_nearest_of_lists, f"__row {points.select(F.struct('*').alias('s')).schema['s'].dataType.simpleString()}, rule {kind}, inside boolean, distance double")
+    return found.select(*[F.col("__row")[c].alias(c) for c in points.columns], "rule", "inside", "distance")
+
+
+def _part_lists(table: pa.Table, side: int, low: list[float], step: list[float]) -> pa.Table:
+    """(cell, part, rules, l, r, b, t): for each part of a cell, the rectangles that can win for a point in it, by rule.
+
+    Left out is what is farther than the farthest that another can be, and what another of a smaller rule is as near as
+    at every point: one that covers the part, or one with the same two sides that reaches over the part in the other
+    direction.  Parts are made by halves, so that a rectangle is looked at in those parts only where it may count.
+    """
+    cell, parts = table["cell"][0].as_py(), table["parts"][0].as_py()
+    table = table.take(pa.compute.sort_indices(table, [("rule", "ascending")])).combine_chunks()
+    l, r, b, t = (table[c].to_numpy() for c in "lrbt")  # noqa: E741
+    # the place in the order of rules; equal rules are as good as each other
+    order = np.arange(len(l))
+    margin = [1e-9 * step[k] + 1e-15 * (abs(low[k]) + side * step[k]) for k in (0, 1)]
+    lists: dict[int, np.ndarray] = {}
+
+    def first_of(low_side, high_side, spans, rank):
+        """Whether no rectangle of an earlier place that spans the part has the same two sides."""
+        both = np.empty(len(rank), dtype=complex)  # a pair of sides as one value
+        both.real, both.imag = low_side, high_side
+        _, group = np.unique(both, return_inverse=True)
+        best = np.full(len(rank), len(order))
+        np.minimum.at(best, group[spans], rank[spans])
+        return rank <= best[group]
+
+    def cut(i, j, size, own):
+        """The part of so many parts' size at i, j, for the rectangles in own."""
+        w, e = (low[0] + step[0] * (cell // side + k / parts) + m for k, m in ((i, -margin[0]), (i + size, margin[0])))
+        s, n = (low[1] + step[1] * (cell % side + k / parts) + m for k, m in ((j, -margin[1]), (j + size, margin[1])))
+        ol, orr, ob, ot = l[own], r[own], b[own], t[own]
+        most = np.maximum.reduce([ol - w, e - orr, ob - s, n - ot]).clip(0.0).min()
+        keep = np.maximum.reduce([ol - e, w - orr, ob - n, s - ot]) <= most
+        x_spans, y_spans = (ol <= w) & (orr > e), (ob <= s) & (ot > n)
+        over = np.flatnonzero(x_spans & y_spans)
+        if len(over):
+            keep[over[0] + 1 :] = False
+        own = own[keep]
+        if len(own) > 4:
+            sides = [np.where(v[keep] <= lo, -np.inf, v[keep]) for v, lo in ((ol, w), (ob, s))]
+            tops = [np.where(v[keep] > hi, np.inf, v[keep]) for v, hi in ((orr, e), (ot, n))]
+            good = first_of(sides[0], tops[0], y_spans[keep], own)
+            own, sides, tops, x_only = own[good], [v[good] for v in sides], [v[good] for v in tops], x_spans[keep][good]
+            own = own[first_of(sides[1], tops[1], x_only, own)]
+        if size == 1 or len(own) <= 4:
+            lists.update({(i + p) * parts + j + q: own for p in range(size) for q in range(size)})
+            return
+        half = size // 2
+        for p in (i, i + half):
+            for q in (j, j + half):
+                cut(p, q, half, own)
+
+    cut(0, 0, parts, order)
+    flat = np.concatenate(list(lists.values()))
+    off = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in lists.values()])]), pa.int32())
+    of = lambda c: pa.ListArray.from_arrays(off, table[c].combine_chunks().take(pa.array(flat)))
+    return pa.table({"cell": pa.array([cell] * len(lists), pa.int32()), "part": pa.array(list(lists), pa.int32()), "rules": of("rule"), **{c: of(c) for c in "lrbt"}})
+
+
+def _nearest_of_lists(batches):
+    """Rows with rule, inside and distance by the list that each of them carries, which is in the order of rules."""
+    for batch in batches:
+        x, y = (batch[c].to_numpy(zero_copy_only=False) for c in ("__x", "__y"))
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(batch["l"]), 0).to_numpy()
+        rows = np.flatnonzero(sizes)
+        best, out, d = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool), np.zeros(len(x))
+        if len(rows):
+            each = np.repeat(rows, sizes[rows])
+            starts = np.cumsum(sizes[rows]) - sizes[rows]
+            l, r, b, t = (batch[c].flatten().to_numpy() for c in "lrbt")  # noqa: E741
+            px, py = x[each], y[each]
+            holds = (px >= l) & (px < r) & (py >= b) & (py < t)
+            away = np.where(holds, -1.0, np.maximum.reduce([l - px, px - r, b - py, py - t]).clip(0.0))
+            least = np.minimum.reduceat(away, starts)
+            place = np.where(away == np.repeat(least, sizes[rows]), np.arange(len(away)), len(away))
+            best[rows] = np.minimum.reduceat(place, starts)
+            out[rows], d[rows] = least >= 0, least.clip(0.0)
+        none = sizes == 0
+        rule = batch["rules"].flatten().take(pa.array(best, mask=none))
+        yield pa.RecordBatch.from_arrays([batch["__row"], rule, pa.array(~out, mask=none), pa.array(d, mask=none)], ["__row", "rule", "inside", "distance"])
 
 
 def _placed_batch(terms: np.ndarray, axis: tuple[np.ndarray, np.ndarray], b: Bounds) -> np.ndarray:

@@ -1,11 +1,12 @@
 """Rules as data and rectangles as a table against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from axisloom.operators.axis import Axis, Bounds, Term
-from axisloom.operators.rules import Rect, Rule, nearest_rule, scored, scored_rows
+from axisloom.operators.rules import Rect, Rule, _part_lists, nearest_rule, scored, scored_rows
 from axisloom.plans.model import RectangleClassifier, Voter
 
 
@@ -79,3 +80,26 @@ def test_nearest_rule(spark, n, spread, side):
     assert got == sorted(expected)
     assert {(r.id, r.rule, r.distance) for r in nearest_rule(df, table).filter("id >= 1000").collect()} == {(k, None, None) for k in (1000, 1001, 1002)}
     assert nearest_rule(df, table.limit(0)).filter("rule is null").count() == len(points) + 3 and nearest_rule(df.limit(0), table).count() == 0
+
+
+def test_lists_stay_short(spark):
+    """Where hundreds of rectangles hold a point, and beside columns of them, the lists that points meet stay short; the results are those of
+    brute force."""
+    rng = np.random.default_rng(9)
+    n = 6000
+    left = rng.integers(0, 10, n) / 10
+    rects = np.stack([left, left + (left * 10 % 4) / 40, low := rng.random(n).round(3), low + rng.integers(0, 9, n) / 50])
+    table = pa.table({"cell": pa.array([0] * n, pa.int32()), "parts": pa.array([16] * n, pa.int32()), "rule": np.arange(n), **dict(zip("lrbt", rects, strict=True))})
+    lists = _part_lists(table, 1, [0.0, 0.0], [1.0, 1.0])
+    sizes = np.array([len(v) for v in lists["rules"].to_pylist()])
+    assert len(sizes) == 256 and sizes.min() > 0 and sizes.mean() < 25
+    side = spark.createDataFrame([(k, float(q[0]), float(q[2]), float(q[1] - q[0]), float(q[3] - q[2])) for k, q in enumerate(rects.T)], "rule int, left double, bottom double, width double, height double")
+    points = rng.random((1500, 2)).round(3) * 1.2 - 0.1
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "id long, x double, y double")
+    found = nearest_rule(df, side, side=4)
+    assert "transform(" not in found._jdf.queryExecution().executedPlan().toString()
+    l, r, b, t = rects[0], rects[0] + (rects[1] - rects[0]), rects[2], rects[2] + (rects[3] - rects[2])  # noqa: E741
+    for q in found.collect():
+        holds = (q.x >= l) & (q.x < r) & (q.y >= b) & (q.y < t)
+        away = np.where(holds, -1.0, np.maximum.reduce([l - q.x, q.x - r, b - q.y, q.y - t, np.zeros(n)]))
+        assert (q.rule, q.inside, q.distance) == (int(away.argmin()), bool(holds.any()), max(away.min(), 0.0))
