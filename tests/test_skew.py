@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from axisloom.llm.simhash import edited_fingerprints, near_counts
 from axisloom.sources.tables import label_dictionary, with_class, with_colours, with_names
 
@@ -45,3 +46,34 @@ def test_rows_that_do_not_ask_are_dealt(no_small_tables):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(r["count"] for r in shares) == 400 and max(r["count"] for r in shares) < 200
+
+
+@pytest.fixture(scope="module")
+def repeated_lines(spark, tmp_path_factory):
+    """Line items ten times over, 60,000 rows in one file."""
+    d = tmp_path_factory.mktemp("lines")
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    rows.crossJoin(spark.range(10)).drop("id").coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+    return str(d)
+
+
+def most_read(spark, run) -> int:
+    """The most shuffle records that one task of the jobs of run() reads."""
+    sc = spark.sparkContext
+    sc.setJobGroup("most_read", "")
+    before = set(sc.statusTracker().getJobIdsForGroup("most_read"))
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    jobs = set(sc.statusTracker().getJobIdsForGroup("most_read")) - before
+    store, tasks = sc._jsc.sc().statusStore(), []
+    for stage in {k for j in jobs for k in sc.statusTracker().getJobInfo(j).stageIds}:
+        found = store.taskList(stage, 0, 10_000)
+        tasks += [found.apply(i) for i in range(found.size())]
+    return max(t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks)
+
+
+@pytest.mark.parametrize("name", ["class_statistics"])
+def test_a_task_reads_counts(no_small_tables, repeated_lines, name):
+    """Partial counts of classes or cells, not the table's rows."""
+    spark = no_small_tables
+    assert 0 < most_read(spark, lambda: queries()[name](spark, repeated_lines).collect()) < 6000
