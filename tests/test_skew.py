@@ -72,7 +72,7 @@ def most_read(spark, run) -> int:
     return max(t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks)
 
 
-@pytest.mark.parametrize("name", ["class_statistics", "metric_auc", "metric_bp", "metric_coverage_p70", "metric_f1", "metric_jsd", "metric_purity_weighted", "metric_silhouette", "metric_silhouette_all", "metric_totals", "rank_pairs"])
+@pytest.mark.parametrize("name", ["class_statistics", "metric_auc", "metric_bp", "metric_coverage_p70", "metric_f1", "metric_jsd", "metric_purity_weighted", "metric_silhouette", "metric_silhouette_all", "metric_totals", "rank_pairs", "sparse_projection"])
 def test_a_task_reads_counts(no_small_tables, repeated_lines, name):
     """Partial counts of classes or cells, not the table's rows."""
     spark = no_small_tables
