@@ -625,7 +625,8 @@ def _(s, d):
 def _generated(s: SparkSession, d: str, config: PairConfig) -> DataFrame:
     parts = s.sparkContext.defaultParallelism
     rows = _lines(s, d).select(*FEATURES, "cls")
-    rows = (rows if _table(s, d, "lineitem").rdd.getNumPartitions() >= parts else rows.repartition(parts)).cache()
+    rows = rows if _table(s, d, "lineitem").rdd.getNumPartitions() >= parts else rows.repartition(parts)
+    rows = rows if config.incremental else rows.cache()
     found = PairGenerator(rows, list(FEATURES), list(range(len(FEATURES))), N, config).generate()
     axis = lambda a: json.dumps([[t.sign, t.transform, t.feature] for t in a.terms])
     out = s.createDataFrame([(i, axis(m.x), axis(m.y), m.occupied) for i, m in enumerate(found)], "pair int, x string, y string, occupied long")
@@ -635,7 +636,7 @@ def _generated(s: SparkSession, d: str, config: PairConfig) -> DataFrame:
 
 @query("pair_generation_incremental")
 def _(s, d):
-    return _generated(s, d, PairConfig(pairs=1))
+    return _generated(s, d, PairConfig())
 
 
 @query("pair_generation_final")
