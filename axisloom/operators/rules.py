@@ -130,17 +130,18 @@ def nearest_rule(points: DataFrame, rects: DataFrame, x: str = "x", y: str = "y"
     that holds the point, else the rule of the nearest rectangle (distance by the larger coordinate; ties to the
     smaller rule).
 
-    The box around all points and rectangles is cut into side * side cells.  For every cell, the greatest distance that
-    a point in it can have from the nearest occupied cell, and from the rectangles that touch it, ends the search:
-    rectangles farther away can't be the nearest of any point there.  A cell is cut into the more parts the more rectangles
-    touch it, and each part keeps those that can win in it (``_part_lists``); points meet the list of their part by an
-    equi-join, and the least distance is taken in the row, so rows that repeat need no key and nothing is grouped
-    by point.  No rectangle stands in the plan.  The search region has at most side ** 4 rows at any data size.
+    The box around all points and rectangles is cut into side * side cells.  For every cell that has points, a bound says how far its
+    points can be from their nearest rectangle (``_reaches``), and the rectangles within it go to the cell (``_dealt_rects``): no
+    others can win there.  A task that has a cell's points and rectangles cuts it into the more parts the more rectangles it has, finds
+    for each part those that can win in it (``_part_lists``), and takes the least distance over the list of a point's part.  Points
+    of a cell that has very many go to several tasks.  The driver sees bounds and counts of cells only.
 
     Points with a null, NaN or infinite coordinate, and all points without rectangles, have null results; rectangles with
-    a null or a negative size are left out.
+    a null, a NaN or a negative size are left out, and those that lie at infinity.
     """
     rects = rects.filter("rule IS NOT NULL AND left IS NOT NULL AND bottom IS NOT NULL AND width >= 0 AND height >= 0").select("rule", F.col("left").alias("l"), (F.col("left") + F.col("width")).alias("r"), F.col("bottom").alias("b"), (F.col("bottom") + F.col("height")).alias("t"))
+    # NaN is above infinity
+    rects = rects.filter("l < double('infinity') AND b < double('infinity') AND r > -double('infinity') AND t > -double('infinity') AND NOT isnan(r) AND NOT isnan(t)")
     outer = [_box(points, [F.col(x), F.col(y)], [F.col(x), F.col(y)]), _box(rects, [F.col("l"), F.col("b")], [F.col("r"), F.col("t")])]
     nothing = points.select("*", F.lit(None).cast(rects.schema["rule"].dataType).alias("rule"), F.lit(None).cast("boolean").alias("inside"), F.lit(None).cast("double").alias("distance"))
     if any(v is None for o in outer for v in o):
@@ -148,36 +149,144 @@ def nearest_rule(points: DataFrame, rects: DataFrame, x: str = "x", y: str = "y"
     low = [min(o[k] for o in outer) for k in (0, 2)]
     step = [(max(o[k + 1] for o in outer) - low[k // 2]) / side or 1.0 for k in (0, 2)]
     place = lambda v, k: F.least(F.greatest(F.floor((v - F.lit(low[k])) / F.lit(step[k])), F.lit(0)), F.lit(side - 1)).cast("int")
-    wide = rects.withColumn("i", F.explode(F.sequence(place(F.col("l"), 0), place(F.col("r"), 0)))).withColumn("j", F.explode(F.sequence(place(F.col("b"), 1), place(F.col("t"), 1))))
-    wide = wide.withColumn("at", F.col("i") * side + F.col("j"))
-    # gaps and spans between cells, in cells; a margin of one part in 10^9 for rounding
-    apart = wide.select("at", "i", "j").distinct().select("at", "i", "j", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("cell"))
-    di, dj = F.abs(F.floor(F.col("cell") / side) - F.col("i")), F.abs(F.col("cell") % side - F.col("j"))
-    least = F.greatest((di - 1) * F.lit(step[0]), (dj - 1) * F.lit(step[1]), F.lit(0.0))
-    most = F.greatest((di + 1) * F.lit(step[0]), (dj + 1) * F.lit(step[1]))
-    apart = apart.select("at", "cell", least.alias("least"), most.alias("most"))
-    region = apart.join(apart.groupBy("cell").agg(F.min("most").alias("reach")), "cell").filter("least <= reach * (1 + 1e-9)").select("cell", "at")
-    # of the rectangles that are left, the same bounds between each and the cell
-    west, south = F.lit(low[0]) + F.floor(F.col("cell") / side) * F.lit(step[0]), F.lit(low[1]) + F.col("cell") % side * F.lit(step[1])
-    east, north = west + F.lit(step[0]), south + F.lit(step[1])
-    least = F.greatest(F.col("l") - east, west - F.col("r"), F.col("b") - north, south - F.col("t"), F.lit(0.0))
-    most = F.greatest(F.col("l") - west, east - F.col("r"), F.col("b") - south, north - F.col("t"), F.lit(0.0))
-    own = wide.withColumn("cell", F.col("at")).groupBy("cell").agg(F.min(most).alias("reach"), F.count("*").alias("n"))
-    parts = own.select("cell", F.least(F.lit(64), F.pow(2, F.greatest(F.lit(0), F.floor(F.log2(F.sqrt("n") / 2))))).cast("int").alias("parts"), "reach")
-    pairs = region.join(F.broadcast(parts), "cell", "left").join(wide.select("at", "rule", "l", "r", "b", "t"), "at").filter(F.col("reach").isNull() | (least <= F.col("reach") + F.lit(max(step) * 1e-9)))
-    pairs = pairs.groupBy("cell", "l", "r", "b", "t").agg(F.min("rule").alias("rule"), F.first(F.coalesce("parts", F.lit(1))).alias("parts"))
-    kind = rects.schema["rule"].dataType.simpleString()
-    lists = pairs.groupBy("cell").applyInArrow(lambda t: _part_lists(t, side, low, step), f"cell int, part int, rules array<{kind}>, l array<double>, r array<double>, b array<double>, t array<double>")
     known = (F.abs(F.col(x)) < F.lit(float("inf"))) & (F.abs(F.col(y)) < F.lit(float("inf")))
-    at = points.select(F.struct(*[F.col(c) for c in points.columns]).alias("__row"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.when(known, place(F.col(x), 0) * side + place(F.col(y), 1)).alias("cell"))
-    at = at.join(F.broadcast(parts.select("cell", "parts")), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    within = lambda v, k, i: F.least(F.greatest(F.floor(((v - F.lit(low[k])) / F.lit(step[k]) - i) * F.col("parts")), F.lit(0)), F.col("parts") - 1)
-    at = at.withColumn("part", (within(F.col("__x"), 0, F.floor(F.col("cell") / side)) * F.col("parts") + within(F.col("__y"), 1, F.col("cell") % side)).cast("int"))
-    met = at.join(lists, ["cell", "part"], "left").select("__row", "__x", "__y", "rules", "l", "r", "b", "t")
-    found = met.mapInArrow(_nearest_of_lists, f"__row {points.select(F.struct('*').alias('s')).schema['s'].dataType.simpleString()}, rule {kind}, inside boolean, distance double")
+    at = points.select(F.struct(*[F.col(c) for c in points.columns]).alias("__row"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.when(known, place(F.col(x), 0) * side + place(F.col(y), 1)).otherwise(F.lit(-1)).alias("cell"))
+    # by cell, from -1 on, for the points that have no place
+    chunks = [0] * (side * side + 1)
+    for r in at.groupBy("cell").count().collect():
+        chunks[r["cell"] + 1] = -(-r["count"] // CELL_POINTS)
+    rects = rects.select("rule", *[F.col(c).cast("double").alias(c) for c in "lrbt"]).repartition(points.sparkSession.sparkContext.defaultParallelism)
+    reach = _reaches(rects, side, low, step, [c > 0 for c in chunks[1:]])
+    near = _dealt_rects(rects, side, low, step, reach)
+    if max(chunks) > 1:
+        several = lambda c: F.get(F.lit(chunks), c + 1)
+        at = at.withColumn("chunk", F.pmod(F.monotonically_increasing_id(), several(F.col("cell"))).cast("int"))
+        near = near.withColumn("chunk", F.explode(F.sequence(F.lit(0), several(F.col("cell")) - 1)))
+    keys = ["cell", "chunk"] if max(chunks) > 1 else ["cell"]
+    kind = rects.schema["rule"].dataType.simpleString()
+    row = points.select(F.struct("*").alias("s")).schema["s"].dataType.simpleString()
+    solved = lambda left, right: _nearest_in_cell(left, right, side, low, step)
+    found = at.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(solved, f"__row {row}, rule {kind}, inside boolean, distance double")
     return found.select(*[F.col("__row")[c].alias(c) for c in points.columns], "rule", "inside", "distance")
 
 
+#: The most points of a cell that go to one task together.
+CELL_POINTS = 1 << 19
+#: Along each side, the parts of a cell that are known to be touched by a rectangle or not.
+FINE = 8
+
+
+def _gaps(batch, side: int, low: list[float], step: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of the distance along x, and along y, between a point in each column (or row) of cells and each rectangle: the least of x
+    and of y, the greatest of x and of y; a margin of one part in 10^9 of a cell for rounding."""
+    out = []
+    for k, (near, far) in enumerate((("l", "r"), ("b", "t"))):
+        edge = low[k] + np.arange(side + 1) * step[k]
+        margin = 1e-9 * step[k] + 1e-15 * (abs(low[k]) + side * step[k])
+        before, after = (batch[c].to_numpy(zero_copy_only=False)[:, None] for c in (near, far))
+        w, e = edge[:-1] - margin, edge[1:] + margin
+        out.append((np.maximum(np.maximum(before - e, w - after), 0.0), np.maximum(np.maximum(before - w, e - after), 0.0)))
+    return out[0][0], out[1][0], out[0][1], out[1][1]
+
+
+def _reaches(rects: DataFrame, side: int, low: list[float], step: list[float], asked: list[bool]) -> np.ndarray:
+    """For each cell by row and column, a bound of the distance between a point in it and the nearest rectangle; -1 where nothing is asked.
+
+    It is the least of two bounds: the greatest distance that one rectangle can have, and the greatest that a part of the cell has from
+    the nearest part that any rectangle touches."""
+    fine = side * FINE
+
+    def summed(batches):
+        """(touched, bound): a partition's touched parts as bits, and the first bound of each cell."""
+        edges, bound = np.zeros((fine + 1, fine + 1), dtype=np.int64), np.full((side, side), np.inf)
+        for batch in batches:
+            for rows in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                *_, x_most, y_most = _gaps(rows, side, low, step)
+                bound = np.minimum(bound, np.maximum(x_most[:, :, None], y_most[:, None, :]).min(axis=0))
+            (i, i1), (j, j1) = ([np.clip(np.floor((batch[c].to_numpy(zero_copy_only=False) - low[k]) / (step[k] / FINE)), 0, fine - 1).astype(np.int64) for c in pair] for k, pair in enumerate(("lr", "bt")))
+            for r, c, sign in ((i, j, 1), (i1 + 1, j, -1), (i, j1 + 1, -1), (i1 + 1, j1 + 1, 1)):
+                np.add.at(edges, (r, c), sign)
+        touched = edges.cumsum(axis=0).cumsum(axis=1)[:fine, :fine] > 0
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(touched).tobytes()], pa.binary()), pa.array([bound.tobytes()], pa.binary())], ["touched", "bound"])
+
+    reached, bound = np.zeros((fine, fine), dtype=bool), np.full((side, side), np.inf)
+    for r in rects.mapInArrow(summed, "touched binary, bound binary").collect():
+        reached |= np.unpackbits(np.frombuffer(r["touched"], dtype=np.uint8), count=fine * fine).reshape(fine, fine).astype(bool)
+        bound = np.minimum(bound, np.frombuffer(r["bound"]).reshape(side, side))
+    # a part k parts away from a touched one is at most k + 1 of them away from a rectangle
+    away, k, margin = np.full((fine, fine), np.inf), 0, max(4e-15 * (abs(low[i]) + side * step[i]) for i in (0, 1))
+    while reached.any() and np.isinf(away).any():
+        away[reached & np.isinf(away)] = (k + 1) * max(step) / FINE * (1 + 1e-9) + margin
+        grown = np.pad(reached, 1)
+        reached, k = np.logical_or.reduce([grown[i : i + fine, j : j + fine] for i in range(3) for j in range(3)]), k + 1
+    away = away.reshape(side, FINE, side, FINE).max(axis=(1, 3))
+    return np.where(np.reshape(asked, (side, side)), np.minimum(bound, away), -1.0)
+
+
+def _dealt_rects(rects: DataFrame, side: int, low: list[float], step: list[float], reach: np.ndarray) -> DataFrame:
+    """(cell, rule, l, r, b, t): each rectangle for every cell within whose reach it is."""
+
+    def deal(batches):
+        for batch in batches:
+            for rows in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                x, y, *_ = _gaps(rows, side, low, step)
+                row, i, j = np.nonzero(np.maximum(x[:, :, None], y[:, None, :]) <= reach)
+                yield pa.RecordBatch.from_arrays([pa.array(i * side + j, pa.int32()), *[c.take(pa.array(row)) for c in rows.columns]], ["cell", *rows.schema.names])
+
+    return rects.mapInArrow(deal, "cell int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rects.schema.fields))
+
+
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type whose parts may all be null, as a schema by name has it."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    return pa.list_(_nullable(kind.value_type)) if pa.types.is_list(kind) else kind
+
+
+def _nearest_in_cell(points: pa.Table, rects: pa.Table, side: int, low: list[float], step: list[float], block: int = 1 << 20) -> pa.Table:
+    """Rows of a cell with rule, inside and distance, by the rectangles that can win there."""
+    n = points.num_rows
+    row = points["__row"].cast(_nullable(points["__row"].type))
+    if not n or not rects.num_rows:
+        kind = rects.schema.field("rule").type
+        return pa.table({"__row": row, "rule": pa.nulls(n, kind), "inside": pa.nulls(n, pa.bool_()), "distance": pa.nulls(n, pa.float64())})
+    cell = rects["cell"][0].as_py()
+    rects = rects.group_by(["l", "r", "b", "t"]).aggregate([("rule", "min")]).rename_columns({"rule_min": "rule"})
+    # points that repeat are looked at once
+    x, y = (points[c].to_numpy() for c in ("__x", "__y"))
+    order = np.lexsort((y, x))
+    first = np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)])
+    of = np.empty(n, dtype=np.int64)
+    of[order] = np.cumsum(first) - 1
+    x, y = x[order[first]], y[order[first]]
+    parts = 1 << max(0, min(6, int(np.log2(max(1.0, rects.num_rows**0.5 / 2))), int(np.ceil(np.log2(len(x)) / 2))))
+    lists = _part_lists(pa.table({"cell": np.full(rects.num_rows, cell, dtype=np.int32), "parts": np.full(rects.num_rows, parts, dtype=np.int32), **{c: rects[c] for c in ("rule", "l", "r", "b", "t")}}), side, low, step)
+    flat = {c: lists[c].combine_chunks() for c in ("rules", "l", "r", "b", "t")}
+    starts = flat["l"].offsets.to_numpy()
+    place = np.empty(parts * parts, dtype=np.int64)
+    place[lists["part"].to_numpy()] = np.arange(parts * parts)
+    within = lambda v, k, i: np.clip(np.floor(((v - low[k]) / step[k] - i) * parts), 0, parts - 1).astype(np.int64)
+    part = place[within(x, 0, cell // side) * parts + within(y, 1, cell % side)]
+    begin, sizes = starts[part], starts[part + 1] - starts[part]
+    l, r, b, t = (flat[c].values.to_numpy() for c in "lrbt")  # noqa: E741
+    best, least = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(x):  # so many points that their lists together are of bounded size
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + block, "right")))
+        own = sizes[lo:hi]
+        offsets = np.cumsum(own) - own
+        each = np.repeat(np.arange(lo, hi), own)
+        rect = np.arange(len(each)) - np.repeat(offsets - begin[lo:hi], own)
+        px, py, rl, rr, rb, rt = x[each], y[each], l[rect], r[rect], b[rect], t[rect]
+        holds = (px >= rl) & (px < rr) & (py >= rb) & (py < rt)
+        away = np.where(holds, -1.0, np.maximum.reduce([rl - px, px - rr, rb - py, py - rt]).clip(0.0))
+        least[lo:hi] = np.minimum.reduceat(away, offsets)
+        best[lo:hi] = np.minimum.reduceat(np.where(away == np.repeat(least[lo:hi], own), rect, np.iinfo(np.int64).max), offsets)
+        lo = hi
+    return pa.table({"__row": row, "rule": flat["rules"].values.take(pa.array(best[of])), "inside": pa.array(least[of] < 0), "distance": pa.array(least[of].clip(0.0))})
+
+
 def _part_lists(table: pa.Table, side: int, low: list[float], step: list[float]) -> pa.Table:
     """(cell, part, rules, l, r, b, t): for each part of a cell, the rectangles that can win for a point in it, by rule.
 
@@ -212,6 +321,8 @@ def _part_lists(table: pa.Table, side: int, low: list[float], step: list[float])
         x_spans, y_spans = (ol <= w) & (orr > e), (ob <= s) & (ot > n)
         over = np.flatnonzero(x_spans & y_spans)
         if len(over):
+            # what doesn't hold a point there is farther than the first that holds them all
+            keep &= (ol <= e) & (orr > w) & (ob <= n) & (ot > s)
             keep[over[0] + 1 :] = False
         own = own[keep]
         if len(own) > 4:
@@ -235,29 +346,6 @@ def _part_lists(table: pa.Table, side: int, low: list[float], step: list[float])
     return pa.table({"cell": pa.array([cell] * len(lists), pa.int32()), "part": pa.array(list(lists), pa.int32()), "rules": of("rule"), **{c: of(c) for c in "lrbt"}})
 
 
-def _nearest_of_lists(batches):
-    """Rows with rule, inside and distance by the list that each of them carries, which is in the order of rules."""
-    for batch in batches:
-        x, y = (batch[c].to_numpy(zero_copy_only=False) for c in ("__x", "__y"))
-        sizes = pa.compute.fill_null(pa.compute.list_value_length(batch["l"]), 0).to_numpy()
-        rows = np.flatnonzero(sizes)
-        best, out, d = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool), np.zeros(len(x))
-        if len(rows):
-            each = np.repeat(rows, sizes[rows])
-            starts = np.cumsum(sizes[rows]) - sizes[rows]
-            l, r, b, t = (batch[c].flatten().to_numpy() for c in "lrbt")  # noqa: E741
-            px, py = x[each], y[each]
-            holds = (px >= l) & (px < r) & (py >= b) & (py < t)
-            away = np.where(holds, -1.0, np.maximum.reduce([l - px, px - r, b - py, py - t]).clip(0.0))
-            least = np.minimum.reduceat(away, starts)
-            place = np.where(away == np.repeat(least, sizes[rows]), np.arange(len(away)), len(away))
-            best[rows] = np.minimum.reduceat(place, starts)
-            out[rows], d[rows] = least >= 0, least.clip(0.0)
-        none = sizes == 0
-        rule = batch["rules"].flatten().take(pa.array(best, mask=none))
-        yield pa.RecordBatch.from_arrays([batch["__row"], rule, pa.array(~out, mask=none), pa.array(d, mask=none)], ["__row", "rule", "inside", "distance"])
-
-
 def _placed_batch(terms: np.ndarray, axis: tuple[np.ndarray, np.ndarray], b: Bounds) -> np.ndarray:
     """with_placed for a batch: columns of terms (NaN where missing), and an axis as their places and signs."""
     if not b.usable or not len(axis[0]):
