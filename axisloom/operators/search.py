@@ -294,7 +294,8 @@ def _measure(df: DataFrame | Packed, pairs: list[tuple[Axis, Axis]], n: int, eps
     infinite = lambda b, a: bool(a.terms) and not (b.low > float("-inf") and b.high < float("inf"))
     blank = [Measured(x, y, bx, by, 0, 0, 0, infinite(bx, x) or infinite(by, y)) for (x, y), (bx, by) in zip(pairs, at, strict=True)]
     asked = [i for i, m in enumerate(blank) if judge is None or not (m.nonfinite or not (m.x.terms and m.y.terms))]
-    found = dict(zip(asked, [counts.get(k, (0, 0, 0)) for counts in [_occupied(df, [pairs[i] for i in asked], [at[i] for i in asked], n, epsilon, judge)] for k in range(len(asked))], strict=True)) if asked else {}
+    counts = _occupied(df, [pairs[i] for i in asked], [at[i] for i in asked], n, epsilon, judge) if asked else {}
+    found = {i: counts.get(k, (0, 0, 0)) for k, i in enumerate(asked)}
     return [replace(m, occupied_x=found[i][0], occupied_y=found[i][1], occupied=found[i][2]) if i in found else m for i, m in enumerate(blank)]
 
 
